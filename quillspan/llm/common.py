@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -67,3 +67,31 @@ def slim_batches(batches: Iterator[pa.RecordBatch], text: str = "text", max_byte
             total += n
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def map_texts(
+    docs: DataFrame, fn: Callable[[list[str]], list[pa.Array]], to: dict[str, tuple[str, pa.DataType]],
+    text: str = "text", keep: list[str] | None = None, max_bytes: int = 1 << 22, setup: Callable[[], None] | None = None,
+) -> DataFrame:
+    """docs with columns that fn makes of a text column, in batches of bounded size; a null text comes as "".
+
+    keep: the columns of docs to return, all by default. Columns named as the results give way.
+    """
+    results = {k.lower() for k in to}
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in results]
+    inner = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if setup:
+            setup()
+        for batch in slim_batches(batches, "__text", max_bytes):
+            made = fn([t or "" for t in batch.column(len(kept)).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *made], names=[*kept, *to])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema if f.name in kept] + [f"`{k}` {v[0]}" for k, v in to.items()]
+    return inner.mapInArrow(work, ", ".join(fields))
+
+
+def span_text(spans: Column) -> Column:
+    """Spans (start, end, kind, ...) in their order as kind:start:end, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

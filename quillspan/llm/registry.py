@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprints, line_dedup
+from . import fingerprints, line_dedup, pii, token_counts
 
 
 def queries() -> dict:
     return {
+        "op5_token_counts": token_counts.op5_token_counts,
+        "op10_pii": pii.op10_pii,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_document_fingerprints": fingerprints.op9_document_fingerprints,
     }
