@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, span_text, table
+from .common import count_kind, map_texts, span_text, table
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "name_phone")
 BASE_KINDS = KINDS[:4]
@@ -144,6 +144,6 @@ def find_pii(docs: DataFrame, text: str = "text", to: str = "pii", keep: list[st
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
-    counts = [F.size(F.filter("pii", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    counts = [count_kind(F.col("pii"), k).alias(f"n_{k}") for k in BASE_KINDS]
     base = span_text(F.filter("pii", lambda s: s["kind"].isin(*BASE_KINDS)))
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), span_text(F.col("pii")).alias("spans"))
