@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import fingerprints, line_dedup, pii, token_counts
+from . import fingerprints, line_dedup, mixing, pii, secrets, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_secret_scan": secrets.op1_secret_scan,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op7_source_mix": mixing.op7_source_mix,
         "op5_token_counts": token_counts.op5_token_counts,
         "op10_pii": pii.op10_pii,
         "op8_line_dedup": line_dedup.op8_line_dedup,
