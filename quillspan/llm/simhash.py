@@ -7,7 +7,7 @@ in one partition at least. Fingerprints are probed by partition and verified on
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, product
 from typing import NamedTuple
 
@@ -28,7 +28,7 @@ KEY_ROWS = 2048
 _PIECE = 1 << 15
 
 
-def fingerprint(text: str, n: int = SHINGLE) -> int:
+def fingerprint(text: str, n: int = SHINGLE, seed: int = SEED) -> int:
     """The fingerprint of a text as a signed 64-bit number."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z alone, ASCII white space alone
     if not words:
@@ -40,7 +40,7 @@ def fingerprint(text: str, n: int = SHINGLE) -> int:
     a, b = starts[:k].tolist(), ends[min(n, len(words)) - 1 :].tolist()
     count, h = np.zeros(BITS, np.int64), xxhash.xxh64_intdigest
     for i in range(0, k, _PIECE):
-        hashes = np.array([h(flat[x:y], SEED) for x, y in zip(a[i : i + _PIECE], b[i : i + _PIECE], strict=True)], ">u8")
+        hashes = np.array([h(flat[x:y], seed) for x, y in zip(a[i : i + _PIECE], b[i : i + _PIECE], strict=True)], ">u8")
         count += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * count > k).tobytes(), "big", signed=True)
 
@@ -152,19 +152,19 @@ def signed(x: int) -> int:
 
 # ---- probing and verifying
 
-def probe_rows(fps: DataFrame, layout: Layout) -> DataFrame:
-    """(part, key, fp): each fingerprint under its own bits of each probed partition, and under those within its threshold."""
-    rows = []
+def probe_rows(nodes: DataFrame, layout: Layout) -> DataFrame:
+    """part, key and the columns of nodes: each fingerprint under its own bits of each probed partition, and under those
+    within its threshold of them."""
+    out = None
     for i, (mask, threshold) in enumerate(zip(layout.masks, layout.thresholds, strict=True)):
         if threshold < 0:
             continue
         bits = [b for b in range(BITS) if mask >> b & 1]
         flips = [sum(1 << b for b in c) for e in range(threshold + 1) for c in combinations(bits, e)]
-        flip = F.explode(F.array(*[F.lit(signed(f)) for f in flips])).alias("flip")
-        rows.append(fps.select("fp", flip).select(F.lit(i).alias("part"), F.col("fp").bitwiseXOR(F.col("flip")).bitwiseAND(F.lit(signed(mask))).alias("key"), "fp"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
+        key = F.col("fp").bitwiseXOR(F.col("__flip")).bitwiseAND(F.lit(signed(mask)))
+        rows = nodes.withColumn("__flip", F.explode(F.array(*[F.lit(signed(f)).cast("long") for f in flips])))
+        rows = rows.select(F.lit(i).alias("part"), key.alias("key"), *nodes.columns)
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
@@ -180,67 +180,86 @@ def deal_hot_keys(rows: DataFrame, layout: Layout, tau: int, most: int = KEY_ROW
     dealt = F.element_at(F.array(*choices), F.col("part") + 1)
     plain = F.array(F.struct(F.lit(0).alias("sub"), F.lit(0).cast("long").alias("subkey")))
     joined = rows.join(hot, ["part", "key"], "left")
-    return joined.select("part", "key", "fp", F.explode(F.when(F.col("hot"), dealt).otherwise(plain)).alias("s")).select("part", "key", "s.sub", "s.subkey", "fp")
+    own = [c for c in rows.columns if c not in ("part", "key")]
+    return joined.select("part", "key", *own, F.explode(F.when(F.col("hot"), dealt).otherwise(plain)).alias("s")).select("part", "key", "s.sub", "s.subkey", *own)
 
 
-def forest(fps: np.ndarray, tau: int) -> list[tuple[int, int]]:
-    """Links that connect what is connected by pairs within tau bits: fewer links than fingerprints, no pair twice."""
-    left, out = fps.view(np.uint64), []  # numpy counts the bits of a negative number's magnitude
+#: Of rows (fp, more columns) and one or several others: which are linked? Arrays of the last axis' columns.
+Linked = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def within(tau: int) -> Linked:
+    # numpy counts the bits of a negative number's magnitude, so numbers are taken as unsigned.
+    return lambda a, b: np.bitwise_count((a[..., 0] ^ b[..., 0]).view(np.uint64)) <= tau
+
+
+def forest(rows: np.ndarray, linked: Linked) -> list[tuple[int, int]]:
+    """Places of links that connect what all links among the rows connect: fewer than rows, none twice."""
+    left, out = np.arange(len(rows)), []
     while len(left) > 1:
-        queue, left = [left[0]], left[1:]
+        queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             u = queue.pop()
-            near = np.bitwise_count(left ^ u) <= tau
+            near = linked(rows[left], rows[u])
             if near.any():
-                new = left[near]
-                out += [(signed(int(u)), v) for v in new.view(np.int64).tolist()]
-                queue += list(new)
+                new = left[near].tolist()
+                out += [(u, v) for v in new]
+                queue += new
                 left = left[~near]
     return out
 
 
-def links_of(keys: np.ndarray, fps: np.ndarray, tau: int) -> list[tuple[int, int]]:
-    """Links within runs of equal keys; pairs are compared all at once, large runs one by one."""
-    fps = np.ascontiguousarray(fps)
+def links_of(keys: np.ndarray, rows: np.ndarray, linked: Linked) -> list[tuple[int, int]]:
+    """Places of links within runs of equal keys; small runs of a size are compared all at once."""
     edge = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1), [True]]))
     sizes, out = np.diff(edge), []
     for s in np.unique(sizes):
         starts = edge[:-1][sizes == s]
         if s == 1:
             continue
-        if s <= 4:
-            block = fps[starts[:, None] + np.arange(s)]
-            for i, j in combinations(range(s), 2):
-                near = np.bitwise_count((block[:, i] ^ block[:, j]).view(np.uint64)) <= tau
-                out += list(zip(block[near, i].tolist(), block[near, j].tolist(), strict=True))
-        else:
-            for a in starts:
-                out += forest(fps[a : a + s], tau)
+        if s > 32:
+            for a in starts.tolist():
+                out += [(a + u, a + v) for u, v in forest(rows[a : a + s], linked)]
+            continue
+        i, j = np.triu_indices(s, 1)
+        for part in np.array_split(starts, max(1, len(starts) * len(i) >> 18)):
+            near = linked(rows[part[:, None] + i], rows[part[:, None] + j])
+            g, k = np.nonzero(near)
+            out += zip((part[g] + i[k]).tolist(), (part[g] + j[k]).tolist(), strict=True)
     return out
 
 
-def verified_links(dealt: DataFrame, tau: int) -> DataFrame:
-    """(u, v): links of verified pairs, enough to connect each key's fingerprints. Reads keys as sorted runs."""
+def verified_links(dealt: DataFrame, linked: Linked, node: str = "fp") -> DataFrame:
+    """(u, v): links of verified pairs, enough to connect each key's rows. Reads keys as sorted runs.
+
+    dealt: part, key, sub, subkey, then fp and what linked looks at, all whole numbers; node names the column to return.
+    """
     cols = ["part", "key", "sub", "subkey"]
+    own = [c for c in dealt.columns if c not in cols]
+    own = ["fp", *(c for c in own if c != "fp")]
+    at = 4 + own.index(node)
+
+    def packed(rows: np.ndarray) -> pa.RecordBatch:
+        links = np.array(links_of(rows[:, :4], np.ascontiguousarray(rows[:, 4:]), linked), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(rows[links[:, 0], at]), pa.array(rows[links[:, 1], at])], names=["u", "v"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 5), np.int64)
+        held = []
         for batch in batches:
-            rows = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in range(5)])
-            rows = np.concatenate([held, rows])
-            last = np.flatnonzero((rows[:, :4] != rows[-1, :4]).any(1))
-            cut = last[-1] + 1 if len(last) else 0
-            ready, held = rows[:cut], rows[cut:]
-            if len(ready):
-                yield packed(links_of(ready[:, :4], ready[:, 4], tau))
-        if len(held):
-            yield packed(links_of(held[:, :4], held[:, 4], tau))
-
-    def packed(links: list[tuple[int, int]]) -> pa.RecordBatch:
-        u, v = zip(*links, strict=True) if links else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    runs = dealt.select(*cols, "fp").repartition(*cols).sortWithinPartitions(*cols)
+            rows = np.column_stack([c.to_numpy().astype(np.int64) for c in batch.columns])
+            if not len(rows):
+                continue
+            if held and (held[-1][-1, :4] != rows[-1, :4]).any():
+                rows, held = np.concatenate([*held, rows]), []
+            other = np.flatnonzero((rows[:, :4] != rows[-1, :4]).any(1))
+            cut = other[-1] + 1 if len(other) else 0
+            if cut:
+                yield packed(rows[:cut])
+            held.append(rows[cut:])
+        if held:
+            yield packed(np.concatenate(held))
+
+    runs = dealt.select(*cols, *own).repartition(*cols).sortWithinPartitions(*cols)
     return runs.mapInArrow(work, "u long, v long")
 
 
@@ -248,7 +267,7 @@ def link_fingerprints(fps: DataFrame, tau: int = TAU) -> DataFrame:
     """(u, v) links of distinct fingerprints (column fp), whose components are those of all pairs within tau bits."""
     n = fps.count()
     layout = choose_layout(fps, n, tau)
-    return verified_links(deal_hot_keys(probe_rows(fps, layout), layout, tau), tau)
+    return verified_links(deal_hot_keys(probe_rows(fps, layout), layout, tau), within(tau))
 
 
 def similar_groups(marked: DataFrame, tau: int = TAU) -> DataFrame:

@@ -74,7 +74,7 @@ def test_hot_keys_are_dealt_without_loss(spark, monkeypatch):
     assert dealt.filter("sub > 0").count() > 0
     from quillspan.llm.components import connected
 
-    got = {x.u: x.v for x in connected(S.verified_links(dealt, 2)).collect()}
+    got = {x.u: x.v for x in connected(S.verified_links(dealt, S.within(2))).collect()}
     want = {}
     for d, f, comp in brute_components([(S.signed(f), f) for f in fps], 2):
         want[S.signed(f)] = comp
