@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, line_dedup, mixing, pii, secrets, simhash, token_counts, toxicity
+from . import decontaminate, fingerprints, line_dedup, mixing, pii, secrets, simhash, suffix_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_secret_scan": secrets.op1_secret_scan,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_source_mix": mixing.op7_source_mix,
+        "op2_substring_dedup": suffix_dedup.op2_substring_dedup,
         "op3_decontamination": decontaminate.op3_decontamination,
         "op4_simhash_components": simhash.op4_simhash_components,
         "op5_token_counts": token_counts.op5_token_counts,
