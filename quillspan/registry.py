@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import relational
+from .plans.kit import Query
 
-def queries() -> dict:
-    return {}
+_MODULES = (relational,)
+
+
+def queries() -> dict[str, Query]:
+    return {k: v for m in _MODULES for k, v in m.P.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in _MODULES for k, v in m.P.sql.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
