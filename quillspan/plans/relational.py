@@ -212,9 +212,9 @@ def semi_memory(spark: SparkSession, d: str) -> DataFrame:
     return m.join(keys, "memory_id", "left").join(values, "user_id", "left").filter("by_key OR by_value").select("memory_id")
 
 
-@P.query("anti_existing", "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')")
+@P.query("anti_existing", "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 40)")
 def anti_existing(spark: SparkSession, d: str) -> DataFrame:
-    used = S.read(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    used = S.read(spark, d, "lineitem").filter("l_returnflag = 'R' AND l_quantity > 40").select(F.col("l_partkey").alias("p_partkey"))
     return S.read(spark, d, "part").select("p_partkey").join(used, "p_partkey", "left_anti")
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import relational
+from .plans import relational, retrieval
 from .plans.kit import Query
 
-_MODULES = (relational,)
+_MODULES = (relational, retrieval)
 
 
 def queries() -> dict[str, Query]:
