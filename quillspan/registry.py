@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import relational, retrieval
+from .plans import analytics, relational, retrieval
 from .plans.kit import Query
 
-_MODULES = (relational, retrieval)
+_MODULES = (relational, retrieval, analytics)
 
 
 def queries() -> dict[str, Query]:
