@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analytics, relational, retrieval
+from .plans import analytics, documents, relational, retrieval
 from .plans.kit import Query
 
-_MODULES = (relational, retrieval, analytics)
+_MODULES = (relational, retrieval, analytics, documents)
 
 
 def queries() -> dict[str, Query]:
