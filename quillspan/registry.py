@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analytics, documents, relational, retrieval, streams, understanding
+from .plans import analytics, documents, more, relational, retrieval, streams, understanding
 from .plans.kit import Query
 
-_MODULES = (relational, retrieval, analytics, documents, understanding, streams)
+_MODULES = (relational, retrieval, analytics, documents, understanding, streams, more)
 
 
 def queries() -> dict[str, Query]:
