@@ -25,7 +25,7 @@ LENGTH, GRAM = 100, 32
 _SPAN = LENGTH - GRAM + 1  # anchors to choose from in a window
 _POS_BITS = 24
 PIECE = 1 << 20  # bytes that are looked at together in step 1, the least
-BLOCK, SHARD = 1 << 20, 1 << 16  # bytes merged together, the least; bytes of a shard
+BLOCK, SHARD = 1 << 17, 1 << 14  # bytes merged together, the least; bytes of a shard
 _R = 0x9E3779B97F4A7C15
 _R_INV = pow(_R, -1, 1 << 64)
 _BYTE = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -151,18 +151,29 @@ def judged_segments(found: DataFrame) -> DataFrame:
 # ---- transforms of a block and their merge
 
 def _symbols(b: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, int]:
-    """A rank from 1 for the g bytes from each place on, shorter at the end of its segment; and g."""
+    """A rank from 1 for the g bytes from each place on, shorter at the end of its segment; and g, the most of 10, 5, 4,
+    2 and 1 that leaves fewer than 2^16 ranks, so that a distribution by them is two passes over bytes."""
     n = len(b)
     place = np.arange(n)
-    padded = np.concatenate([b.astype(np.uint32) + 1, np.zeros(4, np.uint32)])
-    for g in (4, 2, 1):
+    padded = np.concatenate([b.astype(np.uint32) + 1, np.zeros(5, np.uint32)])
+
+    def ranks(g: int) -> tuple[np.ndarray, int]:
         value = np.zeros(n, np.uint64)
         for i in range(g):
             value = value * np.uint64(257) + np.where(place + i < end, padded[i : n + i], 0)
         names, rank = np.unique(value, return_inverse=True)
-        if len(names) < (1 << 16) - 1 or g == 1:
-            break
-    return (rank + 1).astype(np.uint16), g
+        return rank + 1, len(names)
+
+    five, n_five = ranks(5)
+    if n_five < (1 << 16) - 1:
+        later = np.where(place + 5 < end, np.concatenate([five[5:], np.zeros(min(5, n), five.dtype)])[:n], 0)
+        names, rank = np.unique(five * (n_five + 1) + later, return_inverse=True)
+        return ((rank + 1).astype(np.uint16), 10) if len(names) < (1 << 16) - 1 else (five.astype(np.uint16), 5)
+    for g in (4, 2, 1):
+        rank, k = ranks(g)
+        if k < (1 << 16) - 1 or g == 1:
+            return rank.astype(np.uint16), g
+    raise AssertionError
 
 
 def _suffixes(sym: np.ndarray, nxt: np.ndarray, longest: int) -> np.ndarray:
