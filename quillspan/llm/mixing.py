@@ -168,8 +168,9 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEE
 def taken_words(m: Mix) -> DataFrame:
     """doc_id, source, size and taken, the words of the document in the mix, for every document."""
     uses = m.slots.groupBy("__source", "block").agg(F.count(F.lit(1)).alias("uses"))
-    sums = m.pieces.join(uses, ["__source", "block"]).groupBy("__source", "__order").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
-    return m.documents.join(sums, ["__source", "__order"], "left").select("doc_id", "source", "__source", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    # Slots come from a range of shards, whose estimated size says nothing of theirs: no side may be broadcast for it.
+    sums = m.pieces.join(uses.hint("merge"), ["__source", "block"]).groupBy("__source", "__order").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+    return m.documents.join(sums.hint("merge"), ["__source", "__order"], "left").select("doc_id", "source", "__source", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixture(docs: DataFrame) -> DataFrame:
