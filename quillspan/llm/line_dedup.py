@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACES, UPPER, ascii_lower, put, table, text_of
+from .common import LOWER, SPACES, UPPER, ascii_lower, materialize, put, table, text_of
 
 MIN_CHARS, MIN_DOCS = 20, 3
 _H = ("__h1", "__h2")
@@ -35,8 +35,9 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     its lines. __text is the XXH64 of the text: with doc_id it names a row, so repeated rows share one bitmap. A null
     doc_id is one document, the smallest.
     """
-    # The range of a hash that very many documents hold spans several partitions, for the document is part of the key.
-    lines = line_hashes(docs, min_chars).repartitionByRange(*_H, "doc_id").sortWithinPartitions(*_H, F.desc_nulls_last("doc_id"), "__text", "__pos")
+    # Hashes are made once: ranges are sampled, and lines are read again for the join. The range of a hash that very many
+    # documents hold spans several partitions, for the document is part of the key.
+    lines = materialize(line_hashes(docs, min_chars), "lines").repartitionByRange(*_H, "doc_id").sortWithinPartitions(*_H, F.desc_nulls_last("doc_id"), "__text", "__pos")
     # No exchange: a (hash, document) pair lies in one range. The rows per hash are counted before they meet.
     per_doc = lines.groupBy(*_H, "doc_id").agg(F.count(F.lit(1)).alias("__n"))
     owners = per_doc.groupBy(*_H).agg(F.count(F.lit(1)).alias("__docs"), F.max("doc_id").alias("__owner")).filter(F.col("__docs") >= min_docs)
