@@ -28,17 +28,37 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_CHECKPOINT_DIR
 
 
+#: Tables that this driver has written and not yet removed, oldest first.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
-    Cuts the lineage: later stages survive lost executors without computing df again.
+    Cuts the lineage: later stages survive lost executors without computing df again. The table stays, for the result
+    is read later; clear_scratch() removes what is no longer needed.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/quillspan-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_mark() -> int:
+    """A point in the list of tables, for clear_scratch()."""
+    return len(_written)
+
+
+def clear_scratch(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Remove the tables written since a mark, but for the last keep of them."""
+    gone = _written[since : len(_written) - keep]
+    for path in gone:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _written[since : len(_written) - keep] = []
+
+
 def text_of(col: str | Column = "text") -> Column:
     """The text, a null one as the empty one."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

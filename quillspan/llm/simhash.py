@@ -132,7 +132,7 @@ def choose_layout(fps: DataFrame, n: int, tau: int) -> Layout:
             row, probes = [0.0], 0.0
             for e in range(tau + 1):
                 probes += float(_choose(len(part), e))
-                row.append(PROBE_COST * n * probes + pairs.get(at[m, i], 0.0) * float(e_sums[: e + 1].sum()))
+                row.append(PROBE_COST * max(n, 1) * probes + pairs.get(at[m, i], 0.0) * float(e_sums[: e + 1].sum()))
             costs.append(row)
         cost, thresholds = allocate(costs, tau)
         found.append((cost, m, Layout([masks[m, i] for i in range(m)], thresholds)))
