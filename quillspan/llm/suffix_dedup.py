@@ -84,11 +84,15 @@ def segments_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return text[new], a - start, z - start, gram[anchor[new]].view(np.int64), whole.view(np.int64)
 
 
-_SEGMENT = "h long, sh long, ord long, th long, a long, z long"
+_SEGMENT = "again long, h long, sh long, ord long, th long, a long, z long"
 
 
 def segments(rows: DataFrame, piece: int = PIECE) -> DataFrame:
-    """Segments (anchor hash, own hash, ord, th, first and last window) of rows ord, th, text."""
+    """Segments (anchor hash, own hash, ord, th, first and last window) of rows ord, th, text.
+
+    again marks those that repeat an earlier one of the same batch: they are known as repeats before any shuffle, so a
+    passage that very many places share has one row left for each batch that must meet the others'.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slim_batches(batches, "text", piece):
@@ -107,7 +111,12 @@ def segments(rows: DataFrame, piece: int = PIECE) -> DataFrame:
                     stop += 1
                 i, a, z, h, sh = segments_of(parts[done:stop])
                 own, off = np.array(owner[done:stop], np.int64)[i], np.array(base[done:stop], np.int64)[i]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, sh, ids[0][own], ids[1][own], a + off, z + off)], names=["h", "sh", "ord", "th", "a", "z"])
+                x = np.column_stack([h, sh, ids[0][own], ids[1][own], a + off, z + off])
+                x = x[np.lexsort((x[:, 4], x[:, 3], x[:, 2], x[:, 1], x[:, 0]))]
+                new = np.concatenate([[True], (x[1:, :2] != x[:-1, :2]).any(1)])[: len(x)]
+                lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+                again = ~new & (x[:, 2:5] != x[lead, 2:5]).any(1)
+                yield pa.RecordBatch.from_arrays([pa.array(again.astype(np.int64)), *(pa.array(x[:, k]) for k in range(6))], names=["again", "h", "sh", "ord", "th", "a", "z"])
                 done = stop
 
     return rows.mapInArrow(work, _SEGMENT)
@@ -125,6 +134,11 @@ def judged_segments(found: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             x = np.column_stack([c.to_numpy() for c in batch.columns])
+            known, x = x[x[:, 0] == 1, 1:], x[x[:, 0] == 0, 1:]
+            if len(known):
+                yield packed(np.ones(len(known), bool), known)
+            if not len(x):
+                continue
             fresh = head is None
             if not fresh:
                 x = np.concatenate([head[None], x])
@@ -141,10 +155,13 @@ def judged_segments(found: DataFrame) -> DataFrame:
             is_repeat = np.concatenate([np.ones(int(repeat.sum()), bool), np.zeros(int(ask.sum()), bool)])
             head = x[first[-1]]
             told = bool(prev[-1])
-            y = x[out]
-            yield pa.RecordBatch.from_arrays([pa.array(is_repeat), *(pa.array(y[:, i]) for i in (0, 2, 3, 4, 5))], names=["repeat", "h", "ord", "th", "a", "z"])
+            yield packed(is_repeat, x[out])
+
+    def packed(repeat: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(repeat), *(pa.array(y[:, i]) for i in (0, 2, 3, 4, 5))], names=["repeat", "h", "ord", "th", "a", "z"])
 
-    runs = found.repartition("h").sortWithinPartitions(*cols)
+    deal = F.when(F.col("again") == 1, F.xxhash64("ord", "th", "a")).otherwise(F.col("h"))
+    runs = found.repartition(deal).sortWithinPartitions("again", *cols)
     return runs.mapInArrow(work, "repeat boolean, h long, ord long, th long, a long, z long")
 
 
