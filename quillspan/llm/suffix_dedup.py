@@ -24,6 +24,7 @@ from .common import materialize, slim_batches, table, text_of
 LENGTH, GRAM = 100, 32
 _SPAN = LENGTH - GRAM + 1  # anchors to choose from in a window
 _POS_BITS = 24
+KIND_ROWS = 8192  # kinds of segments of one anchor that are merged in one task
 PIECE = 1 << 20  # bytes that are looked at together in step 1, the least
 BLOCK, SHARD = 1 << 17, 1 << 14  # bytes merged together, the least; bytes of a shard
 _R = 0x9E3779B97F4A7C15
@@ -87,6 +88,15 @@ def segments_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 _SEGMENT = "again long, h long, sh long, ord long, th long, a long, z long"
 
 
+def _flagged(x: np.ndarray) -> pa.RecordBatch:
+    """Rows h, sh, ord, th, a, z of a batch as an Arrow batch, again being 1 for repeats of an earlier row of it."""
+    x = x[np.lexsort((x[:, 4], x[:, 3], x[:, 2], x[:, 1], x[:, 0]))]
+    new = np.concatenate([[True], (x[1:, :2] != x[:-1, :2]).any(1)])[: len(x)]
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+    again = ~new & (x[:, 2:5] != x[lead, 2:5]).any(1)
+    return pa.RecordBatch.from_arrays([pa.array(again.astype(np.int64)), *(pa.array(x[:, k]) for k in range(6))], names=["again", "h", "sh", "ord", "th", "a", "z"])
+
+
 def segments(rows: DataFrame, piece: int = PIECE) -> DataFrame:
     """Segments (anchor hash, own hash, ord, th, first and last window) of rows ord, th, text.
 
@@ -111,12 +121,7 @@ def segments(rows: DataFrame, piece: int = PIECE) -> DataFrame:
                     stop += 1
                 i, a, z, h, sh = segments_of(parts[done:stop])
                 own, off = np.array(owner[done:stop], np.int64)[i], np.array(base[done:stop], np.int64)[i]
-                x = np.column_stack([h, sh, ids[0][own], ids[1][own], a + off, z + off])
-                x = x[np.lexsort((x[:, 4], x[:, 3], x[:, 2], x[:, 1], x[:, 0]))]
-                new = np.concatenate([[True], (x[1:, :2] != x[:-1, :2]).any(1)])[: len(x)]
-                lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-                again = ~new & (x[:, 2:5] != x[lead, 2:5]).any(1)
-                yield pa.RecordBatch.from_arrays([pa.array(again.astype(np.int64)), *(pa.array(x[:, k]) for k in range(6))], names=["again", "h", "sh", "ord", "th", "a", "z"])
+                yield _flagged(np.column_stack([h, sh, ids[0][own], ids[1][own], a + off, z + off]))
                 done = stop
 
     return rows.mapInArrow(work, _SEGMENT)
@@ -309,14 +314,13 @@ def merged_repeats(cut: DataFrame, block: int = BLOCK) -> DataFrame:
     return cut.repartition("h").sortWithinPartitions("h").mapInArrow(work, "ord long, th long, a long, z long")
 
 
-def removed_bytes(docs: DataFrame) -> DataFrame:
-    """(ord, th, ranges) for rows that lose bytes: runs of windows that start earlier elsewhere, unordered.
+def with_text(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """(ord, th, text, asked) of the rows that segments h, ord, th, a, z are in."""
+    return rows.join(asked.groupBy("ord", "th").agg(F.collect_list(F.struct("h", "a", "z")).alias("asked")), ["ord", "th"]).select("ord", "th", "text", "asked")
 
-    ord is the doc_id (null: last), th the XXH64 of the text; together they name a row, and rows alike in both are one.
-    """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("ord"), F.xxhash64(text_of()).alias("th"), text_of().alias("text"))
-    judged = materialize(judged_segments(segments(rows)), "segments")
-    asked = judged.filter(~F.col("repeat")).groupBy("ord", "th").agg(F.collect_list(F.struct("h", "a", "z")).alias("asked"))
+
+def pieces_of(fetched: DataFrame) -> DataFrame:
+    """(h, ord, th, a, piece): the bytes of segments."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slim_batches(batches, "text"):
@@ -328,9 +332,48 @@ def removed_bytes(docs: DataFrame) -> DataFrame:
                         x.append(y)
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], pa.binary())], names=["h", "ord", "th", "a", "piece"])
 
-    fetched = rows.join(asked, ["ord", "th"]).select("ord", "th", "text", "asked").mapInArrow(cut, "h long, ord long, th long, a long, piece binary")
-    fine = merged_repeats(fetched)
-    every = judged.filter("repeat").select("ord", "th", "a", "z").unionByName(fine)
+    return fetched.mapInArrow(cut, "h long, ord long, th long, a long, piece binary")
+
+
+def windows_of(fetched: DataFrame) -> DataFrame:
+    """Each window of segments as a segment of its own: h, a hash of its bytes, ord, th, its place twice."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slim_batches(batches, "text"):
+            out = []
+            for ord_, th, text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+                pow_, inv = _powers_to(len(b) + 1)
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[b] * pow_[: len(b)], dtype=np.uint64)])
+                for s in asked:
+                    at = np.arange(s["a"], s["z"] + 1)
+                    own = ((sums[at + LENGTH] - sums[at]) * inv[at]).view(np.int64)
+                    out.append(np.column_stack([np.full(len(at), s["h"]), own, np.full(len(at), ord_), np.full(len(at), th), at, at]))
+            if out:
+                yield _flagged(np.concatenate(out))
+
+    return fetched.mapInArrow(cut, _SEGMENT)
+
+
+def removed_bytes(docs: DataFrame, most: int = KIND_ROWS) -> DataFrame:
+    """(ord, th, ranges) for rows that lose bytes: runs of windows that start earlier elsewhere, unordered.
+
+    Kinds of segments of one anchor are merged in one task; of anchors with over most kinds, each window is a segment of
+    its own instead, judged in sorted runs as the whole segments are, so no anchor is too much for a task.
+
+    ord is the doc_id (null: last), th the XXH64 of the text; together they name a row, and rows alike in both are one.
+    """
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("ord"), F.xxhash64(text_of()).alias("th"), text_of().alias("text"))
+    judged = materialize(judged_segments(segments(rows)), "segments")
+    asked = judged.filter(~F.col("repeat")).select("h", "ord", "th", "a", "z")
+    often = materialize(asked.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("h"), "often")
+    every = judged.filter("repeat").select("ord", "th", "a", "z")
+    if not often.isEmpty():
+        hot = windows_of(with_text(asked.join(often, "h", "left_semi"), rows))
+        every = every.unionByName(judged_segments(hot).filter("repeat").select("ord", "th", "a", "z"))
+        asked = asked.join(often, "h", "left_anti")
+    fine = merged_repeats(pieces_of(with_text(asked, rows)))
+    every = every.unionByName(fine)
     return every.groupBy("ord", "th").agg(F.collect_list(F.struct("a", "z")).alias("ranges"))
 
 

@@ -87,3 +87,13 @@ def test_pieces_of_long_documents(spark, monkeypatch):
     for d, t in rows:
         windows = sorted(w for x in parts if x["ord"] == d for w in range(x["a"], x["z"] + 1))
         assert windows == list(range(len(t) - 99))
+
+
+def test_anchors_of_many_kinds_lose_nothing(spark):
+    r = random.Random(12)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    shared = word(150)
+    rows = [(i, word(r.randint(0, 60)) + shared[r.randint(0, 30) :] + word(r.randint(0, 60))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    few, many = ({(x["ord"], w) for x in S.removed_bytes(df, most).collect() for y in x["ranges"] for w in range(y["a"], y["z"] + 1)} for most in (2, 8192))
+    assert few == many and few
