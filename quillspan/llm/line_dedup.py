@@ -41,6 +41,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     # No exchange: a (hash, document) pair lies in one range. The rows per hash are counted before they meet.
     per_doc = lines.groupBy(*_H, "doc_id").agg(F.count(F.lit(1)).alias("__n"))
     owners = per_doc.groupBy(*_H).agg(F.count(F.lit(1)).alias("__docs"), F.max("doc_id").alias("__owner")).filter(F.col("__docs") >= min_docs)
+    # A table of its own has a known size: a small one is broadcast, beyond that AQE splits the lines of a hot hash.
+    owners = materialize(owners, "owners")
     dropped = lines.join(owners, list(_H)).filter(~F.col("doc_id").eqNullSafe(F.col("__owner")))
     words = dropped.groupBy("doc_id", "__text", F.floor(F.col("__pos") / 64).cast("int").alias("__w")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(__pos % 64 as int))")).alias("__bits")
