@@ -71,7 +71,7 @@ def fit(texts: list[str], labels: list[int], pairing: float = 1.0, l2: float = 0
         p = (y.sum() + 1) / (len(y) + 2)
         return Model({}, float(np.log(p / (1 - p))))
     ids: dict[str, int] = {}
-    rows = [np.fromiter((ids.setdefault(f, len(ids)) for f in sorted(features_of(words_of(t)))), np.int64) for t in texts]
+    rows = [np.fromiter((ids.setdefault(f, len(ids)) for f in sorted(features_of(words_of(t)))), np.int32) for t in texts]
     n, pos = len(y), y.sum()
     every, row = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
     k, hits = np.bincount(every, minlength=len(ids)), np.bincount(every, y[row], len(ids))
