@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import stored
 
 RRF_K, BM25_K1, BM25_B, BM25_EPSILON = 60, 1.5, 0.75, 0.25
 #: Queries that one pass looks for: what is sent to executors is at most so many vectors.
@@ -22,11 +23,13 @@ def vector_topk(queries: DataFrame, rows: DataFrame, k: int, block: int = QUERY_
     Each partition keeps k rows for each query, so what is shuffled doesn't grow with its rows; queries go out in blocks.
     Rows without a vector are left out; equal scores go by id.
     """
-    every = [(r["query_id"], r["vector"]) for r in queries.filter(F.col("vector").isNotNull()).collect()]  # the stated query set
-    parts = None
-    for at in range(0, max(1, len(every)), block):
-        names = np.array([q for q, _ in every[at : at + block]], np.int64)
-        q = np.array([v for _, v in every[at : at + block]], np.float64)
+    asked = queries.filter(F.col("vector").isNotNull()).select(F.col("query_id").cast("long"), "vector")
+    blocks, parts = max(1, -(-asked.count() // block)), None
+    for b in range(blocks):
+        # One block of queries is on the driver at a time; with several, each block's result is a table.
+        own = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        names = np.array([r["query_id"] for r in own], np.int64)
+        q = np.array([r["vector"] for r in own], np.float64)
         q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30) if len(q) else q
 
         def search(batches: Iterator[pa.RecordBatch], q: np.ndarray = q, names: np.ndarray = names) -> Iterator[pa.RecordBatch]:
@@ -45,6 +48,7 @@ def vector_topk(queries: DataFrame, rows: DataFrame, k: int, block: int = QUERY_
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(best_i.ravel()), pa.array(best_s.ravel())], names=["query_id", "id", "score"])
 
         found = rows.filter(F.col("vector").isNotNull()).select(F.col("id").cast("long"), "vector").mapInArrow(search, "query_id long, id long, score double")
+        found = stored(found, "topk") if blocks > 1 else found
         parts = found if parts is None else parts.unionByName(found)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return parts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
