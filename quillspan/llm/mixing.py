@@ -13,6 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +60,16 @@ def plan(sized: DataFrame) -> Plan:
     return Plan([r.source for r in rows], [int(r["size"]) for r in rows], targets([int(r["size"]) for r in rows]))
 
 
+def source_table(spark: SparkSession, p: Plan, block: int = BLOCK) -> DataFrame:
+    """(__source, name, source_size, target, quota): a row for each source, joined where needed, however many there are.
+
+    The quota is the target in whole blocks.
+    """
+    quota = [min(CAP * -(-s // block), round(t / block)) for s, t in zip(p.size, p.target, strict=True)]
+    columns = [pa.array(range(len(p.source)), pa.int32()), pa.array(p.source, pa.string()), pa.array(p.size, pa.int64()), pa.array(p.target, pa.float64()), pa.array(quota, pa.int64())]
+    return spark.createDataFrame(pa.table(columns, names=["__source", "name", "source_size", "target", "quota"]))
+
+
 def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     """A pseudorandom permutation of 0..n-1: a four-round Feistel network on the least even number of bits, walked on
     until it falls below n."""
@@ -117,10 +128,9 @@ def draw_slots(spark: SparkSession, p: Plan, block: int = BLOCK, shard: int = SH
     drawn = spark.range(shards if total else 0).mapInPandas(counts, "shard long, __source int, n long")
     # Slots of a source are numbered through the shards: a running sum over one row for each shard.
     before = Window.partitionBy("__source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    limit = F.element_at(F.array(*[F.lit(int(q)).cast("long") for q in quota or [0]]), F.col("__source") + 1)
     first = F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long")
-    end = F.when(F.col("shard") == shards - 1, limit).otherwise(F.least(F.col("first") + F.col("n"), limit))
-    ranges = drawn.withColumn("first", first).withColumn("end", end).filter("end > first")
+    end = F.when(F.col("shard") == shards - 1, F.col("quota")).otherwise(F.least(F.col("first") + F.col("n"), F.col("quota")))
+    ranges = drawn.withColumn("first", first).join(source_table(spark, p, block).select("__source", "quota"), "__source").withColumn("end", end).filter("end > first")
     # Wide ranges are dealt out before they become slots.
     cut = "transform(sequence(first, end - 1, 4096L), x -> named_struct('a', x, 'b', least(x + 4096L, end)))"
     pieces = ranges.select("shard", "__source", F.explode(F.expr(cut)).alias("r"))
@@ -156,7 +166,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEE
     spark = docs.sparkSession
     sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(text_of()).alias("__text")), "sizes")
     p = plan(sized)
-    names = spark.createDataFrame(list(enumerate(p.source)), "__source int, __name string")  # a row for each source
+    names = source_table(spark, p, block).select("__source", F.col("name").alias("__name"))
     placed = sized.join(names, F.col("source").eqNullSafe(F.col("__name"))).drop("__name")
     rows = materialize(stream_positions(placed), "positions")
     last = F.col("__start") + F.col("size") - 1
@@ -176,8 +186,8 @@ def taken_words(m: Mix) -> DataFrame:
 def mixture(docs: DataFrame) -> DataFrame:
     """One row for each document: doc_id, size, source_size, target (its source's) and taken."""
     m = mix(docs)
-    pick = lambda values, kind: F.element_at(F.array(*[F.lit(v).cast(kind) for v in values] or [F.lit(0).cast(kind)]), F.col("__source") + 1)
-    return taken_words(m).select("doc_id", "size", pick(m.plan.size, "long").alias("source_size"), pick(m.plan.target, "double").alias("target"), "taken")
+    shares = source_table(docs.sparkSession, m.plan).select("__source", "source_size", "target")
+    return taken_words(m).join(shares, "__source").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
