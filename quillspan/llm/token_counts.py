@@ -11,6 +11,7 @@ import os
 from bisect import bisect_left
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,8 +47,11 @@ class Encoder:
 
     def pieces(self, text: str) -> list[tuple[int, int, int]]:
         if self.model:
-            proto = self.t.encode(text, out_type="immutable_proto")
-            return [(p.begin, p.end, p.id) for p in proto.pieces]
+            proto = self.t.encode(text, return_type="proto")
+            # Its offsets are bytes: count the code points that begin before each.
+            data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+            point = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+            return [(int(point[p.begin]), int(point[p.end]), p.id) for p in proto.pieces]
         e = self.t.encode(text, add_special_tokens=False)
         return [(a, b, i) for (a, b), i in zip(e.offsets, e.ids, strict=True)]
 
