@@ -21,10 +21,10 @@ from .common import map_texts, materialize, table
 from .components import connected
 
 BITS, TAU, SHINGLE, SEED = 64, 2, 3, 42
-#: Work of shuffling one row for a probe, in comparisons of two fingerprints.
-PROBE_COST = 20.0
+#: Work of shuffling one row for a probe, some microseconds, in comparisons of two fingerprints, some nanoseconds each.
+PROBE_COST = 200.0
 #: Rows of one key of a partition that are compared in one task; larger keys are dealt by further bits first.
-KEY_ROWS = 2048
+KEY_ROWS = 1 << 14
 _PIECE = 1 << 15
 
 
@@ -195,17 +195,17 @@ def within(tau: int) -> Linked:
 
 def forest(rows: np.ndarray, linked: Linked) -> list[tuple[int, int]]:
     """Places of links that connect what all links among the rows connect: fewer than rows, none twice."""
-    left, out = np.arange(len(rows)), []
+    left, pool, out = np.arange(len(rows)), rows, []
     while len(left) > 1:
-        queue, left = [int(left[0])], left[1:]
+        queue, left, pool = [int(left[0])], left[1:], pool[1:]
         while queue and len(left):
             u = queue.pop()
-            near = linked(rows[left], rows[u])
+            near = linked(pool, rows[u])
             if near.any():
                 new = left[near].tolist()
                 out += [(u, v) for v in new]
                 queue += new
-                left = left[~near]
+                left, pool = left[~near], pool[~near]
     return out
 
 
