@@ -1,14 +1,15 @@
-"""Near-dedup of texts: SimHash finds candidates, exact shingle sets verify them, one document of each group stays.
+"""Near-dedup of texts: candidates are verified by exact shingle sets, one document of each group stays.
 
-Exact copies are one text. Each text has two independent fingerprints of its word pairs. Texts are linked as candidates
-when either differs in few bits, the other doesn't speak against it, and their sizes allow the likeness: what one misses
-by chance, the other finds. Links are then verified by the Jaccard likeness of their five-word shingles, within blocks of
-bounded size of each candidate group.
+Exact copies are one text. SimHash links early what is plainly alike: each text has two fingerprints of its word pairs,
+and links of near fingerprints are verified in blocks of bounded size. A prefix-filter join over all distinct texts then
+finds every pair of the likeness that those links do not connect yet: two such texts share one of their rarest five-word
+shingles, whatever the edits between them. These pairs are verified one by one.
 """
 
 from __future__ import annotations
 
-
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,10 @@ SHINGLE, LIKENESS = 5, 0.8
 FEATURE, TAU, TAU_SECOND = 2, 7, 14
 #: Texts and shingles that are compared in one task at a time.
 BLOCK_TEXTS, BLOCK_SHINGLES = 128, 1 << 22
+#: Texts sampled for the order of shingles, the least count and the number of shingles that the order tells apart.
+ORDER_TEXTS, ORDER_LEAST, ORDER_MOST = 1 << 13, 3, 1 << 16
+#: Bytes of a shingle's key in the join; rows of a key that one task pairs, more are dealt to pairs of blocks.
+KEY_BYTES, KEY_ROWS = 5, 1024
 
 
 def shingle_set(text: str, n: int = SHINGLE) -> np.ndarray:
@@ -42,16 +47,55 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def marks_of(docs: DataFrame) -> DataFrame:
-    """doc_id, __th (the text's hash), fp, fp2 and size (words) of each row."""
+class Order(NamedTuple):
+    """Counts of frequent shingles in a sample. Any order that all texts share finds all pairs; rarest first, fewer others."""
+
+    shingles: np.ndarray  # sorted
+    counts: np.ndarray
+
+
+def shingle_order(docs: DataFrame) -> Order:
+    texts = docs.select(text_of().alias("text")).withColumn("__th", F.xxhash64("text"))
+    share = round((1 << 20) * min(1.0, ORDER_TEXTS / max(1, docs.count())))
+    sample = texts.filter(F.pmod("__th", F.lit(1 << 20)) < share).dropDuplicates(["__th"])
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t).view(np.int64))], names=["h"])
+
+    counted = sample.select("text").mapInArrow(shingles, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= ORDER_LEAST)
+    rows = counted.orderBy(F.desc("n"), "h").limit(ORDER_MOST).collect()
+    h = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
+    at = np.argsort(h)
+    return Order(h[at], np.array([r["n"] for r in rows], np.int64)[at])
+
+
+def prefix_of(shingles: np.ndarray, order: Order) -> bytes:
+    """The keys of the rarest shingles, in order: a set of the likeness has one of them among its own. Of no shingles: a key 0."""
+    if not len(shingles):
+        return bytes(KEY_BYTES)
+    wanted = len(shingles) - int(np.ceil(LIKENESS * len(shingles) - 1e-9)) + 1
+    if len(order.shingles):
+        place = np.minimum(np.searchsorted(order.shingles, shingles), len(order.shingles) - 1)
+        rank = np.where(order.shingles[place] == shingles, order.counts[place], 0)
+        shingles = shingles[np.argsort(rank, kind="stable")]
+    keys = shingles[:wanted] >> np.uint64(64 - 8 * KEY_BYTES)
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def marks_of(docs: DataFrame, order: Order) -> DataFrame:
+    """doc_id, __th (the text's hash), fp, fp2, size (distinct shingles) and prefix of each row."""
 
     def mark(texts: list[str]) -> list[pa.Array]:
         fp = [simhash.fingerprint(t, FEATURE) for t in texts]
         fp2 = [simhash.fingerprint(t, FEATURE, 43) for t in texts]
-        return [pa.array(fp, pa.int64()), pa.array(fp2, pa.int64()), pa.array([len(t.encode("utf-8", "surrogatepass").split()) for t in texts], pa.int64())]
+        sets = [shingle_set(t) for t in texts]
+        return [pa.array(fp, pa.int64()), pa.array(fp2, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([prefix_of(x, order) for x in sets], pa.binary())]
 
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("__th"), F.col("text").alias("text"))
-    return map_texts(rows, mark, {"fp": ("long", pa.int64()), "fp2": ("long", pa.int64()), "size": ("long", pa.int64())}, keep=["doc_id", "__th"])
+    made = {"fp": ("long", pa.int64()), "fp2": ("long", pa.int64()), "size": ("long", pa.int64()), "prefix": ("binary", pa.binary())}
+    return map_texts(rows, mark, made, keep=["doc_id", "__th"])
 
 
 def candidate_rule(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -59,7 +103,7 @@ def candidate_rule(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     near = np.bitwise_count((a[..., 0] ^ b[..., 0]).view(np.uint64)) <= TAU
     near &= np.bitwise_count((a[..., 1] ^ b[..., 1]).view(np.uint64)) <= TAU_SECOND
     small, large = np.minimum(a[..., 2], b[..., 2]), np.maximum(a[..., 2], b[..., 2])
-    return near & (small >= 0.7 * large - SHINGLE)  # repeated shingles count once in the likeness, so not quite LIKENESS
+    return near & (small >= LIKENESS * large - 1e-9)
 
 
 def joined_in_block(texts: list[str], names: list[int], least: float = LIKENESS) -> list[tuple[int, int]]:
@@ -88,7 +132,8 @@ def verify(members: DataFrame, texts: DataFrame) -> DataFrame:
 
     Groups of over a block are dealt by hash; each round, a block's texts are replaced by the leaders of what verified
     links connect in it, and those are dealt anew, until each group is one block or no round connects more. In groups of
-    several blocks, a link between two texts that lead nothing can so be lost; in all others none is.
+    several blocks, a link between two texts that lead nothing can so be lost here; prefix_pairs() finds it, for its texts
+    have different roots.
     """
     rounds, links, left = 0, None, members
     while True:
@@ -112,30 +157,173 @@ def verify(members: DataFrame, texts: DataFrame) -> DataFrame:
         left = materialize(leaders.join(members.select("__th", "size"), "__th"), "leaders")
 
 
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Columns th, root, size, place of the shared shingle: are the texts not connected yet, and may they be alike?"""
+    small, large = np.minimum(a[..., 2], b[..., 2]), np.maximum(a[..., 2], b[..., 2])
+    both = np.minimum(a[..., 3], b[..., 3]) + 1 + np.minimum(a[..., 2] - a[..., 3], b[..., 2] - b[..., 3]) - 1
+    least = LIKENESS / (1 + LIKENESS) * (small + large)
+    return (a[..., 1] != b[..., 1]) & (small >= LIKENESS * large - 1e-9) & (both >= least - 1e-6)
+
+
+def pairs_of_run(rows: np.ndarray, others: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """(u, v) of rows that may be alike, among rows or between them and others."""
+    for i in range(len(rows)):
+        pool = rows[i + 1 :] if others is None else others
+        near = pool[alike(pool, rows[i]), 0]
+        if len(near):
+            yield np.column_stack([np.full(len(near), rows[i, 0]), near])
+
+
+def pairs_of_keys(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the rows (key, th, root, size, place), sorted by key; and the rows of keys of over KEY_ROWS."""
+    edge = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0], [True]]))
+    sizes, out, hot, own = np.diff(edge), [np.zeros((0, 2), np.int64)], [rows[:0]], np.ascontiguousarray(rows[:, 1:])
+    for s in np.unique(sizes):
+        starts = edge[:-1][sizes == s]
+        if s == 1:
+            continue
+        if s > 32:
+            for a in starts.tolist():
+                if s > KEY_ROWS:
+                    hot.append(rows[a : a + s])
+                elif (own[a : a + s, 1] != own[a, 1]).any():
+                    out += pairs_of_run(own[a : a + s])
+            continue
+        i, j = np.triu_indices(s, 1)
+        for part in np.array_split(starts, max(1, len(starts) * len(i) >> 18)):
+            g, k = np.nonzero(alike(own[part[:, None] + i], own[part[:, None] + j]))
+            out.append(np.column_stack([own[part[g] + i[k], 0], own[part[g] + j[k], 0]]))
+    return np.concatenate(out), np.concatenate(hot)
+
+
+def prefix_pairs(texts: DataFrame) -> DataFrame:
+    """(u, v), u < v: every pair of texts of the likeness whose roots differ is among them. texts: __th, root, size, prefix."""
+    columns = ["key", "th", "root", "size", "place"]
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            th, root, size = (batch.column(i).to_numpy() for i in range(3))
+            found = batch.column(3).to_pylist()
+            for a in range(0, len(found), 256):
+                n = np.array([len(x) // KEY_BYTES for x in found[a : a + 256]])
+                keys = np.zeros((n.sum(), 8), np.uint8)
+                keys[:, :KEY_BYTES] = np.frombuffer(b"".join(found[a : a + 256]), np.uint8).reshape(-1, KEY_BYTES)
+                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                made = [keys.view("<i8").ravel(), *(np.repeat(x[a : a + 256], n) for x in (th, root, size)), place]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=columns)
+
+    def packed(pairs: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+        both = np.zeros((len(pairs) + len(hot), 6), np.int64)
+        both[: len(pairs), 1], both[: len(pairs), 2] = pairs.min(1, initial=np.iinfo(np.int64).max), pairs.max(1, initial=np.iinfo(np.int64).min)
+        both[len(pairs) :, 0], both[len(pairs) :, 1:] = 1, hot
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, i])) for i in range(6)], names=["hot", *columns])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none, held, passed = np.zeros((0, 2), np.int64), np.zeros((0, 5), np.int64), None
+        for batch in batches:
+            rows = np.concatenate([held, np.column_stack([c.to_numpy() for c in batch.columns])])
+            if passed is not None and len(rows):
+                on = int(np.searchsorted(rows[:, 0], passed, "right"))
+                yield packed(none, rows[:on])
+                rows = rows[on:]
+            if not len(rows):
+                held = rows
+                continue
+            cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+            yield packed(*pairs_of_keys(rows[:cut]))
+            held, passed = rows[cut:], None
+            if len(held) > KEY_ROWS:
+                yield packed(none, held)
+                held, passed = held[:0], held[0, 0]
+        yield packed(*pairs_of_keys(held))
+
+    rows = texts.select("__th", "root", "size", "prefix").mapInArrow(explode, ", ".join(f"{c} long" for c in columns))
+    runs = rows.repartition("key").sortWithinPartitions("key")
+    found = materialize(runs.mapInArrow(work, "hot long, " + ", ".join(f"{c} long" for c in columns)), "prefixes")
+    # Rows of frequent shingles: every block of a key's rows meets every other in a task of their own.
+    hot = found.filter("hot = 1").select(*columns)
+    load = hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / KEY_ROWS).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("th"), F.col("blocks")).cast("int")
+    dealt = hot.join(load, "key").withColumn("block", block).withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select(*columns, "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+
+    def cell(frame: pd.DataFrame) -> pd.DataFrame:
+        own, first = frame[columns[1:]].to_numpy(), (frame["block"] == frame["i"]).to_numpy()
+        made = np.concatenate([np.zeros((0, 2), np.int64), *pairs_of_run(own[first], None if first.all() and frame["i"].iloc[0] == frame["j"].iloc[0] else own[~first])])
+        return pd.DataFrame({"u": np.minimum(made[:, 0], made[:, 1]), "v": np.maximum(made[:, 0], made[:, 1])})
+
+    pairs = found.filter("hot = 0").select(F.col("key").alias("u"), F.col("th").alias("v"))
+    return pairs.unionByName(dealt.groupBy("key", "i", "j").applyInPandas(cell, "u long, v long")).distinct()
+
+
+def verify_pairs(pairs: DataFrame, texts: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(u, v): the pairs of the likeness, or as many as connect what they connect. texts: __th, size; bodies: __th, text.
+
+    The texts of a group of candidates are dealt into blocks; a task compares the pairs between two blocks.
+    """
+    stars = connected(pairs)
+    members = stars.select(F.col("u").alias("__th"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("__th"), F.col("v").alias("root")).distinct())
+    members = materialize(members.join(texts.select("__th", "size"), "__th"), "pair-members")
+    load = members.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
+    placed = members.join(load, "root").select("__th", "root", F.pmod(F.xxhash64("__th"), F.greatest("blocks", F.lit(1))).alias("block"))
+    at_u = placed.select(F.col("__th").alias("u"), "root", F.col("block").alias("bu"))
+    at_v = placed.select(F.col("__th").alias("v"), F.col("block").alias("bv"))
+    cells = pairs.join(at_u, "u").join(at_v, "v").select("root", F.least("bu", "bv").alias("i"), F.greatest("bu", "bv").alias("j"), "u", "v")
+    cells = materialize(cells, "cells")
+    ends = [cells.select(F.col("root").alias("at"), F.col("i").alias("k"), F.col("j").alias("l"), F.col(c).alias("__th")) for c in ("u", "v")]
+    held = ends[0].unionByName(ends[1]).distinct().join(bodies, "__th")
+
+    def work(links: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        sets = {t: shingle_set(x) for t, x in zip(own["__th"], own["text"], strict=True)}
+        root = {t: t for t in sets}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        out = []
+        for u, v in zip(links["u"], links["v"], strict=True):
+            a, b = find(u), find(v)
+            if a != b and likeness(sets[u], sets[v]) >= LIKENESS:
+                root[max(a, b)] = min(a, b)
+                out.append((u, v))
+        return pd.DataFrame({"u": [u for u, _ in out], "v": [v for _, v in out]}, dtype="int64")
+
+    both = cells.groupBy("root", "i", "j").cogroup(held.groupBy("at", "k", "l"))
+    return both.applyInPandas(work, "u long, v long")
+
+
+def bodies_of(wanted: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """__th and text of the wanted __th: that of the row of its least id, any of equal ones."""
+    held = docs.select(F.col("doc_id").alias("__id"), F.xxhash64(text_of()).alias("__h"), text_of().alias("text"))
+    least = wanted.select("__th").join(texts.select("__th", "least"), "__th")
+    found = least.join(held, (F.col("__th") == F.col("__h")) & F.col("least").eqNullSafe(F.col("__id")))
+    return materialize(found.select("__th", "text").dropDuplicates(["__th"]), "bodies")
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs less near-duplicates: of each group of documents connected by likeness, the least doc_id stays.
 
     Null and empty texts are equal texts. A null doc_id stays only where its group has no other; of repeated rows (same
     doc_id and text) one stays. Columns stay as they are, whatever their names. An empty table gives an empty one.
     """
-    marks = materialize(marks_of(docs), "marks")
-    texts = materialize(marks.groupBy("__th").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in ("fp", "fp2", "size")]), "texts")
-    n, links = texts.count(), None
-    for first, second in (("fp", "fp2"), ("fp2", "fp")):
-        nodes = texts.select(F.col(first).alias("fp"), F.col(second).alias("fp2"), "size", "__th")
-        layout = simhash.choose_layout(nodes.select("fp").distinct(), n, TAU)
-        dealt = simhash.deal_hot_keys(simhash.probe_rows(nodes, layout), layout, TAU)
-        found = materialize(simhash.verified_links(dealt, candidate_rule, "__th"), "candidates")
-        links = found if links is None else links.unionByName(found)
-    stars = connected(links)
+    marks = materialize(marks_of(docs, shingle_order(docs)), "marks")
+    firsts = [F.min(c).alias(c) for c in ("fp", "fp2", "size")]
+    texts = materialize(marks.groupBy("__th").agg(F.min("doc_id").alias("least"), *firsts, F.first("prefix").alias("prefix")), "texts")
+    nodes = texts.select("fp", "fp2", "size", "__th")
+    layout = simhash.choose_layout(nodes.select("fp").distinct(), texts.count(), TAU)
+    dealt = simhash.deal_hot_keys(simhash.probe_rows(nodes, layout), layout, TAU)
+    stars = connected(simhash.verified_links(dealt, candidate_rule, "__th"))
     members = stars.select(F.col("u").alias("__th"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("__th"), F.col("v").alias("root")).distinct())
     members = materialize(members.join(texts.select("__th", "size"), "__th"), "members")
-    # One row for each text of a candidate group: that of its least id, any of equal ones.
-    wanted = members.select("__th").join(texts.select("__th", "least"), "__th")
-    held = docs.select(F.col("doc_id").alias("__id"), F.xxhash64(text_of()).alias("__h"), text_of().alias("text"))
-    bodies = wanted.join(held, (F.col("__th") == F.col("__h")) & F.col("least").eqNullSafe(F.col("__id"))).select("__th", "text").dropDuplicates(["__th"])
-    bodies = materialize(bodies, "bodies")
-    groups = connected(verify(members, bodies))
+    links = verify(members, bodies_of(members, texts, docs))
+    early = connected(links).select(F.col("u").alias("__th"), F.col("v").alias("root"))
+    rooted = texts.join(early, "__th", "left").withColumn("root", F.coalesce("root", "__th"))
+    pairs = materialize(prefix_pairs(rooted), "pairs")
+    ends = pairs.select(F.col("u").alias("__th")).unionByName(pairs.select(F.col("v").alias("__th"))).distinct()
+    groups = connected(links.unionByName(verify_pairs(pairs, texts, bodies_of(ends, texts, docs))))
     named = texts.join(groups.select(F.col("u").alias("__th"), F.col("v").alias("root")), "__th", "left").withColumn("root", F.coalesce("root", "__th"))
     first = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), F.col("__th").alias("th")))
     stay = named.groupBy("root").agg(first.alias("first")).select(F.col("first.id").alias("__id"), F.col("first.th").alias("__t"))

@@ -36,3 +36,42 @@ def test_edge_rows(spark):
     assert out.columns == df.columns
     assert sorted((str(r.doc_id), (r.text or "")[:5]) for r in out.collect()) == [("2", ""), ("3", "one t"), ("9", "z z z"), ("None", "alone")]
     assert N.drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def groups_by_brute_force(texts):
+    sets, root = [N.shingle_set(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = root[i], root[j]
+            if a != b and N.likeness(sets[i], sets[j]) >= 0.8:
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return {i for i, r in enumerate(root) if i == r}
+
+
+def edited(r, words, kind, share):
+    n = max(1, int(share * len(words)))
+    new = [f"n{r.randrange(10**9)}" for _ in range(n)]
+    at = r.randrange(len(words) - n)
+    if kind == "block":
+        return words[:at] + new + words[at + n :]
+    if kind == "append":
+        return words + new
+    if kind == "repeat":
+        return words * 2
+    out = list(words)
+    for i in r.sample(range(len(words)), max(1, n // 5)):
+        out[i] = f"n{r.randrange(10**9)}"
+    return out
+
+
+def test_all_pairs_of_the_likeness_are_found(spark):
+    r, texts = random.Random(5), []
+    for k in range(160):
+        words = [f"w{r.randrange(10**6)}" for _ in range(r.randrange(60, 300))]
+        kind = ("block", "append", "repeat", "scattered")[k % 4]
+        share = r.choice([0.07, 0.085, 0.095]) if kind == "block" else 0.2
+        texts += [" ".join(words), " ".join(edited(r, words, kind, share))]
+    want = groups_by_brute_force(texts)
+    assert len(want) < 0.7 * len(texts)
+    out = N.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {x.doc_id for x in out.collect()} == want
