@@ -75,3 +75,37 @@ def test_all_pairs_of_the_likeness_are_found(spark):
     assert len(want) < 0.7 * len(texts)
     out = N.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert {x.doc_id for x in out.collect()} == want
+
+
+def test_links_in_large_candidate_groups_are_kept(spark):
+    r, texts, twins = random.Random(9), [], set()
+
+    def new():
+        return f"w{r.randrange(10**9)}"
+
+    for _ in range(6):  # one word-pair neighbourhood, likeness about 0.66, and one true pair in it
+        base = [new() for _ in range(400)]
+        for _ in range(150):
+            words = list(base)
+            for i in r.sample(range(400), 8):
+                words[i] = new()
+            texts.append(" ".join(words))
+        twins.add(len(texts))
+        texts.append(texts[-1] + " " + new())
+    words = [new() for _ in range(400)]  # a chain: each text is like the one before alone
+    first = len(texts)
+    for _ in range(150):
+        texts.append(" ".join(words))
+        for i in r.sample(range(400), 7):
+            words[i] = new()
+    out = N.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {x.doc_id for x in out.collect()} == set(range(first + 1)) - twins
+
+
+def test_frequent_shingles_lose_no_pair(spark):
+    common = " ".join(f"c{i}" for i in range(14))
+    order = N.Order(N.shingle_set(""), N.shingle_set("").astype("int64"))
+    sets = [N.shingle_set(f"{common} x{i}") for i in range(N.KEY_ROWS + 100)]
+    rows = [(i, i, len(s), N.prefix_of(s, order)) for i, s in enumerate(sets)]
+    found = N.prefix_pairs(spark.createDataFrame(rows, "__th long, root long, size long, prefix binary"))
+    assert found.count() == len(rows) * (len(rows) - 1) // 2
