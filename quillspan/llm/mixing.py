@@ -22,6 +22,8 @@ from .common import WORD, materialize, table, text_of
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
 #: Words in a block; slots in a shard, more where there would be over MAX_SHARDS; slices of a source for its running sums.
 BLOCK, SHARD, MAX_SHARDS, SLICES, SEED = 128, 4096, 1 << 16, 1024, 20240
+#: Blocks of a source that is taken in part: small sources have shorter blocks.
+LEAST_BLOCKS = 64
 
 
 class Plan(NamedTuple):
@@ -60,14 +62,22 @@ def plan(sized: DataFrame) -> Plan:
     return Plan([r.source for r in rows], [int(r["size"]) for r in rows], targets([int(r["size"]) for r in rows]))
 
 
-def source_table(spark: SparkSession, p: Plan, block: int = BLOCK) -> DataFrame:
-    """(__source, name, source_size, target, quota): a row for each source, joined where needed, however many there are.
+def shares(p: Plan, block: int = BLOCK) -> tuple[list[int], list[int], list[int]]:
+    """Of each source: words in its blocks, how many blocks it has, and its quota, the target in blocks of their mean size.
 
-    The quota is the target in whole blocks.
+    A source that is taken whole as often as may be needs no other blocks than the rest, however small it is.
     """
-    quota = [min(CAP * -(-s // block), round(t / block)) for s, t in zip(p.size, p.target, strict=True)]
-    columns = [pa.array(range(len(p.source)), pa.int32()), pa.array(p.source, pa.string()), pa.array(p.size, pa.int64()), pa.array(p.target, pa.float64()), pa.array(quota, pa.int64())]
-    return spark.createDataFrame(pa.table(columns, names=["__source", "name", "source_size", "target", "quota"]))
+    length = [block if t >= CAP * s - 1e-9 else max(1, min(block, s // LEAST_BLOCKS)) for s, t in zip(p.size, p.target, strict=True)]
+    blocks = [-(-s // n) for s, n in zip(p.size, length, strict=True)]
+    quota = [min(CAP * n, round(t * n / max(1, s))) for s, t, n in zip(p.size, p.target, blocks, strict=True)]
+    return length, blocks, quota
+
+
+def source_table(spark: SparkSession, p: Plan, block: int = BLOCK) -> DataFrame:
+    """(__source, name, source_size, target, length, quota): a row for each source, joined where needed, however many there are."""
+    length, _, quota = shares(p, block)
+    columns = [pa.array(range(len(p.source)), pa.int32()), pa.array(p.source, pa.string()), pa.array(p.size, pa.int64()), pa.array(p.target, pa.float64()), pa.array(length, pa.int64()), pa.array(quota, pa.int64())]
+    return spark.createDataFrame(pa.table(columns, names=["__source", "name", "source_size", "target", "length", "quota"]))
 
 
 def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -110,10 +120,9 @@ def draw_slots(spark: SparkSession, p: Plan, block: int = BLOCK, shard: int = SH
     """(shard, slot, __source index, block): what each output slot takes.
 
     Each shard's counts are a multinomial draw by target. A source's draws are then cut or topped up, at the last
-    shards, to its quota, the target in whole blocks, so that chance moves no source off its target.
+    shards, to its quota, so that chance moves no source off its target.
     """
-    blocks = [-(-s // block) for s in p.size]
-    quota = [min(CAP * n, round(t / block)) for n, t in zip(blocks, p.target, strict=True)]
+    _, blocks, quota = shares(p, block)
     total = sum(quota)
     shard = max(shard, -(-total // MAX_SHARDS))
     shards = max(1, -(-total // shard))
@@ -156,6 +165,14 @@ class Mix(NamedTuple):
     documents: DataFrame
 
 
+def block_spans() -> tuple[Column, Column]:
+    """The blocks that a document has words in; of one of them (block), how many."""
+    last = F.col("__start") + F.col("size") - 1
+    end = F.least((F.col("block") + 1) * F.col("__length"), F.col("__start") + F.col("size"))
+    at = F.sequence(F.floor(F.col("__start") / F.col("__length")), F.floor(last / F.col("__length")))
+    return at, end - F.greatest(F.col("block") * F.col("__length"), F.col("__start"))
+
+
 def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> Mix:
     """The whole mix: the plan, what each slot takes, and which words of which documents make up each block.
 
@@ -166,12 +183,11 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEE
     spark = docs.sparkSession
     sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(text_of()).alias("__text")), "sizes")
     p = plan(sized)
-    names = source_table(spark, p, block).select("__source", F.col("name").alias("__name"))
+    names = source_table(spark, p, block).select("__source", F.col("name").alias("__name"), F.col("length").alias("__length"))
     placed = sized.join(names, F.col("source").eqNullSafe(F.col("__name"))).drop("__name")
     rows = materialize(stream_positions(placed), "positions")
-    last = F.col("__start") + F.col("size") - 1
-    pieces = rows.filter("size > 0").select("__source", "__order", "__start", "size", F.explode(F.sequence(F.floor(F.col("__start") / block), F.floor(last / block))).alias("block"))
-    words = F.least((F.col("block") + 1) * block, F.col("__start") + F.col("size")) - F.greatest(F.col("block") * block, F.col("__start"))
+    at, words = block_spans()
+    pieces = rows.filter("size > 0").select("__source", "__order", "__start", "size", "__length", F.explode(at).alias("block"))
     return Mix(p, draw_slots(spark, p, block, shard, seed), pieces.select("__source", "__order", "block", words.alias("words")), rows)
 
 

@@ -52,3 +52,12 @@ def test_edge_rows(spark):
     assert len(out) == 7 and all(0 <= r["taken"] <= 2 * r["size"] for r in out)
     assert sorted(r["size"] for r in out) == [0, 0, 1, 2, 300, 300, 900]
     assert run(df.limit(0)) == [] and [r["taken"] for r in run(df.filter("doc_id = 2"))] == [0]
+
+
+def test_small_sources_come_near_their_targets(spark):
+    sizes = {f"s{n:03d}": n for n in (1, 2, 7, 30, 63, 64, 65, 127, 128, 129, 130, 190, 200, 255, 256, 257, 290, 299, 300)}
+    rows = [(i, "w " * n, name) for i, (name, n) in enumerate(sizes.items())]
+    out = run(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert len([r for r in out if r["target"] < 1.9 * r["size"]]) > 3 and len([r for r in out if r["target"] > 1.9 * r["size"]]) > 3
+    for r in out:
+        assert abs(r["taken"] - r["target"]) <= 0.05 * r["target"], r
