@@ -191,6 +191,33 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEE
     return Mix(p, draw_slots(spark, p, block, shard, seed), pieces.select("__source", "__order", "block", words.alias("words")), rows)
 
 
+def mixed_blocks(docs: DataFrame, m: Mix) -> DataFrame:
+    """The mixture: (shard, slot, source, block, text), a row for each slot. docs: those of m.
+
+    A block's text is its words, a space between two. Repeated rows are equal texts, so any of them takes any's place.
+    """
+    same = Window.partitionBy("doc_id", "source", "__text").orderBy(F.lit(1))
+    held = docs.select("doc_id", "source", text_of().alias("text")).withColumn("__text", F.xxhash64("text"))
+    held = held.filter(word_count(F.col("text")) > 0).withColumn("k", F.row_number().over(same))
+    held = held.select(F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("__text").alias("__t"), F.col("k").alias("__k"), "text")
+    placed = m.documents.filter("size > 0").withColumn("k", F.row_number().over(same))
+    on = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__text") == F.col("__t")) & (F.col("k") == F.col("__k"))
+    at, words = block_spans()
+    tokens = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = placed.join(held, on).withColumn("w", tokens).select("__source", "__order", "__start", "size", "__length", "w", F.explode(at).alias("block"))
+    first = F.greatest(F.col("block") * F.col("__length"), F.col("__start")) - F.col("__start") + 1
+    parts = cut.select("__source", "block", F.struct("__order", F.array_join(F.slice("w", first.cast("int"), words.cast("int")), " ").alias("text")).alias("part"))
+    texts = parts.groupBy("__source", "block").agg(F.array_join(F.sort_array(F.collect_list("part"))["text"], " ").alias("text"))
+    names = source_table(docs.sparkSession, m.plan).select("__source", F.col("name").alias("source"))
+    return m.slots.join(texts.hint("merge"), ["__source", "block"]).join(names, "__source").select("shard", "slot", "source", "block", "text")
+
+
+def write_shards(docs: DataFrame, m: Mix, path: str) -> None:
+    """The mixture as Parquet, a folder for each shard, its sources' slots mixed by hash."""
+    rows = mixed_blocks(docs, m).repartition("shard")
+    rows.sortWithinPartitions("shard", F.xxhash64("source", "slot", F.lit(SEED))).write.partitionBy("shard").parquet(path)
+
+
 def taken_words(m: Mix) -> DataFrame:
     """doc_id, source, size and taken, the words of the document in the mix, for every document."""
     uses = m.slots.groupBy("__source", "block").agg(F.count(F.lit(1)).alias("uses"))

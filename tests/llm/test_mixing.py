@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -61,3 +62,21 @@ def test_small_sources_come_near_their_targets(spark):
     assert len([r for r in out if r["target"] < 1.9 * r["size"]]) > 3 and len([r for r in out if r["target"] > 1.9 * r["size"]]) > 3
     for r in out:
         assert abs(r["taken"] - r["target"]) <= 0.05 * r["target"], r
+
+
+def test_shards_hold_the_words_that_documents_give(spark, tmp_path):
+    rows = [(i, " ".join(f"{s}{i}x{j}" for j in range(n)), s) for i, (n, s) in enumerate([(300, "a"), (50, "a"), (700, "b"), (1, "b"), (40, None), (9000, "c")])]
+    rows += [(7, "same\t same  words", "a")] * 2 + [(8, None, "a"), (None, "no id", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    m = M.mix(docs, shard=16)
+    M.write_shards(docs, m, str(tmp_path / "shards"))
+    built = spark.read.parquet(str(tmp_path / "shards")).collect()
+    assert len(built) == m.slots.count() and len({r.shard for r in built}) > 1
+    words = Counter(w for r in built for w in r.text.split(" "))
+    for r in M.taken_words(m).collect():
+        if r.doc_id not in (7, 8, None):
+            assert r.taken == sum(n for w, n in words.items() if re.fullmatch(rf"\D+{r.doc_id}x\d+", w)), r
+    assert sum(words.values()) == sum(r.taken for r in M.taken_words(m).collect())
+    texts = {(r.source, r.block): r.text for r in built}
+    stream = " ".join(texts[k] for k in sorted(k for k in texts if k[0] == "a"))
+    assert rows[0][1] in stream and rows[1][1] in stream and stream.count("same same words") == 2
