@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder, as in tests.
-DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints/quillspan"
 #: ASCII white space: what separates words.
 SPACES = " \t\n\x0b\x0c\r"
 #: A word, in Java's and Python's regular expressions alike.
@@ -24,8 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: the session's spark.checkpoint.dir."""
-    return spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_CHECKPOINT_DIR
+    """The shared folder for intermediate tables: the session's spark.checkpoint.dir.
+
+    A local master may do without: its only machine has a temporary folder. A cluster must name one that all share.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where
+    if spark.sparkContext.master.startswith("local"):
+        return f"{tempfile.gettempdir()}/quillspan-{spark.sparkContext.applicationId}"
+    raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
 
 
 #: Tables that this driver has written and not yet removed, oldest first.
@@ -69,6 +78,16 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
+def own(name: str) -> Column:
+    """A column of a table by its name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def as_rows(docs: DataFrame, **columns: Column) -> DataFrame:
+    """docs as one struct column, row, beside columns made of them: no name in docs can clash. select("row.*") gives them back."""
+    return docs.select(F.struct(*[own(c) for c in docs.columns]).alias("row"), *[v.alias(k) for k, v in columns.items()])
+
+
 def put(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns at the end. One of that name (in any case) in df gives way."""
     clash = {c.lower() for c in columns}
@@ -112,6 +131,33 @@ def map_texts(
     return inner.mapInArrow(work, ", ".join(fields))
 
 
+_P = np.uint64(0x9E3779B97F4A7C15)
+
+
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z alone, ASCII white space alone
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    h = xxhash.xxh64_intdigest
+    return np.array([h(w) for w in words], np.uint64)
+
+
+def shingle_hashes(hashed: np.ndarray, n: int) -> np.ndarray:
+    """A hash for each run of n words, rolled up from the words' hashes; for the whole sequence if it has fewer; none of none."""
+    n = min(n, len(hashed))
+    if not n:
+        return np.zeros(0, np.uint64)
+    size = len(hashed) - n + 1
+    out = hashed[:size].copy()
+    for i in range(1, n):
+        out *= _P
+        out += hashed[i : size + i]
+    out ^= out >> np.uint64(31)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(29))
+
+
 def span_text(spans: Column) -> Column:
     """Spans (start, end, kind, ...) in their order as kind:start:end, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

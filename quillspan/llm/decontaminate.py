@@ -12,38 +12,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, map_texts, put, table
+from .common import LOWER, UPPER, map_texts, put, shingle_hashes, table, word_hashes, words_of
 
 SHINGLE, CONTAINMENT = 5, 0.8
 #: Items that are searched for in one pass over the documents: the bound of what is sent to executors.
 BLOCK_ITEMS = 20_000
-_P = np.uint64(0x9E3779B97F4A7C15)
 _TABLE_BITS = 22
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z alone, ASCII white space alone
-
-
-def shingle_hashes(words: list[bytes], n: int = SHINGLE) -> np.ndarray:
-    """A hash for each run of n words, rolled up from the words' hashes."""
-    if len(words) < n:
-        return np.zeros(0, np.uint64)
-    h = xxhash.xxh64_intdigest
-    w = np.array([h(x) for x in words], np.uint64)
-    out = w[: len(w) - n + 1].copy()
-    for i in range(1, n):
-        out *= _P
-        out += w[i : len(w) - n + 1 + i]
-    out ^= out >> np.uint64(31)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(29))
-
-
 class Item(NamedTuple):
     item_id: int | None
     shingles: frozenset  # exact

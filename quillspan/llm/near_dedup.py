@@ -1,45 +1,40 @@
 """Near-dedup of texts: candidates are verified by exact shingle sets, one document of each group stays.
 
-Exact copies are one text. SimHash links early what is plainly alike: each text has two fingerprints of its word pairs,
-and links of near fingerprints are verified in blocks of bounded size. A prefix-filter join over all distinct texts then
-finds every pair of the likeness that those links do not connect yet: two such texts share one of their rarest five-word
-shingles, whatever the edits between them. These pairs are verified one by one.
+Exact copies are one text, by 128 bits. Candidate pairs come from two searches, and all are verified in the same way:
+
+1. SimHash by the generalised pigeonhole principle, as in simhash.py, over fingerprints of word pairs. It links what is
+   plainly alike, with fewer links than texts, so that a group of very many near copies is connected by few comparisons.
+2. A prefix-filter join of all distinct texts on the rarest shingles of each. Two texts of the likeness share one of
+   them, whatever the edits between them; pairs that are connected already are left out. So no link is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import map_texts, materialize, text_of
+from .common import as_rows, map_texts, materialize, shingle_hashes, slim_batches, text_of, word_hashes, words_of
 from .components import connected
 
 #: Words in a shingle and the least likeness of near-duplicates.
 SHINGLE, LIKENESS = 5, 0.8
-#: Words in a fingerprint's feature; bits in which a pair's probed fingerprints may differ, and the others.
-FEATURE, TAU, TAU_SECOND = 2, 7, 14
-#: Texts and shingles that are compared in one task at a time.
-BLOCK_TEXTS, BLOCK_SHINGLES = 128, 1 << 22
-#: Texts sampled for the order of shingles, the least count and the number of shingles that the order tells apart.
-ORDER_TEXTS, ORDER_LEAST, ORDER_MOST = 1 << 13, 3, 1 << 16
-#: Bytes of a shingle's key in the join; rows of a key that one task pairs, more are dealt to pairs of blocks.
-KEY_BYTES, KEY_ROWS = 5, 1024
+#: Words in a fingerprint's feature; bits in which a pair's fingerprints may differ to be verified early.
+FEATURE, TAU = 2, 4
+#: Shingles are counted in 2^this buckets, over all texts: the order of rareness.
+BUCKET_BITS = 18
+#: Texts and shingles on each side of a task's comparisons, and rows of a shingle that are paired at once; more are dealt
+#: to pairs of blocks.
+BLOCK_TEXTS, BLOCK_SHINGLES, KEY_ROWS = 128, 1 << 22, 1024
 
 
 def shingle_set(text: str, n: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the n-word shingles, A-Z lower-cased; of the whole sequence if it has fewer words."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + n])) for i in range(max(1, len(words) - n + 1))], np.uint64))
+    return np.unique(shingle_hashes(word_hashes(words_of(text)), n))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -47,137 +42,104 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-class Order(NamedTuple):
-    """Counts of frequent shingles in a sample. Any order that all texts share finds all pairs; rarest first, fewer others."""
-
-    shingles: np.ndarray  # sorted
-    counts: np.ndarray
-
+def bucket_counts(docs: DataFrame) -> np.ndarray:
+    """How many shingles of all texts fall into each bucket: a fixed number of counts, whatever the table's size.
 
-def shingle_order(docs: DataFrame) -> Order:
-    texts = docs.select(text_of().alias("text")).withColumn("__th", F.xxhash64("text"))
-    share = round((1 << 20) * min(1.0, ORDER_TEXTS / max(1, docs.count())))
-    sample = texts.filter(F.pmod("__th", F.lit(1 << 20)) < share).dropDuplicates(["__th"])
+    A shingle that very many texts share stands out of its bucket's noise. Any order of shingles that all texts share
+    finds all pairs; rarest first makes fewer others.
+    """
+    shift, size = np.uint64(64 - BUCKET_BITS), 1 << BUCKET_BITS
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t).view(np.int64))], names=["h"])
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in slim_batches(batches):
+            sets = [shingle_set(t or "") >> shift for t in batch.column(0).to_pylist()]
+            total += np.bincount(np.concatenate(sets).astype(np.int64), minlength=size)
+        on = np.flatnonzero(total)
+        for i in range(0, len(on), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(on[i : i + (1 << 16)], pa.int32()), pa.array(total[on[i : i + (1 << 16)]])], names=["bucket", "n"])
 
-    counted = sample.select("text").mapInArrow(shingles, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= ORDER_LEAST)
-    rows = counted.orderBy(F.desc("n"), "h").limit(ORDER_MOST).collect()
-    h = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
-    at = np.argsort(h)
-    return Order(h[at], np.array([r["n"] for r in rows], np.int64)[at])
+    sums = docs.select("text").mapInArrow(partial, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size, np.int64)
+    out[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
+    return np.unique(out, return_inverse=True)[1].astype(np.uint32)
 
 
-def prefix_of(shingles: np.ndarray, order: Order) -> bytes:
-    """The keys of the rarest shingles, in order: a set of the likeness has one of them among its own. Of no shingles: a key 0."""
+def prefix_of(shingles: np.ndarray, order: np.ndarray) -> bytes:
+    """The rarest shingles, in order: a set of the likeness has one of them among its own. Of no shingles: a key 0."""
     if not len(shingles):
-        return bytes(KEY_BYTES)
+        return bytes(8)
     wanted = len(shingles) - int(np.ceil(LIKENESS * len(shingles) - 1e-9)) + 1
-    if len(order.shingles):
-        place = np.minimum(np.searchsorted(order.shingles, shingles), len(order.shingles) - 1)
-        rank = np.where(order.shingles[place] == shingles, order.counts[place], 0)
-        shingles = shingles[np.argsort(rank, kind="stable")]
-    keys = shingles[:wanted] >> np.uint64(64 - 8 * KEY_BYTES)
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
-
+    rank = order[shingles >> np.uint64(64 - BUCKET_BITS)]
+    return shingles[np.argsort(rank, kind="stable")[:wanted]].astype("<u8").tobytes()
 
-def marks_of(docs: DataFrame, order: Order) -> DataFrame:
-    """doc_id, __th (the text's hash), fp, fp2, size (distinct shingles) and prefix of each row."""
 
-    def mark(texts: list[str]) -> list[pa.Array]:
-        fp = [simhash.fingerprint(t, FEATURE) for t in texts]
-        fp2 = [simhash.fingerprint(t, FEATURE, 43) for t in texts]
-        sets = [shingle_set(t) for t in texts]
-        return [pa.array(fp, pa.int64()), pa.array(fp2, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([prefix_of(x, order) for x in sets], pa.binary())]
-
-    rows = docs.select("doc_id", F.xxhash64(text_of()).alias("__th"), F.col("text").alias("text"))
-    made = {"fp": ("long", pa.int64()), "fp2": ("long", pa.int64()), "size": ("long", pa.int64()), "prefix": ("binary", pa.binary())}
-    return map_texts(rows, mark, made, keep=["doc_id", "__th"])
+def text_key(text: Column) -> list[Column]:
+    """128 bits that stand for a text."""
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")]
 
 
-def candidate_rule(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Columns fp, fp2, size: may the texts be alike?"""
-    near = np.bitwise_count((a[..., 0] ^ b[..., 0]).view(np.uint64)) <= TAU
-    near &= np.bitwise_count((a[..., 1] ^ b[..., 1]).view(np.uint64)) <= TAU_SECOND
-    small, large = np.minimum(a[..., 2], b[..., 2]), np.maximum(a[..., 2], b[..., 2])
-    return near & (small >= LIKENESS * large - 1e-9)
+def distinct_texts(docs: DataFrame, order: np.ndarray) -> DataFrame:
+    """h1, h2, node (a number), least (doc_id), fp, size (distinct shingles) and prefix of each distinct text."""
 
+    def mark(texts: list[str]) -> list[pa.Array]:
+        fp, size, prefix = [], [], []
+        for t in texts:
+            hashed = word_hashes(words_of(t))
+            pairs, shingles = shingle_hashes(hashed, FEATURE), np.unique(shingle_hashes(hashed, SHINGLE))
+            fp.append(simhash.majority(simhash.bit_sums(pairs), len(pairs)))
+            size.append(len(shingles))
+            prefix.append(prefix_of(shingles, order))
+        return [pa.array(fp, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.binary())]
 
-def joined_in_block(texts: list[str], names: list[int], least: float = LIKENESS) -> list[tuple[int, int]]:
-    """(name, leader): texts that verified links connect, leaders first by name; a pair already connected isn't compared."""
-    order = sorted(range(len(names)), key=lambda i: names[i])
-    sets = [shingle_set(texts[i]) for i in order]
-    root = list(range(len(order)))
+    rows = docs.select("doc_id", *text_key(text_of()), F.col("text").alias("text"))
+    marked = map_texts(rows, mark, {"fp": ("long", pa.int64()), "size": ("long", pa.int64()), "prefix": ("binary", pa.binary())}, keep=["doc_id", "h1", "h2"])
+    firsts = [F.first(c).alias(c) for c in ("fp", "size", "prefix")]
+    texts = marked.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), *firsts)
+    return materialize(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
-    for i in range(len(order)):
-        for j in range(i):
-            a, b = find(i), find(j)
-            small, large = sorted((len(sets[i]), len(sets[j])))
-            if a != b and small >= least * large and likeness(sets[i], sets[j]) >= least:
-                root[max(a, b)] = min(a, b)
-    return [(names[order[i]], names[order[find(i)]]) for i in range(len(order))]
+# ---- candidates
 
+def near_by_fingerprint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Columns fp, size: are the texts worth an early comparison?"""
+    small, large = np.minimum(a[..., 1], b[..., 1]), np.maximum(a[..., 1], b[..., 1])
+    return (np.bitwise_count((a[..., 0] ^ b[..., 0]).view(np.uint64)) <= TAU) & (small >= LIKENESS * large - 1e-9)
 
-def verify(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(u, v) verified links. members: __th, root, size of candidate groups; texts: __th, text, a row for each text.
 
-    Groups of over a block are dealt by hash; each round, a block's texts are replaced by the leaders of what verified
-    links connect in it, and those are dealt anew, until each group is one block or no round connects more. In groups of
-    several blocks, a link between two texts that lead nothing can so be lost here; prefix_pairs() finds it, for its texts
-    have different roots.
-    """
-    rounds, links, left = 0, None, members
-    while True:
-        load = left.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
-        blocks = F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("s") / BLOCK_SHINGLES))
-        dealt = left.join(load, "root").withColumn("block", F.pmod(F.xxhash64("__th", F.lit(rounds)), blocks)).select("root", "block", "__th", "n", blocks.alias("blocks"))
-
-        def work(frame: pd.DataFrame) -> pd.DataFrame:
-            found = joined_in_block(frame["text"].tolist(), frame["__th"].tolist())
-            return pd.DataFrame({"root": frame["root"].iloc[0], "u": [u for u, _ in found], "v": [v for _, v in found], "blocks": frame["blocks"].iloc[0]})
-
-        full = dealt.join(texts, "__th").groupBy("root", "block").applyInPandas(work, "root long, u long, v long, blocks long")
-        done = materialize(full, "verified")
-        new = done.filter("u != v").select("u", "v")
-        links = new if links is None else links.unionByName(new)
-        again = done.filter("blocks > 1")
-        rounds += 1
-        if again.filter("u != v").isEmpty():
-            return links
-        leaders = again.filter("u = v").select(F.col("u").alias("__th"), "root")
-        left = materialize(leaders.join(members.select("__th", "size"), "__th"), "leaders")
+def fingerprint_pairs(texts: DataFrame) -> DataFrame:
+    """(key, u, v): of texts with near fingerprints, enough pairs to connect each key's rows. texts: node, fp, size."""
+    layout = simhash.choose_layout(texts.select("fp").distinct(), texts.count(), TAU)
+    dealt = simhash.deal_hot_keys(simhash.probe_rows(texts.select("fp", "size", "node"), layout), layout, TAU)
+    return simhash.verified_links(dealt, near_by_fingerprint, "node").select(F.col("u").alias("key"), "u", "v")
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Columns th, root, size, place of the shared shingle: are the texts not connected yet, and may they be alike?"""
+    """Columns node, root, size, place of the shared shingle: are the texts not connected yet, and may they be alike?"""
     small, large = np.minimum(a[..., 2], b[..., 2]), np.maximum(a[..., 2], b[..., 2])
-    both = np.minimum(a[..., 3], b[..., 3]) + 1 + np.minimum(a[..., 2] - a[..., 3], b[..., 2] - b[..., 3]) - 1
+    both = np.minimum(a[..., 3], b[..., 3]) + np.minimum(a[..., 2] - a[..., 3], b[..., 2] - b[..., 3])
     least = LIKENESS / (1 + LIKENESS) * (small + large)
     return (a[..., 1] != b[..., 1]) & (small >= LIKENESS * large - 1e-9) & (both >= least - 1e-6)
 
 
 def pairs_of_run(rows: np.ndarray, others: np.ndarray | None = None) -> Iterator[np.ndarray]:
-    """(u, v) of rows that may be alike, among rows or between them and others."""
+    """(node, node) of rows that may be alike, among rows or between them and others; those of other sizes aren't looked at."""
+    pool = rows[np.argsort(rows[:, 2], kind="stable")]
+    rows = pool if others is None else others
+    sizes = pool[:, 2]
+    upto = np.searchsorted(sizes, rows[:, 2] / LIKENESS + 1e-6, side="right")
+    since = np.searchsorted(sizes, LIKENESS * rows[:, 2] - 1e-6) if others is not None else np.arange(1, len(rows) + 1)
     for i in range(len(rows)):
-        pool = rows[i + 1 :] if others is None else others
-        near = pool[alike(pool, rows[i]), 0]
+        part = pool[since[i] : upto[i]]
+        near = part[alike(part, rows[i]), 0]
         if len(near):
             yield np.column_stack([np.full(len(near), rows[i, 0]), near])
 
 
 def pairs_of_keys(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of the rows (key, th, root, size, place), sorted by key; and the rows of keys of over KEY_ROWS."""
+    """(key, u, v) of the rows (key, node, root, size, place), sorted by key; and the rows of keys of over KEY_ROWS."""
     edge = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0], [True]]))
-    sizes, out, hot, own = np.diff(edge), [np.zeros((0, 2), np.int64)], [rows[:0]], np.ascontiguousarray(rows[:, 1:])
+    sizes, out, hot, own = np.diff(edge), [np.zeros((0, 3), np.int64)], [rows[:0]], np.ascontiguousarray(rows[:, 1:])
     for s in np.unique(sizes):
         starts = edge[:-1][sizes == s]
         if s == 1:
@@ -187,39 +149,39 @@ def pairs_of_keys(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 if s > KEY_ROWS:
                     hot.append(rows[a : a + s])
                 elif (own[a : a + s, 1] != own[a, 1]).any():
-                    out += pairs_of_run(own[a : a + s])
+                    out += [np.column_stack([np.full(len(x), rows[a, 0]), x]) for x in pairs_of_run(own[a : a + s])]
             continue
         i, j = np.triu_indices(s, 1)
         for part in np.array_split(starts, max(1, len(starts) * len(i) >> 18)):
             g, k = np.nonzero(alike(own[part[:, None] + i], own[part[:, None] + j]))
-            out.append(np.column_stack([own[part[g] + i[k], 0], own[part[g] + j[k], 0]]))
+            out.append(np.column_stack([rows[part[g], 0], own[part[g] + i[k], 0], own[part[g] + j[k], 0]]))
     return np.concatenate(out), np.concatenate(hot)
 
 
 def prefix_pairs(texts: DataFrame) -> DataFrame:
-    """(u, v), u < v: every pair of texts of the likeness whose roots differ is among them. texts: __th, root, size, prefix."""
-    columns = ["key", "th", "root", "size", "place"]
+    """(key, u, v), u < v: every pair of texts of the likeness whose roots differ is among them, once, with a shingle that
+    both have. texts: node, root, size, prefix."""
+    columns = ["key", "node", "root", "size", "place"]
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            th, root, size = (batch.column(i).to_numpy() for i in range(3))
+            node, root, size = (batch.column(i).to_numpy() for i in range(3))
             found = batch.column(3).to_pylist()
             for a in range(0, len(found), 256):
-                n = np.array([len(x) // KEY_BYTES for x in found[a : a + 256]])
-                keys = np.zeros((n.sum(), 8), np.uint8)
-                keys[:, :KEY_BYTES] = np.frombuffer(b"".join(found[a : a + 256]), np.uint8).reshape(-1, KEY_BYTES)
+                n = np.array([len(x) // 8 for x in found[a : a + 256]])
+                keys = np.frombuffer(b"".join(found[a : a + 256]), "<i8")
                 place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                made = [keys.view("<i8").ravel(), *(np.repeat(x[a : a + 256], n) for x in (th, root, size)), place]
+                made = [keys, *(np.repeat(x[a : a + 256], n) for x in (node, root, size)), place]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=columns)
 
     def packed(pairs: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
         both = np.zeros((len(pairs) + len(hot), 6), np.int64)
-        both[: len(pairs), 1], both[: len(pairs), 2] = pairs.min(1, initial=np.iinfo(np.int64).max), pairs.max(1, initial=np.iinfo(np.int64).min)
+        both[: len(pairs), 1], both[: len(pairs), 2], both[: len(pairs), 3] = pairs[:, 0], pairs[:, 1:].min(1, initial=np.iinfo(np.int64).max), pairs[:, 1:].max(1, initial=-1)
         both[len(pairs) :, 0], both[len(pairs) :, 1:] = 1, hot
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, i])) for i in range(6)], names=["hot", *columns])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none, held, passed = np.zeros((0, 2), np.int64), np.zeros((0, 5), np.int64), None
+        none, held, passed = np.zeros((0, 3), np.int64), np.zeros((0, 5), np.int64), None
         for batch in batches:
             rows = np.concatenate([held, np.column_stack([c.to_numpy() for c in batch.columns])])
             if passed is not None and len(rows):
@@ -237,70 +199,111 @@ def prefix_pairs(texts: DataFrame) -> DataFrame:
                 held, passed = held[:0], held[0, 0]
         yield packed(*pairs_of_keys(held))
 
-    rows = texts.select("__th", "root", "size", "prefix").mapInArrow(explode, ", ".join(f"{c} long" for c in columns))
+    rows = texts.select("node", "root", "size", "prefix").mapInArrow(explode, ", ".join(f"{c} long" for c in columns))
     runs = rows.repartition("key").sortWithinPartitions("key")
     found = materialize(runs.mapInArrow(work, "hot long, " + ", ".join(f"{c} long" for c in columns)), "prefixes")
     # Rows of frequent shingles: every block of a key's rows meets every other in a task of their own.
     hot = found.filter("hot = 1").select(*columns)
-    load = hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / KEY_ROWS).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("th"), F.col("blocks")).cast("int")
+    load = hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / KEY_ROWS).cast("int").alias("blocks"), F.min("root").alias("a"), F.max("root").alias("z"))
+    load = load.filter("a < z").select("key", "blocks")  # one root: all are connected
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = hot.join(load, "key").withColumn("block", block).withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select(*columns, "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    dealt = dealt.select(F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", *columns)
 
-    def cell(frame: pd.DataFrame) -> pd.DataFrame:
-        own, first = frame[columns[1:]].to_numpy(), (frame["block"] == frame["i"]).to_numpy()
-        made = np.concatenate([np.zeros((0, 2), np.int64), *pairs_of_run(own[first], None if first.all() and frame["i"].iloc[0] == frame["j"].iloc[0] else own[~first])])
-        return pd.DataFrame({"u": np.minimum(made[:, 0], made[:, 1]), "v": np.maximum(made[:, 0], made[:, 1])})
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted runs of (key, i, j): the cells of a key's blocks, each of two blocks' rows at most."""
 
-    pairs = found.filter("hot = 0").select(F.col("key").alias("u"), F.col("th").alias("v"))
-    return pairs.unionByName(dealt.groupBy("key", "i", "j").applyInPandas(cell, "u long, v long")).distinct()
+        def pairs(x: np.ndarray) -> pa.RecordBatch:
+            x = x[np.argsort(x[:, 2] != x[:, 0], kind="stable")]
+            first = int((x[:, 2] == x[:, 0]).sum())
+            made = np.concatenate([np.zeros((0, 2), np.int64), *pairs_of_run(x[:first, 4:], x[first:, 4:] if x[0, 0] != x[0, 1] else None)])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(made), x[0, 3])), pa.array(made.min(1, initial=np.iinfo(np.int64).max)), pa.array(made.max(1, initial=-1))], names=["key", "u", "v"])
 
+        held = np.zeros((0, 8), np.int64)
+        for batch in batches:
+            held = np.concatenate([held, np.column_stack([c.to_numpy().astype(np.int64) for c in batch.columns])])
+            edge = np.flatnonzero((held[1:, [0, 1, 3]] != held[:-1, [0, 1, 3]]).any(1)) + 1
+            for x in np.split(held, edge)[:-1]:
+                yield pairs(x)
+            held = held[edge[-1] :] if len(edge) else held
+        if len(held):
+            yield pairs(held)
 
-def verify_pairs(pairs: DataFrame, texts: DataFrame, bodies: DataFrame) -> DataFrame:
-    """(u, v): the pairs of the likeness, or as many as connect what they connect. texts: __th, size; bodies: __th, text.
+    frequent = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(cells, "key long, u long, v long")
+    pairs = found.filter("hot = 0").select("key", F.col("node").alias("u"), F.col("root").alias("v")).unionByName(frequent)
+    return pairs.groupBy("u", "v").agg(F.min("key").alias("key"))
 
-    The texts of a group of candidates are dealt into blocks; a task compares the pairs between two blocks.
+
+# ---- verification
+
+def sets_of(wanted: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, size and set (its shingles) of the wanted nodes, each read from the rows of its least id."""
+    held = docs.select(F.col("doc_id").alias("id"), *text_key(text_of()), text_of().alias("text"))
+    least = wanted.join(texts.select("node", "h1", "h2", "least"), "node")
+    found = least.join(held, ["h1", "h2"]).filter(F.col("least").eqNullSafe(F.col("id"))).select("node", "text")
+    made = map_texts(found, lambda ts: [pa.array([shingle_set(t).tobytes() for t in ts], pa.binary())], {"set": ("binary", pa.binary())}, keep=["node"])
+    return materialize(made.select("node", (F.octet_length("set") / 8).cast("long").alias("size"), "set"), "sets")
+
+
+def verify_pairs(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(u, v): of the pairs (key, u, v) those of the likeness, or as many as connect what they connect.
+
+    The texts of a key are dealt into blocks; a task compares the pairs between two blocks and reads each of their texts
+    once, pairs after texts, as a sorted run.
     """
-    stars = connected(pairs)
-    members = stars.select(F.col("u").alias("__th"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("__th"), F.col("v").alias("root")).distinct())
-    members = materialize(members.join(texts.select("__th", "size"), "__th"), "pair-members")
-    load = members.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
-    placed = members.join(load, "root").select("__th", "root", F.pmod(F.xxhash64("__th"), F.greatest("blocks", F.lit(1))).alias("block"))
-    at_u = placed.select(F.col("__th").alias("u"), "root", F.col("block").alias("bu"))
-    at_v = placed.select(F.col("__th").alias("v"), F.col("block").alias("bv"))
-    cells = pairs.join(at_u, "u").join(at_v, "v").select("root", F.least("bu", "bv").alias("i"), F.greatest("bu", "bv").alias("j"), "u", "v")
-    cells = materialize(cells, "cells")
-    ends = [cells.select(F.col("root").alias("at"), F.col("i").alias("k"), F.col("j").alias("l"), F.col(c).alias("__th")) for c in ("u", "v")]
-    held = ends[0].unionByName(ends[1]).distinct().join(bodies, "__th")
-
-    def work(links: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        sets = {t: shingle_set(x) for t, x in zip(own["__th"], own["text"], strict=True)}
-        root = {t: t for t in sets}
+    pairs = materialize(pairs.select("key", "u", "v").distinct(), "pairs")
+    ends = pairs.select("key", F.col("u").alias("node")).unionByName(pairs.select("key", F.col("v").alias("node"))).distinct()
+    sets = sets_of(ends.select("node").distinct(), texts, docs)
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum("size") / BLOCK_SHINGLES))
+    load = ends.join(texts.select("node", "size"), "node").groupBy("key").agg(blocks.alias("blocks")).filter("blocks > 1")
+    dealt = pairs.join(load, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    at = [F.pmod(F.xxhash64(c), "blocks") for c in ("u", "v")]
+    cells = materialize(dealt.select("key", F.least(*at).alias("i"), F.greatest(*at).alias("j"), "u", "v"), "cells")
+    asked = [cells.select("key", "i", "j", F.col(c).alias("node")) for c in ("u", "v")]
+    held = asked[0].unionByName(asked[1]).distinct().join(sets.select("node", "set"), "node")
+    rows = held.select("key", "i", "j", F.lit(-1).cast("long").alias("u"), F.col("node").alias("v"), "set")
+    rows = rows.unionByName(cells.withColumn("set", F.lit(None).cast("binary")))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, sets, root = None, {}, {}
 
         def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
+            while root.get(x, x) != x:
+                root[x] = root.get(root[x], root[x])
                 x = root[x]
             return x
 
-        out = []
-        for u, v in zip(links["u"], links["v"], strict=True):
-            a, b = find(u), find(v)
-            if a != b and likeness(sets[u], sets[v]) >= LIKENESS:
-                root[max(a, b)] = min(a, b)
-                out.append((u, v))
-        return pd.DataFrame({"u": [u for u, _ in out], "v": [v for _, v in out]}, dtype="int64")
+        for batch in slim_batches(batches, "set", 1 << 26):
+            out = []
+            for key, i, j, u, v, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if cell != (key, i, j):
+                    cell, sets, root = (key, i, j), {}, {}
+                if u < 0:
+                    sets[v] = np.frombuffer(held, np.uint64)
+                    continue
+                a, b = find(u), find(v)
+                if a != b and likeness(sets[u], sets[v]) >= LIKENESS:
+                    root[max(a, b)] = min(a, b)
+                    out.append((u, v))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    runs = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "u")
+    return materialize(runs.mapInArrow(work, "u long, v long"), "verified")
+
 
-    both = cells.groupBy("root", "i", "j").cogroup(held.groupBy("at", "k", "l"))
-    return both.applyInPandas(work, "u long, v long")
+def near_duplicate_groups(docs: DataFrame) -> DataFrame:
+    """h1, h2, least (doc_id) and root of each distinct text: texts that links of the likeness connect share a root."""
+    texts = distinct_texts(docs, bucket_counts(docs))
+    early = verify_pairs(fingerprint_pairs(texts), texts, docs)
+    rooted = with_roots(texts, early)
+    links = early.unionByName(verify_pairs(prefix_pairs(rooted), texts, docs))
+    return with_roots(texts, links).select("h1", "h2", "least", "root")
 
 
-def bodies_of(wanted: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
-    """__th and text of the wanted __th: that of the row of its least id, any of equal ones."""
-    held = docs.select(F.col("doc_id").alias("__id"), F.xxhash64(text_of()).alias("__h"), text_of().alias("text"))
-    least = wanted.select("__th").join(texts.select("__th", "least"), "__th")
-    found = least.join(held, (F.col("__th") == F.col("__h")) & F.col("least").eqNullSafe(F.col("__id")))
-    return materialize(found.select("__th", "text").dropDuplicates(["__th"]), "bodies")
+def with_roots(texts: DataFrame, links: DataFrame) -> DataFrame:
+    """texts with root, the least node that links connect a node to."""
+    stars = connected(links).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return materialize(texts.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -309,29 +312,10 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Null and empty texts are equal texts. A null doc_id stays only where its group has no other; of repeated rows (same
     doc_id and text) one stays. Columns stay as they are, whatever their names. An empty table gives an empty one.
     """
-    marks = materialize(marks_of(docs, shingle_order(docs)), "marks")
-    firsts = [F.min(c).alias(c) for c in ("fp", "fp2", "size")]
-    texts = materialize(marks.groupBy("__th").agg(F.min("doc_id").alias("least"), *firsts, F.first("prefix").alias("prefix")), "texts")
-    nodes = texts.select("fp", "fp2", "size", "__th")
-    layout = simhash.choose_layout(nodes.select("fp").distinct(), texts.count(), TAU)
-    dealt = simhash.deal_hot_keys(simhash.probe_rows(nodes, layout), layout, TAU)
-    stars = connected(simhash.verified_links(dealt, candidate_rule, "__th"))
-    members = stars.select(F.col("u").alias("__th"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("__th"), F.col("v").alias("root")).distinct())
-    members = materialize(members.join(texts.select("__th", "size"), "__th"), "members")
-    links = verify(members, bodies_of(members, texts, docs))
-    early = connected(links).select(F.col("u").alias("__th"), F.col("v").alias("root"))
-    rooted = texts.join(early, "__th", "left").withColumn("root", F.coalesce("root", "__th"))
-    pairs = materialize(prefix_pairs(rooted), "pairs")
-    ends = pairs.select(F.col("u").alias("__th")).unionByName(pairs.select(F.col("v").alias("__th"))).distinct()
-    groups = connected(links.unionByName(verify_pairs(pairs, texts, bodies_of(ends, texts, docs))))
-    named = texts.join(groups.select(F.col("u").alias("__th"), F.col("v").alias("root")), "__th", "left").withColumn("root", F.coalesce("root", "__th"))
-    first = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), F.col("__th").alias("th")))
-    stay = named.groupBy("root").agg(first.alias("first")).select(F.col("first.id").alias("__id"), F.col("first.th").alias("__t"))
-    copies = marks.groupBy("doc_id", "__th").agg(F.count(F.lit(1)).alias("__n"))
-    stay = stay.join(copies, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__t") == F.col("__th"))).select("__id", "__t", "__n")
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text_of()) == F.col("__t")))
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    once = kept.filter("__n > 1").dropDuplicates(["__id", "__t"]).select(*own)
-    return kept.filter("__n = 1").select(*own).unionByName(once)
-
-
+    groups = near_duplicate_groups(docs)
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), "h1", "h2"))
+    stay = groups.groupBy("root").agg(first.alias("first")).select("first.id", F.col("first.h1").alias("s1"), F.col("first.h2").alias("s2"))
+    held = as_rows(docs, doc=F.col("doc_id"), h1=text_key(text_of())[0], h2=text_key(text_of())[1])
+    kept = held.join(stay, (F.col("h1") == F.col("s1")) & (F.col("h2") == F.col("s2"))).filter(F.col("doc").eqNullSafe(F.col("id")))
+    once = kept.withColumn("k", F.row_number().over(Window.partitionBy("h1", "h2").orderBy(F.lit(1)))).filter("k = 1")
+    return once.select("row.*")

@@ -28,6 +28,19 @@ KEY_ROWS = 1 << 14
 _PIECE = 1 << 15
 
 
+def bit_sums(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set, the highest first."""
+    out = np.zeros(BITS, np.int64)
+    for i in range(0, len(hashes), _PIECE):
+        out += np.unpackbits(hashes[i : i + _PIECE].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return out
+
+
+def majority(sums: np.ndarray, k: int) -> int:
+    """The bits set in over half of k hashes, as a signed number."""
+    return int.from_bytes(np.packbits(2 * sums > k).tobytes(), "big", signed=True)
+
+
 def fingerprint(text: str, n: int = SHINGLE, seed: int = SEED) -> int:
     """The fingerprint of a text as a signed 64-bit number."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z alone, ASCII white space alone
@@ -40,9 +53,8 @@ def fingerprint(text: str, n: int = SHINGLE, seed: int = SEED) -> int:
     a, b = starts[:k].tolist(), ends[min(n, len(words)) - 1 :].tolist()
     count, h = np.zeros(BITS, np.int64), xxhash.xxh64_intdigest
     for i in range(0, k, _PIECE):
-        hashes = np.array([h(flat[x:y], seed) for x, y in zip(a[i : i + _PIECE], b[i : i + _PIECE], strict=True)], ">u8")
-        count += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * count > k).tobytes(), "big", signed=True)
+        count += bit_sums(np.array([h(flat[x:y], seed) for x, y in zip(a[i : i + _PIECE], b[i : i + _PIECE], strict=True)], np.uint64))
+    return majority(count, k)
 
 
 def with_fingerprints(docs: DataFrame, n: int = SHINGLE, text: str = "text", to: str = "fp", keep: list[str] | None = None) -> DataFrame:
