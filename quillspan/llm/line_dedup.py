@@ -1,19 +1,22 @@
 """Line dedup, with DataFrame operations only.
 
-Lines become 128-bit hashes that are range-partitioned with their document, sorted by hash, document and position, and
-streamed: each hash's owner is its first document in that order. Dropped lines come back as compressed per-document
-keep bitmaps; text is never shuffled with the lines.
+Lines become 128-bit hashes that are range-partitioned, sorted by hash, document (largest first) and position, and
+streamed by windows over that order: each hash's owner is its first document. Dropped lines come back as compressed
+per-document keep bitmaps; text is never shuffled with the lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACES, UPPER, ascii_lower, materialize, put, table, text_of
+from .common import LOWER, SPACES, UPPER, as_rows, ascii_lower, materialize, table, text_of
 
 MIN_CHARS, MIN_DOCS = 20, 3
-_H = ("__h1", "__h2")
+#: Frequent hashes that are looked for, and how many are tracked to find them: a bound on what is broadcast.
+FREQUENT, TRACKED = 10_000, 100_000
+#: Lines of a hash that are streamed in one run; those of a frequent one are dealt to more runs by document.
+RUN_ROWS = 1 << 12
 
 
 def split_lines(text: Column) -> Column:
@@ -21,47 +24,67 @@ def split_lines(text: Column) -> Column:
 
 
 def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, __text, __pos, __h1, __h2) for every line whose key is long enough."""
-    lines = docs.select("doc_id", F.xxhash64(text_of()).alias("__text"), F.posexplode(split_lines(text_of())).alias("__pos", "__line"))
-    keys = lines.select("doc_id", "__text", "__pos", F.btrim("__line", F.lit(SPACES)).alias("__key")).filter(F.char_length("__key") >= min_chars)
-    keys = keys.withColumn("__key", ascii_lower(F.col("__key")))
-    return keys.select("doc_id", "__text", "__pos", F.xxhash64("__key").alias("__h1"), F.xxhash64(F.lit("second"), "__key").alias("__h2"))
+    """(doc, th, pos, h1, h2) for every line whose key is long enough; th is the XXH64 of its text."""
+    lines = docs.select(F.col("doc_id").alias("doc"), F.xxhash64(text_of()).alias("th"), F.posexplode(split_lines(text_of())).alias("pos", "line"))
+    keys = lines.select("doc", "th", "pos", F.btrim("line", F.lit(SPACES)).alias("key")).filter(F.char_length("key") >= min_chars)
+    keys = keys.withColumn("key", ascii_lower(F.col("key")))
+    return keys.select("doc", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
 
 
-def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, __text, dropped map<int, long>) for documents that lose lines.
+def frequent_hashes(lines: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
+    """(h1, runs): into how many runs the lines of a frequent hash are dealt.
+
+    A sketch over all lines finds them. It decides the dealing alone: results are the same whatever it returns.
+    """
+    top = lines.select(F.explode(F.expr(f"approx_top_k(h1, {FREQUENT}, {TRACKED})")).alias("t"))
+    return top.select(F.col("t.item").alias("h1"), F.ceil(F.col("t.count") / run_rows).cast("int").alias("runs")).filter("h1 is not null and runs > 1")
+
+
+def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, run_rows: int = RUN_ROWS) -> DataFrame:
+    """(doc, th, dropped map<int, long>) for documents that lose lines.
 
     The bitmap is word-sparse: entry w holds lines 64w to 64w+63, a set bit drops its line, a missing word keeps all of
-    its lines. __text is the XXH64 of the text: with doc_id it names a row, so repeated rows share one bitmap. A null
-    doc_id is one document, the smallest.
+    its lines. th is the XXH64 of the text: with doc it names a row, so repeated rows share one bitmap. A null doc_id is
+    one document, the smallest.
     """
-    # Hashes are made once: ranges are sampled, and lines are read again for the join. The range of a hash that very many
-    # documents hold spans several partitions, for the document is part of the key.
-    lines = materialize(line_hashes(docs, min_chars), "lines").repartitionByRange(*_H, "doc_id").sortWithinPartitions(*_H, F.desc_nulls_last("doc_id"), "__text", "__pos")
-    # No exchange: a (hash, document) pair lies in one range. The rows per hash are counted before they meet.
-    per_doc = lines.groupBy(*_H, "doc_id").agg(F.count(F.lit(1)).alias("__n"))
-    owners = per_doc.groupBy(*_H).agg(F.count(F.lit(1)).alias("__docs"), F.max("doc_id").alias("__owner")).filter(F.col("__docs") >= min_docs)
-    # A table of its own has a known size: a small one is broadcast, beyond that AQE splits the lines of a hot hash.
-    owners = materialize(owners, "owners")
-    dropped = lines.join(owners, list(_H)).filter(~F.col("doc_id").eqNullSafe(F.col("__owner")))
-    words = dropped.groupBy("doc_id", "__text", F.floor(F.col("__pos") / 64).cast("int").alias("__w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(__pos % 64 as int))")).alias("__bits")
-    )
-    return words.groupBy("doc_id", "__text").agg(F.map_from_entries(F.collect_list(F.struct("__w", "__bits"))).alias("dropped"))
+    lines = materialize(line_hashes(docs, min_chars), "lines")  # hashed once; the sketch, the ranges' sample and the runs read it
+    frequent = materialize(frequent_hashes(lines, run_rows), "frequent")
+    run = F.coalesce(F.pmod(F.xxhash64("doc"), F.col("runs")).cast("int"), F.lit(0))
+    dealt = lines.join(F.broadcast(frequent), "h1", "left").withColumn("run", run)  # at most FREQUENT rows
+    first = streamed(dealt)
+    # A hash in one run is decided there. The first occurrences of several runs, and the runs' counts, are put together.
+    parts = streamed(dealt.filter("runs is not null")).filter("nth = 1").groupBy("h1", "h2").agg(F.max("owner").alias("top"), F.sum("docs").alias("all"))
+    parts = materialize(parts.filter(F.col("all") >= min_docs), "runs")
+    alone = first.filter(F.col("runs").isNull() & (F.col("docs") >= min_docs)).select("doc", "th", "pos", "owner")
+    shared = lines.join(F.broadcast(parts), ["h1", "h2"]).select("doc", "th", "pos", F.col("top").alias("owner"))  # at most FREQUENT rows and hashes that collide with them in 64 bits
+    dropped = alone.unionByName(shared).filter(~F.col("doc").eqNullSafe(F.col("owner")))
+    words = dropped.groupBy("doc", "th", F.floor(F.col("pos") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pos % 64 as int))")).alias("bits"))
+    return words.groupBy("doc", "th").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("dropped"))
+
+
+def streamed(dealt: DataFrame) -> DataFrame:
+    """Lines with their hash's owner and documents in their run, and their number in it: one range exchange, one sort."""
+    keys = ["h1", "h2", "run"]
+    order = F.desc_nulls_last("doc")
+    ranges = dealt.repartitionByRange(*keys).sortWithinPartitions(*keys, order, "th", "pos")
+    stream = Window.partitionBy(*keys).orderBy(order)
+    ranked = ranges.withColumn("rank", F.dense_rank().over(stream)).withColumn("nth", F.row_number().over(stream)).withColumn("owner", F.first("doc").over(stream))
+    return ranked.withColumn("docs", F.max("rank").over(Window.partitionBy(*keys)))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """docs with their remaining text, n_lines (before) and n_dropped."""
-    b = bitmaps.select(F.col("doc_id").alias("__id"), F.col("__text").alias("__th"), F.col("dropped").alias("__dropped"))
-    joined = docs.join(b, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text_of()) == F.col("__th")), "left")
-    lines = split_lines(text_of())
+    held = as_rows(docs, own=F.col("doc_id"), hash=F.xxhash64(text_of()))
+    joined = held.join(bitmaps, F.col("own").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("th")), "left")
+    out = joined.select("row", "dropped", split_lines(text_of(F.col("row").getField("text"))).alias("lines"))
     # A dense array of words, so that each line is one lookup.
-    dense = "transform(sequence(0, cast((size(__lines) - 1) div 64 as int)), w -> coalesce(element_at(__dropped, w), 0L))"
-    kept = "filter(__lines, (line, i) -> (shiftright(element_at(__dense, cast(i div 64 as int) + 1), i % 64) & 1) = 0)"
-    out = joined.withColumn("__lines", lines).withColumn("__dense", F.when(F.col("__dropped").isNotNull(), F.expr(dense)))
-    out = out.withColumn("__kept", F.when(F.col("__dropped").isNull(), F.col("__lines")).otherwise(F.expr(kept)))
-    out = put(out, text=F.array_join("__kept", "\n"), n_lines=F.size("__lines").cast("long"), n_dropped=(F.size("__lines") - F.size("__kept")).cast("long"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    dense = "transform(sequence(0, cast((size(lines) - 1) div 64 as int)), w -> coalesce(element_at(dropped, w), 0L))"
+    kept = "filter(lines, (line, i) -> (shiftright(element_at(dense, cast(i div 64 as int) + 1), i % 64) & 1) = 0)"
+    out = out.withColumn("dense", F.when(F.col("dropped").isNotNull(), F.expr(dense)))
+    out = out.withColumn("kept", F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(F.expr(kept)))
+    text, n = F.array_join("kept", "\n"), [F.size("lines").cast("long"), (F.size("lines") - F.size("kept")).cast("long")]
+    columns = [text.alias(c) if c.lower() == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    return out.select(*columns, n[0].alias("n_lines"), n[1].alias("n_dropped"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -77,6 +100,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: doc_id, n_lines, n_dropped and the hash of what is kept. Edge cases as in dedup_lines."""
     docs = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 

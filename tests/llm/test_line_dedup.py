@@ -48,3 +48,23 @@ def test_hot_line_and_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
     rows = [(r.doc_id, r.text + f"\n{LONG}") for r in docs]
     assert run(spark, rows) == brute(rows)
+
+
+def test_frequent_hashes_are_dealt_to_runs(spark):
+    rows = [(i if i else None, f"{LONG}\nown line of document number {i}\n{'x' * 30 if i < 3 else ''}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = ld.line_hashes(df)
+    assert [r.runs for r in ld.frequent_hashes(hashes, 40).collect()] == [8] and ld.frequent_hashes(hashes).count() == 0
+    out = ld.apply_bitmaps(df, ld.keep_bitmaps(df, run_rows=40))
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in out.collect()), key=str) == brute(rows)
+
+
+def test_the_stream_is_one_exchange_and_one_sort(spark):
+    df = spark.createDataFrame([(1, LONG)], "doc_id long, text string")
+    plan = ld.streamed(ld.line_hashes(df).selectExpr("*", "cast(doc % 2 as int) as run"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and "rangepartitioning" in plan and "Window" in plan
+
+
+def test_internal_names_can_be_columns(spark):
+    df = spark.createDataFrame([(1, LONG, 1, 2), (2, LONG, 3, 4), (3, LONG, 5, 6)], "doc_id long, text string, `row` int, dropped int")
+    assert sorted(map(tuple, ld.dedup_lines(df).collect())) == [(1, "", 1, 2, 1, 1), (2, "", 3, 4, 1, 1), (3, LONG, 5, 6, 1, 0)]
