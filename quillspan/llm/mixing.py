@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from .common import WORD, materialize, table, text_of
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
-#: Words in a block; slots in a shard, more where there would be over MAX_SHARDS; slices of a source for its running sums.
-BLOCK, SHARD, MAX_SHARDS, SLICES, SEED = 128, 4096, 1 << 16, 1024, 20240
+#: Words in a block; slots in a shard, more where there would be over MAX_SHARDS.
+BLOCK, SHARD, MAX_SHARDS, SEED = 128, 4096, 1 << 16, 20240
+#: Documents of a slice of a source whose sizes one task sums, and the least number of slices; slots that one task makes.
+SLICE_ROWS, SLICES, TASK_SLOTS = 1 << 18, 1024, 1 << 20
 #: Blocks of a source that is taken in part: small sources have shorter blocks.
 LEAST_BLOCKS = 64
 
@@ -99,6 +101,11 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def slices_of(rows: int) -> int:
+    """Slices of each source, were all rows of one: a power of two."""
+    return max(SLICES, 1 << (-(-rows // SLICE_ROWS)).bit_length())
+
+
 def stream_positions(sized: DataFrame, slices: int = SLICES) -> DataFrame:
     """sized with __start, the document's first word in its source's stream, and __order, its place there.
 
@@ -154,7 +161,9 @@ def draw_slots(spark: SparkSession, p: Plan, block: int = BLOCK, shard: int = SH
                     taken[on] = permuted(j[on] % blocks[i], blocks[i], seed + 1_000_003 * int(i) + int(turn))
                 yield pd.DataFrame({"shard": s, "slot": j, "__source": i, "block": taken})
 
-    dealt = pieces.select("shard", "__source", "r.a", "r.b").repartition("shard", "__source", "a")
+    # A number of tasks is named: a row is small, but up to 4,096 slots come of it.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_SLOTS))
+    dealt = pieces.select("shard", "__source", "r.a", "r.b").repartition(tasks, "shard", "__source", "a")
     return dealt.mapInPandas(slots, "shard long, slot long, __source int, block long")
 
 
@@ -185,7 +194,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEE
     p = plan(sized)
     names = source_table(spark, p, block).select("__source", F.col("name").alias("__name"), F.col("length").alias("__length"))
     placed = sized.join(names, F.col("source").eqNullSafe(F.col("__name"))).drop("__name")
-    rows = materialize(stream_positions(placed), "positions")
+    rows = materialize(stream_positions(placed, slices_of(sized.count())), "positions")
     at, words = block_spans()
     pieces = rows.filter("size > 0").select("__source", "__order", "__start", "size", "__length", F.explode(at).alias("block"))
     return Mix(p, draw_slots(spark, p, block, shard, seed), pieces.select("__source", "__order", "block", words.alias("words")), rows)
@@ -234,4 +243,5 @@ def mixture(docs: DataFrame) -> DataFrame:
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every document: what it gives to the mixture. Edge cases as in mix."""
     return mixture(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
