@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -37,8 +38,14 @@ def scratch_dir(spark: SparkSession) -> str:
     raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
 
 
-#: Tables that this driver has written and not yet removed, oldest first.
-_written: list[str] = []
+#: Tables that this thread of the driver has written and not yet removed, oldest first: one thread's don't concern another's.
+_mine = threading.local()
+
+
+def _written() -> list[str]:
+    if not hasattr(_mine, "paths"):
+        _mine.paths = []
+    return _mine.paths
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
@@ -50,22 +57,23 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/quillspan-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    _written().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch_mark() -> int:
     """A point in the list of tables, for clear_scratch()."""
-    return len(_written)
+    return len(_written())
 
 
 def clear_scratch(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
     """Remove the tables written since a mark, but for the last keep of them."""
-    gone = _written[since : len(_written) - keep]
+    written = _written()
+    gone = written[since : len(written) - keep]
     for path in gone:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _written[since : len(_written) - keep] = []
+    written[since : len(written) - keep] = []
 
 
 def text_of(col: str | Column = "text") -> Column:
@@ -83,6 +91,13 @@ def own(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs starts with, in any case."""
+    while any(c.lower().startswith(name.lower()) for c in docs.columns):
+        name += "_"
+    return name
+
+
 def as_rows(docs: DataFrame, **columns: Column) -> DataFrame:
     """docs as one struct column, row, beside columns made of them: no name in docs can clash. select("row.*") gives them back."""
     return docs.select(F.struct(*[own(c) for c in docs.columns]).alias("row"), *[v.alias(k) for k, v in columns.items()])
@@ -91,7 +106,7 @@ def as_rows(docs: DataFrame, **columns: Column) -> DataFrame:
 def put(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns at the end. One of that name (in any case) in df gives way."""
     clash = {c.lower() for c in columns}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in clash], *[v.alias(k) for k, v in columns.items()])
+    return df.select(*[own(c) for c in df.columns if c.lower() not in clash], *[v.alias(k) for k, v in columns.items()])
 
 
 def slim_batches(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int = 1 << 22) -> Iterator[pa.RecordBatch]:
@@ -118,16 +133,17 @@ def map_texts(
     """
     results = {k.lower() for k in to}
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in results]
-    inner = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
+    body = free_name(docs, "text_")
+    inner = docs.select(*[own(c) for c in kept], own(text).alias(body))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if setup:
             setup()
-        for batch in slim_batches(batches, "__text", max_bytes):
+        for batch in slim_batches(batches, body, max_bytes):
             made = fn([t or "" for t in batch.column(len(kept)).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *made], names=[*kept, *to])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema if f.name in kept] + [f"`{k}` {v[0]}" for k, v in to.items()]
+    fields = ["`{}` {}".format(f.name.replace("`", "``"), f.dataType.simpleString()) for f in inner.schema if f.name in kept] + [f"`{k}` {v[0]}" for k, v in to.items()]
     return inner.mapInArrow(work, ", ".join(fields))
 
 

@@ -3,7 +3,8 @@
 Items are partitioned by their number of distinct shingles. An item of q shingles that a document contains to a share of
 at least t lacks at most (1 - t) q of them, so the document holds one of the item's floor((1 - t) q) + 1 least hashes at
 least. Those least hashes are the item's MinHash signature, of one length for each size partition, looked up one by one
-(bands of one row: a short item's likeness to a long document is next to nothing, and longer bands would miss it).
+(bands of one row: a short item's likeness to a long document is next to nothing, and longer bands would miss it). It is
+a prefix filter: the document's side has no signature, each of its shingles is looked up, and no item is missed.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, map_texts, put, shingle_hashes, table, word_hashes, words_of
+from .common import LOWER, UPPER, WORD, free_name, map_texts, materialize, own, put, shingle_hashes, table, text_of, word_hashes, words_of
 
 SHINGLE, CONTAINMENT = 5, 0.8
-#: Items that are searched for in one pass over the documents: the bound of what is sent to executors.
-BLOCK_ITEMS = 20_000
+#: Words of the items that are searched for in one pass over the documents: the bound of what is sent to executors.
+BLOCK_WORDS = 1 << 19
 _TABLE_BITS = 22
 
 
@@ -33,6 +34,7 @@ class Index(NamedTuple):
     keys: np.ndarray  # sorted signature hashes
     owners: list[list[int]]  # items of each key
     filter: np.ndarray  # bits of the keys, to pass by most shingles
+    short: dict[int, dict[bytes, list[int]]]  # items of fewer words than a shingle: by their number, the whole sequence
 
 
 def size_partition(q: int) -> int:
@@ -45,39 +47,44 @@ def signature_length(p: int, t: float = CONTAINMENT) -> int:
     return int(np.floor((1 - t) * ((2 << p) - 1) + 1e-9)) + 1
 
 
+def runs_of(words: list[bytes], n: int) -> set[bytes]:
+    return {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
+
+
 def build_index(rows: list[tuple[int | None, str | None]], t: float = CONTAINMENT, n: int = SHINGLE) -> Index:
-    """Items of fewer than n words have no shingle and are never found."""
-    items, owners = [], {}
+    """Items of fewer than n words are one shingle, the whole sequence; items without words are never found."""
+    items, owners, short = [], {}, {}
     for item_id, text in rows:
         words = words_of(text or "")
-        if len(words) < n:
+        if not words:
             continue
-        hashes = np.unique(shingle_hashes(words, n))
-        for h in hashes[: signature_length(size_partition(len(hashes)), t)].tolist():
-            owners.setdefault(h, []).append(len(items))
-        items.append(Item(item_id, frozenset(b" ".join(words[i : i + n]) for i in range(len(words) - n + 1))))
+        if len(words) < n:
+            short.setdefault(len(words), {}).setdefault(b" ".join(words), []).append(len(items))
+        else:
+            hashes = np.unique(shingle_hashes(word_hashes(words), n))
+            for h in hashes[: signature_length(size_partition(len(hashes)), t)].tolist():
+                owners.setdefault(h, []).append(len(items))
+        items.append(Item(item_id, frozenset(runs_of(words, min(n, len(words))))))
     keys = np.array(sorted(owners), np.uint64)
     bits = np.zeros(1 << _TABLE_BITS, bool)
     bits[keys >> np.uint64(64 - _TABLE_BITS)] = True
-    return Index(items, keys, [owners[k] for k in keys.tolist()], bits)
+    return Index(items, keys, [owners[k] for k in keys.tolist()], bits, short)
 
 
 def hits_of(text: str, index: Index, t: float = CONTAINMENT, n: int = SHINGLE) -> list[dict]:
     """Items that a text contains: item_id, n_shingles, n_shared, containment, in the order of the items."""
     words = words_of(text)
-    hashes = shingle_hashes(words, n)
+    found = [(i, 1) for m, known in index.short.items() for run in runs_of(words, m) for i in known.get(run, ())]
+    hashes = shingle_hashes(word_hashes(words), n) if len(words) >= n else np.zeros(0, np.uint64)
     hashes = hashes[index.filter[hashes >> np.uint64(64 - _TABLE_BITS)]]
-    if not len(hashes):
-        return []
-    at = np.minimum(np.searchsorted(index.keys, hashes), len(index.keys) - 1)
-    candidates = sorted({i for k in np.unique(at[index.keys[at] == hashes]).tolist() for i in index.owners[k]})
-    if not candidates:
-        return []
-    own = {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
+    if len(hashes) and len(index.keys):
+        at = np.minimum(np.searchsorted(index.keys, hashes), len(index.keys) - 1)
+        candidates = {i for k in np.unique(at[index.keys[at] == hashes]).tolist() for i in index.owners[k]}
+        held = runs_of(words, n) if candidates else set()
+        found += [(i, len(index.items[i].shingles & held)) for i in candidates]
     out = []
-    for i in candidates:
+    for i, shared in sorted(found):
         item = index.items[i]
-        shared = len(item.shingles & own)
         if shared >= t * len(item.shingles):
             out.append({"item_id": item.item_id, "n_shingles": len(item.shingles), "n_shared": shared, "containment": shared / len(item.shingles)})
     return out
@@ -87,18 +94,20 @@ SCHEMA = "array<struct<item_id: bigint, n_shingles: bigint, n_shared: bigint, co
 _HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("n_shingles", pa.int64()), ("n_shared", pa.int64()), ("containment", pa.float64())]))
 
 
-def find_items(docs: DataFrame, items: DataFrame, to: str = "hits", keep: list[str] | None = None, block: int = BLOCK_ITEMS) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, to: str = "hits", keep: list[str] | None = None, block: int = BLOCK_WORDS) -> DataFrame:
     """docs with the benchmark items (item_id, text) that each document's text contains, as an array.
 
     Shingles are five words, A-Z lower-cased; an item is found when at least CONTAINMENT of its distinct shingles are in
-    the document. Null and empty texts contain nothing, items of under five words are never found, repeated items are
-    found once each, repeated documents alike. A column of the name of the result gives way; keep names the columns to
-    return, all by default. Items go to the executors in blocks of bounded size, a pass over the documents for each.
+    the document. An item of fewer words is one shingle, looked for among the document's runs of as many words. Null and
+    empty texts contain nothing, items without words are never found, repeated items are found once each, repeated
+    documents alike. A column of the name of the result gives way; keep names the columns to return, all by default.
+    Items go to the executors in blocks of about so many words, a pass over the documents for each; an item is not split.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() != to.lower()]
-    numbered = items.select("item_id", "text").distinct()
-    blocks = max(1, -(-numbered.count() // block))
-    out, columns = docs, []
+    numbered = materialize(items.select("item_id", "text").distinct(), "items")
+    words = numbered.agg(F.sum(F.regexp_count(text_of(), F.lit(WORD)))).first()[0] or 0
+    blocks = max(1, -(-words // block))
+    out, columns, prefix = docs, [], free_name(docs, "hits")
     for b in range(blocks):
         part = numbered.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         rows = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
@@ -107,7 +116,7 @@ def find_items(docs: DataFrame, items: DataFrame, to: str = "hits", keep: list[s
         def search(texts: list[str], index: Index = index) -> list[pa.Array]:
             return [pa.array([hits_of(t, index) for t in texts], _HITS)]
 
-        columns.append(f"__hits{b}")
+        columns.append(f"{prefix}{b}")
         last = b == blocks - 1
         out = map_texts(out, search, {columns[-1]: (SCHEMA, _HITS)}, keep=[*kept, *columns[:-1]] if last else [*dict.fromkeys([*kept, "text"]), *columns[:-1]])
     return put(out, **{to: F.concat(*columns)}).drop(*columns)
@@ -115,8 +124,9 @@ def find_items(docs: DataFrame, items: DataFrame, to: str = "hits", keep: list[s
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs that contain no benchmark item; columns as they are."""
-    found = find_items(docs, items, "__hits")
-    return found.filter(F.size("__hits") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    hits = free_name(docs, "hits")
+    found = find_items(docs, items, hits)
+    return found.filter(F.size(hits) == 0).select(*[own(c) for c in docs.columns])
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,17 +135,19 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
 
 
-def _sql_shingles(relation: str, key: str) -> str:
-    return f"""
-  SELECT DISTINCT {key}, unnest(list_transform(range(1, len(ws) - {SHINGLE - 2}), lambda i: array_to_string(ws[i:i + {SHINGLE - 1}], ' '))) AS g
-  FROM (SELECT {key}, list_filter(regexp_split_to_array(translate(text, '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM {relation})
-  WHERE len(ws) >= {SHINGLE}"""
+_WORDS = f"list_filter(regexp_split_to_array(translate(text, '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+
+def _sql_runs(relation: str, key: str, n: str) -> str:
+    return f"SELECT DISTINCT {key}, n, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i:i + n - 1], ' '))) AS g FROM (SELECT *, {n} AS n FROM {relation}) WHERE len(ws) >= n"
 
 
 ORACLE = f"""
-WITH d AS ({_sql_shingles("documents", "doc_id")}), b AS ({_sql_shingles("benchmark", "item_id")}),
+WITH dw AS (SELECT doc_id, {_WORDS} AS ws FROM documents), bw AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+b AS ({_sql_runs("(SELECT * FROM bw WHERE len(ws) > 0)", "item_id", f"least(len(ws), {SHINGLE})")}),
+lengths AS (SELECT DISTINCT n AS wanted FROM b), d AS ({_sql_runs("(SELECT * FROM dw, lengths)", "doc_id", "wanted")}),
 n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id),
-s AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (g) GROUP BY doc_id, item_id)
+s AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (n, g) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment
 FROM s JOIN n USING (item_id) WHERE n_shared >= {CONTAINMENT} * n_shingles
 """

@@ -6,18 +6,18 @@ from quillspan.llm import decontaminate as D
 def brute(docs, items):
     low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
     words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", low(t))
-    sh = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-    out = []
+    sh = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    out, asked = [], [(i, len(w), sh(w, min(5, len(w)))) for i, w in ((i, words(x)) for i, x in items) if w]
     for d, t in docs:
-        own = sh(words(t))
-        for i, x in items:
-            s = sh(words(x))
+        held = {n: sh(words(t), n) for n in range(1, 6)}
+        for i, n, s in asked:
+            own = held[min(5, n)]
             if s and len(s & own) >= 0.8 * len(s):
                 out.append((d, i, len(s), len(s & own)))
     return sorted(out, key=str)
 
 
-def run(spark, docs, items, block=D.BLOCK_ITEMS):
+def run(spark, docs, items, block=D.BLOCK_WORDS):
     df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     out = D.find_items(df, it, block=block).collect()
     return sorted(((r.doc_id, h.item_id, h.n_shingles, h.n_shared) for r in out for h in r.hits), key=str)
@@ -31,9 +31,10 @@ def test_matches_brute_force_with_cut_passages(spark):
         w = t.split()
         docs.append((10_000 + k, " ".join(["lead"] * 50 + w[: len(w) - k % 12] + ["tail"] * k)))
         docs.append((20_000 + k, " ".join([*w[: len(w) // 2], "CHANGED", *w[len(w) // 2 :]])))
+    items += [(900, "LEAD  lead lead\tLEAD"), (901, "tail"), (902, "never found here"), (903, "tail tail tail tail tail")]
     want = brute(docs, items)
     assert len(want) > 40 and run(spark, docs, items) == want
-    assert run(spark, docs, items, block=7) == want
+    assert run(spark, docs, items, block=300) == want
 
 
 def test_edge_rows(spark):
@@ -41,7 +42,7 @@ def test_edge_rows(spark):
     docs = [(1, None), (2, ""), (None, f"x {item} y"), (3, item.upper()), (3, item.upper()), (4, "one two three four"), (5, "word " * 100_000 + item)]
     items = [(1, item), (1, item), (2, "one two"), (3, None), (None, item)]
     got = run(spark, docs, items)
-    assert [(d, i) for d, i, _, _ in got] == sorted([(None, 1), (None, None), (3, 1), (3, 1), (3, None), (3, None), (5, 1), (5, None)], key=str)
+    assert [(d, i) for d, i, _, _ in got] == sorted([(d, i) for d in (None, 3, 3, 5) for i in (1, 2, None)] + [(4, 2)], key=str)
     assert run(spark, docs, [(1, None)]) == [] and run(spark, [], items) == []
 
 
@@ -50,3 +51,8 @@ def test_decontaminate_keeps_clean_documents_and_columns(spark):
     df = spark.createDataFrame([(1, item, "a", 5), (2, "clean text stays here as it is", None, 6)], "doc_id long, text string, hits string, n long")
     out = D.decontaminate(df, spark.createDataFrame([(7, item)], "item_id long, text string"))
     assert out.columns == df.columns and [r.doc_id for r in out.collect()] == [2]
+
+
+def test_ties_and_equal_items(spark):
+    items = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "A B C D E F"), (4, "a b"), (5, "a b")]
+    assert [(d, i) for d, i, _, _ in run(spark, [(9, "a b c d e f"), (9, "a b c d e f")], items)] == [(9, i) for i in (1, 1, 2, 2, 3, 3, 4, 4, 5, 5)]
