@@ -17,31 +17,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm import decontaminate, line_dedup, mixing, near_dedup, toxicity
-from quillspan.llm.common import clear_scratch, materialize, scratch_mark, table
+from quillspan.llm.common import clear_scratch, free_name, materialize, own, scratch_mark, table
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that score under 0.5 by a model that learns from the labelled rows among them; null and empty texts stay as any other."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score_texts(docs, model, to="__score")
-    return scored.filter("__score < 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
+    score = free_name(docs, "score")
+    return toxicity.score_texts(docs, model, to=score).filter(F.col(score) < 0.5).select(*[own(c) for c in docs.columns])
 
 
 def lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that the operator keeps; a text may become empty, its row stays."""
     out = line_dedup.dedup_lines(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[own(c) for c in docs.columns])
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each group, as near_dedup.drop_near_duplicates has it."""
     return near_dedup.drop_near_duplicates(docs)
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that contain no item of the table benchmark."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What each row gives to the mixture, as mixing.mixture has it."""
     return mixing.mixture(docs)
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, slim_batches, table, text_of
+from .common import as_rows, materialize, slim_batches, table, text_of
 
 LENGTH, GRAM = 100, 32
 _SPAN = LENGTH - GRAM + 1  # anchors to choose from in a window
@@ -210,10 +210,11 @@ def _suffixes(sym: np.ndarray, nxt: np.ndarray, longest: int) -> np.ndarray:
     return np.argsort(rank[:-1], kind="stable")
 
 
-def repeated_classes(b: np.ndarray, start: np.ndarray, shard: int = SHARD, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Places of a block of segments (bytes b, starts) in merged order, and for each the class of its first length bytes.
+def merged_order(b: np.ndarray, start: np.ndarray, shard: int = SHARD, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places of a block of segments (bytes b, starts) in merged order; for each the symbols that it has in common with the
+    place before it, up to those of length bytes; and the bytes of a symbol.
 
-    Places with fewer bytes left in their segment are in the order too, their classes mean nothing.
+    Places with fewer bytes left in their segment are in the order too, what they have in common means nothing.
     """
     n = len(b)
     end = np.concatenate([start[1:], [n]])
@@ -248,17 +249,25 @@ def repeated_classes(b: np.ndarray, start: np.ndarray, shard: int = SHARD, lengt
     block = np.zeros(len(z), np.int64)  # by no symbols, all are alike
     live = int((every > 0).sum())
     assert live == n
-    for _ in range(rounds):
+    common = np.full(live, rounds)  # a boundary between suffixes stays where it is; it appears in the round of their common prefix
+    for i in range(rounds):
         s = np.empty(len(z), np.uint16)
         s[np.argsort(z, kind="stable")] = every
         order = np.argsort(s, kind="stable")[len(z) - live :]  # symbol 0 leads to no suffix
         s, before = s[order], block[order]
         parted = np.concatenate([[True], (s[1:] != s[:-1]) | (before[1:] != before[:-1])])
+        common[parted & (common == rounds)] = i
         z[empties:] = z[order]
         block[empties:] = np.cumsum(parted)
     merged = np.empty(live, np.int64)
     merged[np.argsort(z[empties:], kind="stable")] = np.concatenate(arrays)
-    return merged, block[empties:]
+    return merged, common, g
+
+
+def repeated_classes(b: np.ndarray, start: np.ndarray, shard: int = SHARD, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Places in merged order, and their repeated intervals: runs whose common prefixes are length bytes and more."""
+    merged, common, g = merged_order(b, start, shard, length)
+    return merged, np.cumsum(common < length // g)
 
 
 def repeated_windows(pieces: list[bytes], where: np.ndarray, shard: int = SHARD) -> np.ndarray:
@@ -388,13 +397,13 @@ def dedup_substrings(docs: DataFrame, keep: list[str] | None = None) -> DataFram
     """
     results = ("kept", "n_bytes", "n_removed", "n_spans")
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in results]
-    marks = removed_bytes(docs).select(F.col("ord").alias("__ord"), F.col("th").alias("__th"), "ranges")
-    keyed = docs.withColumn("__o", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL))).withColumn("__t", F.xxhash64(text_of()))
-    joined = keyed.join(marks, (F.col("__o") == F.col("__ord")) & (F.col("__t") == F.col("__th")), "left")
-    ready = joined.select(*[F.col(f"`{c}`") for c in names], text_of().alias("__text"), F.col("ranges").alias("__ranges"))
+    row_id = {"own": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)), "hash": F.xxhash64(text_of())}
+    joined = as_rows(docs, **row_id).join(removed_bytes(docs), (F.col("own") == F.col("ord")) & (F.col("hash") == F.col("th")), "left")
+    field = F.col("row").getField
+    ready = joined.select(*[field(c).alias(c) for c in names], text_of(field("text")).alias("text of the row"), F.col("ranges").alias("ranges of the row"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slim_batches(batches, "__text"):
+        for batch in slim_batches(batches, "text of the row"):
             out: tuple[list, ...] = ([], [], [], [])
             for text, ranges in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
@@ -413,7 +422,7 @@ def dedup_substrings(docs: DataFrame, keep: list[str] | None = None) -> DataFram
             arrays = [pa.array(out[0], pa.binary()), *(pa.array(x, pa.int64()) for x in out[1:])]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *arrays], names=[*names, *results])
 
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in ready.select(*[f"`{c}`" for c in names]).schema]
+    schema = ["`{}` {}".format(f.name.replace("`", "``"), f.dataType.simpleString()) for f in ready.schema.fields[: len(names)]]
     return ready.mapInArrow(apply, ", ".join([*schema, "kept binary", "n_bytes long", "n_removed long", "n_spans long"]))
 
 
