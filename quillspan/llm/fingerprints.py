@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, put, table, text_of
+from .common import SPACES, free_name, materialize, put, table, text_of
 
 K, SHINGLE = 128, 5
+#: Quantiles of the ids, bytes of text in a slice of them, and in a task.
+QUANTILES, SLICE_BYTES, TASK_BYTES = 256, 1 << 24, 1 << 26
 _MAX = 2.0**64
 
 
@@ -37,8 +39,9 @@ def bottom_k(hashes: Column, k: int = K) -> Column:
 
 def with_sketch(df: DataFrame, text: str, to: str, k: int = K, n: int = SHINGLE) -> DataFrame:
     """df with the sketch of a text column. Steps are columns of their own, so that none is computed twice."""
-    df = df.withColumn("__words", word_hashes(text_of(text)))
-    return put(df.withColumn("__all", shingle_hashes(F.col("__words"), n)), **{to: bottom_k(F.col("__all"), k)}).drop("__words", "__all")
+    words, every = free_name(df, "words"), free_name(df, "shingles")
+    df = df.withColumn(words, word_hashes(text_of(text)))
+    return put(df.withColumn(every, shingle_hashes(F.col(words), n)), **{to: bottom_k(F.col(every), k)}).drop(words, every)
 
 
 def merged(a: Column, b: Column, k: int = K) -> Column:
@@ -84,33 +87,38 @@ def sketch_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def with_next_text(docs: DataFrame, slices: int) -> DataFrame:
-    """doc_id, text, and the rows that the next one stands on: documents in descending doc_id, dealt to slices.
+def with_next_text(docs: DataFrame, slices: int | None = None) -> DataFrame:
+    """doc_id, text, slice and extra: documents dealt to slices of their ids, and the rows that the next one stands on.
 
-    Slice bounds are doc_ids of the table, so the last row of a slice is followed by the rows of its bound, which go to
-    both slices (__extra marks the second copies). The bounds are a fixed number of quantiles, no data of all rows.
-    Null ids come last, in a slice of their own; the next document after the last is the first.
+    A slice's ids are a range: between two of a fixed number of quantiles, ranges are of equal width, as many as the
+    table's bytes ask for. The last row of a slice is followed by the rows of the greatest id of the slice below, which
+    go to both (extra marks the second copies). Null ids come last, in a slice of their own; the next document after the
+    last is the first.
     """
     d = docs.select("doc_id", text_of().alias("text"))
-    q = [i / slices for i in range(slices + 1)]
-    bounds = d.agg(F.percentile_approx("doc_id", q, max(10_000, 20 * slices)).alias("q"), F.max("doc_id").alias("top"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).first()
-    edges = sorted({*(bounds["q"] or []), *([bounds["top"]] if bounds["top"] is not None else [])})
-    if not edges:
-        return d.select("*", F.lit(0).alias("__slice"), F.explode(F.array(F.lit(0), F.lit(1))).alias("__extra"))
-    known = F.array(*[F.lit(e) for e in edges])
-    # Slice i holds ids above edge i-1 up to edge i; slice -1 the null ids. The first edge is at or above the least id.
-    own = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(known, lambda e: e < F.col("doc_id"))))
-    at = d.withColumn("__own", own)
-    on_edge = F.array_position(known, F.col("doc_id")).cast("int")  # from 1: the slice that ends just above this edge
-    last = -1 if bounds["nulls"] else 0
-    extra = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("doc_id") == edges[-1], F.lit(last)).when(on_edge > 0, on_edge)
-    if bounds["nulls"]:
-        # The first null row follows the least id: send the null rows to slice 0 too.
-        extra = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(extra)
-    copies = F.when(extra.isNull(), F.array(F.struct(F.col("__own").alias("s"), F.lit(0).alias("e")))).otherwise(
-        F.array(F.struct(F.col("__own").alias("s"), F.lit(0).alias("e")), F.struct(extra.alias("s"), F.lit(1).alias("e")))
-    )
-    return at.select("doc_id", "text", F.explode(copies).alias("__c")).select("doc_id", "text", F.col("__c.s").alias("__slice"), F.col("__c.e").alias("__extra"))
+    q = [i / QUANTILES for i in range(QUANTILES + 1)]
+    known = d.agg(F.percentile_approx("doc_id", q, 10_000).alias("q"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = slices or max(64, 4 * tasks, -(-(known["bytes"] or 0) // SLICE_BYTES))
+    tasks = max(tasks, -(-(known["bytes"] or 0) // TASK_BYTES))
+    if known["most"] is None:
+        return d.select("*", F.lit(0).alias("slice"), F.explode(F.array(F.lit(0), F.lit(1))).alias("extra")).repartition(tasks, "slice")
+    edges = sorted({known["least"] - 1, *known["q"], known["most"]})
+    parts = -(-slices // (len(edges) - 1))
+    id_, bounds = F.col("doc_id"), F.array(*[F.lit(e) for e in edges])
+    above = F.size(F.filter(bounds, lambda e: e < F.col("doc_id")))  # from 1: between edges above - 1 and above
+    low, high = F.element_at(bounds, above), F.element_at(bounds, above + 1)
+    place = F.floor((id_ - low - 1).cast("double") / (high - low) * parts)
+    at = d.withColumn("slice", F.when(id_.isNull(), F.lit(-1)).otherwise((above - 1) * parts + F.least(place, F.lit(parts - 1)))).withColumn("slice", F.col("slice").cast("long"))
+    # A row for each slice that has ids: where the rows of its greatest id go besides. Small, whatever the rows are.
+    tops = at.filter(id_.isNotNull()).groupBy("slice").agg(F.max("doc_id").alias("top"))
+    last = F.lit(-1) if known["nulls"] else F.min("slice").over(Window.partitionBy())
+    tops = materialize(tops.select("slice", "top", F.coalesce(F.lead("slice").over(Window.orderBy("slice")), last).cast("long").alias("to")), "tops")
+    more = at.join(tops, ["slice"]).filter("doc_id = top").select("doc_id", "text", F.col("to").alias("slice"), F.lit(1).alias("extra"))
+    out = at.withColumn("extra", F.lit(0)).unionByName(more)
+    if known["nulls"]:  # the first null row follows the least id
+        out = out.unionByName(at.filter(id_.isNull()).select("doc_id", "text", F.lit(tops.agg(F.min("slice")).first()[0]).alias("slice"), F.lit(1).alias("extra")))
+    return out.repartition(tasks, "slice")
 
 
 def edited_fingerprints(docs: DataFrame, k: int = K, n: int = SHINGLE, slices: int | None = None) -> DataFrame:
@@ -121,22 +129,21 @@ def edited_fingerprints(docs: DataFrame, k: int = K, n: int = SHINGLE, slices: i
     as the empty string, and are alike (1.0). Repeated rows follow one another. A single document is its own next one.
     Other columns are not looked at. An empty table gives an empty one.
     """
-    slices = slices or max(64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = with_next_text(docs, slices).repartition("__slice")
-    own = with_sketch(dealt, "text", "__sketch", k, n)
-    order = Window.partitionBy("__slice").orderBy("__extra", F.desc_nulls_last("doc_id"), "text")
-    seen = own.withColumn("__next", F.lead("text").over(order)).withColumn("__next_sketch", F.lead("__sketch").over(order)).filter("__extra = 0")
-    size = seen.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("__half", F.floor(F.col("n_chars") / 2).cast("int"))
-    kept = F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.col("__half")).cast("int"))
-    edited = size.withColumn("edited_text", F.concat(kept, F.substring(F.col("__next"), F.lit(1), F.col("__half"))))
-    both = with_sketch(edited, "edited_text", "__edited", k, n)
+    own = with_sketch(with_next_text(docs, slices), "text", "sketch", k, n)
+    order = Window.partitionBy("slice").orderBy("extra", F.desc_nulls_last("doc_id"), "text")
+    seen = own.withColumn("next", F.lead("text").over(order)).withColumn("next_sketch", F.lead("sketch").over(order)).filter("extra = 0")
+    size = seen.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("half", F.floor(F.col("n_chars") / 2).cast("int"))
+    kept = F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.col("half")).cast("int"))
+    edited = size.withColumn("edited_text", F.concat(kept, F.substring(F.col("next"), F.lit(1), F.col("half"))))
+    both = with_sketch(edited, "edited_text", "edited_sketch", k, n)
     return both.select(
-        "doc_id", "text", "edited_text", "n_chars", F.col("__sketch").alias("sketch"), F.col("__edited").alias("edited_sketch"),
-        resemblance(F.col("__sketch"), F.col("__edited"), k).alias("near_edited"), resemblance(F.col("__sketch"), F.col("__next_sketch"), k).alias("near_next"),
+        "doc_id", "text", "edited_text", "n_chars", "sketch", "edited_sketch",
+        resemblance(F.col("sketch"), F.col("edited_sketch"), k).alias("near_edited"), resemblance(F.col("sketch"), F.col("next_sketch"), k).alias("near_next"),
     )
 
 
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprints of every document and of its edited text, and their likeness. Edge cases as in edited_fingerprints."""
     out = edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
         "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), sketch_text(F.col("sketch")).alias("fingerprint"),
