@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def pearson(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Pearson's r of population sums for each group; null for fewer than two pairs or no variance."""
@@ -16,12 +18,12 @@ def pearson(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 def latency_summary(df: DataFrame, by: str, value: str) -> DataFrame:
     """count, mean, upper median (place n // 2 of the sorted values), p95 (place ceil(0.95 n) - 1), least and most."""
-    w = Window.partitionBy(by).orderBy(value)
-    ranked = df.filter(F.col(value).isNotNull()).select(by, value).withColumn("i", F.row_number().over(w) - 1)
-    sizes = df.filter(F.col(value).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
-    at = ranked.join(sizes, by)
-    pick = lambda i: F.max(F.when(F.col("i") == i, F.col(value)))
-    out = at.groupBy(by, "n", "mean", "min", "max").agg(pick(F.floor(F.col("n") / 2)).alias("median"), pick(F.ceil(0.95 * F.col("n")) - 1).alias("p95"))
+    rows = df.filter(F.col(value).isNotNull()).select(by, value)
+    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
+    ranked = numbered(rows.withColumn("tie", F.monotonically_increasing_id()), [by], [F.col(value), F.col("tie")], "i").join(sizes, by)
+    places = F.array(F.floor(F.col("n") / 2), F.ceil(0.95 * F.col("n")) - 1)
+    pick = lambda k: F.max(F.when(F.col("i") - 1 == places[k], F.col(value)))
+    out = ranked.groupBy(by, "n", "mean", "min", "max").agg(pick(0).alias("median"), pick(1).alias("p95"))
     return out.select(by, "n", F.round("mean", 6).alias("mean"), "median", "p95", "min", "max")
 
 

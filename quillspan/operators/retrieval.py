@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.providers import Provider, provided
 from ..sources.scratch import stored
 
 RRF_K, BM25_K1, BM25_B, BM25_EPSILON = 60, 1.5, 0.75, 0.25
 #: Queries that one pass looks for: what is sent to executors is at most so many vectors.
 QUERY_BLOCK = 1024
+#: Terms of the queries that one pass scores, and rows that are scored at once for all of them.
+TERM_BLOCK, SCORE_ROWS = 1 << 18, 2048
 
 
 def vector_topk(queries: DataFrame, rows: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, id, score, rank): the k rows (id, vector) nearest to each query (query_id, vector) by cosine, exactly.
 
+    Scores have six places.
     Each partition keeps k rows for each query, so what is shuffled doesn't grow with its rows; queries go out in blocks.
     Rows without a vector are left out; equal scores go by id.
     """
@@ -40,7 +45,7 @@ def vector_topk(queries: DataFrame, rows: DataFrame, k: int, block: int = QUERY_
                 column = batch.column(1)
                 x = np.asarray(column.flatten(), np.float64).reshape(batch.num_rows, -1)
                 s = q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)).T
-                s = np.concatenate([best_s, s.round(9)], axis=1)
+                s = np.concatenate([best_s, s.round(9).round(6)], axis=1)
                 i = np.concatenate([best_i, np.broadcast_to(batch.column(0).to_numpy(), (len(names), batch.num_rows))], axis=1)
                 order = np.lexsort((i, -s), axis=1)[:, :k]
                 best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
@@ -54,24 +59,70 @@ def vector_topk(queries: DataFrame, rows: DataFrame, k: int, block: int = QUERY_
     return parts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def bm25_scores(queries: DataFrame, rows: DataFrame, k1: float = BM25_K1, b: float = BM25_B, epsilon: float = BM25_EPSILON) -> DataFrame:
-    """(query_id, id, score) of rows (id, text) that share a term with a query (query_id, text).
+def term_weights(queries: DataFrame, tokens: DataFrame, epsilon: float = BM25_EPSILON) -> tuple[DataFrame, float]:
+    """(query_id, term, weight): idf times the count of the term in the query; and the rows' mean length.
 
     Okapi with idf = ln(N - df + 0.5) - ln(df + 0.5), a negative one replaced by epsilon times the mean over the
-    vocabulary; N, df and lengths are those of the rows given. A term that a query repeats counts again.
+    vocabulary; N, df and lengths are those of all rows.
     """
-    tf = rows.select("id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    length = rows.select("id", F.size(T.tokens(F.col("text"))).alias("dl"))
-    totals = length.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(totals))
-    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    idf = df.withColumn("raw", raw)
-    mean = idf.agg(F.avg("raw").alias("mean"))  # one row
+    totals = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("mean")).first()
+    df = tokens.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = stored(df.select("term", (F.log(F.lit(totals["n"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")), "idf")
+    low = epsilon * (idf.agg(F.avg("raw")).first()[0] or 0.0)
     wanted = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    asked = wanted.join(idf, "term").join(F.broadcast(mean)).select("query_id", "term", "times", "avgdl", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    hits = tf.join(asked, "term").join(length, "id")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    weight = F.col("times") * F.when(F.col("raw") < 0, low).otherwise(F.col("raw"))
+    return wanted.join(idf, "term").select("query_id", "term", weight.alias("weight")), float(totals["mean"] or 0.0)
+
+
+def bm25_topk(queries: DataFrame, rows: DataFrame, k: int, k1: float = BM25_K1, b: float = BM25_B, block: int = TERM_BLOCK) -> DataFrame:
+    """(query_id, id, score, rank): the k best rows (id, text) for each query (query_id, text) that share a term with it.
+
+    Rows are tokenised once. Queries go out in blocks of about so many terms; each partition scores its rows for a block
+    and keeps k for each query, so what is shuffled grows neither with frequent terms nor with pairs. Scores have six
+    places, equal ones go by id.
+    """
+    tokens = stored(rows.select("id", T.tokens(F.coalesce("text", F.lit(""))).alias("terms")), "tokens")
+    weights, mean = term_weights(queries, tokens)
+    weights, parts = stored(weights, "weights"), None
+    blocks = max(1, -(-weights.count() // block))
+    for i in range(blocks):
+        own = weights.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toArrow()
+        vocabulary, term = np.unique(own.column("term").to_numpy(zero_copy_only=False).astype(object), return_inverse=True)
+        names, query = np.unique(own.column("query_id").to_numpy(), return_inverse=True)
+        order = np.argsort(term, kind="stable")
+        index = (pa.array(vocabulary, pa.string()), np.searchsorted(term[order], np.arange(len(vocabulary) + 1)), query[order], own.column("weight").to_numpy()[order])
+
+        def search(batches: Iterator[pa.RecordBatch], names: np.ndarray = names, index: tuple = index) -> Iterator[pa.RecordBatch]:
+            known, edge, query, weight = index
+            best_s, best_i = np.full((len(names), 0), -np.inf), np.zeros((len(names), 0), np.int64)
+            for batch in batches:
+                for at in range(0, batch.num_rows if len(names) else 0, SCORE_ROWS):
+                    part = batch.slice(at, SCORE_ROWS)
+                    terms = part.column(1)
+                    length = np.diff(terms.offsets.to_numpy())
+                    code = pc.index_in(terms.flatten(), known).fill_null(-1).to_numpy()
+                    row = np.repeat(np.arange(len(length)), length)[code >= 0]
+                    pair, tf = np.unique(code[code >= 0].astype(np.int64) * len(length) + row, return_counts=True)
+                    term, row = pair // len(length), pair % len(length)
+                    gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / max(mean, 1e-30)))
+                    s, hit = np.zeros((len(names), len(length))), np.zeros((len(names), len(length)), bool)
+                    cut = np.flatnonzero(np.diff(term, prepend=-1))
+                    for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(term)], strict=True):
+                        q = slice(edge[term[x]], edge[term[x] + 1])
+                        where = np.ix_(query[q], row[x:y])
+                        s[where] += np.outer(weight[q], gain[x:y])
+                        hit[where] = True
+                    s = np.concatenate([best_s, np.where(hit, s.round(6), -np.inf)], axis=1)
+                    ids = np.concatenate([best_i, np.broadcast_to(part.column(0).to_numpy(), s[:, best_s.shape[1] :].shape)], axis=1)
+                    order = np.lexsort((ids, -s), axis=1)[:, :k]
+                    best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(ids, order, 1)
+            on = best_s > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(names[:, None], on.shape)[on]), pa.array(best_i[on]), pa.array(best_s[on])], names=["query_id", "id", "score"])
+
+        found = tokens.select(F.col("id").cast("long"), "terms").mapInArrow(search, "query_id long, id long, score double")
+        found = stored(found, "bm25") if blocks > 1 else found
+        parts = found if parts is None else parts.unionByName(found)
+    return topk(parts, k)
 
 
 def topk(scored: DataFrame, k: int, rank: str = "rank") -> DataFrame:
@@ -93,6 +144,18 @@ def fused_rank(fused: DataFrame, score: str = "rrf") -> DataFrame:
     return fused.withColumn("rank", F.row_number().over(order))
 
 
+def reranked(ranked: DataFrame, queries: DataFrame, rows: DataFrame, factory: Callable[[], Provider], k: int) -> DataFrame:
+    """(query_id, id, score, rank): ranked rows (query_id, id, rank) in the order of a provider's scores of (query, text).
+
+    Scores have six places; ties as they came. A pair that the provider fails on has none and comes last.
+    """
+    texts = ranked.select("query_id", "id", F.col("rank").alias("came")).join(queries.select("query_id", F.col("text").alias("query")), "query_id").join(rows.select("id", "text"), "id")
+    scored = provided(texts.select("query_id", "id", "came", F.array("query", "text").alias("pair")), "pair", "score", "double", factory)
+    w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "came")
+    rounded = scored.select("query_id", "id", "came", F.round("score", 6).alias("score"))
+    return rounded.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "id", "score", "rank")
+
+
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return F.lit(6371.0) * 2 * F.atan2(F.sqrt(a), F.sqrt(1 - a))
@@ -126,10 +189,15 @@ def confidence(scored: DataFrame) -> DataFrame:
     return out.select("query_id", "n", value.alias("confidence"), level.alias("level"), F.round(F.col("s0") - F.col("s1"), 4).alias("score_gap"))
 
 
-def balanced(ranked: DataFrame, top_k: int, per_group: int, group: str = "city") -> DataFrame:
-    """At least per_group rows of each group where there are, then the best others up to top_k, in order of rank."""
+def balanced(ranked: DataFrame, top_k: int, per_group: int, group: str = "city", slices: int = 64) -> DataFrame:
+    """At least per_group rows of each group where there are, then the best others up to top_k, in order of rank.
+
+    What can be chosen is cut out first, slice by slice: no group or query is sorted as a whole.
+    """
+    part = Window.partitionBy("query_id", group, F.pmod("rank", F.lit(slices))).orderBy("rank")
     own = Window.partitionBy("query_id", group).orderBy("rank")
     fill = Window.partitionBy("query_id").orderBy(F.desc("reserved"), "rank")
-    marked = ranked.withColumn("reserved", F.row_number().over(own) <= per_group)
+    able = ranked.withColumn("reserved", F.row_number().over(part) <= per_group).filter(F.col("reserved") | (F.col("rank") <= top_k))
+    marked = able.withColumn("reserved", F.row_number().over(own) <= per_group)
     chosen = marked.withColumn("turn", F.row_number().over(fill)).filter(F.col("turn") <= top_k)
     return chosen.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).drop("turn")

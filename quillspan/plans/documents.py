@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import text_ops as X
+from ..operators.numbering import carried, numbered
 from ..sources import tables as S
 from .kit import Plans
 
@@ -152,8 +153,8 @@ def doc_text(spark: SparkSession, d: str) -> DataFrame:
 
 @P.query("evidence_ids", "SELECT doc_id, 'E' || row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS evidence_id FROM documents")
 def evidence_ids(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("source", "lang").orderBy("doc_id")
-    return docs(spark, d).select("doc_id", F.concat(F.lit("E"), F.row_number().over(w)).alias("evidence_id"))
+    n = numbered(docs(spark, d).select("doc_id", "source", "lang"), ["source", "lang"], [F.col("doc_id")], "n")
+    return n.select("doc_id", F.concat(F.lit("E"), "n").alias("evidence_id"))
 
 
 @P.query("date_range", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 9 AS INTEGER) AS VARCHAR) AS end_date, o_orderkey % 9 + 1 AS duration FROM orders")
@@ -189,9 +190,8 @@ def metadata_limits(spark: SparkSession, d: str) -> DataFrame:
 def merge_unique(spark: SparkSession, d: str) -> DataFrame:
     """Groups of results in order, the first occurrence of an id counts; its place there is its rank."""
     x = docs(spark, d).select("source", F.col("lang").alias("task"), (F.col("doc_id") % 97).alias("id"), "doc_id")
-    seq = F.struct(F.col("task"), F.row_number().over(Window.partitionBy("source", "task").orderBy("doc_id")).alias("r"))
-    f = x.withColumn("seq", seq).groupBy("source", "id").agg(F.min("seq").alias("seq"), F.array_join(F.sort_array(F.collect_set("task")), ",").alias("tasks"))
-    return f.select("source", "id", "tasks", F.row_number().over(Window.partitionBy("source").orderBy("seq")).alias("position"))
+    f = x.withColumn("seq", F.struct("task", "doc_id")).groupBy("source", "id").agg(F.min("seq").alias("seq"), F.array_join(F.sort_array(F.collect_set("task")), ",").alias("tasks"))
+    return numbered(f, ["source"], [F.col("seq")], "position").select("source", "id", "tasks", "position")
 
 
 @P.query("dedup_blocks", f"WITH b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS b, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), f AS (SELECT doc_id, md5(b) AS k, min(pos) AS pos FROM b WHERE trim(b) <> '' GROUP BY ALL) SELECT doc_id, count(*) AS blocks, sum(pos)::BIGINT AS places FROM f GROUP BY doc_id")
@@ -228,16 +228,14 @@ def rank_lists(spark: SparkSession, d: str) -> DataFrame:
 
 @P.query("carry_forward", f"SELECT chunk_id, lag(place_type) OVER w AS previous, last_value(place_type IGNORE NULLS) OVER (PARTITION BY city, country ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM {CH} WINDOW w AS (PARTITION BY city, country ORDER BY chunk_id)")
 def carry_forward(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("city", "country").orderBy("chunk_id")
-    known = F.last("place_type", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return S.chunks(spark, d).select("chunk_id", F.lag("place_type").over(w).alias("previous"), known.alias("known"))
+    c = S.chunks(spark, d).select("chunk_id", "city", "country", "place_type")
+    return carried(c, ["city", "country"], ["chunk_id"], "place_type").select("chunk_id", "previous", "known")
 
 
 @P.query("batch_items", "WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT doc_id, source, CASE WHEN n > 12 AND n % 12 > 0 AND n % 12 < 4 AND i // 12 = n // 12 THEN i // 12 - 1 ELSE i // 12 END AS batch FROM r")
 def batch_items(spark: SparkSession, d: str) -> DataFrame:
     """Batches of twelve; a last one of under four joins the one before."""
-    w = Window.partitionBy("source")
-    r = docs(spark, d).select("doc_id", "source", (F.row_number().over(w.orderBy("doc_id")) - 1).cast("long").alias("i"), F.count(F.lit(1)).over(w).alias("n"))
+    r = numbered(docs(spark, d).select("doc_id", "source"), ["source"], [F.col("doc_id")], "i", "n").withColumn("i", F.col("i") - 1)
     b = F.floor(F.col("i") / 12)
     last = (F.col("n") > 12) & (F.col("n") % 12 > 0) & (F.col("n") % 12 < 4) & (b == F.floor(F.col("n") / 12))
     return r.select("doc_id", "source", F.when(last, b - 1).otherwise(b).alias("batch"))

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
+from ..operators.numbering import numbered
 from ..sources import tables as S
+from ..sources.providers import overlap_reranker
 from .kit import Plans
 
 P = Plans()
@@ -17,13 +19,13 @@ NOW = "2026-01-01 00:00:00"
 _VEC = """vq AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0),
 vs AS (SELECT query_id, vec_id AS id, round(round(list_dot_product(qv::DOUBLE[], embedding::DOUBLE[]) / (sqrt(list_dot_product(qv::DOUBLE[], qv::DOUBLE[])) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 9), 6) AS score FROM vq, embeddings),
 vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM vs)"""
-#: Text queries are the items of the benchmark, a stated set of bounded texts, each against all documents.
+#: Text queries are the documents whose id is divisible by 50, each against all documents.
 _TOKENS = "list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda t: t <> '')"
 _BM25 = f"""dt AS (SELECT doc_id AS id, unnest({_TOKENS}) AS term FROM documents),
 tf AS (SELECT id, term, count(*) AS tf FROM dt GROUP BY ALL), dl AS (SELECT doc_id AS id, len({_TOKENS}) AS dl FROM documents),
 tot AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, tot), mean AS (SELECT avg(raw) AS m FROM raw),
-qt AS (SELECT item_id AS query_id, unnest({_TOKENS}) AS term FROM benchmark), qc AS (SELECT query_id, term, count(*) AS times FROM qt GROUP BY ALL),
+qt AS (SELECT doc_id AS query_id, unnest({_TOKENS}) AS term FROM documents WHERE doc_id % 50 = 0), qc AS (SELECT query_id, term, count(*) AS times FROM qt GROUP BY ALL),
 bs AS (SELECT query_id, id, round(sum(times * CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
  FROM qc JOIN raw USING (term) JOIN tf USING (term) JOIN dl USING (id), tot, mean GROUP BY query_id, id),
 br AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bs)"""
@@ -35,17 +37,17 @@ def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def vector_ranks(spark: SparkSession, d: str, k: int) -> DataFrame:
-    """Ranked by the score to six places, ties by id: enough rows are kept for ties to be told apart."""
-    return R.topk(R.vector_topk(*vectors(spark, d), k + 20).select("query_id", "id", F.round("score", 6).alias("score")), k)
+    """Ranked by the score to six places, ties by id."""
+    return R.vector_topk(*vectors(spark, d), k)
 
 
 def text_queries(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    q = S.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return q, S.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    rows = S.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return rows.filter("id % 50 = 0").withColumnRenamed("id", "query_id"), rows
 
 
 def lexical_ranks(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return R.topk(R.bm25_scores(*text_queries(spark, d)), k)
+    return R.bm25_topk(*text_queries(spark, d), k)
 
 
 @P.query("vector_topk_cosine", f"WITH {_VEC} SELECT query_id, id, score, rank FROM vr WHERE rank <= 30")
@@ -94,28 +96,25 @@ def hybrid_retrieval(spark: SparkSession, d: str) -> DataFrame:
     return R.fused_rank(scored, "score").filter("rank <= 8").select("query_id", "id", "city", "score", "rank")
 
 
-@P.query("rerank_topk", f"""WITH {_BM25}, c AS (SELECT query_id, id, br.rank AS fused_rank, list_distinct(regexp_split_to_array(lower(b.text), '[^a-z0-9]+')) AS qa, list_distinct(regexp_split_to_array(lower(d.text), '[^a-z0-9]+')) AS da
-FROM br JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = id WHERE br.rank <= 20),
-s AS (SELECT query_id, id, fused_rank, round(len(list_intersect(qa, da)) / len(qa), 6) AS score FROM c)
+_BAG = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[ \\t\\n\\x0b\\f\\r]+'), lambda t: t <> ''))"
+
+
+@P.query("rerank_topk", f"""WITH {_BM25}, c AS (SELECT query_id, id, br.rank AS fused_rank, {_BAG.format("b.text")} AS qa, {_BAG.format("d.text")} AS da
+FROM br JOIN documents b ON b.doc_id = query_id JOIN documents d ON d.doc_id = id WHERE br.rank <= 20),
+s AS (SELECT query_id, id, fused_rank, round(len(list_intersect(qa, da)) / greatest(1, len(qa)), 6) AS score FROM c)
 SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fused_rank) AS rank FROM s) WHERE rank <= 8""")
 def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The deterministic default reranker: the share of the query's words that the text has; ties as they came."""
+    """The reranker, a provider of scores for pairs of texts, orders the best twenty; ties as they came, eight stay."""
     q, rows = text_queries(spark, d)
-    words = lambda c: F.array_distinct(F.split(F.lower(c), "[^a-z0-9]+", -1))
-    top = lexical_ranks(spark, d, 20).select("query_id", "id", F.col("rank").alias("fused_rank"))
-    pairs = top.join(q.select("query_id", words(F.col("text")).alias("qa")), "query_id").join(rows.select("id", words(F.col("text")).alias("da")), "id")
-    scored = pairs.withColumn("score", F.round(F.size(F.array_intersect("qa", "da")) / F.size("qa"), 6))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "fused_rank")
-    return scored.withColumn("rank", F.row_number().over(w)).filter("rank <= 8").select("query_id", "id", "score", "rank")
+    return R.reranked(lexical_ranks(spark, d, 20), q, rows, overlap_reranker, 8)
 
 
 _RANKED = f"SELECT lang AS query_id, doc_id AS chunk_id, source AS city, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents"
 
 
 def ranked_chunks(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc("n_chars"), "chunk_id")
     docs = S.read(spark, d, "documents").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("chunk_id"), F.col("source").alias("city"), "n_chars")
-    return docs.withColumn("rank", F.row_number().over(w)).drop("n_chars")
+    return numbered(docs, ["query_id"], [F.desc("n_chars"), F.asc("chunk_id")]).drop("n_chars")
 
 
 def _balance_sql(src: str, top: int, per: int) -> str:
