@@ -2,8 +2,9 @@
 
 Exact copies are one text, by 128 bits. Candidate pairs come from two searches, and all are verified in the same way:
 
-1. SimHash by the generalised pigeonhole principle, as in simhash.py, over fingerprints of word pairs. It links what is
-   plainly alike, with fewer links than texts, so that a group of very many near copies is connected by few comparisons.
+1. Early ones, fewer than a fixed number for each text, that connect a group of very many near copies: by SimHash and the
+   generalised pigeonhole principle, as in simhash.py, over fingerprints of word pairs; and each text with the next
+   larger one that has one of its least shingle hashes.
 2. A prefix-filter join of all distinct texts on the rarest shingles of each. Two texts of the likeness share one of
    them, whatever the edits between them; pairs that are connected already are left out. So no link is lost.
 """
@@ -25,11 +26,14 @@ from .components import connected
 SHINGLE, LIKENESS = 5, 0.8
 #: Words in a fingerprint's feature; bits in which a pair's fingerprints may differ to be verified early.
 FEATURE, TAU = 2, 4
+#: Least hashes of a text by which it meets its neighbours early.
+LEAST = 8
 #: Shingles are counted in 2^this buckets, over all texts: the order of rareness.
 BUCKET_BITS = 18
-#: Texts and shingles on each side of a task's comparisons, and rows of a shingle that are paired at once; more are dealt
-#: to pairs of blocks.
-BLOCK_TEXTS, BLOCK_SHINGLES, KEY_ROWS = 128, 1 << 22, 1024
+#: Texts and shingles on each side of a task's comparisons.
+BLOCK_TEXTS, BLOCK_SHINGLES = 128, 1 << 22
+#: Rows of a shingle that are paired as they come; more are told apart by bitmaps of so many bits, in blocks of so many rows.
+RUN_ROWS, BITMAP, CELL_ROWS = 8, 1024, 1024
 
 
 def shingle_set(text: str, n: int = SHINGLE) -> np.ndarray:
@@ -74,27 +78,38 @@ def prefix_of(shingles: np.ndarray, order: np.ndarray) -> bytes:
     return shingles[np.argsort(rank, kind="stable")[:wanted]].astype("<u8").tobytes()
 
 
+def bitmap_of(shingles: np.ndarray) -> bytes:
+    """A bit for each remainder of the hashes: is it that of an odd number of shingles? Two bitmaps differ in at most as
+    many bits as the sets differ in shingles, so they bound what the sets can have in common."""
+    odd = np.bincount((shingles % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
 def text_key(text: Column) -> list[Column]:
     """128 bits that stand for a text."""
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")]
 
 
 def distinct_texts(docs: DataFrame, order: np.ndarray) -> DataFrame:
-    """h1, h2, node (a number), least (doc_id), fp, size (distinct shingles) and prefix of each distinct text."""
+    """h1, h2, node (a number), least (doc_id), fp, size (distinct shingles), prefix, least_hashes and bitmap
+    of each distinct text."""
 
     def mark(texts: list[str]) -> list[pa.Array]:
-        fp, size, prefix = [], [], []
+        fp, size, prefix, least, bits = [], [], [], [], []
         for t in texts:
             hashed = word_hashes(words_of(t))
             pairs, shingles = shingle_hashes(hashed, FEATURE), np.unique(shingle_hashes(hashed, SHINGLE))
             fp.append(simhash.majority(simhash.bit_sums(pairs), len(pairs)))
             size.append(len(shingles))
             prefix.append(prefix_of(shingles, order))
-        return [pa.array(fp, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.binary())]
+            least.append(shingles[:LEAST].view(np.int64).tolist())
+            bits.append(bitmap_of(shingles))
+        return [pa.array(fp, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.binary()), pa.array(least, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
 
     rows = docs.select("doc_id", *text_key(text_of()), F.col("text").alias("text"))
-    marked = map_texts(rows, mark, {"fp": ("long", pa.int64()), "size": ("long", pa.int64()), "prefix": ("binary", pa.binary())}, keep=["doc_id", "h1", "h2"])
-    firsts = [F.first(c).alias(c) for c in ("fp", "size", "prefix")]
+    made = {"fp": ("long", pa.int64()), "size": ("long", pa.int64()), "prefix": ("binary", pa.binary()), "least_hashes": ("array<long>", pa.list_(pa.int64())), "bitmap": ("binary", pa.binary())}
+    marked = map_texts(rows, mark, made, keep=["doc_id", "h1", "h2"])
+    firsts = [F.first(c).alias(c) for c in made]
     texts = marked.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), *firsts)
     return materialize(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
 
@@ -114,6 +129,26 @@ def fingerprint_pairs(texts: DataFrame) -> DataFrame:
     return simhash.verified_links(dealt, near_by_fingerprint, "node").select(F.col("u").alias("key"), "u", "v")
 
 
+def neighbour_pairs(texts: DataFrame) -> DataFrame:
+    """(key, u, v): texts that have one of their least hashes in common and follow one another by size, of equal size by
+    a hash. One pair a row at most: sorted ranges stream by, however many texts have a hash. texts: node, size, least_hashes.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.zeros((0, 3), np.int64)
+        for batch in batches:
+            x = np.concatenate([last, np.column_stack([batch.column(i).to_numpy() for i in range(3)])])
+            a, b = x[:-1], x[1:]
+            on = (a[:, 0] == b[:, 0]) & (a[:, 2] != b[:, 2]) & (a[:, 1] >= LIKENESS * b[:, 1] - 1e-9)
+            u, v = np.minimum(a[on, 2], b[on, 2]), np.maximum(a[on, 2], b[on, 2])
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(u), pa.array(v)], names=["key", "u", "v"])
+            last = x[-1:]
+
+    rows = texts.select(F.explode("least_hashes").alias("hash"), "size", "node").withColumn("tie", F.xxhash64("node", "hash"))
+    runs = rows.repartitionByRange("hash", "size", "tie").sortWithinPartitions("hash", "size", "tie")
+    return runs.select("hash", "size", "node").mapInArrow(work, "key long, u long, v long")
+
+
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Columns node, root, size, place of the shared shingle: are the texts not connected yet, and may they be alike?"""
     small, large = np.minimum(a[..., 2], b[..., 2]), np.maximum(a[..., 2], b[..., 2])
@@ -122,45 +157,44 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[..., 1] != b[..., 1]) & (small >= LIKENESS * large - 1e-9) & (both >= least - 1e-6)
 
 
-def pairs_of_run(rows: np.ndarray, others: np.ndarray | None = None) -> Iterator[np.ndarray]:
-    """(node, node) of rows that may be alike, among rows or between them and others; those of other sizes aren't looked at."""
-    pool = rows[np.argsort(rows[:, 2], kind="stable")]
-    rows = pool if others is None else others
-    sizes = pool[:, 2]
-    upto = np.searchsorted(sizes, rows[:, 2] / LIKENESS + 1e-6, side="right")
-    since = np.searchsorted(sizes, LIKENESS * rows[:, 2] - 1e-6) if others is not None else np.arange(1, len(rows) + 1)
-    for i in range(len(rows)):
-        part = pool[since[i] : upto[i]]
-        near = part[alike(part, rows[i]), 0]
-        if len(near):
-            yield np.column_stack([np.full(len(near), rows[i, 0]), near])
-
-
 def pairs_of_keys(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, u, v) of the rows (key, node, root, size, place), sorted by key; and the rows of keys of over KEY_ROWS."""
+    """(key, u, v) of the rows (key, node, root, size, place), sorted by key; and the rows of keys of over RUN_ROWS that
+    have several roots."""
     edge = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0], [True]]))
-    sizes, out, hot, own = np.diff(edge), [np.zeros((0, 3), np.int64)], [rows[:0]], np.ascontiguousarray(rows[:, 1:])
-    for s in np.unique(sizes):
+    sizes, out, own = np.diff(edge), [np.zeros((0, 3), np.int64)], np.ascontiguousarray(rows[:, 1:])
+    for s in range(2, RUN_ROWS + 1):
         starts = edge[:-1][sizes == s]
-        if s == 1:
-            continue
-        if s > 32:
-            for a in starts.tolist():
-                if s > KEY_ROWS:
-                    hot.append(rows[a : a + s])
-                elif (own[a : a + s, 1] != own[a, 1]).any():
-                    out += [np.column_stack([np.full(len(x), rows[a, 0]), x]) for x in pairs_of_run(own[a : a + s])]
-            continue
         i, j = np.triu_indices(s, 1)
-        for part in np.array_split(starts, max(1, len(starts) * len(i) >> 18)):
-            g, k = np.nonzero(alike(own[part[:, None] + i], own[part[:, None] + j]))
-            out.append(np.column_stack([rows[part[g], 0], own[part[g] + i[k], 0], own[part[g] + j[k], 0]]))
-    return np.concatenate(out), np.concatenate(hot)
+        g, k = np.nonzero(alike(own[starts[:, None] + i], own[starts[:, None] + j]))
+        out.append(np.column_stack([rows[starts[g], 0], own[starts[g] + i[k], 0], own[starts[g] + j[k], 0]]))
+    if not len(rows):
+        return out[0], rows
+    several = np.minimum.reduceat(own[:, 1], edge[:-1]) != np.maximum.reduceat(own[:, 1], edge[:-1])
+    return np.concatenate(out), rows[np.repeat((sizes > RUN_ROWS) & several, sizes)]
+
+
+def pairs_of_cell(rows: np.ndarray, bits: np.ndarray, first: np.ndarray, within: bool) -> np.ndarray:
+    """(node, node) that may be alike by their sizes, places and bitmaps: of the rows marked first and the others, or among
+    all if within. rows: node, root, size, place."""
+    order = np.argsort(rows[:, 2], kind="stable")
+    rows, bits, first = rows[order], bits[order], first[order]
+    asked = np.arange(len(rows)) if within else np.flatnonzero(first)
+    pool = asked if within else np.flatnonzero(~first)
+    own, own_bits, sizes = rows[pool], bits[pool], rows[pool, 2]
+    until = np.searchsorted(sizes, rows[asked, 2] / LIKENESS + 1e-6, side="right")
+    since = asked + 1 if within else np.searchsorted(sizes, LIKENESS * rows[asked, 2] - 1e-6)
+    out = [np.zeros((0, 2), np.int64)]
+    for i, a, b in zip(asked, since, until, strict=True):
+        near = a + np.flatnonzero(alike(own[a:b], rows[i]))
+        apart = np.bitwise_count(own_bits[near] ^ bits[i]).sum(1)
+        near = near[apart <= (1 - LIKENESS) / (1 + LIKENESS) * (own[near, 2] + rows[i, 2]) + 1e-6]
+        out.append(np.column_stack([np.full(len(near), rows[i, 0]), own[near, 0]]))
+    return np.concatenate(out)
 
 
 def prefix_pairs(texts: DataFrame) -> DataFrame:
     """(key, u, v), u < v: every pair of texts of the likeness whose roots differ is among them, once, with a shingle that
-    both have. texts: node, root, size, prefix."""
+    both have. texts: node, root, size, prefix, bitmap."""
     columns = ["key", "node", "root", "size", "place"]
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +228,7 @@ def prefix_pairs(texts: DataFrame) -> DataFrame:
             cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
             yield packed(*pairs_of_keys(rows[:cut]))
             held, passed = rows[cut:], None
-            if len(held) > KEY_ROWS:
+            if len(held) > CELL_ROWS:
                 yield packed(none, held)
                 held, passed = held[:0], held[0, 0]
         yield packed(*pairs_of_keys(held))
@@ -202,34 +236,34 @@ def prefix_pairs(texts: DataFrame) -> DataFrame:
     rows = texts.select("node", "root", "size", "prefix").mapInArrow(explode, ", ".join(f"{c} long" for c in columns))
     runs = rows.repartition("key").sortWithinPartitions("key")
     found = materialize(runs.mapInArrow(work, "hot long, " + ", ".join(f"{c} long" for c in columns)), "prefixes")
-    # Rows of frequent shingles: every block of a key's rows meets every other in a task of their own.
-    hot = found.filter("hot = 1").select(*columns)
-    load = hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / KEY_ROWS).cast("int").alias("blocks"), F.min("root").alias("a"), F.max("root").alias("z"))
+    # Rows of shared shingles: every block of a key's rows meets every other, all in tasks of their own.
+    shared = found.filter("hot = 1").select(*columns)
+    load = shared.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("blocks"), F.min("root").alias("a"), F.max("root").alias("z"))
     load = load.filter("a < z").select("key", "blocks")  # one root: all are connected
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = hot.join(load, "key").withColumn("block", block).withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select(F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", *columns)
+    dealt = shared.join(load, "key").withColumn("block", block).withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select(F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", *columns).join(texts.select("node", "bitmap"), "node")
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted runs of (key, i, j): the cells of a key's blocks, each of two blocks' rows at most."""
 
-        def pairs(x: np.ndarray) -> pa.RecordBatch:
-            x = x[np.argsort(x[:, 2] != x[:, 0], kind="stable")]
-            first = int((x[:, 2] == x[:, 0]).sum())
-            made = np.concatenate([np.zeros((0, 2), np.int64), *pairs_of_run(x[:first, 4:], x[first:, 4:] if x[0, 0] != x[0, 1] else None)])
+        def pairs(x: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+            made = pairs_of_cell(x[:, 4:], bits, x[:, 2] == x[:, 0], x[0, 0] == x[0, 1])
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(made), x[0, 3])), pa.array(made.min(1, initial=np.iinfo(np.int64).max)), pa.array(made.max(1, initial=-1))], names=["key", "u", "v"])
 
-        held = np.zeros((0, 8), np.int64)
+        held, bits = np.zeros((0, 8), np.int64), np.zeros((0, BITMAP // 64), np.uint64)
         for batch in batches:
-            held = np.concatenate([held, np.column_stack([c.to_numpy().astype(np.int64) for c in batch.columns])])
+            held = np.concatenate([held, np.column_stack([c.to_numpy().astype(np.int64) for c in batch.columns[:-1]])])
+            bits = np.concatenate([bits, np.frombuffer(b"".join(batch.columns[-1].to_pylist()), np.uint64).reshape(-1, BITMAP // 64)])
             edge = np.flatnonzero((held[1:, [0, 1, 3]] != held[:-1, [0, 1, 3]]).any(1)) + 1
-            for x in np.split(held, edge)[:-1]:
-                yield pairs(x)
-            held = held[edge[-1] :] if len(edge) else held
+            for a, b in zip([0, *edge[:-1]], edge, strict=False):
+                yield pairs(held[a:b], bits[a:b])
+            held, bits = (held[edge[-1] :], bits[edge[-1] :]) if len(edge) else (held, bits)
         if len(held):
-            yield pairs(held)
+            yield pairs(held, bits)
 
-    frequent = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(cells, "key long, u long, v long")
+    ordered = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("i", "j", "block", *columns, "bitmap")
+    frequent = ordered.mapInArrow(cells, "key long, u long, v long")
     pairs = found.filter("hot = 0").select("key", F.col("node").alias("u"), F.col("root").alias("v")).unionByName(frequent)
     return pairs.groupBy("u", "v").agg(F.min("key").alias("key"))
 
@@ -239,7 +273,7 @@ def prefix_pairs(texts: DataFrame) -> DataFrame:
 def sets_of(wanted: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
     """node, size and set (its shingles) of the wanted nodes, each read from the rows of its least id."""
     held = docs.select(F.col("doc_id").alias("id"), *text_key(text_of()), text_of().alias("text"))
-    least = wanted.join(texts.select("node", "h1", "h2", "least"), "node")
+    least = materialize(wanted.join(texts.select("node", "h1", "h2", "least"), "node"), "wanted")  # of a known size: a small one is broadcast
     found = least.join(held, ["h1", "h2"]).filter(F.col("least").eqNullSafe(F.col("id"))).select("node", "text")
     made = map_texts(found, lambda ts: [pa.array([shingle_set(t).tobytes() for t in ts], pa.binary())], {"set": ("binary", pa.binary())}, keep=["node"])
     return materialize(made.select("node", (F.octet_length("set") / 8).cast("long").alias("size"), "set"), "sets")
@@ -260,7 +294,8 @@ def verify_pairs(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFra
     at = [F.pmod(F.xxhash64(c), "blocks") for c in ("u", "v")]
     cells = materialize(dealt.select("key", F.least(*at).alias("i"), F.greatest(*at).alias("j"), "u", "v"), "cells")
     asked = [cells.select("key", "i", "j", F.col(c).alias("node")) for c in ("u", "v")]
-    held = asked[0].unionByName(asked[1]).distinct().join(sets.select("node", "set"), "node")
+    asked = materialize(asked[0].unionByName(asked[1]).distinct(), "asked")
+    held = asked.join(sets.select("node", "set"), "node")
     rows = held.select("key", "i", "j", F.lit(-1).cast("long").alias("u"), F.col("node").alias("v"), "set")
     rows = rows.unionByName(cells.withColumn("set", F.lit(None).cast("binary")))
 
@@ -294,16 +329,16 @@ def verify_pairs(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFra
 def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     """h1, h2, least (doc_id) and root of each distinct text: texts that links of the likeness connect share a root."""
     texts = distinct_texts(docs, bucket_counts(docs))
-    early = verify_pairs(fingerprint_pairs(texts), texts, docs)
-    rooted = with_roots(texts, early)
+    early = verify_pairs(fingerprint_pairs(texts).unionByName(neighbour_pairs(texts)), texts, docs)
+    rooted = with_roots(texts.select("node", "size", "prefix", "bitmap"), early)
     links = early.unionByName(verify_pairs(prefix_pairs(rooted), texts, docs))
-    return with_roots(texts, links).select("h1", "h2", "least", "root")
+    return with_roots(texts.select("h1", "h2", "least", "node"), links).select("h1", "h2", "least", "root")
 
 
 def with_roots(texts: DataFrame, links: DataFrame) -> DataFrame:
     """texts with root, the least node that links connect a node to."""
     stars = connected(links).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return materialize(texts.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    return texts.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -105,9 +105,20 @@ def test_links_in_large_candidate_groups_are_kept(spark):
 
 
 def test_frequent_shingles_lose_no_pair(spark):
-    common = " ".join(f"c{i}" for i in range(14))
+    common = " ".join(f"c{i}" for i in range(24))
     order = np.zeros(1 << N.BUCKET_BITS, np.uint32)
-    sets = [N.shingle_set(f"{common} x{i}") for i in range(N.KEY_ROWS + 100)]
-    rows = [(i, i, len(s), N.prefix_of(s, order)) for i, s in enumerate(sets)]
-    found = N.prefix_pairs(spark.createDataFrame(rows, "node long, root long, size long, prefix binary"))
-    assert found.count() == len(rows) * (len(rows) - 1) // 2
+    sets = [N.shingle_set(f"{common} x{i}") for i in range(N.CELL_ROWS + 100)]
+    rows = [(i, i, len(s), bytearray(N.prefix_of(s, order)), bytearray(N.bitmap_of(s))) for i, s in enumerate(sets)]
+    found = N.prefix_pairs(spark.createDataFrame(rows, "node long, root long, size long, prefix binary, bitmap binary"))
+    assert N.likeness(sets[0], sets[1]) >= 0.8 and found.count() == len(rows) * (len(rows) - 1) // 2
+    joined = [(i, 7, *r[2:]) for i, r in enumerate(rows)]  # one root: nothing is left to find
+    assert N.prefix_pairs(spark.createDataFrame(joined, "node long, root long, size long, prefix binary, bitmap binary")).count() == 0
+
+
+def test_bitmaps_bound_what_sets_have_in_common():
+    r = np.random.default_rng(2)
+    for n in (0, 3, 80, 3000):
+        a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: len(a) // 2], r.integers(0, 1 << 63, n // 3, dtype=np.uint64)]))
+        x, y = (np.frombuffer(N.bitmap_of(z), np.uint64) for z in (a, b))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
