@@ -62,14 +62,21 @@ def noise_chunk(text: Column) -> Column:
     return headings | (bare == "") | (T.letters_ratio(text) < 0.25)
 
 
+# What lines of page furniture are, and how they start.
+PAGE_LINES = r"^(\d{1,4}|page\s+\d+(\s+of\s+\d+)?|\d+\s*/\s*\d+)$"
+FURNITURE = (
+    "table of contents$", "contents$", "index$", "references$", "bibliography$", r"copyright\b", r"all rights reserved\b", r"printed in\b", r"downloaded from\b", r"source:\s*$",
+    r"website:\s*$", r"email:\s*$", r"tel:\s*$", r"phone:\s*$", r"fax:\s*$", r"follow us\b", r"visit us\b", r"click here\b", "back to top$",
+)
+FURNITURE_LINES = f"^({'|'.join(FURNITURE)})"
+
+
 def useless_line(line: Column) -> Column:
-    """Page numbers, boilerplate, and short lines of symbols; headings, bullets and numbered lines are safe."""
+    """Page numbers, furniture, and lines of at most 40 characters that are mostly symbols; headings and lists are safe."""
     t = F.trim(line)
-    safe = t.rlike(r"^(#|- |[0-9]+\. )")
-    number = t.rlike(r"^([0-9]+|(?:[pP]age )?[0-9]+ (?:of|/) [0-9]+|[pP]age [0-9]+)$")
-    boiler = F.lower(t).rlike(r"^(all rights reserved|copyright|subscribe|share this|read more|click here|cookie|terms of use|privacy policy|advertisement)")
-    symbols = F.char_length(F.regexp_replace(t, r"[A-Za-z0-9 \x{80}-\x{10ffff}]", ""))
-    return (t != "") & ~safe & (number | boiler | ((F.char_length(t) <= 40) & (symbols > 0.5 * F.char_length(t))))
+    low = F.lower(t)
+    symbols = F.char_length(F.regexp_replace(t, r"[\p{L}\p{N}\s]", ""))
+    return (t != "") & ~t.rlike(r"^(#|- |[0-9]+\.)") & (low.rlike(PAGE_LINES) | low.rlike(FURNITURE_LINES) | ((F.char_length(t) <= 40) & (symbols > 0.5 * F.char_length(t))))
 
 
 def without_useless_lines(text: Column) -> Column:
@@ -86,3 +93,33 @@ def kept_url(url: Column, host: str, prefix: str = "/", blocked: tuple[str, ...]
 def whitelisted(values: Column, vocabulary: list[str]) -> Column:
     """Values of an array that are in a vocabulary, in their order."""
     return F.filter(values, lambda v: v.isin(*vocabulary))
+
+
+def detail_url(url: Column, host: str, parameter: str) -> Column:
+    """A page of the host or one below it, whose query has the parameter, not empty."""
+    of = T.host_of(url)
+    return ((of == host) | of.endswith(f".{host}")) & url.rlike(rf"[?&]{parameter}=[^&#]")
+
+
+#: Words that are common in one language and rare in the others.
+COMMON_WORDS = {
+    "en": ("the", "of", "and", "to", "is", "that", "it", "was", "for", "with", "this", "are", "be", "at", "you", "have", "not", "or", "from", "by"),
+    "de": ("der", "die", "und", "das", "den", "von", "zu", "mit", "sich", "des", "auf", "für", "ist", "im", "dem", "nicht", "ein", "eine", "als", "auch"),
+    "fr": ("le", "la", "les", "et", "des", "que", "est", "pour", "dans", "une", "du", "qui", "pas", "sur", "au", "avec", "plus", "ou", "ne", "ce"),
+    "es": ("el", "los", "las", "y", "del", "una", "por", "con", "para", "su", "al", "lo", "como", "más", "pero", "sus", "este", "ya", "o", "fue"),
+}
+
+
+def language(text: Column) -> Column:
+    """The language most of whose common words a text has, more than any other; null for none or a tie."""
+
+    def told(words: Column) -> Column:
+        counts = {k: F.size(F.filter(words, lambda w, v=v: w.isin(*v))) for k, v in COMMON_WORDS.items()}
+        return T.let(F.array(*[F.struct(n.alias("n"), F.lit(k).alias("k")) for k, n in counts.items()]), best)
+
+    def best(counts: Column) -> Column:
+        most = F.array_max(F.transform(counts, lambda c: c["n"]))
+        first = F.filter(counts, lambda c: (c["n"] == most) & (most > 0))
+        return F.when(F.size(first) == 1, first[0]["k"])
+
+    return T.let(F.split(F.lower(text), r"[^\p{L}]+", -1), told)

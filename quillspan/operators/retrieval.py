@@ -106,8 +106,8 @@ def bm25_topk(queries: DataFrame, rows: DataFrame, k: int, k1: float = BM25_K1,
                     term, row = pair // len(length), pair % len(length)
                     gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / max(mean, 1e-30)))
                     s, hit = np.zeros((len(names), len(length))), np.zeros((len(names), len(length)), bool)
-                    cut = np.flatnonzero(np.diff(term, prepend=-1))
-                    for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(term)], strict=True):
+                    cut = [*np.flatnonzero(np.diff(term, prepend=-1)).tolist(), len(term)]
+                    for x, y in zip(cut, cut[1:], strict=False):
                         q = slice(edge[term[x]], edge[term[x] + 1])
                         where = np.ix_(query[q], row[x:y])
                         s[where] += np.outer(weight[q], gain[x:y])

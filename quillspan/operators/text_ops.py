@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import html
-import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,31 +13,6 @@ from ..functions import text as T
 SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " ", "")
 
 
-def clean_markdown(text: Column) -> Column:
-    """Line ends, tags, images, headings, emphasis, numbering, spacing and blank lines made regular, in a fixed order."""
-    steps = [
-        (r"\r\n?", "\n"), (r"(?i)<br\s*/?>", "\n"), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"<[^>\n]+>", ""), (r"(?m)^(#{1,6})([^#\s])", "$1 $2"),
-        (r"(?m)^\*\*([^*\n]+)\*\*$", "## $1"), (r"\*\*([^*\n]+)\*\*", "$1"), (r"(?<![\w*])\*([^*\n]+)\*(?![\w*])", "$1"), (r"~~([^~\n]+)~~", "$1"),
-        (r"(?m)^(\d+)[.)]\s+", "$1. "), (r"[ \t]+([,.;:!?])", "$1"), (r"[ \t]{2,}", " "), (r"(?m)^[*+]\s+", "- "), (r"(?m)^#{1,6}[ \t]*$", ""), (r"(?m)[ \t]+$", ""), (r"\n{3,}", "\n\n"),
-    ]
-    for pattern, to in steps:
-        text = F.regexp_replace(text, pattern, to)
-    return F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
-
-
-def without_repeated_lines(df: DataFrame, key: str, text: str, most_chars: int = 80, times: int = 3) -> DataFrame:
-    """df (key, text) without lines of at most most_chars that a document has times times; headings and lists stay.
-
-    Lines are counted where they are, by document: what is shuffled is the text of each document once.
-    """
-    lines = df.select(key, F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")).withColumn("bare", F.trim("line"))
-    n = F.count(F.lit(1)).over(Window.partitionBy(key, "bare"))
-    safe = F.col("bare").rlike(r"^(#|- |[0-9]+\. )") | (F.col("bare") == "")
-    kept = lines.withColumn("n", n).filter(safe | (F.char_length("bare") > most_chars) | (F.col("n") < times))
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    return df.select(key).join(kept.groupBy(key).agg(body.alias(text)), key, "left").withColumn(text, F.coalesce(text, F.lit("")))
-
-
 def word_windows(text: Column, size: int = 180, overlap: int = 40) -> Column:
     """Windows of words, each overlap words over the next; the last reaches the end of the text."""
     words = T.tokens(text)
@@ -108,85 +80,52 @@ def chunked(df: DataFrame, key: str, text: str, size: int = 1200, overlap: int =
     return df.select(key, text).mapInPandas(split, f"{key} long, chunk_index int, chunk_text string")
 
 
-def merge_short(df: DataFrame, by: str, order: str, text: str, least: int = 150, most: int = 1200) -> DataFrame:
-    """(by, position, text): pieces of under least characters join the next one, the last the one before, up to most.
+def merge_short(df: DataFrame, by: str, order: str, text: str, section: str | None = None, least: int = 150, most: int = 1200, noise: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(by, position, text): pieces of under least characters join the next one of their section, else the one before, up to
+    most; what can join neither stays, unless it is noise. Empty pieces go.
 
-    A fold over each document's pieces, in order.
+    A fold over each document's pieces, in order: the last one is undecided until the next is seen.
     """
-    pieces = F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda x: x[text])
-    empty = F.array().cast("array<string>")
+    body = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\r"))
+    head = F.coalesce(F.col(section).cast("string"), F.lit("")) if section else F.lit("")
+    pieces = F.transform(F.sort_array(F.collect_list(F.when(body != "", F.struct(F.col(order).alias("at"), head.alias("s"), body.alias("t"))))), lambda x: F.struct(x["s"].alias("s"), x["t"].alias("t")))
+    empty = F.array().cast("array<struct<s:string,t:string>>")
+
+    def fits(a: Column, b: Column) -> Column:
+        return (a["s"] == b["s"]) & (F.char_length(a["t"]) + F.char_length(b["t"]) + 2 <= most)
+
+    def both(a: Column, b: Column) -> Column:
+        return F.array(F.struct(a["s"].alias("s"), F.concat(a["t"], F.lit("\n\n"), b["t"]).alias("t")))
+
+    def decided(acc: Column) -> Column:
+        n, last, before = F.size(acc), F.try_element_at(acc, F.lit(-1)), F.try_element_at(acc, F.lit(-2))
+        short = (n > 0) & (F.char_length(last["t"]) < least)
+        left = F.when(noise(last["t"]), F.slice(acc, 1, n - 1)).otherwise(acc) if noise else acc
+        return F.when(short & (n > 1) & fits(before, last), F.concat(F.slice(acc, 1, n - 2), both(before, last))).when(short, left).otherwise(acc)
 
     def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        join = (F.size(acc) > 0) & (F.char_length(last) < least) & (F.char_length(last) + F.char_length(x) + 2 <= most)
-        return F.when(join, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, F.lit("\n\n"), x)))).otherwise(F.concat(acc, F.array(x)))
-
-    def tail(acc: Column) -> Column:
-        n, last, before = F.size(acc), F.element_at(acc, -1), F.try_element_at(acc, F.lit(-2))
-        back = (n > 1) & (F.char_length(last) < least) & (F.char_length(last) + F.char_length(before) + 2 <= most)
-        return F.when(back, F.concat(F.slice(acc, 1, n - 2), F.array(F.concat(before, F.lit("\n\n"), last)))).otherwise(acc)
-
-    return df.groupBy(by).agg(F.aggregate(pieces, empty, step, tail).alias("m")).select(by, F.posexplode("m").alias("position", text))
-
-
-class _Markdown(HTMLParser):
-    """Headings, paragraphs, list items and links of a page as Markdown; navigation, scripts and forms are left out."""
-
-    SKIP = frozenset(("script", "style", "nav", "footer", "header", "aside", "form", "noscript", "table", "svg"))
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.skip: list[str] = []
-        self.href: str | None = None
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in self.SKIP:
-            self.skip.append(tag)
-        elif self.skip:
-            return
-        elif re.fullmatch("h[1-6]", tag):
-            self.out.append("\n\n" + "#" * int(tag[1]) + " ")
-        elif tag in ("p", "div", "section", "article", "br"):
-            self.out.append("\n\n" if tag != "br" else "\n")
-        elif tag == "li":
-            self.out.append("\n- ")
-        elif tag == "a":
-            self.href = dict(attrs).get("href")
-            self.out.append("[")
-
-    def handle_endtag(self, tag: str) -> None:
-        if self.skip:
-            if tag == self.skip[-1]:
-                self.skip.pop()
-        elif tag == "a":
-            self.out.append(f"]({self.href})" if self.href else "]")
-            self.href = None
-        elif re.fullmatch("h[1-6]|p|ul|ol", tag):
-            self.out.append("\n\n")
-
-    def handle_data(self, data: str) -> None:
-        if not self.skip:
-            self.out.append(re.sub(r"\s+", " ", data))
-
-
-def page_to_markdown(page: str) -> str:
-    """Markdown of a page, each block once."""
-    p = _Markdown()
-    p.feed(page)
-    p.close()
-    seen, kept = set(), []
-    for block in re.split(r"\n{2,}", html.unescape("".join(p.out))):
-        b = "\n".join(x.strip() for x in block.split("\n")).strip()
-        if b and (b.startswith("#") or b not in seen):
-            seen.add(b)
-            kept.append(b)
-    return "\n\n".join(kept)
-
-
-def pages_to_markdown(pages: DataFrame, key: str, source: str) -> DataFrame:
-    def convert(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({key: f[key], "markdown": [page_to_markdown(x or "") for x in f[source]]})
+        last = F.try_element_at(acc, F.lit(-1))
+        forward = (F.size(acc) > 0) & (F.char_length(last["t"]) < least) & fits(last, x)
+        return F.when(forward, F.concat(F.slice(acc, 1, F.size(acc) - 1), both(last, x))).otherwise(F.concat(decided(acc), F.array(x)))
+
+    merged = F.transform(F.aggregate(pieces, empty, step, decided), lambda x: x["t"])
+    return df.groupBy(by).agg(merged.alias("m")).select(by, F.posexplode("m").alias("position", text))
+
+
+# The limits of an enrichment.
+LIMITS = {"tags": 8, "activities": 8, "styles": 4, "suitable_for": 4}
+LABEL_CHARS, SUMMARY_CHARS, REASON_CHARS = 40, 300, 250
+
+
+def limited_metadata(summary: Column, reasoning: Column, confidence: Column, **lists: Column) -> Column:
+    """A struct of an enrichment within its limits: lists by name, labels cut, a confidence from 0 to 1."""
+    short = [F.transform(F.slice(v, 1, LIMITS[k]), lambda t: F.substring(t, 1, LABEL_CHARS)).alias(k) for k, v in lists.items()]
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence))
+    return F.struct(*short, F.substring(summary, 1, SUMMARY_CHARS).alias("summary"), F.substring(reasoning, 1, REASON_CHARS).alias("reasoning"), sure.alias("confidence"))
+
 
-    return pages.select(key, source).mapInPandas(convert, f"{key} long, markdown string")
+def fallback_metadata(text: Column, reason: Column, country: str) -> Column:
+    """What stands in for an enrichment that failed."""
+    none = F.array().cast("array<string>")
+    made = limited_metadata(text, reason, F.lit(0.0), **dict.fromkeys(LIMITS, none))
+    return F.struct(F.lit(country).alias("country"), *[made[k].alias(k) for k in (*LIMITS, "summary", "reasoning", "confidence")])

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens
 from ..operators import evaluation as E
-
+from ..operators import understanding as U
 from ..sources import tables as S
+from . import understanding as Q
 from .kit import Plans
 from .retrieval import _BM25, lexical_ranks
 
@@ -211,18 +213,26 @@ def stage_metrics(spark: SparkSession, d: str) -> DataFrame:
     return metrics(spark, d).select("query_id", "pooled_recall", "pooled_precision", "mrr")
 
 
-@P.query("weak_grade", "SELECT doc_id, CASE WHEN contains(lower(text), 'thereon') THEN 3 WHEN contains(lower(text), 'ereon') THEN 2 WHEN contains(lower(text), 'reon') THEN 1 ELSE 0 END AS grade FROM documents")
+_HITS = "len(list_filter({0}, lambda v: contains(lower(said), lower(v))))"
+
+
+@P.query("weak_grade", f"""WITH h AS (SELECT conv_id, turn, role, {_HITS.format("['Hoi An', 'Hue']")} AS p, {_HITS.format("['Vietnam', 'Da Nang']")} AS l, {_HITS.format("['food', 'price', 'weather']")} AS k FROM {S.REQUESTS})
+SELECT conv_id, turn, role, CASE WHEN p > 0 THEN 3 WHEN l > 0 AND k > 0 THEN 2 WHEN l > 0 OR k >= 2 THEN 1 ELSE 0 END AS grade FROM h""")
 def weak_grade(spark: SparkSession, d: str) -> DataFrame:
-    """A place counts 3, a location 2, a keyword 1."""
-    has = lambda *w: F.exists(F.array(*[F.lit(x) for x in w]), lambda x: F.contains(F.lower("text"), x))
-    return S.read(spark, d, "documents").select("doc_id", F.when(has("thereon"), 3).when(has("ereon"), 2).when(has("reon"), 1).otherwise(0).alias("grade"))
+    """A place counts 3, a location with a keyword 2, a location or two keywords 1."""
+    names = [F.array(*[F.lit(x) for x in group]) for group in (("Hoi An", "Hue"), ("Vietnam", "Da Nang"), ("food", "price", "weather"))]
+    return S.requests(spark, d).select("conv_id", "turn", "role", E.weak_grade(F.col("said"), *names).alias("grade"))
 
 
-@P.query("weak_metrics", "SELECT source, count(*) FILTER (WHERE g >= 2) AS hits, round(count(*) FILTER (WHERE g >= 2) / count(*), 9) AS share FROM (SELECT source, CASE WHEN contains(lower(text), 'thereon') THEN 3 WHEN contains(lower(text), 'reon') THEN 2 ELSE 0 END AS g FROM documents) GROUP BY source")
+@P.query("weak_metrics")
 def weak_metrics(spark: SparkSession, d: str) -> DataFrame:
-    low = F.lower("text")
-    g = S.read(spark, d, "documents").select("source", F.when(F.contains(low, F.lit("thereon")), 3).when(F.contains(low, F.lit("reon")), 2).otherwise(0).alias("g"))
-    return g.groupBy("source").agg(F.count_if(F.col("g") >= 2).alias("hits"), F.round(F.count_if(F.col("g") >= 2) / F.count(F.lit(1)), 9).alias("share"))
+    """Lexical runs by known ids, every other query by what the texts name: its own first three words and the source."""
+    docs = S.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    run = lexical_ranks(spark, d, 10).select("query_id", "id", "rank").join(docs.select("id", "text"), "id")
+    words = F.slice(tokens(F.col("text")), 1, 3)
+    none = F.array().cast("array<bigint>")
+    own = docs.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.when(F.col("id") % 100 == 0, F.array("id", F.col("id") + 1)).otherwise(none).alias("relevant"), words.alias("places"), F.array("source").alias("locations"), words.alias("keywords"))
+    return E.weak_metrics(run, own)
 
 
 @P.query("set_f1", "WITH s AS (SELECT conv_id, list_distinct(list(role)) AS a, list_distinct(list(CASE turn % 3 WHEN 0 THEN 'user' WHEN 1 THEN 'assistant' ELSE 'tool' END)) AS b FROM conversations GROUP BY conv_id) SELECT conv_id, round(2 * len(list_intersect(a, b)) / (len(a) + len(b)), 9) AS f1 FROM s")
@@ -232,32 +242,54 @@ def set_f1(spark: SparkSession, d: str) -> DataFrame:
     return g.select("conv_id", F.round(E.set_f1(F.col("a"), F.col("b")), 9).alias("f1"))
 
 
-@P.query("intent_accuracy", f"SELECT user_id, round(avg((lower(replace(intent, '_', ' ')) = CASE WHEN missing = 0 THEN 'en' ELSE intent END)::INT), 9) AS accuracy FROM {CA} GROUP BY user_id")
+_GOLD = "CASE (conv_id * 7 + turn) % 16 WHEN 4 THEN 'Food_Search' WHEN 11 THEN 'attraction search' WHEN 12 THEN 'itinerary' WHEN 14 THEN 'food search' ELSE 'travel_information' END"
+_GOLD_OPERATION = "CASE (conv_id * 7 + turn) % 16 WHEN 4 THEN 'Compare' WHEN 12 THEN 'plan' WHEN 6 THEN 'recommend' WHEN 14 THEN 'explain' ELSE 'lookup' END"
+_FLAT = "trim(regexp_replace(replace(lower({0}), '_', ' '), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))"
+_PARSED = f"(SELECT *, CASE {Q._CASES} ELSE 'travel_information' END AS intent, {_GOLD} AS gold, list_extract(list_filter({Q._list(Q.NAMES)}, lambda n: contains(lower(said), lower(n))), -1) AS city, {_GOLD_OPERATION} AS gold_operation FROM {S.REQUESTS})"
+_OPERATED = f"(SELECT *, {Q._OPERATION} AS operation, {_GOLD_OPERATION} AS gold FROM (SELECT *, '' AS intent FROM {S.REQUESTS}))"
+
+
+@P.query("intent_accuracy", f"SELECT role, round(avg(({_FLAT.format('intent')} = {_FLAT.format('gold')})::INT), 9) AS accuracy FROM {_PARSED} GROUP BY role")
 def intent_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    from ..functions.text import canonical
+    """The offline parser's intents against the phrases' own."""
+    got = U.keyword_parse(F.col("said"), Q.NAMES, Q._RULES, "travel_information")["intent"]
+    return S.requests(spark, d).withColumn("ok", E.same(got, F.expr(_GOLD))).groupBy("role").agg(F.round(F.avg(F.col("ok").cast("int")), 9).alias("accuracy"))
+
 
-    want = F.when(F.col("missing") == 0, "en").otherwise(F.col("intent"))
-    return S.cases(spark, d).groupBy("user_id").agg(F.round(F.avg((canonical(F.col("intent")) == canonical(want)).cast("int")), 9).alias("accuracy"))
+@P.query("operation_accuracy", f"SELECT role, round(avg(({_FLAT.format('operation')} = {_FLAT.format('gold')})::INT), 9) AS accuracy FROM {_OPERATED} GROUP BY role")
+def operation_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    got = U.old_operation(F.col("said"), F.lit(""))
+    return S.requests(spark, d).withColumn("ok", E.same(got, F.expr(_GOLD_OPERATION))).groupBy("role").agg(F.round(F.avg(F.col("ok").cast("int")), 9).alias("accuracy"))
 
 
-@P.query("rewrite_concepts", "SELECT item_id, round(len(list_filter(['the', 'of', 'zebra'], lambda w: contains(lower(text), w))) / 3, 9) AS recall, contains(lower(text), 'xq') AS forbidden FROM benchmark")
+@P.query("rewrite_concepts", f"""WITH x AS (SELECT conv_id, turn, role, {_FLAT.format('said')} AS t, CASE WHEN conv_id % 2 = 0 THEN ['Hue', 'hotel'] ELSE ['Hoi_An', 'food', 'beach'] END AS req, CASE WHEN conv_id % 3 = 0 THEN [] ELSE ['luxury', 'cheap'] END AS forb FROM {S.REQUESTS}),
+h AS (SELECT *, len(list_filter(req, lambda v: contains(t, {_FLAT.format('v')}))) AS a, len(list_filter(forb, lambda v: contains(t, v))) AS b FROM x)
+SELECT conv_id, turn, role, round(a / len(req), 9) AS recall, CASE WHEN len(forb) > 0 THEN round(b / len(forb), 9) ELSE 0 END AS forbidden, a = len(req) AND b = 0 AS passed FROM h""")
 def rewrite_concepts(spark: SparkSession, d: str) -> DataFrame:
-    low = F.lower("text")
-    found = F.size(F.filter(F.array(*[F.lit(x) for x in ("the", "of", "zebra")]), lambda w: F.contains(low, w)))
-    return S.read(spark, d, "benchmark").select("item_id", F.round(found / 3, 9).alias("recall"), F.contains(low, F.lit("xq")).alias("forbidden"))
+    words = lambda *w: F.array(*[F.lit(x) for x in w]) if w else F.array().cast("array<string>")
+    x = E.concept_score(F.col("said"), F.when(F.col("conv_id") % 2 == 0, words("Hue", "hotel")).otherwise(words("Hoi_An", "food", "beach")), F.when(F.col("conv_id") % 3 == 0, words()).otherwise(words("luxury", "cheap")))
+    return S.requests(spark, d).select("conv_id", "turn", "role", F.round(x["recall"], 9).alias("recall"), F.round(x["forbidden"], 9).alias("forbidden"), x["passed"].alias("passed"))
 
 
-@P.query("parser_score", f"SELECT case_id, (intent = 'en')::INT + (user_id = 'src1')::INT + (missing = 0)::INT AS fields, intent = 'en' AND user_id = 'src1' AND missing = 0 AS exact FROM {CA}")
+@P.query("parser_score", f"""SELECT *, intent AND city AND days AS exact FROM (SELECT conv_id, turn, role, {_FLAT.format('intent')} = {_FLAT.format('gold')} AS intent, lower(city) IS NOT DISTINCT FROM lower(CASE (conv_id * 7 + turn) % 16 WHEN 0 THEN 'Hoi An' WHEN 3 THEN 'hue' WHEN 5 THEN 'Hoi An' END) AS city,
+try_cast(nullif(regexp_extract(lower(said), '(\\d+)\\s*days?\\b', 1), '') AS INTEGER) IS NOT DISTINCT FROM (CASE (conv_id * 7 + turn) % 16 WHEN 12 THEN 3 END) AS days FROM {_PARSED})""")
 def parser_score(spark: SparkSession, d: str) -> DataFrame:
-    marks = [F.col("intent") == "en", F.col("user_id") == "src1", F.col("missing") == 0]
-    return S.cases(spark, d).select("case_id", sum((m.cast("int") for m in marks[1:]), marks[0].cast("int")).alias("fields"), (marks[0] & marks[1] & marks[2]).alias("exact"))
+    """A parse against the one expected, field by field."""
+    r = S.requests(spark, d).withColumn("p", U.keyword_parse(F.col("said"), Q.NAMES, Q._RULES, "travel_information"))
+    i = (F.col("conv_id") * 7 + F.col("turn")) % 16
+    city = F.when(i == 0, "HOI_AN").when(i == 3, "hue").when(i == 5, "Hoi An")
+    x = E.field_score({"intent": (F.col("p.intent"), F.expr(_GOLD)), "city": (F.col("p.city"), city), "days": (F.col("p.days"), F.when(i == 12, 3))})
+    return r.select("conv_id", "turn", "role", x.alias("x")).select("conv_id", "turn", "role", "x.*")
 
 
-@P.query("list_prf", "WITH s AS (SELECT conv_id, list_distinct(list(role)) AS a, ['user', 'assistant'] AS b FROM conversations GROUP BY conv_id), h AS (SELECT *, len(list_intersect(a, b)) AS h FROM s) SELECT conv_id, round(h / len(a), 9) AS precision, round(h / len(b), 9) AS recall FROM h")
+@P.query("list_prf", f"""WITH s AS (SELECT conv_id, list_filter({Q._list(Q.NAMES)}, lambda n: contains(said, n)) AS a, list_filter({Q._list(Q.NAMES)}, lambda n: contains(lower(said), 'hotel') OR n = 'Hue' AND conv_id % 2 = 0) AS b, turn, role FROM {S.REQUESTS}), h AS (SELECT *, len(list_intersect(a, b)) AS h FROM s),
+q AS (SELECT *, CASE WHEN len(a) > 0 THEN h / len(a) ELSE (len(b) = 0)::INT END AS p, CASE WHEN len(b) > 0 THEN h / len(b) ELSE 1 END AS r FROM h) SELECT conv_id, turn, role, round(p, 9) AS precision, round(r, 9) AS recall, CASE WHEN p + r > 0 THEN round(2 * p * r / (p + r), 9) ELSE 0 END AS f1 FROM q""")
 def list_prf(spark: SparkSession, d: str) -> DataFrame:
-    want = F.array(F.lit("user"), F.lit("assistant"))
-    g = S.read(spark, d, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("a")).withColumn("h", F.size(F.array_intersect("a", want)))
-    return g.select("conv_id", F.round(F.col("h") / F.size("a"), 9).alias("precision"), F.round(F.col("h") / 2, 9).alias("recall"))
+    names = F.array(*[F.lit(n) for n in Q.NAMES])
+    said = F.filter(names, lambda n: F.contains(F.col("said"), n))
+    want = F.filter(names, lambda n: F.contains(F.lower("said"), F.lit("hotel")) | ((n == "Hue") & (F.col("conv_id") % 2 == 0)))
+    x = E.list_prf(said, want)
+    return S.requests(spark, d).select("conv_id", "turn", "role", *[F.round(x[k], 9).alias(k) for k in ("precision", "recall", "f1")])
 
 
 @P.query("citation_count", "SELECT conv_id, turn, role, len(regexp_extract_all(text, '\\[E[0-9]+\\]')) AS citations, len(regexp_extract_all(text, '[.]')) AS sentences FROM conversations")

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import markdown as M
+from ..operators import pages as G
 from ..operators import text_ops as X
+from ..operators.filters import noise_chunk
 from ..operators.numbering import carried, numbered
 from ..sources import tables as S
 from .kit import Plans
@@ -20,14 +23,28 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return S.read(spark, d, "documents")
 
 
+#: Text as a converter leaves it: marks around the documents' own.
+_NOISY = r"""'##Title of ' || source || chr(13) || chr(10) || '**==> picture [1 x 2] <==**' || chr(10) || '**Bold &amp; Line**' || chr(10) || '----- Start of picture text -----' || chr(10) || left(text, 120) || chr(10) || '----- End of picture text -----' || chr(10) || text || chr(10) || '3 Name of it' || chr(10) || '<b>tag</b> *it* snake_case_x  ~~no~~ ,' || chr(10) || '• item'"""
+
+
 @P.query("clean_markdown")
 def clean_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("doc_id", F.md5(X.clean_markdown(F.col("text"))).alias("cleaned"))
+    noisy = docs(spark, d).select("doc_id", F.expr(_NOISY).alias("markdown"))
+    return M.cleaned(noisy, "markdown").select("doc_id", F.md5("markdown").alias("cleaned"))
+
+
+@P.query("picture_blocks", r"""WITH f AS (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(left(text, 40 + doc_id % 400) || ' .', chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS body FROM documents),
+g AS (SELECT *, trim(regexp_replace(body, '[ \t\n\x0b\f\r]+', ' ', 'g')) AS flat FROM f)
+SELECT doc_id, md5('intro' || CASE WHEN length(flat) >= 80 AND length(regexp_replace(flat, '[^\pL]', '', 'g')) / length(flat) >= 0.35 THEN chr(10) || chr(10) || '### Image OCR Text' || chr(10) || chr(10) || body || chr(10) || chr(10) ELSE chr(10) END || 'end') AS block FROM g""")
+def picture_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Text read from pictures stays, under a heading, if it is long enough and mostly letters."""
+    marked = F.concat(F.lit("intro\n**----- Start of picture text -----**\n"), F.expr("left(text, cast(40 + doc_id % 400 as int)) || ' .'"), F.lit("\n--- END OF PICTURE TEXT ---\nend"))
+    return docs(spark, d).select("doc_id", F.md5(M.picture_blocks(marked)).alias("block"))
 
 
-@P.query("repeated_lines", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), c AS (SELECT *, trim(line) AS bare, count(*) OVER (PARTITION BY doc_id, trim(line)) AS n FROM l), k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS t FROM c WHERE bare = '' OR regexp_matches(bare, '^(#|- |[0-9]+\\. )') OR length(bare) > 80 OR n < 3 GROUP BY doc_id) SELECT d.doc_id, md5(coalesce(t, '')) AS kept FROM documents d LEFT JOIN k USING (doc_id)")
+@P.query("repeated_lines", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), c AS (SELECT *, trim(line) AS bare, count(*) OVER (PARTITION BY doc_id, trim(line)) AS n FROM l), k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS t FROM c WHERE bare = '' OR regexp_matches(bare, '^(#|- |[0-9]+\\.)') OR length(bare) > 80 OR n < 3 GROUP BY doc_id) SELECT d.doc_id, md5(coalesce(t, '')) AS kept FROM documents d LEFT JOIN k USING (doc_id)")
 def repeated_lines(spark: SparkSession, d: str) -> DataFrame:
-    return X.without_repeated_lines(docs(spark, d).select("doc_id", "text"), "doc_id", "text").select("doc_id", F.md5("text").alias("kept"))
+    return docs(spark, d).select("doc_id", F.md5(M.without_repeated_lines(F.col("text"))).alias("kept"))
 
 
 @P.query("word_count", f"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '{_SP}'), lambda t: t <> '')) AS n_words, length(text) AS n FROM documents")
@@ -59,12 +76,12 @@ def word_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @P.query("header_split")
 def header_split(spark: SparkSession, d: str) -> DataFrame:
-    return X.header_sections(X.pages_to_markdown(S.read(spark, d, "pages"), "page_id", "html"), "page_id", "markdown").select("page_id", "section", "h1", "h2", F.char_length("body").alias("n"))
+    return X.header_sections(G.pages_to_markdown(S.read(spark, d, "pages"), "page_id", "html", "url"), "page_id", "markdown").select("page_id", "section", "h1", "h2", F.char_length("body").alias("n"))
 
 
 @P.query("heading_context")
 def heading_context(spark: SparkSession, d: str) -> DataFrame:
-    s = X.header_sections(X.pages_to_markdown(S.read(spark, d, "pages"), "page_id", "html"), "page_id", "markdown")
+    s = X.header_sections(G.pages_to_markdown(S.read(spark, d, "pages"), "page_id", "html", "url"), "page_id", "markdown")
     return X.with_heading_context(s).select("page_id", "section", "section_heading", F.md5("chunk_text").alias("h"))
 
 
@@ -75,17 +92,27 @@ def recursive_split(spark: SparkSession, d: str) -> DataFrame:
 
 @P.query("short_merge")
 def short_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Lines as pieces, short ones merged."""
-    lines = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return X.merge_short(lines, "doc_id", "pos", "line").select("doc_id", "position", F.char_length("line").alias("n"))
+    """Lines as pieces, four to a section, short ones merged."""
+    lines = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("head", F.expr("pos div 4"))
+    return X.merge_short(lines, "doc_id", "pos", "line", "head", noise=noise_chunk).select("doc_id", "position", F.char_length("line").alias("n"))
 
 
 @P.query("html_to_markdown_rules")
 def html_to_markdown_rules(spark: SparkSession, d: str) -> DataFrame:
-    m = X.pages_to_markdown(S.read(spark, d, "pages"), "page_id", "html")
+    m = G.pages_to_markdown(S.read(spark, d, "pages"), "page_id", "html", "url")
     return m.select("page_id", F.char_length("markdown").alias("n"), F.md5("markdown").alias("h"))
 
 
+@P.query("html_strategies")
+def html_strategies(spark: SparkSession, d: str) -> DataFrame:
+    """Every converter of the register on every page."""
+    pages, out = S.read(spark, d, "pages"), None
+    for name in sorted(G.CONVERTERS):
+        made = G.pages_to_markdown(pages, "page_id", "html", "url", name).select("page_id", F.lit(name).alias("converter"), F.char_length("markdown").alias("n"), F.md5("markdown").alias("h"))
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
 @P.query("extract_title", "SELECT page_id, left(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), 300) AS title FROM pages")
 def extract_title(spark: SparkSession, d: str) -> DataFrame:
     return S.read(spark, d, "pages").select("page_id", F.substring(F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)), 1, 300).alias("title"))
@@ -100,10 +127,18 @@ def normalize_url(spark: SparkSession, d: str) -> DataFrame:
     return S.read(spark, d, "pages").select("page_id", T.normal_url(F.col("url")).alias("url"))
 
 
-@P.query("extract_links", "SELECT page_id, link, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)href=\"([^\"]+)\"', 1)) AS link FROM pages) GROUP BY ALL")
+_LINK = "CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN link WHEN starts_with(link, '//') THEN 'https:' || link WHEN starts_with(link, '/') THEN regexp_extract(base, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') || link WHEN regexp_matches(link, '^[?#]') THEN regexp_replace(base, '[?#].*$', '') || link ELSE regexp_replace(regexp_replace(base, '[?#].*$', ''), '([^/:])/[^/]*$', '\\1') || '/' || link END"
+
+
+@P.query("extract_links", f"""WITH l AS (SELECT page_id, url AS base, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*href="([^"]+)"', 1)) AS link FROM pages), a AS (SELECT page_id, {_LINK} AS url FROM l WHERE NOT regexp_matches(link, '^(?i:mailto:|tel:|javascript:|data:)')),
+n AS (SELECT page_id, {_NORM} AS url FROM a WHERE regexp_matches(url, '^(?i:https?)://[^/?#]'))
+SELECT page_id, url, count(*) AS n FROM n WHERE NOT regexp_matches(url, '\\.(jpg|jpeg|png|gif|pdf|zip|css|js)$') GROUP BY ALL""")
 def extract_links(spark: SparkSession, d: str) -> DataFrame:
-    links = F.explode(F.regexp_extract_all("html", F.lit(r'(?i)href="([^"]+)"'), F.lit(1)))
-    return S.read(spark, d, "pages").select("page_id", links.alias("link")).groupBy("page_id", "link").agg(F.count(F.lit(1)).alias("n"))
+    """Links of a page: absolute, normalised, those to pages."""
+    links = S.read(spark, d, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(r'(?i)<a\s[^>]*href="([^"]+)"'), F.lit(1))).alias("link"))
+    told = links.filter(~F.col("link").rlike(r"^(?i:mailto:|tel:|javascript:|data:)")).select("page_id", T.absolute_url(F.col("url"), F.col("link")).alias("url"))
+    kept = told.filter(F.col("url").rlike(r"^(?i:https?)://[^/?#]")).select("page_id", T.normal_url(F.col("url")).alias("url"))
+    return kept.filter(~F.col("url").rlike(r"\.(jpg|jpeg|png|gif|pdf|zip|css|js)$")).groupBy("page_id", "url").agg(F.count(F.lit(1)).alias("n"))
 
 
 @P.query("source_name", "SELECT page_id, coalesce(nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), ''), nullif(list_extract(string_split(url, '/'), -1), ''), 'Unknown source') AS name FROM pages")
@@ -117,11 +152,13 @@ def canonical_text(spark: SparkSession, d: str) -> DataFrame:
     return S.read(spark, d, "conversations").select("conv_id", "turn", "role", F.md5(T.canonical(F.col("text"))).alias("canonical"))
 
 
-@P.query("location_key", "SELECT doc_id, regexp_replace(translate(lower(left(text, 200)), 'àáâãäåèéêëìíîïòóôõöùúûüýÿçñđß', 'aaaaaaeeeeiiiiooooouuuuyycnds'), '[^a-z0-9]', '', 'g') AS key FROM documents")
+_PLACE = "source || ' Thành phố Đà Nẵng ' || lang || ' Huế-' || doc_id % 7 || ' Straße ' || left(text, 5)"
+
+
+@P.query("location_key", f"SELECT doc_id, regexp_replace(replace(replace(strip_accents(lower({_PLACE})), 'đ', 'd'), 'ß', 'ss'), '[^\\pL\\pN]', '', 'g') AS key FROM documents")
 def location_key(spark: SparkSession, d: str) -> DataFrame:
-    """The key of a place name: the first 200 characters are the name field here."""
-    plain = F.translate(F.lower(F.substring("text", 1, 200)), "àáâãäåèéêëìíîïòóôõöùúûüýÿçñđß", "aaaaaaeeeeiiiiooooouuuuyycnds")
-    return docs(spark, d).select("doc_id", F.regexp_replace(plain, "[^a-z0-9]", "").alias("key"))
+    """The key of a place name: letters and digits without accents, in any script."""
+    return docs(spark, d).select("doc_id", T.location_key(F.expr(_PLACE)).alias("key"))
 
 
 @P.query("truncate_text", "SELECT doc_id, CASE WHEN length(text) <= 500 THEN length(text) WHEN length(regexp_extract(left(text, 500), '(?s)^.*[.!?]')) > 250 THEN length(regexp_extract(left(text, 500), '(?s)^.*[.!?]')) ELSE 500 END AS n FROM documents")
@@ -139,10 +176,14 @@ def geocode_query(spark: SparkSession, d: str) -> DataFrame:
     return S.read(spark, d, "customer").select("c_custkey", F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), ", ").alias("query"))
 
 
-@P.query("json_from_text", "SELECT event_id, CAST(json_extract(regexp_extract('noise ' || props || ' tail', '(?s)\\{.*\\}'), '$.k') AS BIGINT) AS k FROM events")
+_SAID = "CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN 'noise ' || props || ' tail' WHEN 2 THEN chr(96) || chr(96) || chr(96) || 'json' || chr(10) || props || chr(10) || chr(96) || chr(96) || chr(96) ELSE 'none' END"
+
+
+@P.query("json_from_text", "SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, event_id % 4 <> 3 AS found FROM events")
 def json_from_text(spark: SparkSession, d: str) -> DataFrame:
-    noisy = F.concat(F.lit("noise "), "props", F.lit(" tail"))
-    return S.read(spark, d, "events").select("event_id", F.get_json_object(F.regexp_extract(noisy, r"(?s)\{.*\}", 0), "$.k").cast("long").alias("k"))
+    """The object that a model's reply is or holds, with or without a fence around it."""
+    found = S.read(spark, d, "events").select("event_id", T.json_in(F.expr(_SAID)).alias("j"))
+    return found.select("event_id", F.get_json_object("j", "$.k").cast("long").alias("k"), F.col("j").isNotNull().alias("found"))
 
 
 @P.query("doc_text", "SELECT doc_id, md5(concat_ws(chr(10), 'Place: ' || nullif(source, 'src3'), lang, text)) AS h FROM documents")
@@ -172,18 +213,25 @@ def safe_list(spark: SparkSession, d: str) -> DataFrame:
     return S.read(spark, d, "events").select("event_id", F.coalesce(raw.try_cast("double"), F.lit(0.0)).alias("v"), name.alias("name"))
 
 
-@P.query("fallback_metadata", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN left(text, 300) ELSE '' END AS summary, CASE WHEN l.doc_id IS NULL THEN 0.0 ELSE 1.0 END AS confidence FROM documents d LEFT JOIN labels l USING (doc_id)")
+@P.query("fallback_metadata", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'Vietnam' ELSE 'known' END AS country, CASE WHEN l.doc_id IS NULL THEN left(text, 300) ELSE '' END AS summary, CASE WHEN l.doc_id IS NULL THEN 0.0 ELSE 1.0 END AS confidence, CASE WHEN l.doc_id IS NULL THEN 'no label' END AS reasoning, 0 AS n_tags FROM documents d LEFT JOIN labels l USING (doc_id)")
 def fallback_metadata(spark: SparkSession, d: str) -> DataFrame:
-    l = S.read(spark, d, "labels").select("doc_id", F.lit(True).alias("known"))  # noqa: E741
-    j = docs(spark, d).select("doc_id", F.substring("text", 1, 300).alias("head")).join(l, "doc_id", "left")
-    return j.select("doc_id", F.when(F.col("known").isNull(), F.col("head")).otherwise("").alias("summary"), F.when(F.col("known").isNull(), 0.0).otherwise(1.0).alias("confidence"))
+    """Where no enrichment came: the default country, the text's head as summary, no tags, no confidence, and the reason."""
+    l = S.read(spark, d, "labels").select("doc_id", F.lit("known").alias("country"))  # noqa: E741
+    j = docs(spark, d).select("doc_id", "text").join(l, "doc_id", "left")
+    m = X.fallback_metadata(F.col("text"), F.lit("no label"), "Vietnam")
+    none = F.col("country").isNull()
+    return j.select("doc_id", F.coalesce("country", m["country"]).alias("country"), F.when(none, m["summary"]).otherwise("").alias("summary"), F.when(none, m["confidence"]).otherwise(1.0).alias("confidence"), F.when(none, m["reasoning"]).alias("reasoning"), F.size(m["tags"]).alias("n_tags"))
+
+
+_WS = f"list_filter(regexp_split_to_array(text, '{_SP}'), lambda t: t <> '')"
 
 
-@P.query("metadata_limits", f"SELECT doc_id, array_to_string(list_distinct(list_filter(regexp_split_to_array(text, '{_SP}'), lambda t: t <> ''))[1:0] || list_transform(list_filter(regexp_split_to_array(text, '{_SP}'), lambda t: t <> '')[1:8], lambda t: left(t, 40)), ',') AS tags, greatest(0.0, least(1.0, n_chars / 1e4)) AS confidence FROM documents")
+@P.query("metadata_limits", f"SELECT doc_id, array_to_string(list_transform({_WS}[1:8], lambda t: left(t, 40)), ',') AS tags, array_to_string(list_transform({_WS}[1:4], lambda t: left(t, 40)), ',') AS styles, length(left(text, 300)) AS summary, length(left(text, 250)) AS reasoning, greatest(0.0, least(1.0, n_chars / 1e4 - 0.01)) AS confidence FROM documents")
 def metadata_limits(spark: SparkSession, d: str) -> DataFrame:
-    """An enrichment's limits: at most eight tags of 40 characters, a confidence from 0 to 1."""
-    tags = F.transform(F.slice(T.tokens(F.col("text")), 1, 8), lambda t: F.substring(t, 1, 40))
-    return docs(spark, d).select("doc_id", F.array_join(tags, ",").alias("tags"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("n_chars") / 1e4)).alias("confidence"))
+    """An enrichment's limits: tags, styles, labels, summary, reasoning and confidence."""
+    words = T.tokens(F.col("text"))
+    m = X.limited_metadata(tags=words, styles=words, summary=F.col("text"), reasoning=F.col("text"), confidence=F.col("n_chars") / 1e4 - 0.01)
+    return docs(spark, d).select("doc_id", F.array_join(m["tags"], ",").alias("tags"), F.array_join(m["styles"], ",").alias("styles"), F.char_length(m["summary"]).cast("long").alias("summary"), F.char_length(m["reasoning"]).cast("long").alias("reasoning"), m["confidence"].alias("confidence"))
 
 
 @P.query("merge_unique", "WITH u AS (SELECT source, lang AS task, doc_id % 97 AS id, dense_rank() OVER (PARTITION BY source ORDER BY lang) * 100000 + row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS seq FROM documents), f AS (SELECT source, id, min(seq) AS seq, string_agg(DISTINCT task, ',' ORDER BY task) AS tasks FROM u GROUP BY source, id) SELECT source, id, tasks, row_number() OVER (PARTITION BY source ORDER BY seq) AS position FROM f")
@@ -194,11 +242,11 @@ def merge_unique(spark: SparkSession, d: str) -> DataFrame:
     return numbered(f, ["source"], [F.col("seq")], "position").select("source", "id", "tasks", "position")
 
 
-@P.query("dedup_blocks", f"WITH b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS b, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), f AS (SELECT doc_id, md5(b) AS k, min(pos) AS pos FROM b WHERE trim(b) <> '' GROUP BY ALL) SELECT doc_id, count(*) AS blocks, sum(pos)::BIGINT AS places FROM f GROUP BY doc_id")
+@P.query("dedup_blocks")
 def dedup_blocks(spark: SparkSession, d: str) -> DataFrame:
-    b = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "b")).filter(F.trim("b") != "")
-    first = b.groupBy("doc_id", F.md5("b").alias("k")).agg(F.min(F.col("pos") + 1).alias("pos"))
-    return first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"), F.sum("pos").cast("long").alias("places"))
+    """Lines as blocks, each once, and once for each start of 180 characters."""
+    kept = M.deduplicated_blocks(F.regexp_replace(F.col("text"), "\n", "\n\n"))
+    return docs(spark, d).select("doc_id", F.char_length(kept).alias("n"), F.md5(kept).alias("h"))
 
 
 @P.query("ordered_distinct", "SELECT doc_id, array_to_string(list_transform(list_sort(list_distinct(list_transform([lang, source, lang, 'x'], lambda v: list_position([lang, source, lang, 'x'], v)))), lambda i: [lang, source, lang, 'x'][i]), ',') AS v FROM documents")

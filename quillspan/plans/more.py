@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources import providers, scratch, sinks
+from ..operators import evaluation as E
+from ..operators.numbering import numbered
+from ..sources import pdf, providers, scratch, sinks
 from ..sources import tables as S
 from .kit import Plans
 
@@ -25,18 +27,28 @@ def embed_chunks(spark: SparkSession, d: str) -> DataFrame:
     return e.select("doc_id", F.size("embedding").alias("n"), F.round(norm, 3).alias("norm"), F.col("embedding_error").isNull().alias("ok"))
 
 
-@P.query("fetch_html", "SELECT page_id, length(html) AS n FROM pages")
+_URLS = ("https://a.org/x", "http://127.0.0.1/x", "http://172.16.3.4/", "http://169.254.1.1/a", "http://[::1]/", "https://u:p@a.org/", "https://a.org:8080/", "http://2130706433/", "ftp://a.org", "http://93.184.216.34:80/")
+_PUBLIC = (0, 9)
+_URL = f"CASE page_id % {len(_URLS)} " + " ".join(f"WHEN {i} THEN '{u}'" for i, u in enumerate(_URLS)) + " END"
+
+
+@P.query("fetch_html", f"SELECT page_id, CASE WHEN page_id % {len(_URLS)} IN {_PUBLIC} THEN length({_URL}) * 3 END AS n, CASE WHEN page_id % {len(_URLS)} NOT IN {_PUBLIC} THEN 'not a public destination' END AS reason FROM pages")
 def fetch_html(spark: SparkSession, d: str) -> DataFrame:
-    """The offline source of pages is their table."""
-    return S.read(spark, d, "pages").select("page_id", F.char_length("html").cast("long").alias("n"))
+    """Pages by the fetching provider; its getter, here an offline one, is injected."""
+    pages = S.read(spark, d, "pages").select("page_id", F.expr(_URL).alias("address"))
+    got = providers.provided(pages, "address", "f", "struct<page: string, reason: string>", providers.fetcher(lambda u: u.encode() * 3))
+    return got.select("page_id", F.char_length("f.page").cast("long").alias("n"), F.col("f.reason").alias("reason"))
 
 
-@P.query("fetch_html_safe", "SELECT page_id, regexp_matches(url, '^https?://[^/?#@:]+(:(80|443))?([/?#]|$)') AND NOT regexp_matches(url, '^https?://(localhost|127\\.|10\\.|192\\.168\\.)') AS allowed FROM pages")
+@P.query("fetch_html_safe", f"SELECT page_id, page_id % {len(_URLS)} IN {_PUBLIC} AS allowed FROM pages")
 def fetch_html_safe(spark: SparkSession, d: str) -> DataFrame:
-    """Which destinations a fetch may go to, by the URL alone; addresses are looked at where they are resolved."""
-    url = F.col("url")
-    ok = url.rlike(r"^https?://[^/?#@:]+(:(80|443))?([/?#]|$)") & ~url.rlike(r"^https?://(localhost|127\.|10\.|192\.168\.)")
-    return S.read(spark, d, "pages").select("page_id", ok.alias("allowed"))
+    """Which destinations a fetch may go to: public addresses over http and https, in whatever way they are written."""
+
+    @F.pandas_udf("boolean")
+    def allowed(urls: pd.Series) -> pd.Series:
+        return urls.map(providers.public_destination)
+
+    return S.read(spark, d, "pages").select("page_id", allowed(F.expr(_URL)).alias("allowed"))
 
 
 @P.query("json_dataset", f"SELECT case_id, user_id, missing FROM {CA}")
@@ -118,11 +130,18 @@ def memory_prf(spark: SparkSession, d: str) -> DataFrame:
     return m.mapInPandas(score, "user_id long, hits long, precision double, recall double")
 
 
-@P.query("conversation_score", "SELECT conv_id, round(((count(*) > 2)::INT + (max(turn) >= 2)::INT + (bool_or(role = 'user'))::INT) / 3, 9) AS accuracy, count(*) > 2 AND max(turn) >= 2 AND bool_or(role = 'user') AS exact FROM conversations GROUP BY conv_id")
+_KEPT = "CASE WHEN conv_id % 3 = 0 THEN 'Hue' ELSE 'Da Nang' END"
+
+
+@P.query("conversation_score", f"""WITH g AS (SELECT conv_id, max(CASE WHEN contains(text, 'a') THEN 'hue' ELSE 'DA_NANG' END) AS place, count(*) AS n, list_sort(list_distinct(list(role))) AS roles FROM conversations GROUP BY conv_id),
+f AS (SELECT conv_id, (lower(replace(place, '_', ' ')) = lower({_KEPT}))::INT AS a, (n = 4)::INT AS b, len(list_intersect(roles, ['user', 'assistant', 'tool'])) AS h, len(roles) AS m FROM g), q AS (SELECT *, h / m AS p, h / 3 AS r FROM f)
+SELECT conv_id, round((a + b + p + r + CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END) / 5, 9) AS accuracy, a = 1 AND b = 1 AND p = 1 AND r = 1 AS exact FROM q""")
 def conversation_score(spark: SparkSession, d: str) -> DataFrame:
-    g = S.read(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.max("turn").alias("t"), F.max(F.col("role") == "user").alias("u"))
-    marks = [F.col("n") > 2, F.col("t") >= 2, F.col("u")]
-    return g.select("conv_id", F.round((marks[0].cast("int") + marks[1].cast("int") + marks[2].cast("int")) / 3, 9).alias("accuracy"), (marks[0] & marks[1] & marks[2]).alias("exact"))
+    """A conversation's state against the one expected: scalar fields, and lists by precision, recall and F1."""
+    place = F.when(F.contains("text", F.lit("a")), "hue").otherwise("DA_NANG")
+    g = S.read(spark, d, "conversations").groupBy("conv_id").agg(F.max(place).alias("place"), F.count(F.lit(1)).alias("n"), F.collect_set("role").alias("roles"))
+    x = E.state_score([(F.col("place"), F.expr(_KEPT)), (F.col("n").cast("string"), F.lit("4"))], [(F.col("roles"), F.array(*[F.lit(r) for r in ("user", "assistant", "tool")]))])
+    return g.select("conv_id", F.round(x["accuracy"], 9).alias("accuracy"), x["exact"].alias("exact"))
 
 
 def repaired(text: str | None) -> str | None:
@@ -153,14 +172,6 @@ def repair_mojibake(spark: SparkSession, d: str) -> DataFrame:
     return S.read(spark, d, "documents").select("doc_id", F.md5(fix(spoil("text"))).alias("fixed"), F.md5(fix("text")).alias("same"))
 
 
-@P.query("picture_blocks")
-def picture_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Text read from pictures stays, under a heading, if it is long enough and mostly letters."""
-    flat = T.collapsed(F.col("text"))
-    keep = (F.char_length(flat) >= 80) & (T.letters_ratio(flat) >= 0.35)
-    return S.read(spark, d, "documents").select("doc_id", F.md5(F.when(keep, F.concat(F.lit("### Image OCR Text\n"), flat)).otherwise("")).alias("block"))
-
-
 @P.query("markdown_normalize", "SELECT doc_id, md5(array_to_string(list_filter(string_split(regexp_replace(regexp_replace(text, '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '[ \\t]{2,}', ' ', 'g'), chr(10)), lambda x: length(x) - length(replace(x, '|', '')) < 3), chr(10))) AS h FROM documents")
 def markdown_normalize(spark: SparkSession, d: str) -> DataFrame:
     """Links become their text, spaces single, lines of three bars and more go."""
@@ -183,16 +194,6 @@ def constraint_shape(spark: SparkSession, d: str) -> DataFrame:
     return S.read(spark, d, "events").select("event_id", text.alias("constraints"))
 
 
-@P.query("terminal_stay")
-def terminal_stay(spark: SparkSession, d: str) -> DataFrame:
-    """A question for the final nights takes its city from the history's 'ending in' phrase; else it stays as it is."""
-    t = S.read(spark, d, "conversations")
-    ends = t.groupBy("conv_id").agg(F.max(F.nullif(F.regexp_extract("text", r"ending in (\w+)", 1), F.lit(""))).alias("city"))
-    n = F.nullif(F.regexp_extract(F.lower("text"), r"final (\d+) nights?", 1), F.lit(""))
-    said = F.when(n.isNotNull() & F.col("city").isNotNull(), F.concat(F.lit("hotels for "), n, F.lit(" nights in "), F.col("city"))).otherwise(F.col("text"))
-    return t.join(ends, "conv_id").select("conv_id", "turn", "role", F.md5(said).alias("rewritten"))
-
-
 @P.query("useful_page_stats", f"SELECT status, count(*) AS n, count(*) FILTER (WHERE robots IS NULL) AS unknown_robots FROM (SELECT status, CASE WHEN url_id % 5 <> 0 THEN url_id % 2 = 0 END AS robots FROM {QU}) GROUP BY status")
 def useful_page_stats(spark: SparkSession, d: str) -> DataFrame:
     """Pages by status, with those whose robots rules aren't known: these are skipped."""
@@ -200,14 +201,67 @@ def useful_page_stats(spark: SparkSession, d: str) -> DataFrame:
     return S.queue(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_if(robots.isNull()).alias("unknown_robots"))
 
 
-@P.query("pdf_pages")
+def pdf_files(spark: SparkSession, d: str) -> DataFrame:
+    """A PDF of two pages for each item of the benchmark; every fifth is none."""
+    plain = F.regexp_replace("text", r"[^A-Za-z0-9 ,.]", "")
+    stream = lambda t: F.concat(F.lit("<< >>\nstream\nBT /F1 12 Tf ("), t, F.lit(") Tj ET\nendstream"))
+    parts = [F.lit("1 0 obj << /Type /Page /Contents 3 0 R >> endobj\n2 0 obj << /Type /Page /Contents [4 0 R] >> endobj\n3 0 obj "), stream(plain), F.lit(" endobj\n4 0 obj "), stream(F.upper(plain)), F.lit(" endobj\n%%EOF")]
+    head = F.when(F.col("item_id") % 5 == 4, "%TXT-1\n").otherwise("%PDF-1.4\n")
+    return S.read(spark, d, "benchmark").select("item_id", F.encode(F.concat(head, *parts), "UTF-8").alias("content"))
+
+
+_PLAIN = "trim(regexp_replace(text, '[^A-Za-z0-9 ,.]', '', 'g'))"
+
+
+@P.query("pdf_pages", f"SELECT item_id, page::INT AS page, CASE page WHEN 1 THEN md5({_PLAIN}) WHEN 2 THEN md5(upper({_PLAIN})) END AS h, CASE WHEN item_id % 5 = 4 THEN 'not a PDF' END AS reason FROM (SELECT *, unnest(CASE WHEN item_id % 5 = 4 THEN [NULL] ELSE [1, 2] END) AS page FROM benchmark)")
 def pdf_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as binary files: pages are a provider's work; offline, what isn't a PDF gives no page and a reason."""
-    path = scratch.new_path(spark, "pdf")
-    S.read(spark, d, "benchmark").select(F.col("text").alias("value")).coalesce(1).write.text(path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
-    is_pdf = F.substring(F.col("content"), 1, 5) == F.lit(b"%PDF-")
-    return files.select(F.length("content").alias("n_bytes"), is_pdf.alias("is_pdf"), F.when(~is_pdf, "not a PDF").alias("reason"))
+    """Pages of PDF files; what isn't one gives its reason."""
+    return pdf.pdf_pages(pdf_files(spark, d), "item_id", "content").select("item_id", "page", F.md5("text").alias("h"), "reason")
+
+
+@P.query("pdf_convert", f"SELECT item_id, md5('## Page 1' || chr(10) || chr(10) || {_PLAIN} || chr(10) || chr(10) || '## Page 2' || chr(10) || chr(10) || upper({_PLAIN})) AS h FROM benchmark WHERE item_id % 5 <> 4")
+def pdf_convert(spark: SparkSession, d: str) -> DataFrame:
+    """Files as Markdown, a section for each page, by a converter of the register."""
+    return pdf.sections(pdf.pdf_pages(pdf_files(spark, d), "item_id", "content", "text"), "item_id").select("item_id", F.md5("markdown").alias("h"))
+
+
+def _offline_model() -> providers.Provider:
+    """The stand-in of a language model: what a judge or a router would reply, by the prompt's length."""
+    return lambda prompts: [f'{{"category": "travel", "grade": {len(p) % 5}}}' if len(p) % 7 else "no reply" for p in prompts]
+
+
+@P.query("llm_completion", "SELECT conv_id, turn, role, 'judge' AS stage, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '')) AS tokens_in, CASE WHEN length(text) % 7 > 0 THEN 4 ELSE 2 END AS tokens_out, round((len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '')) * 0.15e0 + CASE WHEN length(text) % 7 > 0 THEN 4 ELSE 2 END * 0.6e0) / 1e6, 10) AS cost, NULL AS error FROM conversations")
+def llm_completion(spark: SparkSession, d: str) -> DataFrame:
+    """Calls of a language model with their telemetry."""
+    t = S.read(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    return providers.replies(t, "text", _offline_model, "judge", 0.15, 0.6).select("conv_id", "turn", "role", "stage", "tokens_in", "tokens_out", F.round("cost", 10).alias("cost"), "error")
+
+
+@P.query("judge_grades", "SELECT conv_id, turn, role, CASE WHEN length(text) % 7 > 0 AND length(text) % 5 <= 3 THEN length(text) % 5 END::INT AS grade, CASE WHEN length(text) % 7 = 0 THEN 'no JSON' WHEN length(text) % 5 > 3 THEN 'out of range' END AS problem FROM conversations")
+def judge_grades(spark: SparkSession, d: str) -> DataFrame:
+    """A judge's grades from 0 to 3; a reply that holds none is named, not dropped."""
+    t = S.read(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    judged = providers.replies(t, "text", _offline_model, "judge", 0.15, 0.6).withColumn("json", T.json_in(F.col("reply")))
+    grade = F.get_json_object("json", "$.grade").try_cast("int")
+    problem = F.coalesce("error", F.when(F.col("json").isNull(), "no JSON"), F.when(~F.coalesce(grade.between(0, 3), F.lit(False)), "out of range"))
+    return judged.select("conv_id", "turn", "role", F.when(grade.between(0, 3), grade).alias("grade"), problem.alias("problem"))
+
+
+@P.query("metadata_batches", "SELECT doc_id, source, i // 12 AS batch, CASE WHEN (i // 12) % 5 = 4 THEN NULL ELSE length(text) END AS n, CASE WHEN (i // 12) % 5 = 4 THEN 'RuntimeError: no model' END AS error FROM (SELECT doc_id, source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents)")
+def metadata_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks enriched a dozen at a time; a batch that fails keeps its rows, with the reason."""
+    rows = numbered(S.read(spark, d, "documents").select("doc_id", "source", "text"), ["source"], [F.col("doc_id")], "i").withColumn("batch", F.floor((F.col("i") - 1) / 12))
+    packs = rows.groupBy("source", "batch").agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("items"))  # twelve at most
 
+    def extractor() -> providers.Provider:
+        def extract(batches: list) -> list:
+            if any(b["batch"] % 5 == 4 for b in batches):
+                raise RuntimeError("no model")
+            return [[len(x["text"]) for x in b["items"]] for b in batches]
 
+        return extract
 
+    asked = packs.withColumn("pack", F.struct("batch", "items"))
+    made = providers.provided(asked, "pack", "found", "array<bigint>", extractor, batch=1, sleep=lambda s: None)
+    each = made.select("source", "batch", "found", "found_error", F.posexplode("items").alias("at", "item"))
+    return each.select("item.doc_id", "source", "batch", F.get("found", F.col("at")).alias("n"), F.col("found_error").alias("error"))

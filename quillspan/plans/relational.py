@@ -138,12 +138,14 @@ def noise_chunk(spark: SparkSession, d: str) -> DataFrame:
     return S.read(spark, d, "documents").filter(filters.noise_chunk(F.col("text"))).select("doc_id")
 
 
-@P.query("useless_line", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), t AS (SELECT doc_id, trim(line) AS t FROM l)
-SELECT doc_id, count(*) AS n_useless FROM t WHERE t <> '' AND NOT regexp_matches(t, '^(#|- |[0-9]+\\. )') AND (regexp_matches(t, '^([0-9]+|(?:[pP]age )?[0-9]+ (?:of|/) [0-9]+|[pP]age [0-9]+)$')
-OR regexp_matches(lower(t), '^(all rights reserved|copyright|subscribe|share this|read more|click here|cookie|terms of use|privacy policy|advertisement)')
-OR (length(t) <= 40 AND length(regexp_replace(t, '[A-Za-z0-9 \\x{80}-\\x{10ffff}]', '', 'g')) > 0.5 * length(t))) GROUP BY doc_id""")
+_LINES = "text || chr(10) || CASE doc_id % 8 WHEN 0 THEN 'Page 3 of 12' WHEN 1 THEN 'All rights reserved, 2020' WHEN 2 THEN '*** == ***' WHEN 3 THEN '12 / 80' WHEN 4 THEN '1. Copyright law' WHEN 5 THEN 'E-mail: x' WHEN 6 THEN 'Fax: ' ELSE 'Contents' END"
+
+
+@P.query("useless_line", f"""WITH l AS (SELECT doc_id, unnest(string_split({_LINES}, chr(10))) AS line FROM documents), t AS (SELECT doc_id, trim(line) AS t FROM l)
+SELECT doc_id, count(*) AS n_useless FROM t WHERE t <> '' AND NOT regexp_matches(t, '^(#|- |[0-9]+\\.)') AND (regexp_matches(lower(t), '{filters.PAGE_LINES}') OR regexp_matches(lower(t), '{filters.FURNITURE_LINES}')
+OR (length(t) <= 40 AND length(regexp_replace(t, '[\\pL\\pN\\s]', '', 'g')) > 0.5 * length(t))) GROUP BY doc_id""")
 def useless_line(spark: SparkSession, d: str) -> DataFrame:
-    lines = S.read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    lines = S.read(spark, d, "documents").select("doc_id", F.explode(F.split(F.expr(_LINES), "\n", -1)).alias("line"))
     return lines.filter(filters.useless_line(F.col("line"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_useless"))
 
 
@@ -153,17 +155,24 @@ def url_keep(spark: SparkSession, d: str) -> DataFrame:
     return S.read(spark, d, "pages").filter(filters.kept_url(F.col("url"), "example.com")).select("page_id")
 
 
-@P.query("detail_url", "SELECT page_id, regexp_extract(url, '[?&]id=([^&#]*)', 1) AS detail FROM pages WHERE regexp_matches(url, '[?&](id|utm_[a-z]+)=')")
+_DETAIL = "CASE page_id % 4 WHEN 0 THEN url || '?pid=' || page_id WHEN 1 THEN url || '?lang=en&pid=7#x' WHEN 2 THEN url || '?upid=3' ELSE 'https://other.org/?pid=1' END"
+
+
+@P.query("detail_url", f"SELECT page_id, regexp_extract(u, '[?&]pid=([^&#]*)', 1) AS detail FROM (SELECT page_id, {_DETAIL} AS u FROM pages) WHERE regexp_matches(u, '[?&]pid=[^&#]') AND regexp_matches(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '(^|\\.)example\\.com$')")
 def detail_url(spark: SparkSession, d: str) -> DataFrame:
-    return S.read(spark, d, "pages").filter(F.col("url").rlike(r"[?&](id|utm_[a-z]+)=")).select("page_id", F.regexp_extract("url", r"[?&]id=([^&#]*)", 1).alias("detail"))
+    """Pages of one record: of the host, with its number in the query."""
+    u = S.read(spark, d, "pages").select("page_id", F.expr(_DETAIL).alias("u"))
+    return u.filter(filters.detail_url(F.col("u"), "example.com", "pid")).select("page_id", F.regexp_extract("u", "[?&]pid=([^&#]*)", 1).alias("detail"))
 
 
-@P.query("english_page", "SELECT doc_id FROM documents WHERE length(text) >= 200 AND lang = 'en'")
-def english_page(spark: SparkSession, d: str) -> DataFrame:
-    return S.read(spark, d, "documents").filter((F.char_length("text") >= 200) & (F.col("lang") == "en")).select("doc_id")
+_TOLD = "list_filter(regexp_split_to_array(lower(text), '[^\\pL]+'), lambda w: w <> '')"
+_COUNTS = {k: f"len(list_filter(w, lambda x: list_contains([{', '.join(repr(x) for x in v)}], x)))" for k, v in filters.COMMON_WORDS.items()}
 
 
-_VISIBLE = "trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))"
+@P.query("english_page", f"WITH t AS (SELECT doc_id, length(text) AS n, {_TOLD} AS w FROM documents) SELECT doc_id FROM t WHERE n >= 200 AND {_COUNTS['en']} > 0 AND " + " AND ".join(f"{_COUNTS['en']} > {v}" for k, v in _COUNTS.items() if k != "en"))
+def english_page(spark: SparkSession, d: str) -> DataFrame:
+    """Pages long enough to tell, whose common words are English ones more than of another language."""
+    return S.read(spark, d, "documents").filter((F.char_length("text") >= 200) & (filters.language(F.col("text")) == "en")).select("doc_id")
 
 
 @P.query("content_page", f"SELECT page_id, length({_VISIBLE}) AS n_visible FROM pages WHERE length({_VISIBLE}) >= 500")

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import understanding as U
-from ..sources import paged, providers, scratch, sinks
+from ..sources import paged, scratch, sinks
 from ..sources import tables as S
 from .kit import Plans
 
@@ -41,38 +40,25 @@ def pdf_folder(spark: SparkSession, d: str) -> DataFrame:
     return files.groupBy(F.regexp_extract("path", "/lang=([^/]+)/", 1).alias("lang")).agg(F.sum(lines).alias("n"))
 
 
-@P.query("pdf_convert")
-def pdf_convert(spark: SparkSession, d: str) -> DataFrame:
-    """A converter is a provider by name; where none is installed, each file is kept with the reason."""
-
-    def missing() -> providers.Provider:
-        def convert(paths: list) -> list:
-            raise RuntimeError("no converter")
-
-        return convert
-
-    pages = S.read(spark, d, "pages").select("page_id", "url")
-    return providers.provided(pages, "url", "markdown", "string", missing, sleep=lambda s: None).select("page_id", "markdown", "markdown_error")
-
-
-@P.query("geocoder", "SELECT n_nationkey, 'nation ' || n_nationkey AS name, round(10 + n_nationkey * 0.5, 3) AS latitude FROM nation")
+@P.query("geocoder", f"WITH g AS (SELECT doc_id, lower(source) AS k, 10 + doc_id % 900 / 100 AS latitude FROM documents), p AS (SELECT DISTINCT source, lang FROM documents) SELECT source, lang, doc_id, round(latitude, 3) AS latitude, rank FROM (SELECT p.*, g.doc_id, g.latitude, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS rank FROM p JOIN g ON g.k = lower(source)) WHERE rank <= 5")
 def geocoder(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates of a geocoding provider for each place; ranking is geo_candidate_rank."""
-
-    def offline() -> providers.Provider:
-        return lambda keys: [{"name": f"nation {k}", "latitude": 10 + k * 0.5} for k in keys]
+    """Candidates of places from a gazetteer, five each, by the key of their names; ranking is geo_candidate_rank."""
+    docs = S.read(spark, d, "documents")
+    gazetteer = docs.select(T.location_key(F.upper("source")).alias("key"), F.struct("doc_id", (10 + F.col("doc_id") % 900 / 100).alias("latitude")).alias("place"))
+    # Five of each key are enough for any place: they are cut out slice by slice before names meet.
+    part = Window.partitionBy("key", F.pmod(F.xxhash64("place"), F.lit(64))).orderBy("place")
+    few = gazetteer.withColumn("i", F.row_number().over(part)).filter("i <= 5").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("place"))).filter("rank <= 5")
+    places = docs.select("source", "lang").distinct().withColumn("key", T.location_key(F.col("source")))
+    return places.join(few, "key").select("source", "lang", "place.doc_id", F.round("place.latitude", 3).alias("latitude"), "rank")
 
-    n = S.read(spark, d, "nation").select("n_nationkey")
-    g = providers.provided(n, "n_nationkey", "hit", "struct<name: string, latitude: double>", offline)
-    return g.select("n_nationkey", "hit.name", F.round("hit.latitude", 3).alias("latitude"))
 
-
-@P.query("markdown_file", "SELECT item_id, length(text) AS n FROM benchmark")
+@P.query("markdown_file", "SELECT item_id, length(text) AS n, md5(text) AS h FROM benchmark")
 def markdown_file(spark: SparkSession, d: str) -> DataFrame:
-    """A Markdown file for each document, read back whole."""
+    """Each document's Markdown in its folder, read back."""
     path = scratch.new_path(spark, "markdown")
     sinks.markdown_files(S.read(spark, d, "benchmark"), "item_id", "text", path)
-    return spark.read.text(path, wholetext=True).select("item_id", F.char_length(F.rtrim(F.regexp_replace("value", r"\n\z", ""))).cast("long").alias("n"))
+    back = spark.read.schema("item_id long, markdown string, folder int").json(path)
+    return back.select("item_id", F.char_length("markdown").cast("long").alias("n"), F.md5("markdown").alias("h"))
 
 
 @P.query("conversation_messages", "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS position FROM conversations")
@@ -81,12 +67,6 @@ def conversation_messages(spark: SparkSession, d: str) -> DataFrame:
     return S.read(spark, d, "conversations").select("conv_id", "turn", "role", F.row_number().over(w).alias("position"))
 
 
-@P.query("operation_accuracy", f"SELECT intent, round(avg((CASE WHEN missing < 2 THEN 'lookup' ELSE 'compare' END = CASE WHEN coverage > 0.5 THEN 'lookup' ELSE 'compare' END)::INT), 9) AS accuracy FROM {CA} GROUP BY intent")
-def operation_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    want, got = F.when(F.col("missing") < 2, "lookup").otherwise("compare"), F.when(F.col("coverage") > 0.5, "lookup").otherwise("compare")
-    return S.cases(spark, d).groupBy("intent").agg(F.round(F.avg((T.canonical(want) == T.canonical(got)).cast("int")), 9).alias("accuracy"))
-
-
 @P.query("md5_norm", "SELECT conv_id, turn, role, md5(trim(regexp_replace(lower(text), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))) AS h FROM conversations")
 def md5_norm(spark: SparkSession, d: str) -> DataFrame:
     return S.read(spark, d, "conversations").select("conv_id", "turn", "role", T.normal_hash(F.col("text")).alias("h"))
@@ -98,12 +78,6 @@ def source_type(spark: SparkSession, d: str) -> DataFrame:
     return S.read(spark, d, "nation").select("n_nationkey", T.source_kind(host).alias("source_type"))
 
 
-@P.query("legacy_intent", "SELECT item_id, CASE WHEN contains(lower(text), 'the') THEN 'travel_information' WHEN contains(lower(text), 'an') THEN 'itinerary' ELSE 'food_search' END AS intent FROM benchmark")
-def legacy_intent(spark: SparkSession, d: str) -> DataFrame:
-    low = F.lower("text")
-    return S.read(spark, d, "benchmark").select("item_id", U.first_rule([(U.has_any(low, ("the",)), "travel_information"), (U.has_any(low, ("an",)), "itinerary")], "food_search").alias("intent"))
-
-
 @P.query("telemetry_session", "WITH g AS (SELECT user_id, ts, value, CASE WHEN ts > lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, session")
 def telemetry_session(spark: SparkSession, d: str) -> DataFrame:
     """Sessions of a user: events at most half an hour apart."""

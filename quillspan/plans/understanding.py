@@ -18,31 +18,62 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
     return S.read(spark, d, "conversations")
 
 
-@P.query("explicit_cities")
+RQ = S.REQUESTS
+NAMES = sorted(S.CITY_NAMES, key=lambda n: (-len(n), n))
+KEY = ("conv_id", "turn", "role")
+
+
+def _list(values: tuple[str, ...] | list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _any(text: str, terms: tuple[str, ...]) -> str:
+    return f"len(list_filter({_list(terms)}, lambda t: contains({text}, t))) > 0"
+
+
+_FREE = "($|\\s*$|[^\\w\\s]|\\s+[^A-ZÀ-Ỹ\\s]|\\s+(?i:city|province)($|[^\\wÀ-ỹ''-]))"
+
+
+@P.query("explicit_cities", f"SELECT conv_id, turn, role, array_to_string(found, ',') AS cities FROM (SELECT *, list_filter({_list(NAMES)}, lambda n: regexp_matches(said, '(^|\\W)(?i:' || n || '){_FREE}')) AS found FROM {RQ}) WHERE len(found) > 0")
 def explicit_cities(spark: SparkSession, d: str) -> DataFrame:
-    """Turns that name a nation's word: few names, so they go out with the expression."""
-    names = F.array(*[F.lit(x) for x in ("than", "ereon", "thint", "onthe")])
-    t = turns(spark, d).select("conv_id", "turn", "role", F.filter(names, lambda w: U.whole_word(F.col("text"), w)).alias("found"))
-    return t.filter(F.size("found") > 0).select("conv_id", "turn", "role", F.array_join("found", ",").alias("cities"))
+    t = S.requests(spark, d).select(*KEY, U.explicit_names(F.col("said"), NAMES).alias("found"))
+    return t.filter(F.size("found") > 0).select(*KEY, F.array_join("found", ",").alias("cities"))
 
 
-_ALIASES = {"an": "Annam", "anon": "Anonia", "ion": "Ionia", "eau": "Eaux"}
+_REGIONS = sorted(U.REGIONS, key=lambda a: (-len(a), a))
+_REGION = f"list_extract(list_filter({_list(_REGIONS)}, lambda a: regexp_matches(regexp_replace(lower(said), '\\s+', ' ', 'g'), '\\b' || a || '\\b')), 1)"
 
 
-@P.query("region_alias", "SELECT conv_id, turn, role, CASE WHEN contains(text, 'anon') THEN 'Anonia' WHEN contains(text, 'eau') THEN 'Eaux' WHEN contains(text, 'ion') THEN 'Ionia' WHEN contains(text, 'an') THEN 'Annam' END AS region FROM conversations")
+@P.query("region_alias", f"SELECT conv_id, turn, role, CASE {' '.join(f"WHEN alias = '{a}' THEN '{r}'" for a, r in U.REGIONS.items())} END AS region, CASE WHEN alias IS NULL THEN province END AS province FROM (SELECT *, {_REGION} AS alias FROM {RQ})")
 def region_alias(spark: SparkSession, d: str) -> DataFrame:
-    return turns(spark, d).select("conv_id", "turn", "role", U.first_alias(F.col("text"), _ALIASES).alias("region"))
+    l = U.located(F.col("said"), F.col("province"))  # noqa: E741
+    return S.requests(spark, d).select(*KEY, l["region"].alias("region"), l["province"].alias("province"))
 
 
-@P.query("solo_country", "SELECT doc_id, CASE WHEN regexp_matches(text, '\\b(alone|solo|the)\\b') THEN 'solo' END AS suitable_for, CASE WHEN regexp_matches(text, '\\b(vietnam|of)\\b') THEN 'Vietnam' END AS country FROM documents")
+@P.query("solo_country", f"SELECT conv_id, turn, role, CASE WHEN regexp_matches(said, '{U.ALONE}') THEN 'solo_travelers' END AS suitable_for, CASE WHEN regexp_matches(said, '(?i)\\bvietnam\\b') THEN 'Vietnam' END AS country FROM {RQ}")
 def solo_country(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("text")
-    return S.read(spark, d, "documents").select("doc_id", F.when(t.rlike(r"\b(alone|solo|the)\b"), "solo").alias("suitable_for"), F.when(t.rlike(r"\b(vietnam|of)\b"), "Vietnam").alias("country"))
+    t = F.col("said")
+    return S.requests(spark, d).select(*KEY, F.when(t.rlike(U.ALONE), "solo_travelers").alias("suitable_for"), F.when(t.rlike(r"(?i)(?<!\w)vietnam(?!\w)"), "Vietnam").alias("country"))
+
 
+#: Without negations, by phrase: what each says of the budget.
+_BUDGETS = {2: "budget", 7: "luxury", 8: "mid_range"}
 
-@P.query("budget_negation")
+
+@P.query("budget_negation", f"SELECT conv_id, turn, role, CASE (conv_id * 7 + turn) % {len(S.PHRASES)} {' '.join(f"WHEN {i} THEN '{b}'" for i, b in _BUDGETS.items())} ELSE '' END AS budget FROM conversations")
 def budget_negation(spark: SparkSession, d: str) -> DataFrame:
-    return turns(spark, d).select("conv_id", "turn", "role", U.budget(F.lower("text"), {"low": ("cheap", "than"), "high": ("luxury", "onth")}).alias("budget"))
+    return S.requests(spark, d).select(*KEY, F.array_join(U.budgets(F.col("said")), ",").alias("budget"))
+
+
+_NIGHT = "lower(regexp_extract(said, '" + U.NIGHTS + "', 1))"
+
+
+@P.query("terminal_stay", f"""WITH t AS (SELECT *, list_filter({_list(NAMES)}, lambda n: regexp_matches(said, '(?i)({U.ENDING})' || n || '($|\\W)')) AS ends, regexp_matches(said, '{U.PHOTOGRAPHY}') AS shot FROM {RQ}),
+h AS (SELECT *, min(CASE WHEN len(ends) > 0 THEN list_position({_list(NAMES)}, ends[1]) END) OVER w AS city, max(shot::INT) OVER w AS photo, {_NIGHT} AS n FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT conv_id, turn, role, CASE WHEN regexp_matches(said, '{U.STAY}') AND n <> '' AND city IS NOT NULL THEN 'Where should I stay in ' || {_list(NAMES)}[city] || ' for the final ' || coalesce(try_cast(n AS INTEGER), list_position({_list(U.NUMBERS)}, n)) || ' nights of the existing ' || CASE WHEN photo = 1 THEN 'photography itinerary' ELSE 'itinerary' END || '?' END AS rewritten FROM h""")
+def terminal_stay(spark: SparkSession, d: str) -> DataFrame:
+    """A question for the last nights takes its city from what the turns before it end in."""
+    return U.stay_rewrites(S.requests(spark, d), NAMES, text="said").select(*KEY, "rewritten")
 
 
 @P.query("validate_constraints", f"SELECT user_id, string_agg(DISTINCT memory_type || '=' || lower(content), ',' ORDER BY memory_type || '=' || lower(content)) AS constraints FROM {ME} WHERE memory_type IN ('budget', 'style', 'avoid') AND trim(content) <> '' GROUP BY user_id")
@@ -58,49 +89,71 @@ def intent_fallback(spark: SparkSession, d: str) -> DataFrame:
     return S.read(spark, d, "events").select("event_id", U.fallback(e, ("view", "click"), "travel_information").alias("intent"), U.fallback(e, ("purchase",), None).alias("budget"))
 
 
-@P.query("keyword_parser", "SELECT conv_id, turn, role, CASE WHEN contains(lower(text), 'food') OR contains(lower(text), 'eat') THEN 'food_search' WHEN contains(lower(text), 'plan') OR contains(lower(text), 'day') THEN 'itinerary' WHEN contains(lower(text), 'see') THEN 'attraction_search' ELSE 'travel_information' END AS intent, try_cast(nullif(regexp_extract(lower(text), '(\\d+)\\s*days?\\b', 1), '') AS INTEGER) AS days FROM conversations")
+_RULES = [("food_search", ("food", "eat")), ("itinerary", ("plan", "day")), ("attraction_search", ("see", "museum"))]
+_CASES = " ".join(f"WHEN {_any('lower(said)', terms)} THEN '{to}'" for to, terms in _RULES)
+
+
+@P.query("keyword_parser", f"SELECT conv_id, turn, role, CASE {_CASES} ELSE 'travel_information' END AS intent, list_extract(list_filter({_list(NAMES)}, lambda n: contains(lower(said), lower(n))), -1) AS city, list_extract(list_filter({_list(U.STYLES)}, lambda n: contains(lower(said), n)), -1) AS style, try_cast(nullif(regexp_extract(lower(said), '(\\d+)\\s*days?\\b', 1), '') AS INTEGER) AS days FROM {RQ}")
 def keyword_parser(spark: SparkSession, d: str) -> DataFrame:
-    """The offline default parser: the first rule that holds names the intent."""
-    low = F.lower("text")
-    rules = [(U.has_any(low, ("food", "eat")), "food_search"), (U.has_any(low, ("plan", "day")), "itinerary"), (U.has_any(low, ("see",)), "attraction_search")]
-    return turns(spark, d).select("conv_id", "turn", "role", U.first_rule(rules, "travel_information").alias("intent"), U.days(low).alias("days"))
+    return S.requests(spark, d).select(*KEY, U.keyword_parse(F.col("said"), NAMES, _RULES, "travel_information").alias("p")).select(*KEY, "p.*")
+
+
+_INTENT = "CASE conv_id % 5 WHEN 0 THEN 'comparison' WHEN 1 THEN 'itinerary' ELSE 'travel_information' END"
+_OPERATION = "CASE " + " ".join(f"WHEN {f"intent = '{named}' OR " if named else ''}{_any('lower(said)', terms)} THEN '{to}'" for to, named, terms in U.OPERATIONS) + " ELSE 'lookup' END"
+_OLD = "CASE WHEN intent <> 'comparison' THEN intent " + " ".join(f"WHEN {_any('lower(said)', terms)} THEN '{to}'" for to, terms in U.OLD_COMPARISONS) + " ELSE 'recommendation' END"
 
 
-@P.query("legacy_operation", "SELECT item_id, CASE WHEN contains(text, ' versus ') THEN 'compare' WHEN contains(text, 'anon') THEN 'recommend' ELSE 'lookup' END AS operation FROM benchmark")
+@P.query("legacy_operation", f"SELECT conv_id, turn, role, {_OPERATION} AS operation FROM (SELECT *, {_INTENT} AS intent FROM {RQ})")
 def legacy_operation(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("text")
-    rules = [(F.contains(t, F.lit(" versus ")), "compare"), (F.contains(t, F.lit("anon")), "recommend")]
-    return S.read(spark, d, "benchmark").select("item_id", U.first_rule(rules, "lookup").alias("operation"))
+    return S.requests(spark, d).select(*KEY, U.old_operation(F.col("said"), F.expr(_INTENT)).alias("operation"))
 
 
-@P.query("comparison_cities", f"SELECT user_id, count(DISTINCT intent) AS n, count(DISTINCT intent) >= 2 AND min(missing) < 1 AS compares FROM {CA} GROUP BY user_id")
+@P.query("legacy_intent", f"SELECT conv_id, turn, role, {_OLD} AS intent FROM (SELECT *, {_INTENT} AS intent FROM {RQ})")
+def legacy_intent(spark: SparkSession, d: str) -> DataFrame:
+    return S.requests(spark, d).select(*KEY, U.old_intent(F.col("said"), F.expr(_INTENT)).alias("intent"))
+
+
+@P.query("comparison_cities", f"SELECT conv_id, turn, role, CASE WHEN {_OPERATION} = 'compare' AND intent <> 'transport' AND len(c) >= 2 THEN array_to_string(c, ',') ELSE '' END AS cities FROM (SELECT *, CASE WHEN conv_id % 9 = 8 THEN 'transport' ELSE {_INTENT} END AS intent, list_filter({_list(NAMES)}, lambda n: contains(said, n)) AS c FROM {RQ})")
 def comparison_cities(spark: SparkSession, d: str) -> DataFrame:
-    g = S.cases(spark, d).groupBy("user_id").agg(F.countDistinct("intent").alias("n"), F.min("missing").alias("m"))
-    return g.select("user_id", "n", ((F.col("n") >= 2) & (F.col("m") < 1)).alias("compares"))
+    intent = F.when(F.col("conv_id") % 9 == 8, "transport").otherwise(F.expr(_INTENT))
+    said = F.filter(U.strings(NAMES), lambda n: F.contains(F.col("said"), n))
+    return S.requests(spark, d).select(*KEY, F.array_join(U.compared_cities(U.old_operation(F.col("said"), intent), intent, said), ",").alias("cities"))
 
 
-@P.query("plan_normalise", "SELECT l_orderkey, string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS tasks FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS rn FROM lineitem WHERE l_quantity > 5) WHERE rn <= 6 GROUP BY l_orderkey")
+@P.query("plan_normalise")
 def plan_normalise(spark: SparkSession, d: str) -> DataFrame:
-    """At most six tasks of a plan, response-only ones dropped, in their order."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    kept = S.read(spark, d, "lineitem").filter("l_quantity > 5").withColumn("rn", F.row_number().over(w)).filter("rn <= 6")
-    each = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey")))
-    return kept.groupBy("l_orderkey").agg(F.array_join(F.transform(each, lambda x: F.concat_ws(":", x["l_linenumber"], x["l_partkey"])), ",").alias("tasks"))
+    """A plan for each conversation: its turns are requirements and tasks, the cities that it compares are two."""
+    r = S.requests(spark, d).withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "phrase")) - 1)
+    each = F.sort_array(F.collect_list(F.struct("n", "phrase", U.explicit_names(F.col("phrase"), NAMES).alias("cities"))))
+    p = r.groupBy("conv_id").agg(each.alias("e"), F.max("said").alias("q"))
+    compared = F.when(F.col("conv_id") % 2 == 0, F.array(F.lit("Hue"), F.lit("Ha Long"))).otherwise(F.array().cast("array<string>"))
+    dropped = F.transform("e", lambda x: U.response_only(x["phrase"], F.lit("what to see"), F.lit("itinerary"), F.size(compared)))
+    tasks = F.transform("e", lambda x: F.struct(x["phrase"].alias("query"), x["cities"].alias("cities"), F.array(x["n"], F.lit(0), x["n"]).alias("indexes")))
+    plan = U.normal_plan(F.lit("what to see"), F.transform("e", lambda x: x["phrase"]), tasks, dropped, compared)
+    return p.select("conv_id", plan.alias("p")).select("conv_id", F.array_join("p.requirements", "|").alias("requirements"), F.to_json("p.tasks").alias("tasks"))
+
 
+_FRESH = f"CASE WHEN {_any('f', U.WEATHER)} AND ({_any('f', U.LIVE)} OR NOT {_any('f', U.CLIMATE)}) THEN 'live' WHEN {_any('f', U.RECENT)} THEN 'recent' ELSE 'stable' END"
 
-@P.query("freshness_class", "SELECT event_id, CASE WHEN event_type IN ('view') THEN 'live' WHEN event_type IN ('click') THEN 'recent' ELSE 'stable' END AS class, CASE WHEN event_type = 'view' THEN strftime(ts + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') END AS expires FROM events")
+
+@P.query("freshness_class", f"SELECT conv_id, turn, role, k AS freshness, k <> 'stable' AS eligible, CASE WHEN k = 'recent' THEN '2025-10-03' END AS cutoff, CASE WHEN k = 'live' THEN '2026-01-01 06:00:00' END AS expires FROM (SELECT *, {_FRESH} AS k FROM (SELECT *, regexp_replace(lower(trim(phrase)), '\\s+', ' ', 'g') AS f FROM {RQ}))")
 def freshness_class(spark: SparkSession, d: str) -> DataFrame:
-    said = F.when(F.col("event_type") == "view", "is it open now").when(F.col("event_type") == "click", "latest price").otherwise("history of the place")
-    c = U.freshness(said)
-    expires = F.when(c == "live", F.date_format(F.col("ts") + F.expr("INTERVAL 6 HOURS"), "yyyy-MM-dd HH:mm:ss"))
-    return S.read(spark, d, "events").select("event_id", c.alias("class"), expires.alias("expires"))
+    x = U.external_requirement(F.col("phrase"), F.to_timestamp(F.lit("2026-01-01 00:00:00")))
+    out = S.requests(spark, d).select(*KEY, x.alias("x")).select(*KEY, "x.*")
+    return out.select(*KEY, "freshness", "eligible", F.col("cutoff").cast("string").alias("cutoff"), F.date_format("expires", "yyyy-MM-dd HH:mm:ss").alias("expires"))
+
 
+_ONLY = " OR ".join(f"(regexp_matches(r, '{says}')" + (f" AND NOT regexp_matches(q, '{unless}')" if unless else "") + ")" for says, unless in U.RESPONSE_ONLY)
 
-@P.query("response_only_requirement", "SELECT conv_id, turn, role FROM conversations WHERE NOT regexp_matches(lower(text), '(in a table|step by step|concise|bullet|short answer|in english)')")
+
+@P.query("response_only_requirement", f"""WITH x AS (SELECT conv_id, turn, role, lower(replace(said, 'Nothing more', 'Solo travel')) AS r, CASE conv_id % 2 WHEN 0 THEN 'weather and price' ELSE 'museums' END AS q, conv_id % 3 AS n, CASE conv_id % 4 WHEN 0 THEN 'itinerary' ELSE 'food' END AS intent FROM {RQ})
+SELECT conv_id, turn, role, {_ONLY} OR (n > 0 AND regexp_matches(r, '{U.COMPARING}')) OR (intent = 'itinerary' AND regexp_matches(r, '{U.SCHEDULING}')) OR (contains(r, 'nightlife') AND regexp_matches(r, '{U.DECLINED}')) AS response_only FROM x""")
 def response_only_requirement(spark: SparkSession, d: str) -> DataFrame:
-    """Requirements on the answer's form need no evidence and are left out."""
-    form = F.lower("text").rlike(r"(in a table|step by step|concise|bullet|short answer|in english)")
-    return turns(spark, d).filter(~form).select("conv_id", "turn", "role")
+    """Requirements on the answer's form need no evidence."""
+    q = F.when(F.col("conv_id") % 2 == 0, "weather and price").otherwise("museums")
+    intent = F.when(F.col("conv_id") % 4 == 0, "itinerary").otherwise("food")
+    r = F.replace("said", F.lit("Nothing more"), F.lit("Solo travel"))
+    return S.requests(spark, d).select(*KEY, U.response_only(r, q, intent, F.col("conv_id") % 3).alias("response_only"))
 
 
 @P.query("clarification_groups", "WITH r AS (SELECT c_nationkey, c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS rn FROM customer) SELECT c_nationkey, c_mktsegment, ((rn - 1) // 3)::BIGINT AS option, count(*) AS n FROM r GROUP BY ALL")
@@ -111,32 +164,60 @@ def clarification_groups(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("c_nationkey", "c_mktsegment", "option").agg(F.count(F.lit(1)).alias("n"))
 
 
-@P.query("web_sources", "WITH c AS (SELECT o_custkey, o_orderkey AS u FROM orders WHERE o_orderstatus = 'F'), v AS (SELECT o_custkey, o_orderkey AS u FROM orders WHERE o_totalprice > 100000), m AS (SELECT o_custkey, u, c.u IS NOT NULL AS cited FROM (SELECT o_custkey, u FROM c UNION SELECT o_custkey, u FROM v) a LEFT JOIN c USING (o_custkey, u)) SELECT o_custkey, u, 'W' || row_number() OVER (PARTITION BY o_custkey ORDER BY cited DESC, u) AS source_id FROM m QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY cited DESC, u) <= 20")
+@P.query("web_sources", """WITH c AS (SELECT o_custkey, 'https://s' || o_orderkey % 9 || '.org' AS url, 0 AS l, o_orderkey AS place, CASE WHEN o_orderkey % 4 > 0 THEN 'cited ' || o_orderkey END AS title, NULL AS published FROM orders WHERE o_orderstatus = 'F'),
+v AS (SELECT o_custkey, 'https://s' || o_orderkey % 23 || '.org' AS url, 1 AS l, o_orderkey AS place, 'seen ' || o_orderkey AS title, strftime(o_orderdate, '%Y-%m-%d') AS published FROM orders WHERE o_totalprice > 100000),
+u AS (SELECT * FROM c UNION ALL SELECT * FROM v), m AS (SELECT o_custkey, url, min(l * 1000000000000 + place) AS first_place, arg_min(title, l * 1000000000000 + place) FILTER (WHERE title <> '') AS title, arg_min(published, l * 1000000000000 + place) FILTER (WHERE published <> '') AS published FROM u GROUP BY ALL)
+SELECT o_custkey, 'W' || n AS source_id, url, title, published FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY first_place, url) AS n FROM m) WHERE n <= 20""")
 def web_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Cited and consulted sources, the cited first, twenty at most."""
-    o = S.read(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("u"), (F.col("o_orderstatus") == "F").alias("cited"), (F.col("o_totalprice") > 100000).alias("seen"))
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("cited"), "u")
-    return o.filter("cited OR seen").withColumn("i", F.row_number().over(w)).filter("i <= 20").select("o_custkey", "u", F.concat(F.lit("W"), "i").alias("source_id"))
+    """Cited and consulted sources by url, the cited first, twenty at most."""
+    o = S.read(spark, d, "orders")
+    url = lambda n: F.concat(F.lit("https://s"), (F.col("o_orderkey") % n).cast("string"), F.lit(".org")).alias("url")
+    place = F.col("o_orderkey").alias("place")
+    cited = o.filter("o_orderstatus = 'F'").select("o_custkey", url(9), place, F.when(F.col("o_orderkey") % 4 > 0, F.concat(F.lit("cited "), "o_orderkey")).alias("title"), F.lit(None).cast("string").alias("published"))
+    seen = o.filter("o_totalprice > 100000").select("o_custkey", url(23), place, F.concat(F.lit("seen "), "o_orderkey").alias("title"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("published"))
+    return U.merged_sources(cited, seen, "o_custkey")
+
 
+_REPLY = "CASE event_id % 6 WHEN 0 THEN 'no json' WHEN 1 THEN '{\"category\": \"cooking\", \"confidence\": 0.9}' WHEN 2 THEN '{\"category\": \"ambiguous\", \"confidence\": 0.5}' WHEN 3 THEN '{\"category\": \"out_of_scope\", \"confidence\": 7}' WHEN 4 THEN '{\"category\": \"out_of_scope\"}' END"
 
-@P.query("route_gate", "SELECT event_id, CASE WHEN value IS NULL THEN 'travel' WHEN value < 50 THEN 'out_of_scope' WHEN value < 100 THEN 'ambiguous' ELSE 'travel' END AS route FROM events")
+
+@P.query("route_gate", "SELECT event_id, CASE event_id % 6 WHEN 2 THEN 'ambiguous' WHEN 4 THEN 'out_of_scope' ELSE 'travel' END AS category, CASE event_id % 6 WHEN 2 THEN 0.5 ELSE 0.0 END AS confidence FROM events")
 def route_gate(spark: SparkSession, d: str) -> DataFrame:
-    v = F.col("value")
-    return S.read(spark, d, "events").select("event_id", U.first_rule([(v.isNull(), "travel"), (v < 50, "out_of_scope"), (v < 100, "ambiguous")], "travel").alias("route"))
+    """Replies of a router: what is no valid category goes on as travel."""
+    return S.read(spark, d, "events").select("event_id", U.routed(F.expr(_REPLY)).alias("r")).select("event_id", "r.*")
 
 
-@P.query("evidence_gate", f"SELECT case_id, CASE WHEN missing = 0 THEN 'normal' WHEN coverage > 0.8 THEN 'normal' WHEN missing = 1 THEN 'clarification' WHEN coverage > 0.3 THEN 'web' ELSE 'blocked' END AS answer_mode FROM {CA}")
+@P.query("evidence_gate", f"""WITH w AS (SELECT case_id, coverage >= 0.8 AS enough, coverage > 0.2 AS held, case_id % 3 > 0 AS web_on, missing * (case_id % 3) AS n, case_id % 2 = 0 AS found FROM {CA}),
+s AS (SELECT *, CASE WHEN enough THEN 'not_needed' WHEN NOT web_on THEN 'disabled_by_user' WHEN n > 3 THEN 'needs_clarification' WHEN n = 0 THEN 'skipped_stable' WHEN found THEN 'succeeded' ELSE 'failed' END AS web FROM w)
+SELECT case_id, web, CASE WHEN web = 'succeeded' THEN 'web' WHEN web = 'needs_clarification' THEN 'clarification' WHEN enough OR held THEN 'normal' ELSE 'blocked' END AS mode FROM s""")
 def evidence_gate(spark: SparkSession, d: str) -> DataFrame:
-    rules = [(F.col("missing") == 0, "normal"), (F.col("coverage") > 0.8, "normal"), (F.col("missing") == 1, "clarification"), (F.col("coverage") > 0.3, "web")]
-    return S.cases(spark, d).select("case_id", U.first_rule(rules, "blocked").alias("answer_mode"))
+    c = F.col
+    gate = U.answer_gate(c("coverage") >= 0.8, c("coverage") > 0.2, c("case_id") % 3 > 0, c("missing") * (c("case_id") % 3), c("case_id") % 2 == 0)
+    return S.cases(spark, d).select("case_id", gate.alias("g")).select("case_id", "g.*")
+
+
+_OK_ROLES = ("user", "assistant")
+_INTENT_NAMES = ("comparison", "travel_information")
 
 
-@P.query("validate_dataset", "SELECT 'empty_text' AS rule, count(*) AS violations FROM conversations WHERE trim(text) = '' UNION ALL SELECT 'repeated_turn', count(*) FROM (SELECT 1 FROM conversations GROUP BY conv_id, turn, role HAVING count(*) > 1) UNION ALL SELECT 'unknown_role', count(*) FROM conversations WHERE role NOT IN ('user', 'assistant')")
+@P.query("validate_dataset", f"""WITH r AS (SELECT *, {_INTENT} AS intent, CASE WHEN conv_id % 11 = 0 THEN turn + 1 ELSE turn END AS place, CASE WHEN conv_id % 7 = 0 THEN 'm9' ELSE 'm' || turn % 3 END AS memory FROM {RQ}),
+v AS (SELECT 'empty_text' AS rule, conv_id FROM r WHERE trim(phrase) = '' UNION ALL SELECT 'unknown_role', conv_id FROM r WHERE role NOT IN ('user', 'assistant') UNION ALL SELECT 'unknown_intent', conv_id FROM r WHERE intent NOT IN ('comparison', 'travel_information')
+UNION ALL SELECT 'unknown_memory', conv_id FROM r WHERE memory NOT IN ('m0', 'm1', 'm2') UNION ALL SELECT 'unknown_city', conv_id FROM r WHERE province IS NOT NULL AND province NOT IN {tuple(n for n in NAMES if n != 'Hue')}
+UNION ALL SELECT 'repeated_turn', conv_id FROM (SELECT conv_id FROM r GROUP BY conv_id, place HAVING count(*) > 1) UNION ALL SELECT 'turns_in_order', conv_id FROM (SELECT conv_id FROM r GROUP BY conv_id HAVING min(place) <> 0 OR max(place) <> count(*) - 1 OR count(DISTINCT place) <> count(*))
+UNION ALL SELECT 'number_of_turns', conv_id FROM (SELECT conv_id FROM r GROUP BY conv_id HAVING count(*) NOT BETWEEN 2 AND 6))
+SELECT rule, count(*) AS violations FROM v GROUP BY rule""")
 def validate_dataset(spark: SparkSession, d: str) -> DataFrame:
-    t = turns(spark, d)
-    n = lambda name, df: df.agg(F.lit(name).alias("rule"), F.count(F.lit(1)).alias("violations"))
-    again = t.groupBy("conv_id", "turn", "role").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return n("empty_text", t.filter(F.trim("text") == "")).unionByName(n("repeated_turn", again)).unionByName(n("unknown_role", t.filter(~F.col("role").isin("user", "assistant"))))
+    """Rules of integrity: those of a row, and those of a conversation's rows; a row for each rule that is broken."""
+    place = F.when(F.col("conv_id") % 11 == 0, F.col("turn") + 1).otherwise(F.col("turn"))
+    memory = F.when(F.col("conv_id") % 7 == 0, "m9").otherwise(F.concat(F.lit("m"), (F.col("turn") % 3).cast("string")))
+    r = S.requests(spark, d).withColumn("intent", F.expr(_INTENT)).withColumn("place", place).withColumn("memory", memory)
+    rules = {
+        "empty_text": F.trim("phrase") == "", "unknown_role": ~F.col("role").isin(*_OK_ROLES), "unknown_intent": ~F.col("intent").isin(*_INTENT_NAMES), "unknown_memory": ~F.col("memory").isin("m0", "m1", "m2"),
+        "unknown_city": F.col("province").isNotNull() & ~F.col("province").isin(*[n for n in NAMES if n != "Hue"]),
+    }
+    n, least, most, unlike = F.count(F.lit(1)), F.min("place"), F.max("place"), F.countDistinct("place")
+    whole = {"turns_in_order": (least != 0) | (most != n - 1) | (unlike != n), "number_of_turns": ~n.between(2, 6)}
+    return U.violations(r, rules, ["conv_id"], whole, {"repeated_turn": ["conv_id", "place"]})
 
 
 _EDGES = "SELECT (p_partkey - 1) // 7 AS src, p_partkey AS dst FROM part"

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import ipaddress
+import re
 import time
 from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
@@ -15,6 +16,7 @@ from urllib.parse import urlsplit
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Provider = Callable[[list], list]
 DIMENSION = 384
@@ -100,6 +102,8 @@ def public_destination(url: str | None, resolve: Callable[[str], list[str]] | No
     try:
         addresses = [str(ipaddress.ip_address(u.hostname))]
     except ValueError:
+        if re.fullmatch(r"(?i)(?:0x[0-9a-f]+|\d+)(?:\.(?:0x[0-9a-f]+|\d+))*\.?", u.hostname):
+            return False  # another way to write an address
         addresses = resolve(u.hostname) if resolve else []
         if resolve and not addresses:
             return False
@@ -107,16 +111,42 @@ def public_destination(url: str | None, resolve: Callable[[str], list[str]] | No
 
 
 def fetcher(get: Callable[[str], bytes], resolve: Callable[[str], list[str]] | None = None, most_bytes: int = 2_000_000) -> Callable[[], Provider]:
-    """Pages of public destinations by an injected getter, cut off beyond most_bytes; null for other destinations."""
+    """(page, reason) of public destinations by an injected getter; without a page for others and beyond most_bytes."""
+
+    def one(url: str | None) -> dict:
+        if not public_destination(url, resolve):
+            return {"page": None, "reason": "not a public destination"}
+        body = get(url)
+        if len(body) > most_bytes:
+            return {"page": None, "reason": f"over {most_bytes} bytes"}
+        return {"page": body.decode("utf-8", "replace"), "reason": None}
 
     def make() -> Provider:
         def fetch(urls: list) -> list:
-            out = []
-            for u in urls:
-                body = get(u) if public_destination(u, resolve) else None
-                out.append(body.decode("utf-8", "replace") if body is not None and len(body) <= most_bytes else None)
-            return out
+            return [one(u) for u in urls]
 
         return fetch
 
     return make
+
+
+def replies(df: DataFrame, prompt: str, factory: Callable[[], Provider], stage: str, price_in: float, price_out: float, batch: int = 16, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """df with a language model's reply to a prompt, and the call's telemetry: stage, tokens of both, cost and error.
+
+    Tokens are counted as words where the provider tells none: what it returns is a text, or a dict of text and usage.
+    """
+    def make() -> Provider:
+        ask = factory()
+
+        def call(prompts: list) -> list:
+            out = []
+            for p, r in zip(prompts, ask(prompts), strict=True):
+                r = r if isinstance(r, dict) else {"text": r}
+                out.append({"text": r["text"], "tokens_in": int(r.get("tokens_in", len((p or "").split()))), "tokens_out": int(r.get("tokens_out", len((r["text"] or "").split())))})
+            return out
+
+        return call
+
+    made = provided(df, prompt, "call", "struct<text: string, tokens_in: bigint, tokens_out: bigint>", make, batch, sleep)
+    cost = (F.col("call.tokens_in") * price_in + F.col("call.tokens_out") * price_out) / 1e6
+    return made.select(*[c for c in df.columns], F.lit(stage).alias("stage"), F.col("call.text").alias("reply"), F.col("call.tokens_in").alias("tokens_in"), F.col("call.tokens_out").alias("tokens_out"), cost.alias("cost"), F.col("call_error").alias("error"))

@@ -60,6 +60,8 @@ def ndjson(events: DataFrame, path: str) -> None:
     events.select("value").write.mode("append").text(path)
 
 
-def markdown_files(df: DataFrame, key: str, text: str, path: str) -> None:
-    """Each document's Markdown under its own folder, its name the id."""
-    df.select(F.col(key).cast("string").alias(key), F.col(text).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+def markdown_files(df: DataFrame, key: str, text: str, path: str, folders: int = 256) -> None:
+    """Markdown of documents as lines of JSON (key, markdown), dealt to a fixed number of folders by the key's hash: one
+    document's is found by its folder, and there are never as many files as documents."""
+    rows = df.select(F.col(key), F.col(text).alias("markdown"), F.pmod(F.xxhash64(key), F.lit(folders)).alias("folder"))
+    rows.repartition("folder").write.mode("overwrite").partitionBy("folder").json(path)

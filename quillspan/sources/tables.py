@@ -59,4 +59,24 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bound(read(spark, sf_dir, "documents"), CASE)
 
 
+#: What travellers ask, by turn, after the conversations' own text.
+PHRASES = (
+    "My trip is ending in Hoi An after the beach.", "Where should I stay for the final three nights?", "Is Hue cheap, not a luxury place?", "We travel alone from Hue City to the south of Vietnam.",
+    "Compare Da Nang versus Hoi An for food and price.", "What is the weather today in Da Nang?", "The average climate and weather by month, best time to go.", "Avoid luxury hotels in the old town of the wide city, but luxury spas are fine.",
+    "I do not want a low-cost hostel, a mid-range hotel please.", "We finish in Hue. Any photography spots?", "Can I stay in a hotel for the last 2 nights?", "Hue Imperial Museum opening hours and ticket price.",
+    "Plan 3 days in North Vietnam by train for the family.", "Ending in Da Nang, on my own, in northern vietnam.", "Explain the culture of food, step by step.", "Nothing more, thanks.",
+)
+CITY_NAMES = ("Hoi An", "Da Nang", "Hue", "Ha Long")
+_WHICH = " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PHRASES))
+REQUEST = {
+    "conv_id": "conv_id", "turn": "turn", "role": "role", "said": f"text || ' ' || CASE (conv_id * 7 + turn) % {len(PHRASES)} {_WHICH} END",
+    "phrase": f"CASE (conv_id * 7 + turn) % {len(PHRASES)} {_WHICH} END", "province": "CASE conv_id % 3 WHEN 0 THEN 'Hue' END",
+}
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bound(read(spark, sf_dir, "conversations"), REQUEST)
+
+
+REQUESTS = sql(REQUEST, "conversations")
 CHUNKS, QUEUES, MEMORIES, CASES = sql(CHUNK, "documents"), sql(QUEUE, "pages"), sql(MEMORY, "orders"), sql(CASE, "documents")

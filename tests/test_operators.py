@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
-from quillspan.operators import evaluation, filters, graph, memory, retrieval, text_ops
+from quillspan.operators import evaluation, filters, graph, markdown, memory, numbering, pages, retrieval, text_ops
 from quillspan.operators import understanding as U
 
 
@@ -83,9 +83,8 @@ def test_text_rules(spark):
     assert one(T.safe_url, "javascript:alert(1)") is None and one(T.safe_url, "https://a.b") == "https://a.b"
     assert one(T.source_kind, "https://x.gov.vn/a") == "official_government"
     assert one(U.freshness, "the climate and weather in june") == "stable" and one(U.freshness, "weather") == "live"
-    assert one(lambda t: U.budget(t, {"low": ("cheap",)}), "not a very cheap place") is None and one(lambda t: U.budget(t, {"low": ("cheap",)}), "a cheap place") == "low"
-    assert one(text_ops.clean_markdown, "##Title\r\n**Bold line**\n* item  two ,x\n\n\n\n<b>t</b>") == "## Title\n## Bold line\n- item two,x\n\nt"
-    assert one(filters.without_useless_lines, "# 3\n3\nPage 1 of 9\n- 4\n*** ***\nreal words here") == "# 3\n- 4\nreal words here"
+    assert one(lambda t: U.budgets(t), "not a very cheap place") == [] and one(lambda t: U.budgets(t), "avoid luxury; a cheap place in the end, though luxury of mind") == ["budget", "luxury"]
+    assert one(filters.without_useless_lines, "# 3\n3\nPage 1 of 9\n- 4\n*** ***\nTel: \nreal words here") == "# 3\n- 4\nreal words here"
 
 
 def test_recursive_split_keeps_all_words_within_size():
@@ -106,11 +105,109 @@ def test_short_pieces_merge(spark):
     assert out == ["a" * 10 + "\n\n" + "b" * 200 + "\n\n" + "c" * 20]
 
 
-def test_pages_become_markdown():
-    page = "<html><nav>menu</nav><h1>T</h1><p>one <a href='/x'>two</a></p><p>one <a href='/x'>two</a></p><ul><li>i</li></ul><script>z</script></html>"
-    assert text_ops.page_to_markdown(page) == "# T\n\none [two](/x)\n\n- i"
+def test_pages_become_markdown(spark):
+    page = "<html><head><title>x</title></head><body><nav>menu</nav><div class='sidebar'>side</div><!-- c --><article><h1>T</h1><p>one <a href='/x'>two</a></p><p>one <a href='/x'>two</a></p><ul><li>i</li></ul><table class='infobox'><tr><td>z</td></tr></table></article><script>z</script></body></html>"
+    df = spark.createDataFrame([(1, page, "https://a.org/p/"), (2, None, None), (3, "<p>no end <b>bold", "")], "k long, html string, url string")
+    got = {r["k"]: r["markdown"] for r in pages.pages_to_markdown(df, "k", "html", "url").collect()}
+    assert got == {1: "# T\n\none [two](https://a.org/x)\n\n- i", 2: "", 3: "no end **bold**"}
+    assert "side" in pages.whole_body(page, "") and pages.longest_paragraphs(page, "") == ""
+    assert pages.tree_of("<div>" * 20_000 + "deep").text() == "deep"
+
+
+CLEANED = [
+    ("##Title\r\n##**Bold** \n**Bold line**\n* item  two ,x\n\n\n\n<b>t</b>", "## Title\n## Bold\n\n## Bold line\n\n* item two,x\n\nt"),
+    ("a &amp; b<br/>c", "a & b\nc"), ("**==> picture [1] <==**\nx", "x"), ("![i](u) x < 3", "x < 3"), ("## Head**Long text.**", "## Head\n\nLong text."),
+    ("karsts**Da Nang** Breezy", "karsts\n\n## Da Nang\n\nBreezy"), ("__u__ _it_ snake_case_x ~~no~~", "u it snake_case_x no"), ("1Title here - text", "1. Title here - text"),
+    ("2 Another title\n2026 Vietnam guide", "2. Another title\n2026 Vietnam guide"), ("\u2022item\n#### \nend  ", "- item\n\nend"), ("foot\nx\nfoot\ny\nfoot", "x\ny"), (None, ""), ("", ""),
+    ("a\n----- Start of picture text -----\nshort\n----- End of picture text -----\nb", "a\nb"),
+    ("a\n--- start of picture text ---\n" + "word " * 20 + "\n\n\n x \n--- end of picture text ---\nb", "a\n\n### Image OCR Text\n\n" + ("word " * 20).strip() + "\nx\n\nb"),
+    ("a\n--- end of picture text ---\nb", "a\n\nb"),
+]
+
+
+def test_markdown_is_cleaned_step_by_step(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CLEANED)], "i long, t string")
+    got = {r["i"]: r["t"] for r in markdown.cleaned(df, "t").collect()}
+    assert {CLEANED[i][0]: t for i, t in got.items()} == dict(CLEANED)
+
+
+def test_blocks_are_kept_once(spark):
+    long = "w" * 200
+    text = f"# A\n\none [x](y) two\n\nOne two!\n\n# A\n\n{long} a\n\n{long} b\n\n***\n\nlast"
+    out = spark.createDataFrame([(text,)], "t string").select(markdown.deduplicated_blocks(F.col("t"))).first()[0]
+    assert out == f"# A\n\none [x](y) two\n\n# A\n\n{long} a\n\nlast"
+
+
+def folded(pieces, least=150, most=1200):
+    """Short pieces by hand: forward within a section, else backward, else as they are."""
+    left, out = [list(p) for p in pieces if p[1].strip()], []
+    while left:
+        s, t = left.pop(0)
+        if len(t) < least and left and left[0][0] == s and len(t) + 2 + len(left[0][1]) <= most:
+            left[0][1] = t + "\n\n" + left[0][1]
+        elif len(t) < least and out and out[-1][0] == s and len(out[-1][1]) + 2 + len(t) <= most:
+            out[-1][1] += "\n\n" + t
+        else:
+            out.append([s, t])
+    return [t for _, t in out]
+
+
+def test_short_pieces_merge_within_their_section(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(k, i, f"h{i // r.randrange(1, 5)}", "x" * r.choice((0, 20, 100, 149, 150, 400, 1100, 1190))) for k in range(60) for i in range(r.randrange(1, 12))]
+    out = text_ops.merge_short(spark.createDataFrame(rows, "k long, pos int, h string, t string"), "k", "pos", "t", "h").collect()
+    for k in range(60):
+        assert [x["t"] for x in sorted((x for x in out if x["k"] == k), key=lambda x: x["position"])] == folded([(h, t) for q, _, h, t in rows if q == k])
+
+
+def test_names_regions_and_stays(spark):
+    names = ["Da Nang", "Hoi An", "Hue"]
+    one = lambda c, s: spark.createDataFrame([(s,)], "t string").select(c(F.col("t"))).first()[0]
+    found = lambda s: one(lambda t: U.explicit_names(t, names), s)
+    assert found("hue and HOI AN!") == ["Hoi An", "Hue"] and found("Hue Imperial Museum") == [] and found("Hue City, huey") == ["Hue"] and found("the Hue Citadel near Hue") == ["Hue"]
+    assert one(lambda t: U.located(t, F.lit("Hue")), "in  the North of Vietnam") == ("northern_vietnam", None) and one(lambda t: U.located(t, F.lit("Hue")), "northern") == (None, "Hue")
+    rows = [(1, 0, "we are ending in Hue"), (1, 1, "a photographer, finishes in Da Nang"), (1, 2, "where can I stay for the last TWO nights"), (1, 3, "ends in Hoi An"), (2, 0, "hotel for the final 3 nights"), (2, 1, "ending in Hue")]
+    got = {(r["k"], r["n"]): r["rewritten"] for r in U.stay_rewrites(spark.createDataFrame(rows, "k long, n int, t string"), names, "k", ("n",), "t").collect()}
+    assert got[1, 2] == "Where should I stay in Da Nang for the final 2 nights of the existing photography itinerary?" and [v for v in got.values() if v] == [got[1, 2]]
+
+
+def test_plans_are_made_consistent(spark):
+    tasks = "array(named_struct('query', 'q1', 'cities', array('Hue', 'X'), 'indexes', array(2, 0, 2, 9)), named_struct('query', ' ', 'cities', array('Da Nang'), 'indexes', array(0)))"
+    df = spark.createDataFrame([(["a", " ", "b", "c"], ["Hue", "Ha Long"])], "r array<string>, c array<string>")
+    dropped = F.transform("r", lambda x: x == "a")
+    p = df.select(U.normal_plan(F.lit("see"), F.col("r"), F.expr(tasks), dropped, F.col("c")).alias("p")).first()["p"]
+    assert p["requirements"] == ["b", "c"] and [(t["query"], t["cities"], t["indexes"]) for t in p["tasks"]] == [("Ha Long see", ["Ha Long"], [0, 1]), ("q1", ["Hue"], [0])]
+    none = df.select(U.normal_plan(F.lit("see"), F.col("r"), F.expr(tasks), F.transform("r", lambda x: F.lit(True)), F.array().cast("array<string>")).alias("p")).first()["p"]
+    assert none["requirements"] == ["Factual evidence needed to answer the travel request"] and [t["cities"] for t in none["tasks"]] == [["Hue", "X"]]
+
+
+def test_weak_metrics_by_hand(spark):
+    empty = []
+    cases = spark.createDataFrame([(1, [5, 9], empty, empty, empty), (2, empty, ["old gate", "lake"], ["hue"], ["food"]), (3, empty, empty, empty, empty)], "query_id long, relevant array<long>, places array<string>, locations array<string>, keywords array<string>")
+    run = spark.createDataFrame([(1, 4, 1, "x"), (1, 5, 2, "x"), (2, 1, 1, "hue food"), (2, 2, 2, "the Old_Gate"), (2, 3, 11, "lake")], "query_id long, id long, rank int, text string")
+    m = {r["query_id"]: r for r in evaluation.weak_metrics(run, cases).collect()}
+    log = 1.584962500721156
+    assert m[1]["recall"] == 0.5 and m[1]["precision"] == 0.1 and m[1]["mrr"] == 0.5 and abs(m[1]["ndcg"] - (7 / log) / (7 + 7 / log)) < 1e-9
+    assert m[2]["recall"] == 0.5 and m[2]["mrr"] == 1.0 and abs(m[2]["ndcg"] - (3 + 7 / log) / (7 + 7 / log)) < 1e-9 and m[3]["ndcg"] == m[3]["recall"] == 0.0
+
+
+def test_numbers_and_carried_values_in_slices(spark):
+    rows = [(i % 2 if i % 7 else None, i, "v" if i % 5 == 0 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "g int, i long, v string")
+    got = {r["i"]: (r["n"], r["size"]) for r in numbering.numbered(df, ["g"], [F.desc("i")], "n", "size").collect()}
+    groups = {g: sorted((i for h, i, _ in rows if h == g), reverse=True) for g in (0, 1, None)}
+    assert got == {i: (k + 1, len(x)) for x in groups.values() for k, i in enumerate(x)}
+    held = {r["i"]: (r["previous"], r["known"]) for r in numbering.carried(df, ["g"], ["i"], "v").collect()}
+    for x in groups.values():
+        known, previous = None, None
+        for i in sorted(x):
+            assert held[i] == (previous, known)
+            previous = rows[i][2]
+            known = previous or known
 
 
 def test_repeated_lines_stay_where_safe(spark):
     df = spark.createDataFrame([(1, "foot\nx\nfoot\n- foot\nfoot\n- foot\n- foot"), (2, "")], "k long, t string")
-    assert {r["k"]: r["t"] for r in text_ops.without_repeated_lines(df, "k", "t").collect()} == {1: "x\n- foot\n- foot\n- foot", 2: ""}
+    assert {r["k"]: r["t"] for r in df.select("k", markdown.without_repeated_lines(F.col("t")).alias("t")).collect()} == {1: "x\n- foot\n- foot\n- foot", 2: ""}

@@ -26,7 +26,9 @@ def test_only_public_destinations_are_fetched():
     assert ok("https://a.org/x") and not ok("ftp://a.org") and not ok("https://u:p@a.org") and not ok("https://a.org:8080")
     assert not ok("http://127.0.0.1/") and not ok("http://a.org", ("10.0.0.1",)) and not ok("http://[::1]/") and not ok(None) and not ok("http://a.org", ())
     fetch = providers.fetcher(lambda u: b"x" * (3 if "small" in u else 3_000_000))()
-    assert fetch(["http://93.184.216.34/small", "http://93.184.216.34/big", "http://127.0.0.1/small"]) == ["xxx", None, None]
+    assert not ok("http://2130706433/") and not ok("http://0x7f.1/") and not ok("http://172.16.0.1/") and not ok("http://169.254.9.9/")
+    got = fetch(["http://93.184.216.34/small", "http://93.184.216.34/big", "http://127.0.0.1/small"])
+    assert [(g["page"], g["reason"]) for g in got] == [("xxx", None), (None, "over 2000000 bytes"), (None, "not a public destination")]
 
 
 def test_provided_keeps_rows_and_errors(spark):
@@ -65,9 +67,22 @@ def test_reports_and_events(spark, tmp_path):
     sinks.ndjson(df.select(sinks.stage_event(F.lit("stage"), id=F.col("id")).alias("value")), str(tmp_path / "nd"))
     assert spark.read.text(str(tmp_path / "nd")).first()["value"] == '{"type":"stage","id":1}'
     sinks.markdown_files(df.select("id", F.lit("# T").alias("md")), "id", "md", str(tmp_path / "md"))
-    assert (tmp_path / "md" / "id=1").is_dir()
+    held = spark.read.json(str(tmp_path / "md")).first()
+    assert (held["id"], held["markdown"]) == (1, "# T") and len(list((tmp_path / "md").glob("folder=*"))) == 1
 
 
 def test_small_rules():
     assert repaired("Ã©tÃ©") == "été" and repaired("été") == "été" and repaired(None) is None
     assert greedy_matches(["art", "food"], ["modern art", "art"]) == 1 and greedy_matches(["a"], []) == 0
+
+
+def test_pages_of_pdf_files(spark):
+    import zlib
+
+    from quillspan.sources import pdf
+
+    packed = zlib.compress(b"BT (Two \\(2\\)) Tj 0 -14 Td (next \\351) Tj ET")
+    good = b"%PDF-1.5\n1 0 obj << /Type /Page /Contents 3 0 R >> endobj 2 0 obj<</Type/Page/Contents[4 0 R]>>endobj\n3 0 obj << >> stream\nBT (One) Tj ET\nendstream endobj\n4 0 obj << /Filter /FlateDecode >> stream\n" + packed + b"\nendstream endobj"
+    rows = [(1, bytearray(good)), (2, bytearray(b"hello")), (3, bytearray(b"%PDF-1.4 /Encrypt")), (4, bytearray(b"%PDF-1.4")), (5, None)]
+    got = sorted(((r["k"], r["page"], r["text"], r["reason"]) for r in pdf.pdf_pages(spark.createDataFrame(rows, "k long, c binary"), "k", "c").collect()), key=str)
+    assert got == [(1, 1, "One", None), (1, 2, "Two (2)\nnext \u00e9", None), (2, None, None, "not a PDF"), (3, None, None, "encrypted"), (4, None, None, "no pages"), (5, None, None, "not a PDF")]
