@@ -143,7 +143,9 @@ def find_pii(docs: DataFrame, text: str = "text", to: str = "pii", keep: list[st
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: its counts of the fixed patterns, all spans and their scores. Edge cases as in find_pii."""
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     counts = [count_kind(F.col("pii"), k).alias(f"n_{k}") for k in BASE_KINDS]
     base = span_text(F.filter("pii", lambda s: s["kind"].isin(*BASE_KINDS)))
-    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), span_text(F.col("pii")).alias("spans"))
+    scores = F.array_join(F.transform("pii", lambda s: F.round(s["score"], 3).cast("string")), ",")
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), span_text(F.col("pii")).alias("spans"), scores.alias("scores"))

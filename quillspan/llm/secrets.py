@@ -70,9 +70,9 @@ _MIX0 = _BIAS + 1  # changes of class: 4 steps
 _KW0 = _MIX0 + 4  # keyword 1..5 tokens before, for tokens that aren't plain
 _MARKS0 = _KW0 + 5  # before: = or :, quote, @, bar or bracket; after: quote, @
 _NEAR0 = _MARKS0 + 6  # a keyword stands near and, if not next, = or : between: plain, number, other
-_PREFIX, _FILE_KEY, _FILE_CODE = range(_NEAR0 + 3, _NEAR0 + 6)
-N_FEATURES = _FILE_CODE + 1
-WIDTH = 14
+_PREFIX, _FILE_KEY, _FILE_CODE, _ADDRESS = range(_NEAR0 + 3, _NEAR0 + 7)
+N_FEATURES = _ADDRESS + 1
+WIDTH = 15
 
 
 class Tokens(NamedTuple):
@@ -139,7 +139,8 @@ def features_of(t: Tokens, at: np.ndarray) -> np.ndarray:
         short = same & (distance == 0) & (prev == 0) & (t.end[j] - t.start[j] <= _LONGEST)
         hit = np.zeros(n, bool)
         for i in np.flatnonzero(short):
-            hit[i] = t.text[t.start[j[i]] : t.end[j[i]]].lower() in _KEYWORDS
+            word = t.text[t.start[j[i]] : t.end[j[i]]].lower()
+            hit[i] = word in _KEYWORDS or re.split("[_.-]", word)[-1] in _KEYWORDS
         distance[hit] = d
         near |= hit & (assigned | (d <= 2))
         if d == 1:
@@ -164,6 +165,7 @@ def features_of(t: Tokens, at: np.ndarray) -> np.ndarray:
         out[i, 11] = _PREFIX if len(word) > 12 and word.startswith(_PREFIXES) else -1
         out[i, 12] = _FILE_KEY if file_key[text[i]] else -1
         out[i, 13] = _FILE_CODE if file_code[text[i]] else -1
+        out[i, 14] = _ADDRESS if word.startswith("//") else -1
     return out
 
 
@@ -203,7 +205,7 @@ def open_shapes(field: Field) -> np.ndarray:
     lead = np.maximum(field.emission[:, B], field.emission[:, I]) - field.emission[:, O]
     most = lambda a, b: max(0.0, lead[a:b].max())
     marks = sum(most(_MARKS0 + i, _MARKS0 + i + 1) for i in range(6))
-    strong = most(_NEAR0 + 1, _NEAR0 + 3) + most(_KW0, _KW0 + 5) + marks + most(_MIX0, _MIX0 + 4) + sum(most(i, i + 1) for i in (_PREFIX, _FILE_KEY, _FILE_CODE))
+    strong = most(_NEAR0 + 1, _NEAR0 + 3) + most(_KW0, _KW0 + 5) + marks + most(_MIX0, _MIX0 + 4) + sum(most(i, i + 1) for i in (_PREFIX, _FILE_KEY, _FILE_CODE, _ADDRESS))
     kind = np.arange(_N_SHAPE) // len(_LENGTHS)
     return lead[:_N_SHAPE] + lead[_BIAS] + np.where(np.isin(kind, _PLAIN), most(_NEAR0, _NEAR0 + 1), strong)
 
@@ -319,7 +321,7 @@ def fit(texts: list[str], spans: list[tuple[int, int] | None], rounds: int = 150
     return Field(w, t)
 
 
-def training_lines(n: int = 800, seed: int = 7) -> tuple[list[str], list[tuple[int, int] | None]]:
+def training_lines(n: int = 1200, seed: int = 7) -> tuple[list[str], list[tuple[int, int] | None]]:
     """Synthetic labelled lines: half hold one secret, half hold what resembles one."""
     r = np.random.default_rng(seed)
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -348,6 +350,8 @@ def training_lines(n: int = 800, seed: int = 7) -> tuple[list[str], list[tuple[i
         lambda: ".".join(str(x) for x in r.integers(0, 256, 4)), lambda: f"{r.integers(1990, 2030)}-{r.integers(10, 13)}-{r.integers(10, 29)}", lambda: "https://www." + draw(low, 4, 12) + ".org/" + draw(low, 3, 9) + "/" + draw(low + "-", 5, 20),
         lambda: "/".join(draw(low, 3, 9) for _ in range(3)) + ".py", lambda: draw(low, 4, 8) + draw(low, 3, 9).capitalize() + draw(low, 3, 9).capitalize(), lambda: draw(low, 18, 36),
         lambda: "v" + ".".join(str(x) for x in r.integers(0, 30, 3)), lambda: draw(low, 4, 9) + pick("***", "%%%", "&&&", "$$$"), lambda: "| " + draw(low, 3, 8) + " |",
+        lambda: "-".join(draw(dig, 1, 8) for _ in range(r.integers(3, 6))), lambda: "https://" + draw(low, 4, 9) + ".net/" + draw(low + dig, 2, 6) + "/" + pick("v", "p", "s") + draw(dig, 1, 4) + "/" + draw(low + "-", 5, 20) + pick(".html", ""),
+        lambda: f"{r.integers(0, 12)}.{r.integers(0, 40)}.{r.integers(0, 20)}" + pick("-", "", ".") + pick("rc", "beta", "b", "dev", "post") + draw(dig, 1, 3), lambda: draw("0123456789abcdef", 7, 12),
         lambda: pick("password", "token", "secret", "key") + " " + prose(1, 4), lambda: pick("Passwort", "token", "key", "pin") + ": " + pick("see", "none", "required", "ask", "in") + " " + prose(1, 3), lambda: draw(up, 2, 8),
     )
     texts, spans = [], []
@@ -362,8 +366,11 @@ def training_lines(n: int = 800, seed: int = 7) -> tuple[list[str], list[tuple[i
             lead = pick(f"{name} = {q}", f"{name}: {q}", f"{name}={q}", f"{q}{name}{q}: {q}", f"{name} {q}", f"{name} is {q}", f"export {name}={q}", "Authorization: Bearer ", f"{name} : {q}")
             if strong and r.random() < 0.25:
                 lead = q
+            end = q if lead.endswith(q) else ""
+            if r.random() < 0.12:  # in an address
+                lead, end = f"{pick('https', 'ftp', 'redis', 'amqp')}://{draw(low, 2, 8)}:", f"@{draw(low, 3, 8)}.{pick('com', 'io', 'net')}{pick('', '/', ':80/' + draw(low, 2, 6))}"
             lead = f"{left} {lead}".lstrip()
-            texts.append(f"{lead}{s}{q if lead.endswith(q) else ''} {right}".rstrip())
+            texts.append(f"{lead}{s}{end} {right}".rstrip())
             spans.append((len(lead), len(lead) + len(s)))
         else:
             middle = decoys[r.integers(0, len(decoys))]() if r.random() < 0.8 else ""
@@ -422,6 +429,7 @@ def find_secrets(docs: DataFrame, text: str = "text", to: str = "secrets", keep:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: its counts of the fixed patterns, and all spans. Edge cases as in find_secrets."""
     found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     counts = [count_kind(F.col("secrets"), k).alias(f"n_{k}") for k in BASE_KINDS]
     base = span_text(F.filter("secrets", lambda s: s["kind"].isin(*BASE_KINDS)))

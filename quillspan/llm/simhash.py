@@ -294,6 +294,8 @@ def similar_groups(marked: DataFrame, tau: int = TAU) -> DataFrame:
 
 
 def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint and component_id of every document. Null and empty texts have fingerprint zero and are linked like any other;
+    repeated rows stay and share a component; an empty table gives an empty one."""
     marked = materialize(with_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]), "marked")
     out = similar_groups(marked)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

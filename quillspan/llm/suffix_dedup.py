@@ -427,5 +427,6 @@ def dedup_substrings(docs: DataFrame, keep: list[str] | None = None) -> DataFram
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: bytes, those removed, in how many runs, and the hash of the rest. Edge cases as in dedup_substrings."""
     out = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

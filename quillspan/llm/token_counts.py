@@ -123,6 +123,7 @@ def count_tokens(
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, bytes, tokens and whether these are over the limit, of every document. A null text is empty and has none."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")

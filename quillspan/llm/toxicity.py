@@ -146,6 +146,7 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text", to: str = "sc
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document. Edge cases as in learn and score_texts; a null id is not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = learn(docs, table(spark, sf_dir, "labels"))
     scored = score_texts(docs, model, keep=["doc_id"])
