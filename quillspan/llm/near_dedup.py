@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -279,13 +279,30 @@ def sets_of(wanted: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
     return materialize(made.select("node", (F.octet_length("set") / 8).cast("long").alias("size"), "set"), "sets")
 
 
+def possible_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (key, u, v) that sizes and bitmaps of their texts let be of the likeness."""
+    for c in ("u", "v"):
+        pairs = pairs.join(texts.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("bitmap").alias(f"bitmap_{c}")), c)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(i).to_numpy() for i in (3, 4))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, BITMAP // 64) for i in (5, 6))
+            may = np.bitwise_count(x ^ y).sum(1) <= (1 - LIKENESS) / (1 + LIKENESS) * (a + b) + 1e-6
+            may &= np.minimum(a, b) >= LIKENESS * np.maximum(a, b) - 1e-9
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(may)) for i in range(3)], names=["key", "u", "v"])
+
+    columns = ["key", "u", "v", "size_u", "size_v", "bitmap_u", "bitmap_v"]
+    return pairs.select(*columns).mapInArrow(work, "key long, u long, v long")
+
+
 def verify_pairs(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
     """(u, v): of the pairs (key, u, v) those of the likeness, or as many as connect what they connect.
 
-    The texts of a key are dealt into blocks; a task compares the pairs between two blocks and reads each of their texts
-    once, pairs after texts, as a sorted run.
+    Pairs that the bitmaps tell apart are never fetched. The texts of a key are dealt into blocks; a task compares the
+    pairs between two blocks and reads each of their texts once, pairs after texts, as a sorted run.
     """
-    pairs = materialize(pairs.select("key", "u", "v").distinct(), "pairs")
+    pairs = materialize(possible_pairs(pairs.select("key", "u", "v").distinct(), texts), "pairs")
     ends = pairs.select("key", F.col("u").alias("node")).unionByName(pairs.select("key", F.col("v").alias("node"))).distinct()
     sets = sets_of(ends.select("node").distinct(), texts, docs)
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum("size") / BLOCK_SHINGLES))
@@ -350,7 +367,11 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     groups = near_duplicate_groups(docs)
     first = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), "h1", "h2"))
     stay = groups.groupBy("root").agg(first.alias("first")).select("first.id", F.col("first.h1").alias("s1"), F.col("first.h2").alias("s2"))
+    again = docs.select(F.col("doc_id").alias("id"), *text_key(text_of())).groupBy("id", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = again.select(F.col("id").alias("r"), F.col("h1").alias("r1"), F.col("h2").alias("r2"), F.lit(True).alias("again"))
+    same = F.col("id").eqNullSafe(F.col("r")) & (F.col("s1") == F.col("r1")) & (F.col("s2") == F.col("r2"))
+    stay = materialize(stay.join(again, same, "left").select("id", "s1", "s2", "again"), "stay")  # of a known size: a small one is broadcast
     held = as_rows(docs, doc=F.col("doc_id"), h1=text_key(text_of())[0], h2=text_key(text_of())[1])
     kept = held.join(stay, (F.col("h1") == F.col("s1")) & (F.col("h2") == F.col("s2"))).filter(F.col("doc").eqNullSafe(F.col("id")))
-    once = kept.withColumn("k", F.row_number().over(Window.partitionBy("h1", "h2").orderBy(F.lit(1)))).filter("k = 1")
-    return once.select("row.*")
+    repeated = kept.filter("again").dropDuplicates(["h1", "h2"])
+    return kept.filter("again IS NULL").select("row.*").unionByName(repeated.select("row.*"))

@@ -1,7 +1,6 @@
 import random
 
 import numpy as np
-import pytest
 
 from quillspan.llm import near_dedup as N
 
@@ -14,31 +13,15 @@ def test_groups_on_documents(spark):
     assert {r.doc_id for r in N.drop_near_duplicates(docs).collect()} == want
 
 
-def test_large_group_of_near_copies(spark):
-    r = random.Random(3)
-    base = [f"w{r.randrange(10**6)}" for _ in range(400)]
-    rows = [(i, " ".join(f"x{i}" if j == i % 400 else w for j, w in enumerate(base))) for i in range(500)]
-    rows += [(1000 + i, " ".join(f"w{r.randrange(10**6)}" for _ in range(400))) for i in range(50)]
-    out = {x.doc_id for x in N.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert out == {0} | {1000 + i for i in range(50)}
-
-
 def test_edge_rows(spark):
     rows = [(4, None, "a"), (2, "", "b"), (None, "", None), (3, "one two three", "c"), (3, "one two three", "d"), (None, "alone here", "e"), (None, "alone here", "f"), (9, "z " * 50_000, "g")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, fp string, h1 int, node int, `row` int")  # names that are used inside
     out = N.drop_near_duplicates(df)
     assert out.columns == df.columns
     assert sorted((str(r.doc_id), (r.text or "")[:5]) for r in out.collect()) == [("2", ""), ("3", "one t"), ("9", "z z z"), ("None", "alone")]
     assert N.drop_near_duplicates(df.limit(0)).count() == 0
 
 
-def test_names_of_columns_and_ties(spark):
-    rows = [(1, "a b c d e f", 1, 2, 3), (2, "a b c d e f", 4, 5, 6), (3, "other words are here too", 7, 8, 9)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, h1 int, node int, `row` int")
-    out = N.drop_near_duplicates(df)
-    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == [rows[0], rows[2]]
-
-
 def groups_by_brute_force(texts):
     sets, root = [N.shingle_set(t) for t in texts], list(range(len(texts)))
     for i in range(len(texts)):
@@ -65,27 +48,35 @@ def edited(r, words, kind, share):
     return out
 
 
-@pytest.mark.parametrize("seed", [5, 77])
-def test_all_pairs_of_the_likeness_are_found(spark, seed):
+def edits(seed):
+    """Pairs of a text and an edited one, about the likeness on both sides of it; and what stays, by brute force."""
     r, texts = random.Random(seed), []
     for k in range(160):
         words = [f"w{r.randrange(10**6)}" for _ in range(r.randrange(60, 300))]
         kind = ("block", "append", "repeat", "scattered")[k % 4]
         share = r.choice([0.07, 0.085, 0.095]) if kind == "block" else 0.2
         texts += [" ".join(words), " ".join(edited(r, words, kind, share))]
-    want = groups_by_brute_force(texts)
-    assert len(want) < 0.7 * len(texts)
-    out = N.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    assert {x.doc_id for x in out.collect()} == want
+    stay = groups_by_brute_force(texts)
+    assert len(stay) < 0.7 * len(texts)
+    return texts, stay
 
 
-def test_links_in_large_candidate_groups_are_kept(spark):
+def near_copies(n):
+    """A large group: each text has one word of its own."""
+    r = random.Random(3)
+    base = [f"w{r.randrange(10**6)}" for _ in range(400)]
+    return [" ".join(f"x{i}" if j == i % 400 else w for j, w in enumerate(base)) for i in range(n)], {0}
+
+
+def loose_groups():
+    """Six groups of likeness about 0.66, all candidates of each other, with one true pair in each; and a chain of texts,
+    each like the one before alone."""
     r, texts, twins = random.Random(9), [], set()
 
     def new():
         return f"w{r.randrange(10**9)}"
 
-    for _ in range(6):  # one word-pair neighbourhood, likeness about 0.66, and one true pair in it
+    for _ in range(6):
         base = [new() for _ in range(400)]
         for _ in range(150):
             words = list(base)
@@ -94,14 +85,21 @@ def test_links_in_large_candidate_groups_are_kept(spark):
             texts.append(" ".join(words))
         twins.add(len(texts))
         texts.append(texts[-1] + " " + new())
-    words = [new() for _ in range(400)]  # a chain: each text is like the one before alone
-    first = len(texts)
+    words, first = [new() for _ in range(400)], len(texts)
     for _ in range(150):
         texts.append(" ".join(words))
         for i in r.sample(range(400), 7):
             words[i] = new()
-    out = N.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    assert {x.doc_id for x in out.collect()} == set(range(first + 1)) - twins
+    return texts, set(range(first + 1)) - twins
+
+
+def test_no_pair_of_the_likeness_is_lost(spark):
+    rows, stay = [], set()
+    for texts, kept in (edits(5), edits(77), near_copies(500), loose_groups()):
+        stay |= {len(rows) + i for i in kept}
+        rows += list(enumerate(texts, len(rows)))
+    out = N.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x.doc_id for x in out.collect()} == stay
 
 
 def test_frequent_shingles_lose_no_pair(spark):
