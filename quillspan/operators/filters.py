@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,8 +115,11 @@ COMMON_WORDS = {
 def language(text: Column) -> Column:
     """The language most of whose common words a text has, more than any other; null for none or a tie."""
 
+    def one_of(terms: tuple[str, ...]) -> Callable[[Column], Column]:
+        return lambda w: w.isin(*terms)
+
     def told(words: Column) -> Column:
-        counts = {k: F.size(F.filter(words, lambda w, v=v: w.isin(*v))) for k, v in COMMON_WORDS.items()}
+        counts = {k: F.size(F.filter(words, one_of(v))) for k, v in COMMON_WORDS.items()}
         return T.let(F.array(*[F.struct(n.alias("n"), F.lit(k).alias("k")) for k, n in counts.items()]), best)
 
     def best(counts: Column) -> Column:
