@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, line_dedup, mixing, pii, secrets, simhash, suffix_dedup, token_counts, toxicity
+from . import clusters, decontaminate, fingerprints, line_dedup, mixing, pii, secrets, simhash, spelling, suffix_dedup, token_counts, topk, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op10_pii": pii.op10_pii,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_document_fingerprints": fingerprints.op9_document_fingerprints,
+        "op11_spelling_variants": spelling.op11_spelling_variants,
+        "op12_centroid_clusters": clusters.op12_centroid_clusters,
+        "op13_exact_top_products": topk.op13_exact_top_products,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontaminate.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+    return {"op3_decontamination": decontaminate.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op12_centroid_clusters": clusters.ORACLE, "op13_exact_top_products": topk.ORACLE}
