@@ -143,11 +143,17 @@ def freshness_class(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*KEY, "freshness", "eligible", F.col("cutoff").cast("string").alias("cutoff"), F.date_format("expires", "yyyy-MM-dd HH:mm:ss").alias("expires"))
 
 
-_ONLY = " OR ".join(f"(regexp_matches(r, '{says}')" + (f" AND NOT regexp_matches(q, '{unless}')" if unless else "") + ")" for says, unless in U.RESPONSE_ONLY)
+def _says(words: str, phrases: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({words}, ' {p} ')" for p in phrases) + ")"
 
 
-@P.query("response_only_requirement", f"""WITH x AS (SELECT conv_id, turn, role, lower(replace(said, 'Nothing more', 'Solo travel')) AS r, CASE conv_id % 2 WHEN 0 THEN 'weather and price' ELSE 'museums' END AS q, conv_id % 3 AS n, CASE conv_id % 4 WHEN 0 THEN 'itinerary' ELSE 'food' END AS intent FROM {RQ})
-SELECT conv_id, turn, role, {_ONLY} OR (n > 0 AND regexp_matches(r, '{U.COMPARING}')) OR (intent = 'itinerary' AND regexp_matches(r, '{U.SCHEDULING}')) OR (contains(r, 'nightlife') AND regexp_matches(r, '{U.DECLINED}')) AS response_only FROM x""")
+_SPOKEN = "' ' || regexp_replace(regexp_replace(lower({0}), '[^\\pL\\pN_]+', ' ', 'g'), '\\b\\d+\\b', '9', 'g') || ' '"
+_ONLY = f"""({_says("r", U.CONDITIONS)} AND NOT {_says("q", U.CONDITIONS_ASKED)}) OR ({_says("r", U.ALONE_PHRASES)} AND NOT {_says("q", U.SAFETY)}) OR ({_says("r", U.LEVELS)} AND NOT {_says("q", U.PRICES)})
+OR ({_says("r", U.VIEWS)} AND {_says("r", U.VEHICLES)} AND NOT {_says("q", U.VIEWS_ASKED)}) OR {_says("r", U.FORM)} OR ({_says("r", U.COMPARING)} AND n > 0) OR ({_says("r", U.SCHEDULING)} AND intent = 'itinerary') OR ({_says("r", U.NIGHTLIFE)} AND {_says("r", U.DECLINED)})"""
+
+
+@P.query("response_only_requirement", f"""WITH x AS (SELECT conv_id, turn, role, {_SPOKEN.format("replace(said, 'Nothing more', 'Solo travel')")} AS r, CASE conv_id % 2 WHEN 0 THEN ' weather and price ' ELSE ' museums ' END AS q, conv_id % 3 AS n, CASE conv_id % 4 WHEN 0 THEN 'itinerary' ELSE 'food' END AS intent FROM {RQ})
+SELECT conv_id, turn, role, {_ONLY} AS response_only FROM x""")
 def response_only_requirement(spark: SparkSession, d: str) -> DataFrame:
     """Requirements on the answer's form need no evidence."""
     q = F.when(F.col("conv_id") % 2 == 0, "weather and price").otherwise("museums")
