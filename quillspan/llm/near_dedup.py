@@ -34,6 +34,10 @@ BUCKET_BITS = 18
 BLOCK_TEXTS, BLOCK_SHINGLES = 128, 1 << 22
 #: Rows of a shingle that are paired as they come; more are told apart by bitmaps of so many bits, in blocks of so many rows.
 RUN_ROWS, BITMAP, CELL_ROWS = 8, 1024, 1024
+#: Texts of more shingles have a bitmap of about a bit for each as well, of so many bits at most.
+WIDE, MOST_BITS = 2048, 1 << 16
+#: Bits of the table by which texts that no pair asks for are passed over when the others are fetched.
+ASKED_BITS = 24
 
 
 def shingle_set(text: str, n: int = SHINGLE) -> np.ndarray:
@@ -78,24 +82,39 @@ def prefix_of(shingles: np.ndarray, order: np.ndarray) -> bytes:
     return shingles[np.argsort(rank, kind="stable")[:wanted]].astype("<u8").tobytes()
 
 
-def bitmap_of(shingles: np.ndarray) -> bytes:
+def bitmap_of(shingles: np.ndarray, bits: int = BITMAP) -> bytes:
     """A bit for each remainder of the hashes: is it that of an odd number of shingles? Two bitmaps differ in at most as
     many bits as the sets differ in shingles, so they bound what the sets can have in common."""
-    odd = np.bincount((shingles % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP) & 1
+    odd = np.bincount((shingles % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool)).tobytes()
 
 
+def wide_bitmap_of(shingles: np.ndarray) -> bytes | None:
+    """A long text fills the common bitmap, which then tells it from nothing; its own has more bits, a power of two."""
+    return bitmap_of(shingles, min(MOST_BITS, 1 << (len(shingles) - 1).bit_length())) if len(shingles) > WIDE else None
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """In how many bits two wide bitmaps differ, the longer one folded to the length of the other."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def text_key(text: Column) -> list[Column]:
     """128 bits that stand for a text."""
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")]
 
 
 def distinct_texts(docs: DataFrame, order: np.ndarray) -> DataFrame:
-    """h1, h2, node (a number), least (doc_id), fp, size (distinct shingles), prefix, least_hashes and bitmap
-    of each distinct text."""
+    """h1, h2, node (a number), least (doc_id), fp, size (distinct shingles), prefix, least_hashes, bitmap and wide (bitmap
+    of a long text) of each distinct text."""
 
     def mark(texts: list[str]) -> list[pa.Array]:
-        fp, size, prefix, least, bits = [], [], [], [], []
+        fp, size, prefix, least, bits, wide = [], [], [], [], [], []
         for t in texts:
             hashed = word_hashes(words_of(t))
             pairs, shingles = shingle_hashes(hashed, FEATURE), np.unique(shingle_hashes(hashed, SHINGLE))
@@ -104,10 +123,11 @@ def distinct_texts(docs: DataFrame, order: np.ndarray) -> DataFrame:
             prefix.append(prefix_of(shingles, order))
             least.append(shingles[:LEAST].view(np.int64).tolist())
             bits.append(bitmap_of(shingles))
-        return [pa.array(fp, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.binary()), pa.array(least, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
+            wide.append(wide_bitmap_of(shingles))
+        return [pa.array(fp, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.binary()), pa.array(least, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(wide, pa.binary())]
 
     rows = docs.select("doc_id", *text_key(text_of()), F.col("text").alias("text"))
-    made = {"fp": ("long", pa.int64()), "size": ("long", pa.int64()), "prefix": ("binary", pa.binary()), "least_hashes": ("array<long>", pa.list_(pa.int64())), "bitmap": ("binary", pa.binary())}
+    made = {"fp": ("long", pa.int64()), "size": ("long", pa.int64()), "prefix": ("binary", pa.binary()), "least_hashes": ("array<long>", pa.list_(pa.int64())), "bitmap": ("binary", pa.binary()), "wide": ("binary", pa.binary())}
     marked = map_texts(rows, mark, made, keep=["doc_id", "h1", "h2"])
     firsts = [F.first(c).alias(c) for c in made]
     texts = marked.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), *firsts)
@@ -274,11 +294,20 @@ def sets_of(wanted: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
     """node, size and set (its shingles) of the wanted nodes, each read from the rows of its least id."""
     held = docs.select(F.col("doc_id").alias("id"), *text_key(text_of()), text_of().alias("text"))
     least = materialize(wanted.join(texts.select("node", "h1", "h2", "least"), "node"), "wanted")  # of a known size: a small one is broadcast
-    found = least.join(held, ["h1", "h2"]).filter(F.col("least").eqNullSafe(F.col("id"))).select("node", "text")
+    found = least.join(maybe_asked(held, least), ["h1", "h2"]).filter(F.col("least").eqNullSafe(F.col("id"))).select("node", "text")
     made = map_texts(found, lambda ts: [pa.array([shingle_set(t).tobytes() for t in ts], pa.binary())], {"set": ("binary", pa.binary())}, keep=["node"])
     return materialize(made.select("node", (F.octet_length("set") / 8).cast("long").alias("size"), "set"), "sets")
 
 
+def maybe_asked(held: DataFrame, asked: DataFrame) -> DataFrame:
+    """held without most rows whose h1 is none of the asked ones: by a table of 2^ASKED_BITS bits, 64 in a row, which goes to
+    all tasks. Texts that none asks for are then not shuffled."""
+    word, bit = F.shiftrightunsigned("h1", 64 - ASKED_BITS + 6), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h1, {64 - ASKED_BITS}) & 63 AS int))")
+    table = asked.groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits"))  # 2^(ASKED_BITS - 6) rows at most
+    on = held.withColumn("__word", word).join(F.broadcast(table), "__word").filter(F.col("__bits").bitwiseAND(bit) != 0)
+    return on.select(*held.columns)
+
+
 def possible_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (key, u, v) that sizes and bitmaps of their texts let be of the likeness."""
     for c in ("u", "v"):
@@ -290,10 +319,22 @@ def possible_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, BITMAP // 64) for i in (5, 6))
             may = np.bitwise_count(x ^ y).sum(1) <= (1 - LIKENESS) / (1 + LIKENESS) * (a + b) + 1e-6
             may &= np.minimum(a, b) >= LIKENESS * np.maximum(a, b) - 1e-9
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(may)) for i in range(3)], names=["key", "u", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(may)) for i in range(5)], names=batch.schema.names[:5])
 
-    columns = ["key", "u", "v", "size_u", "size_v", "bitmap_u", "bitmap_v"]
-    return pairs.select(*columns).mapInArrow(work, "key long, u long, v long")
+    def work_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(*(batch.column(i).to_pylist() for i in range(3, 7)), strict=True)
+            may = [apart(x, y) <= (1 - LIKENESS) / (1 + LIKENESS) * (a + b) + 1e-6 for a, b, x, y in both]
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(may, pa.bool_())) for i in range(3)], names=batch.schema.names[:3])
+
+    columns = ["key", "u", "v", "size_u", "size_v"]
+    passed = materialize(pairs.select(*columns, "bitmap_u", "bitmap_v").mapInArrow(work, ", ".join(f"{c} long" for c in columns)), "passed")
+    long = F.least("size_u", "size_v") > WIDE
+    wide = passed.filter(long)
+    for c in ("u", "v"):
+        wide = wide.join(texts.filter(F.col("size") > WIDE).select(F.col("node").alias(c), F.col("wide").alias(f"wide_{c}")), c)
+    wide = wide.select(*columns, "wide_u", "wide_v").mapInArrow(work_wide, "key long, u long, v long")
+    return passed.filter(~long).select("key", "u", "v").unionByName(wide)
 
 
 def verify_pairs(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:

@@ -120,3 +120,34 @@ def test_bitmaps_bound_what_sets_have_in_common():
         b = np.unique(np.concatenate([a[: len(a) // 2], r.integers(0, 1 << 63, n // 3, dtype=np.uint64)]))
         x, y = (np.frombuffer(N.bitmap_of(z), np.uint64) for z in (a, b))
         assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_bitmaps_bound_the_difference_of_long_texts():
+    r = np.random.default_rng(7)
+    for n in (2049, 3000, 5000, 40_000, 90_000):
+        a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        for share in (0.0, 0.05, 0.21, 0.5, 1.0):
+            m = int(share * len(a))
+            b = np.unique(np.concatenate([a[m:], r.integers(0, 1 << 63, m).astype(np.uint64)]))
+            for other in (b, b[: int(0.85 * len(b))]):
+                if len(other) <= N.WIDE:
+                    continue
+                differ = len(np.setxor1d(a, other))
+                told = N.apart(N.wide_bitmap_of(a), N.wide_bitmap_of(other))
+                assert told <= differ
+                if n < N.MOST_BITS // 2 and share == 1.0:
+                    assert told > 0.2 / 1.8 * (len(a) + len(other))  # unrelated long texts are told apart
+    assert N.wide_bitmap_of(np.arange(N.WIDE, dtype=np.uint64)) is None
+
+
+def test_long_texts_with_common_passages(spark):
+    r = random.Random(11)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    common, texts = words(900), []
+    for _ in range(12):
+        own = words(r.randrange(2200, 4500))
+        texts.append(" ".join(common + own))
+        if r.random() < 0.5:
+            texts.append(" ".join(common + edited(r, own, "block", 0.05)))
+    got = N.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {x.doc_id for x in got.collect()} == groups_by_brute_force(texts)
