@@ -287,9 +287,3 @@ def batch_items(spark: SparkSession, d: str) -> DataFrame:
     b = F.floor(F.col("i") / 12)
     last = (F.col("n") > 12) & (F.col("n") % 12 > 0) & (F.col("n") % 12 < 4) & (b == F.floor(F.col("n") / 12))
     return r.select("doc_id", "source", F.when(last, b - 1).otherwise(b).alias("batch"))
-
-
-@P.query("turn_fold", "SELECT conv_id, turn, role, sum(length(text)) OVER w AS chars, count(*) OVER w AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)")
-def turn_fold(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    return S.read(spark, d, "conversations").select("conv_id", "turn", "role", F.sum(F.char_length("text")).over(w).alias("chars"), F.count(F.lit(1)).over(w).alias("n"))

@@ -21,16 +21,23 @@ vs AS (SELECT query_id, vec_id AS id, round(round(list_dot_product(qv::DOUBLE[],
 vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM vs)"""
 #: Text queries are the documents whose id is divisible by 50, each against all documents.
 _TOKENS = "list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda t: t <> '')"
-_BM25 = f"""dt AS (SELECT doc_id AS id, unnest({_TOKENS}) AS term FROM documents),
-tf AS (SELECT id, term, count(*) AS tf FROM dt GROUP BY ALL), dl AS (SELECT doc_id AS id, len({_TOKENS}) AS dl FROM documents),
+
+
+def bm25_sql(documents: str) -> str:
+    """Search by BM25 in SQL over a relation of doc_id and text: br has the ranks."""
+    return f"""dt AS (SELECT doc_id AS id, unnest({_TOKENS}) AS term FROM {documents}),
+tf AS (SELECT id, term, count(*) AS tf FROM dt GROUP BY ALL), dl AS (SELECT doc_id AS id, len({_TOKENS}) AS dl FROM {documents}),
 tot AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, tot), mean AS (SELECT avg(raw) AS m FROM raw),
-qt AS (SELECT doc_id AS query_id, unnest({_TOKENS}) AS term FROM documents WHERE doc_id % 50 = 0), qc AS (SELECT query_id, term, count(*) AS times FROM qt GROUP BY ALL),
+qt AS (SELECT doc_id AS query_id, unnest({_TOKENS}) AS term FROM {documents} WHERE doc_id % 50 = 0), qc AS (SELECT query_id, term, count(*) AS times FROM qt GROUP BY ALL),
 bs AS (SELECT query_id, id, round(sum(times * CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
  FROM qc JOIN raw USING (term) JOIN tf USING (term) JOIN dl USING (id), tot, mean GROUP BY query_id, id),
 br AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bs)"""
 
 
+_BM25 = bm25_sql("documents")
+
+
 def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = S.read(spark, d, "embeddings")
     return e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))

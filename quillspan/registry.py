@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analytics, documents, more, relational, rest, retrieval, streams, understanding
+from .plans import analytics, conversations, documents, indexes, more, relational, rest, retrieval, streams, understanding
 from .plans.kit import Query
 
-_MODULES = (relational, retrieval, analytics, documents, understanding, streams, more, rest)
+_MODULES = (relational, retrieval, indexes, conversations, analytics, documents, understanding, streams, more, rest)
 
 
 def queries() -> dict[str, Query]:

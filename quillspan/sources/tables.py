@@ -73,10 +73,39 @@ REQUEST = {
     "phrase": f"CASE (conv_id * 7 + turn) % {len(PHRASES)} {_WHICH} END", "province": "CASE conv_id % 3 WHEN 0 THEN 'Hue' END",
 }
 
+_L = "coalesce(length(text), 17)"
+
+
+def _given(name: str, when: str, value: str) -> str:
+    """A field of a reply, null but when it is given."""
+    return f"""'"{name}": ' || CASE WHEN {when} THEN {value} ELSE 'null' END"""
+
+
+def _named(letter: str, number: str) -> str:
+    return f"""'"{letter}' || CAST({number} AS STRING) || '"'"""
+
+
+#: A model's reply to each turn: what it says of the trip, by the text's length; some are cut short or say what can't be.
+_FIELDS = (
+    _given("destination", f"{_L} % 3 = 0", _named("d", f"{_L} % 11")), _given("temporary_budget", f"{_L} % 4 = 1", _named("b", f"{_L} % 5")),
+    _given("date_from", f"{_L} % 5 = 2", _named("2026-05-1", f"{_L} % 10")), _given("duration_days", f"{_L} % 5 = 2", f"CAST({_L} % 7 AS STRING)"),
+    f"""'"selected_places": [' || {_named("p", f"{_L} % 13")} || '], "dropped_selected_places": [' || {_named("p", "turn % 13")} || ']'""",
+    f"""'"reset": ' || CASE WHEN {_L} % 29 = 0 THEN 'true' ELSE 'false' END""",
+)
+UPDATE = {
+    "conv_id": "conv_id", "turn": "turn", "role": "role", "h": "md5(text)", "len": _L,
+    "reply": "'{' || " + " || ', ' || ".join(_FIELDS) + f" || CASE WHEN {_L} % 17 = 0 THEN '' ELSE '}}' END",
+    "valid": f"{_L} % 17 <> 0 AND NOT ({_L} % 5 = 2 AND {_L} % 7 = 0)",
+}
+
+
+def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bound(read(spark, sf_dir, "conversations"), UPDATE)
+
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bound(read(spark, sf_dir, "conversations"), REQUEST)
 
 
-REQUESTS = sql(REQUEST, "conversations")
+REQUESTS, UPDATES = sql(REQUEST, "conversations"), sql(UPDATE, "conversations")
 CHUNKS, QUEUES, MEMORIES, CASES = sql(CHUNK, "documents"), sql(QUEUE, "pages"), sql(MEMORY, "orders"), sql(CASE, "documents")
