@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import evaluation as E
 from ..operators.numbering import numbered
-from ..sources import pdf, providers, scratch, sinks
+from ..sources import ledger, pdf, providers, scratch, sinks, telemetry
 from ..sources import tables as S
 from .kit import Plans
 
@@ -265,3 +265,34 @@ def metadata_batches(spark: SparkSession, d: str) -> DataFrame:
     made = providers.provided(asked, "pack", "found", "array<bigint>", extractor, batch=1, sleep=lambda s: None)
     each = made.select("source", "batch", "found", "found_error", F.posexplode("items").alias("at", "item"))
     return each.select("item.doc_id", "source", "batch", F.get("found", F.col("at")).alias("n"), F.col("found_error").alias("error"))
+
+
+@P.query("provider_ledger", "SELECT conv_id, turn, role, CASE WHEN length(text) % 11 > 0 THEN length(text) || ':' || left(text, 5) END AS reply, CASE WHEN length(text) % 11 = 0 THEN 'ValueError: no answer' END AS error FROM conversations")
+def provider_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """Replies through a ledger, in two runs: the second sends what the first one's half of the turns lacked, and no more.
+    Inputs that the provider fails on are halved out of their batches."""
+
+    def factory() -> providers.Provider:
+        def ask(texts: list) -> list:
+            if any(len(t) % 11 == 0 for t in texts):
+                raise ValueError("no answer")
+            return [f"{len(t)}:{t[:5]}" for t in texts]
+
+        return ask
+
+    book = ledger.Ledger(spark, scratch.new_path(spark, "ledger"))
+    turns = S.read(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    book.ask(turns.filter("turn % 2 = 0"), "text", "reply", factory, "offline")
+    return book.ask(turns, "text", "reply", factory, "offline").select("conv_id", "turn", "role", "reply", F.col("reply_error").alias("error"))
+
+
+@P.query("run_telemetry", """SELECT 'read' AS stage, 'rows' AS metric, count(*)::DOUBLE AS value FROM documents UNION ALL SELECT 'read', 'chars', sum(n_chars)::DOUBLE FROM documents
+UNION ALL SELECT 'long', 'rows', count(*)::DOUBLE FROM documents WHERE n_chars > 200 UNION ALL SELECT 'distinct', 'rows', count(DISTINCT text)::DOUBLE FROM documents WHERE n_chars > 200""")
+def run_telemetry(spark: SparkSession, d: str) -> DataFrame:
+    """What the stages of a run did, as Spark counted it while the run was written."""
+    seen = telemetry.Telemetry(spark)
+    read = seen.stage(S.read(spark, d, "documents").select("doc_id", "text", "n_chars"), "read", chars=F.col("n_chars"))
+    long = seen.stage(read.filter("n_chars > 200"), "long")
+    once = seen.stage(long.groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "distinct")
+    once.write.parquet(scratch.new_path(spark, "run"))
+    return seen.events().select("stage", "metric", "value")

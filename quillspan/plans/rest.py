@@ -14,20 +14,25 @@ P = Plans()
 CA = S.CASES
 
 
-def _paged(spark: SparkSession, resource: str) -> DataFrame:
+def _paged(spark: SparkSession, d: str) -> DataFrame:
+    """The table of pages as a paged API serves it, a hundred at a time."""
+    path = scratch.new_path(spark, "api")
+    rows = S.read(spark, d, "pages").select(F.col("page_id").alias("id"), F.concat(F.lit("page "), "page_id").alias("title"), F.col("url").alias("link"), F.array(F.col("page_id") % 7, F.col("page_id") % 5).alias("categories"), F.floor(F.col("page_id") / 100 + 1).alias("page"))
+    rows.repartition("page").write.partitionBy("page").json(path)
+    last = rows.agg(F.max("page")).first()[0] or 0
     spark.dataSource.register(paged.PagedSource)
-    return spark.read.format("paged").option("resource", resource).option("per_page", 100).option("pages", 4).load()
+    return spark.read.format("paged").option("resource", path).option("per_page", 100).option("pages", last).load()
 
 
-@P.query("wp_posts", "SELECT i AS id, 'posts ' || i AS title, (i % 7) || ',' || (i % 5) AS categories FROM range(1, 251) t(i)")
+@P.query("wp_posts", "SELECT page_id AS id, 'page ' || page_id AS title, (page_id % 7) || ',' || (page_id % 5) AS categories FROM pages")
 def wp_posts(spark: SparkSession, d: str) -> DataFrame:
-    return _paged(spark, "posts").select("id", "title", F.array_join(F.transform("categories", lambda c: c.cast("string")), ",").alias("categories"))
+    return _paged(spark, d).select("id", "title", F.array_join(F.transform("categories", lambda c: c.cast("string")), ",").alias("categories"))
 
 
-@P.query("wikivoyage_api", "SELECT i % 7 AS category, count(*) AS n, min('https://example.org/pages/' || i) AS link FROM range(1, 251) t(i) GROUP BY 1")
+@P.query("wikivoyage_api", "SELECT page_id % 7 AS category, count(*) AS n, min(url) AS link FROM pages GROUP BY 1")
 def wikivoyage_api(spark: SparkSession, d: str) -> DataFrame:
     """Members of categories, page by page."""
-    return _paged(spark, "pages").groupBy(F.element_at("categories", 1).alias("category")).agg(F.count(F.lit(1)).alias("n"), F.min("link").alias("link"))
+    return _paged(spark, d).groupBy(F.element_at("categories", 1).alias("category")).agg(F.count(F.lit(1)).alias("n"), F.min("link").alias("link"))
 
 
 @P.query("pdf_folder", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")

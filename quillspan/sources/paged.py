@@ -1,26 +1,34 @@
 """A paged web API as a Spark data source: one partition for each page, read until an empty or failed page.
 
     spark.dataSource.register(PagedSource)
-    spark.read.format("paged").option("fetch", "package.module:function").option("pages", 10).load()
+    spark.read.format("paged").option("resource", "posts").option("fetch", "package.module:function").option("pages", 10).load()
 
 The fetch function takes (resource, page, per_page) and returns a list of rows (id, title, link, categories), empty past
-the end. Offline, a deterministic stand-in serves a given number of rows.
+the end. Offline, a folder serves the pages: lines of JSON under page=1, page=2 and so on.
 """
 
 from __future__ import annotations
 
 import importlib
+import json
 from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 SCHEMA = "id long, title string, link string, categories array<long>"
 
 
-def offline(resource: str, page: int, per_page: int, total: int = 250) -> list[tuple]:
-    first = (page - 1) * per_page + 1
-    return [(i, f"{resource} {i}", f"https://example.org/{resource}/{i}", [i % 7, i % 5]) for i in range(first, min(total, first + per_page - 1) + 1)]
+def served(resource: str, page: int, per_page: int) -> list[tuple]:
+    """The rows of a page of a folder that all executors reach, by their ids; none past the end."""
+    store, root = fs.FileSystem.from_uri(resource) if ":/" in resource else (fs.LocalFileSystem(), resource)
+    rows = []
+    for info in store.get_file_info(fs.FileSelector(f"{root}/page={page}", allow_not_found=True)):
+        if info.base_name.endswith(".json"):
+            with store.open_input_stream(info.path) as f:
+                rows += [json.loads(line) for line in f.read().decode().splitlines()]
+    return sorted((r["id"], r.get("title"), r.get("link"), r.get("categories")) for r in rows)[:per_page]
 
 
 class PagePartition(InputPartition):
@@ -31,7 +39,7 @@ class PagePartition(InputPartition):
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.resource, self.per_page, self.pages = options.get("resource", "posts"), int(options.get("per_page", 100)), int(options.get("pages", 100))
-        self.fetch = options.get("fetch", f"{__name__}:offline")
+        self.fetch = options.get("fetch", f"{__name__}:served")
 
     def partitions(self) -> list[InputPartition]:
         return [PagePartition(i) for i in range(1, self.pages + 1)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +33,11 @@ def drained(df: DataFrame, label: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(T.StructType([*df.schema.fields, T.StructField("__batch", T.LongType())])).parquet(path)
 
 
+def each_batch(df: DataFrame, path: str, work: Callable[[DataFrame, int], None]) -> None:
+    """Run a stream over what there is, to its end: each micro-batch and its number go to work; progress is kept beside path."""
+    df.writeStream.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(work).start().awaitTermination()
+
+
 def processed_queue(queue: DataFrame) -> DataFrame:
     """Each open URL becomes completed, or failed where its page is empty."""
     done = F.when(F.length("html") > 0, "completed").otherwise("failed")
