@@ -229,23 +229,24 @@ def validate_dataset(spark: SparkSession, d: str) -> DataFrame:
 _EDGES = "SELECT (p_partkey - 1) // 7 AS src, p_partkey AS dst FROM part"
 
 
-@P.query("category_closure", f"WITH RECURSIVE e AS ({_EDGES}), c AS (SELECT p_partkey AS root, p_partkey AS node FROM part WHERE p_partkey <= 3 UNION SELECT c.root, e.dst FROM c JOIN e ON e.src = c.node WHERE e.dst % 11 <> 0) SELECT root, node FROM c")
+@P.query("category_closure", f"WITH RECURSIVE e AS ({_EDGES}), c AS (SELECT p_partkey AS root, p_partkey AS node FROM part WHERE p_partkey % 10 = 1 UNION SELECT c.root, e.dst FROM c JOIN e ON e.src = c.node WHERE e.dst % 11 <> 0) SELECT root, node FROM c")
 def category_closure(spark: SparkSession, d: str) -> DataFrame:
-    """Descendants of root categories without excluded branches."""
+    """Descendants of root categories without excluded branches; every tenth category is a root."""
     part = S.read(spark, d, "part")
     edges = part.select(F.floor((F.col("p_partkey") - 1) / 7).alias("src"), F.col("p_partkey").alias("dst")).filter("dst % 11 <> 0")
-    return graph.reachable(edges, part.filter("p_partkey <= 3").select(F.col("p_partkey").alias("root"))).select("root", "node")
+    return graph.reachable(edges, part.filter("p_partkey % 10 = 1").select(F.col("p_partkey").alias("root"))).select("root", "node")
 
 
-_LINKS = "SELECT page_id AS src, (page_id * 7 + 1) % 250 AS dst FROM pages UNION SELECT page_id, (page_id * 3 + 2) % 250 FROM pages"
+_LINKS = "SELECT page_id AS src, (page_id * 7 + 1) % n AS dst FROM pages, (SELECT max(page_id) + 1 AS n FROM pages) UNION SELECT page_id, (page_id * 3 + 2) % n FROM pages, (SELECT max(page_id) + 1 AS n FROM pages)"
 
 
-@P.query("bfs_crawl", f"WITH l AS ({_LINKS}), a AS (SELECT 0 AS node, 0 AS level), b AS (SELECT DISTINCT dst AS node, 1 AS level FROM l JOIN a ON src = a.node WHERE dst NOT IN (SELECT node FROM a)), c AS (SELECT DISTINCT dst AS node, 2 AS level FROM l JOIN b ON src = b.node WHERE dst NOT IN (SELECT node FROM a UNION SELECT node FROM b)) SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c")
+@P.query("bfs_crawl", f"WITH RECURSIVE l AS ({_LINKS}), c AS (SELECT page_id AS root, page_id AS node, 0 AS level FROM pages WHERE page_id % 50 = 0 UNION SELECT c.root, l.dst, c.level + 1 FROM c JOIN l ON l.src = c.node WHERE c.level < 3) SELECT root, node, min(level) AS level FROM c GROUP BY root, node")
 def bfs_crawl(spark: SparkSession, d: str) -> DataFrame:
-    """Pages within two links of the start."""
-    p = S.read(spark, d, "pages").select(F.col("page_id").alias("src"))
-    edges = p.withColumn("dst", (F.col("src") * 7 + 1) % 250).union(p.withColumn("dst", (F.col("src") * 3 + 2) % 250)).distinct()
-    return graph.reachable(edges, spark.range(1).select(F.col("id").alias("root")), 2).select("node", "level")
+    """Pages within three links of every fiftieth page, over the links of all pages."""
+    pages = S.read(spark, d, "pages").select(F.col("page_id").alias("src"))
+    n = (pages.agg(F.max("src")).first()[0] or 0) + 1
+    edges = pages.withColumn("dst", (F.col("src") * 7 + 1) % n).union(pages.withColumn("dst", (F.col("src") * 3 + 2) % n)).distinct()
+    return graph.reachable(edges, pages.filter("src % 50 = 0").select(F.col("src").alias("root")), 3)
 
 
 _UPSERTED = f"(SELECT user_id, memory_type, lower(content) AS content, max(importance) AS importance, max(seq) AS seq FROM {ME} GROUP BY ALL)"
