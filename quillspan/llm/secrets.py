@@ -59,6 +59,8 @@ _CREDENTIAL = ("password", "passwd", "pwd", "pass", "passphrase", "secret", "tok
 _PREFIXES = ("ghp_", "gho_", "sk-", "sk_l", "pk_l", "xoxb", "xoxp", "AIza", "glpa", "ya29", "eyJh", "npm_", "SG.", "AKIA")
 _KEYWORDS = frozenset(_CREDENTIAL)
 _LONGEST = max(map(len, _CREDENTIAL))
+#: What a keyword ends with, at least.
+_ENDINGS = tuple(w for w in _CREDENTIAL if not any(w != v and w.endswith(v) for v in _CREDENTIAL))
 
 #: Kinds of tokens. The plain ones are what prose is made of.
 _OTHER, _NUMBER, _HEXA, _ALNUM, _JOINED, _CAMEL, _COMPOUND, _ALPHA, _SINGLE = range(9)
@@ -121,6 +123,32 @@ def tokenize(texts: list[str]) -> Tokens:
     return Tokens(joined, small, start, end, np.searchsorted(lines, start), kind * len(_LENGTHS) + size, offsets)
 
 
+@lru_cache(maxsize=1 << 16)
+def is_keyword(word: str) -> bool:
+    """A word for a credential, or a name that ends with one."""
+    return re.split("[_.-]", word.lower())[-1] in _KEYWORDS
+
+
+def after_keywords(t: Tokens) -> np.ndarray:
+    """Flags of the tokens with a keyword among the five before them, and of some others: a token that ends as one does counts."""
+    low = t.small.tobytes().lower()  # a byte for each code point, 128 for all beyond ASCII
+    if "\u212a" in t.text:  # the only other letter of which the lower case is in a keyword
+        low = bytes(ord("k") if c == "\u212a" else b for c, b in zip(t.text, low, strict=True))
+    ends = []
+    for word in _ENDINGS:
+        sought, at = bytes(min(ord(c), 128) for c in word), -1
+        while (at := low.find(sought, at + 1)) >= 0:
+            ends.append(at + len(sought))
+    out = np.zeros(len(t.start) + 6, bool)
+    if ends:
+        end = np.unique(ends)
+        token = np.searchsorted(t.end, end)
+        token = token[(token < len(t.end)) & (t.end[np.minimum(token, len(t.end) - 1)] == end)]
+        for d in range(1, 6):
+            out[token + d] = True
+    return out[: len(t.start)]
+
+
 def features_of(t: Tokens, at: np.ndarray) -> np.ndarray:
     """The active features of the tokens at the given places: one of each group or -1, in WIDTH columns."""
     n, out = len(at), np.full((len(at), WIDTH), -1, np.int16)
@@ -139,8 +167,7 @@ def features_of(t: Tokens, at: np.ndarray) -> np.ndarray:
         short = same & (distance == 0) & (prev == 0) & (t.end[j] - t.start[j] <= _LONGEST)
         hit = np.zeros(n, bool)
         for i in np.flatnonzero(short):
-            word = t.text[t.start[j[i]] : t.end[j[i]]].lower()
-            hit[i] = word in _KEYWORDS or re.split("[_.-]", word)[-1] in _KEYWORDS
+            hit[i] = is_keyword(t.text[t.start[j[i]] : t.end[j[i]]])
         distance[hit] = d
         near |= hit & (assigned | (d <= 2))
         if d == 1:
@@ -200,14 +227,16 @@ def viterbi(e: np.ndarray, transition: np.ndarray, left: int | None, right: int
     return tags[::-1]
 
 
-def open_shapes(field: Field) -> np.ndarray:
-    """For each shape: the most that a tag other than O can lead by, whatever stands around the token."""
+def open_shapes(field: Field) -> tuple[np.ndarray, np.ndarray]:
+    """For each shape: the most that a tag other than O can lead by, whatever stands around the token, if no keyword is
+    near, and if one is."""
     lead = np.maximum(field.emission[:, B], field.emission[:, I]) - field.emission[:, O]
     most = lambda a, b: max(0.0, lead[a:b].max())
     marks = sum(most(_MARKS0 + i, _MARKS0 + i + 1) for i in range(6))
-    strong = most(_NEAR0 + 1, _NEAR0 + 3) + most(_KW0, _KW0 + 5) + marks + most(_MIX0, _MIX0 + 4) + sum(most(i, i + 1) for i in (_PREFIX, _FILE_KEY, _FILE_CODE, _ADDRESS))
-    kind = np.arange(_N_SHAPE) // len(_LENGTHS)
-    return lead[:_N_SHAPE] + lead[_BIAS] + np.where(np.isin(kind, _PLAIN), most(_NEAR0, _NEAR0 + 1), strong)
+    strong = marks + most(_MIX0, _MIX0 + 4) + sum(most(i, i + 1) for i in (_PREFIX, _FILE_KEY, _FILE_CODE, _ADDRESS))
+    plain = np.isin(np.arange(_N_SHAPE) // len(_LENGTHS), _PLAIN)
+    far = lead[:_N_SHAPE] + lead[_BIAS] + np.where(plain, 0.0, strong)
+    return far, far + np.where(plain, most(_NEAR0, _NEAR0 + 1), most(_NEAR0 + 1, _NEAR0 + 3) + most(_KW0, _KW0 + 5))
 
 
 def decode(t: Tokens, field: Field) -> np.ndarray:
@@ -235,7 +264,8 @@ def decode(t: Tokens, field: Field) -> np.ndarray:
             e[new], known[new] = emissions(features_of(t, new), field.emission), True
         return e[at]
 
-    seeds = np.flatnonzero((open_shapes(field) + g >= 0)[t.shape])
+    far, near = open_shapes(field)
+    seeds = np.flatnonzero(np.where(after_keywords(t), near[t.shape], far[t.shape]) + g >= 0)
     if not len(seeds):
         return tags
     x = score(seeds)

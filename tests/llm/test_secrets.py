@@ -105,3 +105,56 @@ def test_planted_secrets_of_other_kinds_are_found(spark):
     false = sum(1 for got, s in zip(found, spans) for a, b, _ in got if not s or not (a < s[1] and s[0] < b))
     assert len(missed) == 14 * len(docs) and hit >= 0.95 * len(missed), hit / len(missed)
     assert false <= 0.02 * (hit + false), false / (hit + false)
+
+
+def never_trained(r):
+    """Kinds of secrets and of look-alikes that neither the training lines nor the other tests have; never used for a choice."""
+    pick = lambda n, more="": "".join(r.choice(string.ascii_letters + string.digits + more) for _ in range(n))
+    secret = [
+        ("TELEGRAM_TOKEN={}", f"{r.randrange(10**9)}:{pick(35, '_-')}"), ("shop: {}", "shpat_" + pick(32)), ("hooks at https://hooks.example.com/services/{}", f"T{pick(8)}/B{pick(8)}/{pick(24)}"), ("mongodb+srv://app:{}@cluster0.mongodb.net/db", pick(18)),
+        ("vault login -method=token {}", "hvs." + pick(24)), ("set DATABASE_PASS to {}", pick(16)), ("'authToken': '{}',", pick(32)), ("mailgun uses key {}", "key-" + pick(32)),
+    ]
+    alike = [
+        f"tracking number 1Z{pick(6).upper()}{r.randrange(10**10)}", f"model XR-{r.randrange(10**4)}B in stock", f"doi:10.{r.randrange(1000, 9999)}/s{r.randrange(10**5)}-{r.randrange(100)}", f"IBAN and VAT DE{r.randrange(10**8)}", "a keynote on tokenization", f"flight LH{r.randrange(1000)} gate B{r.randrange(40)}",
+    ]
+    return secret, alike
+
+
+def test_kinds_never_trained_on():
+    """Recall and precision by line where no fixed pattern finds anything: the figures README quotes."""
+    r, field = random.Random(2024), S.trained()
+    hits = missed = false = 0
+    for _ in range(60):
+        secret, alike = never_trained(r)
+        lines = [t.format(v) for t, v in secret] + alike
+        base = [S.base_spans(t) for t in lines]
+        got = S.crf_spans(lines, field, base)
+        for line, b, g, v in zip(lines, base, got, [v for _, v in secret] + [None] * len(alike)):
+            if v is None:
+                false += bool(g)
+            elif not any(s < line.index(v) + len(v) and line.index(v) < e for s, e, _ in b):
+                found = any(s < line.index(v) + len(v) and line.index(v) < e for s, e, _ in g)
+                hits, missed = hits + found, missed + (not found)
+    print(f"recall {hits / (hits + missed):.3f} of {hits + missed}, precision {hits / max(1, hits + false):.3f}")
+    assert hits / (hits + missed) >= 0.6 and hits / (hits + false) >= 0.8
+
+
+def test_few_tokens_are_decoded(spark, monkeypatch):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    tokens, field, seen = S.tokenize(texts), S.trained(), []
+    features = S.features_of
+    monkeypatch.setattr(S, "features_of", lambda t, at: (seen.append(len(at)), features(t, at))[1])
+    S.decode(tokens, field)
+    assert sum(seen) < 0.01 * len(tokens.start)
+
+
+def test_keywords_near_a_token_are_never_overlooked():
+    r = random.Random(5)
+    parts = ["password", "x_key", "KEY", "Key", "contraseña", "API-Token:", "the", "=", "1234", "Auth", "keys", "ñ", "\U0001f511", "x.pass", "monkey", "\n"]
+    for _ in range(200):
+        t = S.tokenize([" ".join(r.choices(parts, k=40))])
+        flags = S.after_keywords(t)
+        for i in range(len(t.start)):
+            for d in range(1, 6):
+                if i >= d and S.is_keyword(t.text[t.start[i - d] : t.end[i - d]]):
+                    assert flags[i]
