@@ -35,6 +35,7 @@ def test_matches_brute_force_with_cut_passages(spark):
     want = brute(docs, items)
     assert len(want) > 40 and run(spark, docs, items) == want
     assert run(spark, docs, items, block=300) == want
+    assert run(spark, docs, items, block=40) == want  # most items are longer than a block
 
 
 def test_edge_rows(spark):
@@ -56,3 +57,18 @@ def test_decontaminate_keeps_clean_documents_and_columns(spark):
 def test_ties_and_equal_items(spark):
     items = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "A B C D E F"), (4, "a b"), (5, "a b")]
     assert [(d, i) for d, i, _, _ in run(spark, [(9, "a b c d e f"), (9, "a b c d e f")], items)] == [(9, i) for i in (1, 1, 2, 2, 3, 3, 4, 4, 5, 5)]
+
+
+def test_blocks_are_passes_of_their_own(spark):
+    """However many blocks the items are, no stage has more than one Python node after another."""
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(30)] + [(99, " ".join(f"long{j}" for j in range(900)))]
+    docs = [(1, items[3][1]), (2, "nothing"), (3, items[-1][1]), (4, " ".join(items[-1][1].split()[:600])), (5, items[-1][1] + " " + items[0][1])]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    out = D.find_items(df, it, block=200)
+    assert {(r.doc_id, tuple(h.item_id for h in r.hits)) for r in out.collect()} == {(1, (3,)), (2, ()), (3, (99,)), (4, ()), (5, (0, 99))}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") <= 1
+    named = df.selectExpr("doc_id", "text", "1 AS h1", "2 AS hits", "3 AS `row`")
+    got = D.find_items(named, it, block=200)
+    assert got.columns == ["doc_id", "text", "h1", "row", "hits"] and got.filter("size(hits) > 0").count() == 3
+    assert D.decontaminate(named, it).columns == named.columns
