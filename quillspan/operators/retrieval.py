@@ -6,19 +6,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.providers import Provider, provided
 from ..sources.scratch import stored
+from .scoring import BM25_B, BM25_K1, FOUND, Scan, Search
 
-RRF_K, BM25_K1, BM25_B, BM25_EPSILON = 60, 1.5, 0.75, 0.25
+RRF_K, BM25_EPSILON = 60, 0.25
 #: Queries that one pass looks for: what is sent to executors is at most so many vectors.
 QUERY_BLOCK = 1024
-#: Terms of the queries that one pass scores, and rows that are scored at once for all of them.
-TERM_BLOCK, SCORE_ROWS = 1 << 18, 2048
+#: Terms of the queries that one pass scores.
+TERM_BLOCK = 1 << 18
 
 
 def vector_topk(queries: DataFrame, rows: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
@@ -77,9 +77,9 @@ def term_weights(queries: DataFrame, tokens: DataFrame, epsilon: float = BM25_EP
 def bm25_topk(queries: DataFrame, rows: DataFrame, k: int, k1: float = BM25_K1, b: float = BM25_B, block: int = TERM_BLOCK) -> DataFrame:
     """(query_id, id, score, rank): the k best rows (id, text) for each query (query_id, text) that share a term with it.
 
-    Rows are tokenised once. Queries go out in blocks of about so many terms; each partition scores its rows for a block
-    and keeps k for each query, so what is shuffled grows neither with frequent terms nor with pairs. Scores have six
-    places, equal ones go by id.
+    Rows are tokenised once. Queries go out in blocks of about so many terms; each task takes its rows a shard at a time,
+    term by term, and keeps k for each query, so what is shuffled grows neither with frequent terms nor with pairs. Scores
+    have six places, equal ones go by id.
     """
     tokens = stored(rows.select("id", T.tokens(F.coalesce("text", F.lit(""))).alias("terms")), "tokens")
     weights, mean = term_weights(queries, tokens)
@@ -89,37 +89,9 @@ def bm25_topk(queries: DataFrame, rows: DataFrame, k: int, k1: float = BM25_K1,
         own = weights.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toArrow()
         vocabulary, term = np.unique(own.column("term").to_numpy(zero_copy_only=False).astype(object), return_inverse=True)
         names, query = np.unique(own.column("query_id").to_numpy(), return_inverse=True)
-        order = np.argsort(term, kind="stable")
-        index = (pa.array(vocabulary, pa.string()), np.searchsorted(term[order], np.arange(len(vocabulary) + 1)), query[order], own.column("weight").to_numpy()[order])
-
-        def search(batches: Iterator[pa.RecordBatch], names: np.ndarray = names, index: tuple = index) -> Iterator[pa.RecordBatch]:
-            known, edge, query, weight = index
-            best_s, best_i = np.full((len(names), 0), -np.inf), np.zeros((len(names), 0), np.int64)
-            for batch in batches:
-                for at in range(0, batch.num_rows if len(names) else 0, SCORE_ROWS):
-                    part = batch.slice(at, SCORE_ROWS)
-                    terms = part.column(1)
-                    length = np.diff(terms.offsets.to_numpy())
-                    code = pc.index_in(terms.flatten(), known).fill_null(-1).to_numpy()
-                    row = np.repeat(np.arange(len(length)), length)[code >= 0]
-                    pair, tf = np.unique(code[code >= 0].astype(np.int64) * len(length) + row, return_counts=True)
-                    term, row = pair // len(length), pair % len(length)
-                    gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / max(mean, 1e-30)))
-                    s, hit = np.zeros((len(names), len(length))), np.zeros((len(names), len(length)), bool)
-                    cut = [*np.flatnonzero(np.diff(term, prepend=-1)).tolist(), len(term)]
-                    for x, y in zip(cut, cut[1:], strict=False):
-                        q = slice(edge[term[x]], edge[term[x] + 1])
-                        where = np.ix_(query[q], row[x:y])
-                        s[where] += np.outer(weight[q], gain[x:y])
-                        hit[where] = True
-                    s = np.concatenate([best_s, np.where(hit, s.round(6), -np.inf)], axis=1)
-                    ids = np.concatenate([best_i, np.broadcast_to(part.column(0).to_numpy(), s[:, best_s.shape[1] :].shape)], axis=1)
-                    order = np.lexsort((ids, -s), axis=1)[:, :k]
-                    best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(ids, order, 1)
-            on = best_s > -np.inf
-            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(names[:, None], on.shape)[on]), pa.array(best_i[on]), pa.array(best_s[on])], names=["query_id", "id", "score"])
-
-        found = tokens.select(F.col("id").cast("long"), "terms").mapInArrow(search, "query_id long, id long, score double")
+        search = Search(names, query, term, own.column("weight").to_numpy(), mean, k)
+        found = tokens.select(F.col("id").cast("long"), "terms").mapInArrow(Scan(search, pa.array(vocabulary, pa.string()), k1, b), FOUND)
+        found = found.select("query_id", "id", "score")
         found = stored(found, "bm25") if blocks > 1 else found
         parts = found if parts is None else parts.unionByName(found)
     return topk(parts, k)

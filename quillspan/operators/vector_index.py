@@ -90,7 +90,7 @@ class Cells:
     def __init__(self, spark: SparkSession, path: str) -> None:
         held = spark.read.schema("cell int, n long, angle double, center array<double>").parquet(f"{path}/cells").orderBy("cell").toArrow()
         self.cell, self.n, self.angle = (held.column(c).to_numpy() for c in ("cell", "n", "angle"))
-        self.center = np.array(held.column("center").to_pylist(), np.float64).reshape(held.num_rows, -1)
+        self.center = np.array(held.column("center").to_pylist(), np.float64).reshape(held.num_rows, -1) if held.num_rows else np.zeros((0, 0))
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
         """For each query of unit length and cell, the greatest cosine that a row of the cell can have."""

@@ -125,8 +125,8 @@ def test_postings_find_what_a_scan_finds(spark, tmp_path, n, k, shard_tokens):
     assert all(0 < r.read <= r.total for r in work.collect())
 
 
-def test_postings_read_less_than_the_lists_of_a_query(spark, tmp_path):
-    rows = spark.createDataFrame(worded(8, 6000, 2000, 80), TEXTS)
+def test_a_search_reads_less_than_the_lists_of_a_query(spark, tmp_path):
+    rows = spark.createDataFrame(worded(8, 6000, 2000, 80), TEXTS).coalesce(1)
     I.write_postings(rows, str(tmp_path))
     queries = spark.createDataFrame([(i, f"w0 w1 w2 w{500 + i} w{900 + i}") for i in range(20)], "query_id long, text string")
     got, work = I.postings_topk(queries, str(tmp_path), 3)
