@@ -86,3 +86,49 @@ def test_pages_of_pdf_files(spark):
     rows = [(1, bytearray(good)), (2, bytearray(b"hello")), (3, bytearray(b"%PDF-1.4 /Encrypt")), (4, bytearray(b"%PDF-1.4")), (5, None)]
     got = sorted(((r["k"], r["page"], r["text"], r["reason"]) for r in pdf.pdf_pages(spark.createDataFrame(rows, "k long, c binary"), "k", "c").collect()), key=str)
     assert got == [(1, 1, "One", None), (1, 2, "Two (2)\nnext \u00e9", None), (2, None, None, "not a PDF"), (3, None, None, "encrypted"), (4, None, None, "no pages"), (5, None, None, "not a PDF")]
+
+
+def test_pages_come_in_the_order_of_their_tree_and_from_object_streams():
+    import zlib
+
+    import pytest
+
+    from quillspan.sources import pdf
+
+    text = lambda n, t: b"%d 0 obj << >>\nstream\nBT (%s) Tj ET\nendstream\nendobj\n" % (n, t)
+    leaf = lambda c: b"<< /Type /Page /Contents %d 0 R >>" % c
+    plain = b"%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 9 0 R >> endobj\n" + text(20, b"first") + text(21, b"second") + text(22, b"third") + b"2 0 obj " + leaf(22) + b" endobj 3 0 obj " + leaf(20) + b" endobj 4 0 obj " + leaf(21) + b" endobj\n"
+    tree = b"9 0 obj << /Type /Pages /Kids [8 0 R 2 0 R 9 0 R] >> endobj 8 0 obj << /Type /Pages /Kids 7 0 R >> endobj 7 0 obj [3 0 R 4 0 R] endobj trailer << /Root 1 0 R >>"
+    assert pdf.page_texts(plain + tree) == ["first", "second", "third"]
+    assert pdf.page_texts(plain) == ["third", "first", "second"]  # no tree: by number
+    parts = [b"<< /Type /Catalog /Pages 31 0 R >>", b"<< /Type /Pages /Kids [33 0 R 32 0 R] >>", leaf(20), leaf(21)]
+    heads, at = [], 0
+    for n, p in zip(range(30, 34), parts):
+        heads.append(b"%d %d" % (n, at))
+        at += len(p) + 1
+    head = b" ".join(heads) + b" "
+    stream = zlib.compress(head + b"\n".join(parts))
+    packed = b"%PDF-1.5\n" + text(20, b"one") + text(21, b"two <7 more>") + b"5 0 obj << /Type /ObjStm /N 4 /First %d /Filter /FlateDecode >>\nstream\n" % len(head) + stream + b"\nendstream\nendobj\n6 0 obj << /Type /XRef /Root 30 0 R >> endobj"
+    assert pdf.page_texts(packed) == ["two <7 more>", "one"]
+    hexed = plain.replace(b"(first)", b"<66697273 7421>")
+    assert pdf.page_texts(hexed + tree)[0] == "first!"
+    bomb = b"%PDF-1.4\n1 0 obj " + leaf(2) + b" endobj\n2 0 obj << /Filter /FlateDecode >>\nstream\n" + zlib.compress(b" " * 50_000_000) + b"\nendstream\nendobj"
+    assert len(bomb) < 100_000 and pdf.page_texts(bomb) == [""]
+    with pytest.raises(pdf.Refused, match="inflates to too much"):
+        pdf.page_texts(bomb, most_inflated=1 << 20)
+
+
+def test_languages_are_told_by_a_model_of_labelled_texts(spark):
+    from quillspan.operators import language as L
+    from quillspan.plans.documents import page_language
+
+    d = "/root/testdata/sf0.01"
+    truth = {r.doc_id: (r.lang, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    told = {r.doc_id: r.language for r in page_language(spark, d).collect()}
+    long = [i for i, (lang, text) in truth.items() if text and lang and sum(c.isalpha() for c in text) > 100]
+    assert told.keys() == truth.keys() and sum(told[i] == truth[i][0] for i in long) / len(long) > 0.97
+    rows = spark.createDataFrame([("the cat", "en"), ("die Katze", "de"), (None, "fr"), ("x", None)], "t string, l string")
+    model = L.learn(rows, "t", "l")
+    out = spark.createDataFrame([("the cat sat",), ("die Katze lag",), ("12 - 34",), ("",), (None,)], "t string").select(L.detected(F.col("t"), model).alias("d")).collect()
+    assert [r.d.language for r in out] == ["en", "de", None, None, None] and out[0].d.margin > 0
+    assert L.learn(rows.limit(0), "t", "l").languages == []
