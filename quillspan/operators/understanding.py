@@ -235,13 +235,14 @@ def old_intent(text: Column, intent: Column) -> Column:
     return F.when(intent != "comparison", intent).otherwise(first_rule([(has_any(low, terms), to) for to, terms in OLD_COMPARISONS], "recommendation"))
 
 
-def keyword_parse(text: Column, names: list[str], rules: list[tuple[str, tuple[str, ...]]], otherwise: str) -> Column:
-    """The offline parser: a struct of intent (the first rule of which a term is said), city (the last of names that is
-    said, whatever its case), style (the last of the styles) and duration."""
+def keyword_parse(text: Column, names: list[str], rules: list[tuple[str, tuple[str, ...]]], otherwise: str, aliases: tuple[tuple[str, str], ...] = ()) -> Column:
+    """The offline parser: a struct of intent (the first rule of which a term is said), city (the last of names, and then of
+    aliases for them, that is said, whatever its case), style (the last of the styles) and duration."""
     low = F.lower(text)
     said = F.filter(strings(STYLES), lambda x: F.contains(low, x))
-    named = F.filter(strings(names), lambda n: F.contains(low, F.lower(n)))
-    city = F.try_element_at(named, F.lit(-1))
+    called = [*[(n.lower(), n) for n in names], *[(a.lower(), n) for a, n in aliases]]
+    said_as = F.array(*[F.struct(F.lit(a).alias("said"), F.lit(n).alias("name")) for a, n in called]) if called else F.array().cast("array<struct<said: string, name: string>>")
+    city = F.try_element_at(F.filter(said_as, lambda c: F.contains(low, c["said"])), F.lit(-1))["name"]
     return F.struct(first_rule([(has_any(low, terms), to) for to, terms in rules], otherwise).alias("intent"), city.alias("city"), F.try_element_at(said, F.lit(-1)).alias("style"), days(low).alias("days"))
 
 

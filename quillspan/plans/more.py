@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluation as E
+from ..operators import replies, robots
 from ..operators.numbering import numbered
 from ..sources import ledger, pdf, providers, scratch, sinks, telemetry
 from ..sources import tables as S
@@ -180,11 +181,17 @@ def markdown_normalize(spark: SparkSession, d: str) -> DataFrame:
     return S.read(spark, d, "documents").select("doc_id", F.md5(F.array_join(lines, "\n")).alias("h"))
 
 
-@P.query("batch_shape", "SELECT event_id, coalesce(CAST(json_extract(props, '$.items[0]') AS BIGINT), CAST(json_extract(props, '$.k') AS BIGINT)) AS first FROM events")
+@P.query("batch_shape", "SELECT doc_id // 12 AS batch, doc_id AS chunk_index, n_chars AS n FROM documents WHERE (doc_id // 12) % 6 <> 5")
 def batch_shape(spark: SparkSession, d: str) -> DataFrame:
-    """Items under any of the known names, or the object itself."""
-    pick = [F.get_json_object("props", p).cast("long") for p in ("$.items[0]", "$.chunks[0]", "$.results[0]", "$.k")]
-    return S.read(spark, d, "events").select("event_id", F.coalesce(*pick).alias("first"))
+    """Items of replies on twelve chunks each, however they are wrapped; one that wasn't asked for is in each."""
+    rows = S.read(spark, d, "documents").select(F.floor(F.col("doc_id") / 12).alias("batch"), F.col("doc_id").alias("chunk_index"), F.col("n_chars").alias("n"))
+    packs = rows.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "n"))).alias("own"))  # twelve at most
+    said = F.to_json(F.concat(F.array(F.struct(F.lit(-1).cast("long").alias("chunk_index"), F.lit(0).cast("long").alias("n"))), F.col("own")))
+    under = lambda name: F.concat(F.lit(f'{{"{name}": '), said, F.lit("}"))
+    shapes = [under("items"), under("results"), said, F.concat(F.lit("Here they are: "), under("chunks"), F.lit(" That is all.")), F.concat(F.lit("```json\n"), said, F.lit("\n```")), F.lit("no reply")]
+    reply = F.element_at(F.array(*shapes), (F.col("batch") % 6 + 1).cast("int"))
+    batches = packs.select("batch", F.transform("own", lambda x: x["chunk_index"]).alias("asked"), reply.alias("reply"))
+    return replies.assigned_items(batches, "batch", "asked", "reply", "chunk_index bigint, n bigint", "chunk_index")
 
 
 @P.query("constraint_shape", "SELECT event_id, string_agg(k || '=' || v, ',' ORDER BY k) AS constraints FROM (SELECT event_id, unnest(json_keys(props)) AS k, json_extract_string(props, '$.k') AS v FROM events) GROUP BY event_id")
@@ -194,11 +201,20 @@ def constraint_shape(spark: SparkSession, d: str) -> DataFrame:
     return S.read(spark, d, "events").select("event_id", text.alias("constraints"))
 
 
-@P.query("useful_page_stats", f"SELECT status, count(*) AS n, count(*) FILTER (WHERE robots IS NULL) AS unknown_robots FROM (SELECT status, CASE WHEN url_id % 5 <> 0 THEN url_id % 2 = 0 END AS robots FROM {QU}) GROUP BY status")
+#: Robots files of hosts, by the length of their names: a fifth of the hosts have none.
+_FILE = """CASE WHEN length(host) % 5 = 0 THEN NULL WHEN length(host) % 2 = 0 THEN '# all' || chr(10) || 'User-agent: *' || chr(10) || 'Disallow: /fr/' || chr(10) || 'Allow: /fr/8'
+ELSE 'User-agent: other' || chr(10) || 'Disallow: /' || chr(10) || chr(10) || 'User-Agent: *' || chr(10) || 'Disallow: /*?page=' || chr(10) || 'Disallow:' END"""
+_PARTS = "SELECT status, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^#]*)', 1) AS path FROM "
+
+
+@P.query("useful_page_stats", f"""SELECT status, count(*) AS n, count(*) FILTER (WHERE may IS NULL) AS unknown_robots, count(*) FILTER (WHERE NOT may) AS forbidden FROM (SELECT status, CASE WHEN length(host) % 5 = 0 THEN NULL
+WHEN length(host) % 2 = 0 THEN NOT starts_with(path, '/fr/') OR starts_with(path, '/fr/8') ELSE NOT contains(path, '?page=') END AS may FROM ({_PARTS}{QU})) GROUP BY status""")
 def useful_page_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Pages by status, with those whose robots rules aren't known: these are skipped."""
-    robots = F.when(F.col("url_id") % 5 != 0, F.col("url_id") % 2 == 0)
-    return S.queue(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_if(robots.isNull()).alias("unknown_robots"))
+    """Pages by status, with those that the robots files of their hosts forbid, and those of hosts without a file."""
+    queue = S.queue(spark, d).select("status", "url")
+    hosts = queue.select(F.lower(F.regexp_extract("url", "^[A-Za-z]+://([^/?#]*)", 1)).alias("host")).distinct()
+    told = robots.with_robots(queue, "url", robots.robots_table(hosts.select("host", F.expr(_FILE).alias("file")), "host", "file"), "quill")
+    return told.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("may_fetch").isNull()).alias("unknown_robots"), F.count_if(~F.col("may_fetch")).alias("forbidden"))
 
 
 def pdf_files(spark: SparkSession, d: str) -> DataFrame:

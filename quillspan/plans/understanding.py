@@ -93,9 +93,12 @@ _RULES = [("food_search", ("food", "eat")), ("itinerary", ("plan", "day")), ("at
 _CASES = " ".join(f"WHEN {_any('lower(said)', terms)} THEN '{to}'" for to, terms in _RULES)
 
 
-@P.query("keyword_parser", f"SELECT conv_id, turn, role, CASE {_CASES} ELSE 'travel_information' END AS intent, list_extract(list_filter({_list(NAMES)}, lambda n: contains(lower(said), lower(n))), -1) AS city, list_extract(list_filter({_list(U.STYLES)}, lambda n: contains(lower(said), n)), -1) AS style, try_cast(nullif(regexp_extract(lower(said), '(\\d+)\\s*days?\\b', 1), '') AS INTEGER) AS days FROM {RQ}")
+_ALIASES = (("imperial", "Hue"), ("old town", "Hoi An"), ("saigon", "Ho Chi Minh"))
+
+
+@P.query("keyword_parser", f"SELECT conv_id, turn, role, CASE {_CASES} ELSE 'travel_information' END AS intent, CASE {' '.join(f"WHEN contains(lower(said), '{a}') THEN '{n}'" for a, n in reversed(_ALIASES))} ELSE list_extract(list_filter({_list(NAMES)}, lambda n: contains(lower(said), lower(n))), -1) END AS city, list_extract(list_filter({_list(U.STYLES)}, lambda n: contains(lower(said), n)), -1) AS style, try_cast(nullif(regexp_extract(lower(said), '(\\d+)\\s*days?\\b', 1), '') AS INTEGER) AS days FROM {RQ}")
 def keyword_parser(spark: SparkSession, d: str) -> DataFrame:
-    return S.requests(spark, d).select(*KEY, U.keyword_parse(F.col("said"), NAMES, _RULES, "travel_information").alias("p")).select(*KEY, "p.*")
+    return S.requests(spark, d).select(*KEY, U.keyword_parse(F.col("said"), NAMES, _RULES, "travel_information", _ALIASES).alias("p")).select(*KEY, "p.*")
 
 
 _INTENT = "CASE conv_id % 5 WHEN 0 THEN 'comparison' WHEN 1 THEN 'itinerary' ELSE 'travel_information' END"
