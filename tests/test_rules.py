@@ -31,3 +31,24 @@ def test_items_of_replies_in_any_shape(spark):
     assert got == {**{i: {(1, "a"), (2, "b")} for i in range(6)}, 6: {(1, "a")}}
     shapes = df.select("b", F.size(replies.batch_items(F.col("reply"), "chunk_index bigint, t string", "chunk_index")).alias("n")).collect()
     assert {r.b: r.n for r in shapes}[12] == 0 and {r.b: r.n for r in shapes}[7] in (-1, None)
+
+
+def test_rules_of_a_nested_data_set(spark):
+    from quillspan.operators import dataset as D
+
+    turn = lambda i, **x: {"turn_id": i, "query": "q", "intent": "plan", "operation": "find", "relevant_memory_ids": ["m1"], "applicable_personalization": [{"key": "likes", "value": "other"}], "query_constraints": [{"key": "city", "value": "Hue"}], **x}
+    user = lambda name, turns=None, **x: {"user_id": name, "profile": {"preferred_travel_styles": ["slow"], "preferred_activities": [], "budget_level": "low", "interests": [], "avoid": []}, "memories": [{"memory_id": "m1", "key": "likes", "value": "art"}], "conversations": [{"conversation_id": "c1", "turns": turns or [turn(1), turn(2)]}], **x}
+    allowed = D.Vocabulary(("slow",), ("walk",), ("low",), ("plan",), ("find",), {"budget": ("low",)}, 1, 2)
+    cities = spark.createDataFrame([("Hue",), ("Hue",)], "city string")
+
+    def broken(*users):
+        df = spark.read.schema(D.USER).json(spark.sparkContext.parallelize([json.dumps(u) for u in users]))
+        return {r.rule: (r.violations, r.users) for r in D.violations(df, cities, allowed).collect()}
+
+    assert broken(user("a"), user("b")) == {} and broken(user("a"), user("a")) == {"repeated_user": (1, 1)}
+    wrong = [turn(1, query=" ", intent=None, operation="x", relevant_memory_ids=["m9"]), turn(3, query_constraints=[{"key": "city", "value": "Rome"}, {"key": "city", "value": "Rome"}, {"key": "mood", "value": "x"}, {"key": "place_type", "value": "city"}, {"key": "budget", "value": "gold"}])]
+    got = broken(user("a", wrong, profile=None, memories=[{"memory_id": "m1", "value": "other"}, {"memory_id": "m1", "key": "likes", "value": "art"}]), user("b", [turn(1)]), user("c", conversations=None))
+    assert got == {
+        "unknown_budget_level": (1, 1), "no_list": (2, 1), "repeated_memory": (1, 1), "empty_query": (1, 1), "unknown_intent": (1, 1), "unknown_operation": (1, 1), "unknown_memory": (1, 1), "omitted_memory": (1, 1), "turns_in_order": (2, 2),
+        "unknown_city": (2, 1), "repeated_constraint": (1, 1), "unknown_constraint": (1, 1), "place_type_is_a_location": (1, 1), "constraint_value": (1, 1), "number_of_turns": (1, 1), "number_of_conversations": (1, 1),
+    }
