@@ -84,20 +84,20 @@ def cleaned(df: DataFrame, text: str) -> DataFrame:
 def deduplicated_blocks(text: Column, prefix: int = 180) -> Column:
     """Blocks between blank lines, each once: an exact repeat goes, and one of over prefix characters whose start a kept
     block has, both in lower case, without links and marks; so does a block of marks alone. Headings stay. A dropped block
-    keeps no other from staying."""
+    keeps no other from staying.
+
+    So of the blocks with one start (or, if short, one key) the first stays, and headings: they are found by one sort.
+    """
     blocks = F.filter(F.transform(F.split(text, r"\n\s*\n", -1), lambda b: F.btrim(b, F.lit(" \t\n\r"))), lambda b: b != "")
     bare = lambda b: T.collapsed(F.regexp_replace(F.regexp_replace(F.lower(b), r"\[[^\]]+\]\([^)]+\)", ""), r"[^a-z0-9à-ỹ\s]", " "))
-    told = lambda b, key: F.struct(b.alias("block"), key.alias("key"), F.substring(key, 1, prefix).alias("head"), (F.char_length(key) > prefix).alias("long"), b.startswith("#").alias("heading"))
-    named = F.transform(blocks, lambda b: T.let(bare(b), lambda key: told(b, key)))
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("keys"), F.array().cast("array<string>").alias("heads"))
-
-    def step(acc: Column, b: Column) -> Column:
-        again = F.array_contains(acc["keys"], b["key"]) | (b["long"] & F.array_contains(acc["heads"], b["head"]))
-        grown = F.struct(
-            F.concat(acc["out"], F.array(b["block"])).alias("out"),
-            F.concat(acc["keys"], F.array(b["key"])).alias("keys"),
-            F.when(b["long"], F.concat(acc["heads"], F.array(b["head"]))).otherwise(acc["heads"]).alias("heads"),
-        )
-        return F.when((b["key"] == "") | (~b["heading"] & again), acc).otherwise(grown)
-
-    return F.array_join(F.aggregate(named, start, step, lambda acc: acc["out"]), "\n\n")
+
+    def told(b: Column, i: Column) -> Column:
+        long = lambda key: F.struct(F.when(F.char_length(key) > prefix, F.concat(F.lit("long "), F.substring(key, 1, prefix))).otherwise(F.concat(F.lit("short "), key)).alias("group"), i.alias("i"), (key != "").alias("says"), b.startswith("#").alias("heading"), b.alias("block"))
+        return T.let(bare(b), long)
+
+    def first_ones(sorted_: Column) -> Column:
+        first = lambda x, i: (i == 0) | (F.get(sorted_, i - 1)["group"] != x["group"])
+        stay = F.filter(sorted_, lambda x, i: x["says"] & (x["heading"] | first(x, i)))
+        return F.transform(F.array_sort(F.transform(stay, lambda x: F.struct(x["i"].alias("i"), x["block"].alias("block")))), lambda x: x["block"])
+
+    return F.array_join(T.let(F.array_sort(F.transform(blocks, told)), first_ones), "\n\n")

@@ -243,7 +243,14 @@ def merge_unique(spark: SparkSession, d: str) -> DataFrame:
     return numbered(f, ["source"], [F.col("seq")], "position").select("source", "id", "tasks", "position")
 
 
-@P.query("dedup_blocks")
+_BLOCKS = r"""WITH b AS (SELECT doc_id, pos, trim(block, ' ' || chr(9) || chr(10) || chr(13)) AS block FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS block, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
+k AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(lower(block), '\[[^\]]+\]\([^)]+\)', '', 'g'), '[^a-z0-9à-ỹ\s]', ' ', 'g'), '[ \t\n\x0b\f\r]+', ' ', 'g')) AS key FROM b WHERE block <> ''),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, CASE WHEN length(key) > 180 THEN 'long ' || left(key, 180) ELSE 'short ' || key END ORDER BY pos) AS turn FROM k),
+j AS (SELECT doc_id, string_agg(block, chr(10) || chr(10) ORDER BY pos) AS t FROM f WHERE key <> '' AND (turn = 1 OR starts_with(block, '#')) GROUP BY doc_id)
+SELECT d.doc_id, length(coalesce(t, '')) AS n, md5(coalesce(t, '')) AS h FROM documents d LEFT JOIN j USING (doc_id)"""
+
+
+@P.query("dedup_blocks", _BLOCKS)
 def dedup_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Lines as blocks, each once, and once for each start of 180 characters."""
     kept = M.deduplicated_blocks(F.regexp_replace(F.col("text"), "\n", "\n\n"))

@@ -4,6 +4,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspan.functions import marks
 from quillspan.operators import markdown
@@ -37,3 +38,25 @@ def test_markdown_of_a_very_long_text_takes_linear_time(piece):
         marks.scanned(marks.opened(text))
         took.append(time.process_time() - began)
     assert took[1] < 40 * max(took[0], 0.02)
+
+
+def test_blocks_of_any_text_are_those_of_one_pass(spark):
+    """Kept blocks by their definition, one after the other, against the sort."""
+    r = random.Random(8)
+    long = "w" * 178
+
+    def brute(text):
+        out, keys, heads = [], set(), set()
+        for block in (b.strip(" \t\r\n") for b in text.split("\n\n")):
+            key = " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in block.lower()).split())
+            again = key in keys or len(key) > 180 and key[:180] in heads
+            if key and (block.startswith("#") or not again):
+                out.append(block)
+                keys.add(key)
+                heads |= {key[:180]} if len(key) > 180 else set()
+        return "\n\n".join(out)
+
+    pieces = ["# A", "a", "A!", "b c", "***", "", f"{long} xyz", f"{long} xyz!", f"{long} xyw", f"# {long} xyz", f"{long} x", "#", "b\nc"]
+    texts = ["\n\n".join(r.choices(pieces, k=r.randrange(14))) for _ in range(200)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", markdown.deduplicated_blocks(F.col("t")).alias("t")).collect()
+    assert {x["i"]: x["t"] for x in got} == {i: brute(t) for i, t in enumerate(texts)}
