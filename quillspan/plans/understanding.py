@@ -139,9 +139,9 @@ def plan_normalise(spark: SparkSession, d: str) -> DataFrame:
 _FRESH = f"CASE WHEN {_any('f', U.WEATHER)} AND ({_any('f', U.LIVE)} OR NOT {_any('f', U.CLIMATE)}) THEN 'live' WHEN {_any('f', U.RECENT)} THEN 'recent' ELSE 'stable' END"
 
 
-@P.query("freshness_class", f"SELECT conv_id, turn, role, k AS freshness, k <> 'stable' AS eligible, CASE WHEN k = 'recent' THEN '2025-10-03' END AS cutoff, CASE WHEN k = 'live' THEN '2026-01-01 06:00:00' END AS expires FROM (SELECT *, {_FRESH} AS k FROM (SELECT *, regexp_replace(lower(trim(phrase)), '\\s+', ' ', 'g') AS f FROM {RQ}))")
+@P.query("freshness_class", f"SELECT conv_id, turn, role, k AS freshness, k <> 'stable' AS eligible, CASE WHEN k = 'recent' THEN '2025-10-03' END AS cutoff, CASE WHEN k = 'live' THEN '2026-01-01 06:00:00' END AS expires FROM (SELECT *, {_FRESH} AS k FROM (SELECT *, regexp_replace(lower(trim(said)), '\\s+', ' ', 'g') AS f FROM {RQ}))")
 def freshness_class(spark: SparkSession, d: str) -> DataFrame:
-    x = U.external_requirement(F.col("phrase"), F.to_timestamp(F.lit("2026-01-01 00:00:00")))
+    x = U.external_requirement(F.col("said"), F.to_timestamp(F.lit("2026-01-01 00:00:00")))
     out = S.requests(spark, d).select(*KEY, x.alias("x")).select(*KEY, "x.*")
     return out.select(*KEY, "freshness", "eligible", F.col("cutoff").cast("string").alias("cutoff"), F.date_format("expires", "yyyy-MM-dd HH:mm:ss").alias("expires"))
 

@@ -1,10 +1,12 @@
 """Robots rules, shapes of replies."""
 
 import json
+import math
+import random
 
 from pyspark.sql import functions as F
 
-from quillspan.operators import replies, robots
+from quillspan.operators import evaluation, replies, robots
 
 
 def test_robots_rules_of_files(spark):
@@ -52,3 +54,31 @@ def test_rules_of_a_nested_data_set(spark):
         "unknown_budget_level": (1, 1), "no_list": (2, 1), "repeated_memory": (1, 1), "empty_query": (1, 1), "unknown_intent": (1, 1), "unknown_operation": (1, 1), "unknown_memory": (1, 1), "omitted_memory": (1, 1), "turns_in_order": (2, 2),
         "unknown_city": (2, 1), "repeated_constraint": (1, 1), "unknown_constraint": (1, 1), "place_type_is_a_location": (1, 1), "constraint_value": (1, 1), "number_of_turns": (1, 1), "number_of_conversations": (1, 1),
     }
+
+
+def test_weak_metrics_agree_with_their_definition(spark):
+    r = random.Random(12)
+    vocabulary = ["Hue", "Hoi_An", "bay", "old town", "market", "food", "pier"]
+    runs, cases = [], []
+    for q in range(60):
+        ids = r.sample(range(40), 12)
+        runs += [(q, i, n + 1, " ".join(r.choices(vocabulary, k=r.randrange(4)))) for n, i in enumerate(ids[: r.randrange(13)])]
+        cases.append((q, r.sample(range(40), r.randrange(3)) if q % 2 else [], r.sample(vocabulary, r.randrange(3)), r.sample(vocabulary, r.randrange(2)), r.sample(vocabulary, r.randrange(3))))
+    flat = lambda t: " ".join(t.lower().replace("_", " ").split())
+    want = {}
+    for q, relevant, places, locations, keywords in cases:
+        own = sorted((n, i, t) for p, i, n, t in runs if p == q)
+        says = lambda t, v: sum(flat(x) in flat(t) for x in v)  # noqa: E731, B023
+        weak = lambda t: 3 if says(t, places) else 2 if says(t, locations) and says(t, keywords) else 1 if says(t, locations) or says(t, keywords) >= 2 else 0  # noqa: E731, B023
+        grades = [(n, (3 if i in relevant else 0) if relevant else weak(t)) for n, i, t in own]
+        n = len(set(relevant)) if relevant else len(places)
+        gain = lambda g, i: (2**g - 1) / math.log2(i + 1)
+        ideal = sum(gain(3, i) for i in range(1, min(n, 5) + 1))
+        top = [t for _, _, t in own[:10]]
+        recall = len({i for _, i, _ in own[:10]} & set(relevant)) / len(set(relevant)) if relevant else len({p for p in places for t in top if flat(p) in flat(t)}) / len(places) if places else 0
+        first = min((m for m, g in grades if g), default=None)
+        want[q] = (recall, sum(g > 0 for _, g in grades[:10]) / 10, sum(gain(g, m) for m, g in grades[:5]) / ideal if ideal else 0, 1 / first if first else 0)
+    run = spark.createDataFrame(runs, "query_id long, id long, rank int, text string")
+    given = spark.createDataFrame(cases, "query_id long, relevant array<long>, places array<string>, locations array<string>, keywords array<string>")
+    got = {x.query_id: (x.recall, x.precision, x.ndcg, x.mrr) for x in evaluation.weak_metrics(run, given).collect()}
+    assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for q in want for a, b in zip(got[q], want[q]))

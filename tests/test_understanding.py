@@ -1,6 +1,8 @@
 """Rules of requests, on sentences made from parts."""
 
 import itertools
+import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -28,3 +30,41 @@ def test_phrases_are_whole_words_wherever_they_stand(spark):
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(U.says(U.spoken(F.col("t")), U.PRICES)).collect()]
     words = lambda t: "".join(c if c.isalnum() else " " for c in t.lower()).split()
     assert got == [any(w in ("cost", "price") for w in words(t)) or ("how", "much") in zip(words(t), words(t)[1:]) for t in texts]
+
+
+def test_budgets_of_generated_sentences(spark):
+    """A level counts if one mention has no negation up to five words before it: word by word."""
+    r = random.Random(21)
+    words = ["avoid", "not", "without", "no", "rather than", "cheap", "luxury", "mid-range", "moderate budget", "budget", "low cost", "high-end", "a", "hotel", "place,", "really", "old-town", "do not want", "nothing"]
+    texts = [" ".join(r.choices(words, k=r.randint(1, 14))) for _ in range(400)]
+
+    def brute(text):
+        out = []
+        for level, pattern in U.BUDGETS.items():
+            for m in re.finditer(rf"(?i)\b(?={pattern})(?=(?:{pattern})\b)", text):
+                before = [text[n.end() : m.start()] for n in re.finditer(rf"(?i)\b(?:{U.NEGATIONS})", text[: m.start()])]
+                if not any(re.fullmatch(r"(?:\s+\w+){0,5}\s*", gap) for gap in before):
+                    out.append(level)
+                    break
+        return out
+
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", U.budgets(F.col("t")).alias("b")).collect()
+    assert {x["i"]: sorted(x["b"]) for x in got} == {i: sorted(brute(t)) for i, t in enumerate(texts)}
+
+
+def test_names_of_generated_sentences(spark):
+    """Whole words in any case, not the start of a longer capitalised name."""
+    r = random.Random(3)
+    names = ["Hue", "Hoi An", "Da Nang", "An"]
+    words = ["Hue", "hoi an", "Da Nang", "AN", "City", "city", "province", "Bay", "beach", "hues", "x", "and", "Market,"]
+    texts = [r.choice(["", " "]).join([" ".join(r.choices(words, k=r.randint(1, 8))), r.choice(["", ".", "!"])]) for _ in range(300)]
+
+    def says(text, name):
+        for m in re.finditer(rf"(?i)(?<!\w){re.escape(name)}(?!\w)", text):
+            after = re.match(r"\s+([^\s]+)", text[m.end() :])
+            if not after or not re.match("[A-ZÀ-Ỹ]", after[1]) or re.match(r"(?i)(?:city|province)(?![\wÀ-ỹ'-])", after[1]):
+                return True
+        return False
+
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", U.explicit_names(F.col("t"), names).alias("n")).collect()
+    assert {x["i"]: x["n"] for x in got} == {i: [n for n in names if says(t, n)] for i, t in enumerate(texts)}
