@@ -59,6 +59,20 @@ SCHEDULING = ("itinerary", "day by day", "schedule", "plan for 9 day", "plan for
 NIGHTLIFE, DECLINED = ("nightlife",), ("avoid", "without", "not interested")
 
 
+# Wordings of a search for a place to stay, and what is asked for instead where no property is named.
+AREAS = (
+    (("which accommodation located near", "which accommodations located near", "which accommodation are located near", "which accommodations are located near"), "which neighborhoods or base areas provide access to"),
+    (("budget-friendly accommodation options", "budget friendly accommodation options"), "budget-friendly neighborhoods or base areas to stay"),
+    (("accommodation options",), "neighborhoods or base areas to stay"), (("affordable accommodation", "affordable accommodations"), "budget-friendly neighborhoods or base areas"),
+    (("budget hotel near", "budget hotels near", "hotel near", "hotels near"), "budget-friendly areas to stay near"),
+)
+PROPERTIES = ("hotel", "hostel", "resort", "property")
+PROPERTY_ASKED = (
+    *(f"{which} {p}" for which in ("specific", "named") for p in PROPERTIES), *(f"{which} {p}" for which in ("which", "what") for p in PROPERTIES[:3]), *(f"{p} {name}" for p in PROPERTIES for name in ("name", "names")),
+)
+ACCOMMODATION = "accommodation_search"
+
+
 def vocabulary(names: DataFrame, column: str, most: int = MOST_NAMES) -> list[str]:
     """A column's distinct values, longest first; more than most of them are refused, not cut."""
     found = [r[0] for r in names.filter(F.col(column).isNotNull()).select(column).distinct().limit(most + 1).collect()]
@@ -165,6 +179,13 @@ def response_only(requirement: Column, query: Column, intent: Column, n_cities:
     return F.coalesce(reduce(lambda a, b: a | b, rules), F.lit(False))
 
 
+def area_level(text: Column, query: Column, intent: Column) -> Column:
+    """A requirement or task of a search for a place to stay, as one for areas; as it is where the query asks for a property."""
+    said = sorted(((p, to) for phrases, to in AREAS for p in phrases), key=lambda x: -len(x[0]))
+    made = reduce(lambda t, x: F.regexp_replace(t, rf"(?i)\b{re.escape(x[0])}\b", x[1]), said, text)
+    return F.when((intent == ACCOMMODATION) & ~F.coalesce(says(spoken(query), PROPERTY_ASKED), F.lit(False)), made).otherwise(text)
+
+
 def compared_cities(operation: Column, intent: Column, cities: Column) -> Column:
     """The cities of a comparison: two and more, and not of transport; else none."""
     return F.when((operation == "compare") & (intent != "transport") & (F.size(cities) >= 2), cities).otherwise(F.array().cast("array<string>"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, memory
 from ..operators import understanding as U
+from ..operators.numbering import numbered
 from ..sources import tables as S
 from .kit import Plans
 
@@ -165,11 +166,26 @@ def response_only_requirement(spark: SparkSession, d: str) -> DataFrame:
     return S.requests(spark, d).select(*KEY, U.response_only(r, q, intent, F.col("conv_id") % 3).alias("response_only"))
 
 
+_STAYS = "CASE WHEN conv_id % 3 = 0 THEN 'Budget hotels near ' WHEN conv_id % 3 = 1 THEN 'Which accommodations are located near ' ELSE 'Affordable accommodation, accommodation options: ' END || said"
+_AREA = "t"
+for _said, _to in sorted(((p, to) for phrases, to in U.AREAS for p in phrases), key=lambda x: -len(x[0])):
+    _AREA = f"regexp_replace({_AREA}, '(?i)\\b{_said}\\b', '{_to}', 'g')"
+
+
+@P.query("area_level", f"""WITH x AS (SELECT conv_id, turn, role, {_STAYS} AS t, {_SPOKEN.format("said || CASE WHEN turn % 2 = 0 THEN ' Which hotel?' ELSE '' END")} AS q, CASE WHEN conv_id % 5 = 0 THEN 'food' ELSE 'accommodation_search' END AS intent FROM {RQ})
+SELECT conv_id, turn, role, md5(CASE WHEN intent = 'accommodation_search' AND NOT {_says("q", U.PROPERTY_ASKED)} THEN {_AREA} ELSE t END) AS h FROM x""")
+def area_level(spark: SparkSession, d: str) -> DataFrame:
+    """Requirements of a search for a place to stay, as ones for areas."""
+    intent = F.when(F.col("conv_id") % 5 == 0, "food").otherwise(U.ACCOMMODATION)
+    asked = F.concat("said", F.when(F.col("turn") % 2 == 0, " Which hotel?").otherwise(""))
+    return S.requests(spark, d).select(*KEY, F.md5(U.area_level(F.expr(_STAYS), asked, intent)).alias("h"))
+
+
 @P.query("clarification_groups", "WITH r AS (SELECT c_nationkey, c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS rn FROM customer) SELECT c_nationkey, c_mktsegment, ((rn - 1) // 3)::BIGINT AS option, count(*) AS n FROM r GROUP BY ALL")
 def clarification_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Options of at most three requirements of a kind."""
-    w = Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("c_custkey")
-    r = S.read(spark, d, "customer").withColumn("option", F.floor((F.row_number().over(w) - 1) / 3))
+    """Options of at most three requirements of a kind; kinds are few, so they are numbered in slices."""
+    c = S.read(spark, d, "customer").select("c_nationkey", "c_mktsegment", "c_custkey")
+    r = numbered(c, ["c_nationkey", "c_mktsegment"], [F.col("c_custkey")], "n").withColumn("option", F.floor((F.col("n") - 1) / 3))
     return r.groupBy("c_nationkey", "c_mktsegment", "option").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -68,3 +68,14 @@ def test_names_of_generated_sentences(spark):
 
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", U.explicit_names(F.col("t"), names).alias("n")).collect()
     assert {x["i"]: x["n"] for x in got} == {i: [n for n in names if says(t, n)] for i, t in enumerate(texts)}
+
+
+def test_places_to_stay_become_areas(spark):
+    cases = [
+        ("Which accommodations are located near the beach", "where to stay", "Which", "which neighborhoods or base areas provide access to the beach"), ("Budget-friendly accommodation options in Hue", "x", "", "budget-friendly neighborhoods or base areas to stay in Hue"),
+        ("good accommodation options", "x", "", "good neighborhoods or base areas to stay"), ("Affordable accommodation", "x", "", "budget-friendly neighborhoods or base areas"), ("budget hotels near the river; hotel near it", "x", "", "budget-friendly areas to stay near the river; budget-friendly areas to stay near it"),
+        ("hotels near it", "Hotel names please", "", "hotels near it"), ("hotels near it", "a specific resort", "", "hotels near it"), ("hotels nearby", "x", "", "hotels nearby"), (None, "x", "", None), ("hotels near it", None, "", "budget-friendly areas to stay near it"),
+    ]
+    df = spark.createDataFrame([(i, t, q) for i, (t, q, _, _) in enumerate(cases)], "i int, t string, q string")
+    got = {x["i"]: (x["a"], x["b"]) for x in df.select("i", U.area_level(F.col("t"), F.col("q"), F.lit(U.ACCOMMODATION)).alias("a"), U.area_level(F.col("t"), F.col("q"), F.lit("food")).alias("b")).collect()}
+    assert got == {i: (want, t) for i, (t, _, _, want) in enumerate(cases)}
