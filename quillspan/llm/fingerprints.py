@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, put, table, text_of
+from .common import SPACES, free_name, put, table, text_of
 
 K, SHINGLE = 128, 5
 _MAX = 2.0**64
@@ -37,8 +37,9 @@ def bottom_k(hashes: Column, k: int = K) -> Column:
 
 def with_sketch(df: DataFrame, text: str, to: str, k: int = K, n: int = SHINGLE) -> DataFrame:
     """df with the sketch of a text column. Steps are columns of their own, so that none is computed twice."""
-    df = df.withColumn("__words", word_hashes(text_of(text)))
-    return put(df.withColumn("__all", shingle_hashes(F.col("__words"), n)), **{to: bottom_k(F.col("__all"), k)}).drop("__words", "__all")
+    hashed, every = free_name(df, "__words"), free_name(df, "__all")
+    df = df.withColumn(hashed, word_hashes(text_of(text)))
+    return put(df.withColumn(every, shingle_hashes(F.col(hashed), n)), **{to: bottom_k(F.col(every), k)}).drop(hashed, every)
 
 
 def merged(a: Column, b: Column, k: int = K) -> Column:

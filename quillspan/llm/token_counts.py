@@ -1,7 +1,7 @@
 """Token counts of whole texts with a public tokenizer's own library.
 
 Huge texts are encoded in overlapping chunks with offsets. Two neighbours are spliced at a boundary in their overlap
-that is proven stable: white space stands before it in the text and both encodings agree, in ids and offsets, on the
+that is tested to be stable: white space stands before it in the text and both encodings agree, in ids and offsets, on the
 tokens on both sides of it. Where no boundary qualifies, the overlap is doubled, up to the whole rest of the text.
 """
 

@@ -93,3 +93,9 @@ def test_sketches_merge_and_estimate(spark):
     one = spark.createDataFrame([(merged[1], merged[2])], "a array<long>, b array<long>")
     x = one.select(P.merged(F.col("a"), F.col("b")).alias("m"), P.resemblance(F.col("a"), F.col("b")).alias("j"), P.containment(F.col("b"), F.col("a")).alias("c"), P.distinct_shingles(F.col("a")).alias("n")).first()
     assert x.m == merged[1] and abs(x.j - 0.25) < 0.12 and x.c > 0.6 and abs(x.n - 3992) < 0.3 * 3992
+
+
+def test_columns_of_any_name_come_through_a_sketch(spark):
+    df = spark.createDataFrame([("a b c d e f", 1, 2, 3)], "text string, __words int, __all int, __words_ int")
+    out = P.with_sketch(df, "text", "sketch")
+    assert out.columns == [*df.columns, "sketch"] and tuple(out.first())[1:4] == (1, 2, 3) and len(out.first()["sketch"]) == 2
