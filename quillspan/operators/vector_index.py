@@ -171,7 +171,6 @@ def index_topk(queries: DataFrame, path: str, k: int, probe: int, exact: bool =
             found = stored(topk(read_cells(rows, probed, cells, q, names, k), k), "probed")
             if exact:
                 kth = found.filter(F.col("rank") == k).select("query_id", "score").toArrow()
-                least = np.full(len(names), -np.inf)
                 at = {int(n): s for n, s in zip(kth.column("query_id").to_pylist(), kth.column("score").to_pylist(), strict=True)}
                 least = np.array([at.get(int(n), -np.inf) for n in names])
                 more = (cells.bounds(q) >= least[:, None] - 2e-6) & ~probed

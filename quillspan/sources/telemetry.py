@@ -53,7 +53,7 @@ class StreamTelemetry(StreamingQueryListener):
 
     def onQueryProgress(self, event) -> None:  # noqa: ANN001
         p = event.progress
-        found = [(str(p.id), p.batchId, stage, "input", float(p.numInputRows)) for stage in ("batch",)]
+        found = [(str(p.id), p.batchId, "batch", "input", float(p.numInputRows))]
         found += [(str(p.id), p.batchId, stage, k, float(v)) for stage, row in p.observedMetrics.items() for k, v in row.asDict().items() if v is not None]
         with self.lock:
             self.rows += found

@@ -30,7 +30,7 @@ class Leases:
         return self.jvm.org.apache.hadoop.fs.Path(name)
 
     def _create(self, bucket: int) -> bool:
-        """The lease's name has its owner and end, so that it is there whole or not at all."""
+        """Make the lease's file, which only one worker can; then say whose it is and until when."""
         target = self._path(f"{self.path}/{bucket:05d}")
         try:
             self.files.create(target, False).close()  # fails if another has it
@@ -42,7 +42,7 @@ class Leases:
         return True
 
     def _tell(self, bucket: int) -> None:
-        """Write the end of an own lease: a new file beside it, then the older ones go."""
+        """Write the owner and end of a lease, in the name of a file beside it: it is there whole or not at all. Older ones go."""
         end = int((self.clock() + self.seconds) * 1000)
         older = self._ends(bucket)
         self.files.create(self._path(f"{self.path}/{bucket:05d}.{end:015d}.{self.worker}"), True).close()

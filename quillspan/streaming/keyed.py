@@ -54,10 +54,9 @@ class StageTable:
         log = self.spark.read.schema(self.schema).parquet(*folders)
         whole = f"{self.path}/_compact-{until:012d}"  # readers pass over it
         latest(log.drop("batch"), self.keys, self.order).withColumn("batch", F.lit(until)).write.mode("overwrite").parquet(whole)
-        files = self._files()
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        # A reader in between sees rows twice or in one place, never none: the latest event stays the latest.
+        files, path = self._files(), self.spark._jvm.org.apache.hadoop.fs.Path
         target = path(f"{self.path}/{until:012d}")
+        # Until the older folders go, a reader sees rows twice, never none: the latest event stays the latest.
         for status in files.listStatus(path(whole)):
             if status.getPath().getName().startswith("part-"):
                 files.rename(status.getPath(), path(target, f"whole-{status.getPath().getName()}"))
