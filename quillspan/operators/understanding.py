@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 #: Names that a vocabulary may have: it goes out with the expressions.
 MOST_NAMES = 10_000
 
@@ -199,25 +201,33 @@ def normal_plan(query: Column, requirements: Column, tasks: Column, dropped: Col
     request itself. Tasks without a query go; their indexes are those of what stays, each once. In a comparison a task's
     cities are compared ones, and a city that no task has gets one in front; at most so many tasks stay.
     """
-    numbered = F.transform(requirements, lambda r, i: F.struct(F.trim(r).alias("r"), i.alias("i")))
-    kept = F.slice(F.filter(numbered, lambda x: (x["r"] != "") & ~F.get(dropped, x["i"])), 1, most)
-    places = F.transform(kept, lambda x: x["i"])
-    instead = F.transform(compared, lambda c: F.concat(F.lit("Factual travel evidence about "), c, F.lit(" for the requested aspects")))
-    instead = F.when(F.size(compared) > 0, instead).otherwise(F.array(F.lit("Factual evidence needed to answer the travel request")))
-    asked = F.when(F.size(kept) > 0, F.transform(kept, lambda x: x["r"])).otherwise(instead)
+    marked = F.zip_with(requirements, dropped, lambda r, x: F.struct(F.trim(r).alias("r"), x.alias("x")))
+    numbered = F.transform(marked, lambda m, i: F.struct(m["r"].alias("r"), m["x"].alias("x"), i.alias("i")))
+    kept = F.slice(F.filter(numbered, lambda m: (m["r"] != "") & ~m["x"]), 1, most)
     told = F.slice(F.filter(tasks, lambda t: F.trim(t["query"]) != ""), 1, most)
 
-    def task(t: Column) -> Column:
+    def asked(v: Column) -> Column:
+        instead = F.transform(v["compared"], lambda c: F.concat(F.lit("Factual travel evidence about "), c, F.lit(" for the requested aspects")))
+        instead = F.when(F.size(v["compared"]) > 0, instead).otherwise(F.array(F.lit("Factual evidence needed to answer the travel request")))
+        return F.when(F.size(v["kept"]) > 0, F.transform(v["kept"], lambda x: x["r"])).otherwise(instead)
+
+    def task(t: Column, compared: Column, places: Column) -> Column:
         own = F.filter(F.transform(t["indexes"], lambda i: F.array_position(places, i).cast("int") - 1), lambda i: i >= 0)
         cities = F.when(F.size(compared) > 0, F.filter(t["cities"], lambda c: F.array_contains(compared, c))).otherwise(t["cities"])
         return F.struct(t["query"].alias("query"), cities.alias("cities"), F.array_distinct(own).alias("indexes"))
 
-    made = F.transform(told, task)
-    covered = F.flatten(F.transform(made, lambda t: t["cities"]))
-    lacking = F.filter(compared, lambda c: ~F.array_contains(covered, c))
-    every = F.sequence(F.lit(0), F.size(asked) - 1)
-    added = F.transform(lacking, lambda c: F.struct(F.concat(c, F.lit(" "), query).alias("query"), F.array(c).alias("cities"), every.alias("indexes")))
-    return F.struct(asked.alias("requirements"), F.slice(F.concat(added, made), 1, most).alias("tasks"))
+    def plan(w: Column) -> Column:
+        covered = F.flatten(F.transform(w["made"], lambda t: t["cities"]))
+        lacking = F.filter(w["compared"], lambda c: ~F.array_contains(covered, c))
+        every = F.sequence(F.lit(0), F.size(w["asked"]) - 1)
+        added = F.transform(lacking, lambda c: F.struct(F.concat(c, F.lit(" "), query).alias("query"), F.array(c).alias("cities"), every.alias("indexes")))
+        return F.struct(w["asked"].alias("requirements"), F.slice(F.concat(added, w["made"]), 1, most).alias("tasks"))
+
+    # Each step's value is bound once: lambdas would compute it for every element, and every element of that.
+    given = F.struct(kept.alias("kept"), told.alias("told"), compared.alias("compared"))
+    placed = lambda v: F.struct(v["told"].alias("told"), v["compared"].alias("compared"), asked(v).alias("asked"), F.transform(v["kept"], lambda x: x["i"]).alias("places"))
+    tasked = lambda u: F.struct(F.transform(u["told"], lambda t: task(t, u["compared"], u["places"])).alias("made"), u["compared"].alias("compared"), u["asked"].alias("asked"))
+    return T.let(given, lambda v: T.let(placed(v), lambda u: T.let(tasked(u), plan)))
 
 
 def answer_gate(sufficient: Column, any_evidence: Column, web_on: Column, n_searchable: Column, found: Column, limit: int = 3) -> Column:

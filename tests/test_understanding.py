@@ -1,12 +1,14 @@
 """Rules of requests, on sentences made from parts."""
 
 import itertools
+import json
 import random
 import re
 
 from pyspark.sql import functions as F
 
 from quillspan.operators import understanding as U
+from quillspan.sources.tables import PHRASES
 
 
 def test_requirements_on_the_answer_alone(spark):
@@ -79,3 +81,20 @@ def test_places_to_stay_become_areas(spark):
     df = spark.createDataFrame([(i, t, q) for i, (t, q, _, _) in enumerate(cases)], "i int, t string, q string")
     got = {x["i"]: (x["a"], x["b"]) for x in df.select("i", U.area_level(F.col("t"), F.col("q"), F.lit(U.ACCOMMODATION)).alias("a"), U.area_level(F.col("t"), F.col("q"), F.lit("food")).alias("b")).collect()}
     assert got == {i: (want, t) for i, (t, _, _, want) in enumerate(cases)}
+
+
+def test_plans_of_long_conversations_take_linear_work(spark, tmp_path):
+    import time
+
+    from quillspan.plans.understanding import plan_normalise
+
+    turns = [(c, t, "user", "x") for c, n in ((0, 1200), (1, 3), (2, 30)) for t in range(n)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    began = time.time()
+    got = {r.conv_id: (r.requirements.split("|"), json.loads(r.tasks)) for r in plan_normalise(spark, str(tmp_path)).collect()}
+    assert time.time() - began < 60
+    asks = lambda c, n: [PHRASES[(c * 7 + t) % len(PHRASES)] for t in range(n)]
+    assert len(got) == 3 and all(len(r) <= 6 and len(t) <= 6 for r, t in got.values())
+    assert [r for r in asks(0, 16) if r in got[0][0]] == got[0][0] and got[1][0] == [r for r in asks(1, 3) if r in got[1][0]]
+    # The first turns stay tasks after the cities in front; their indexes are places among what stays.
+    assert [t["query"] for t in got[1][1]] == asks(1, 3) and all(got[1][0][i] in asks(1, 3) for t in got[1][1] for i in t["indexes"])
