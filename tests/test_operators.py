@@ -211,3 +211,38 @@ def test_numbers_and_carried_values_in_slices(spark):
 def test_repeated_lines_stay_where_safe(spark):
     df = spark.createDataFrame([(1, "foot\nx\nfoot\n- foot\nfoot\n- foot\n- foot"), (2, "")], "k long, t string")
     assert {r["k"]: r["t"] for r in df.select("k", markdown.without_repeated_lines(F.col("t")).alias("t")).collect()} == {1: "x\n- foot\n- foot\n- foot", 2: ""}
+
+
+def test_queries_of_many_terms_are_scored_by_products(spark):
+    import time
+
+    import numpy as np
+
+    from quillspan.operators import scoring
+
+    r = np.random.default_rng(5)
+    n, words, asked, k = 6000, 3000, 300, 7
+    chance = 1 / (1 + np.arange(words))
+    chance /= chance.sum()
+    rows = [np.unique(r.choice(words, 250, p=chance), return_counts=True) for _ in range(n)]
+    ids, weights = r.permutation(n), r.normal(1.0, 1.0, words).round(3)
+    query = np.repeat(np.arange(asked), [len(rows[q][0]) for q in range(asked)])
+    term = np.concatenate([rows[q][0] for q in range(asked)])
+    best = scoring.Product(scoring.Search(np.arange(asked), query, term, weights[term], 250.0, k), words)
+    dense = np.zeros((n, words))
+    for i, (t, c) in enumerate(rows):
+        dense[i, t] = scoring.gain(c, np.full(len(c), 250), 250.0)
+    began = time.time()
+    for at in range(0, n, 2000):
+        own = rows[at : at + 2000]
+        t, row = np.concatenate([x[0] for x in own]), np.repeat(np.arange(len(own)), [len(x[0]) for x in own])
+        best.shard(ids[at : at + 2000], t, row, dense[at + row, t])
+    assert time.time() - began < 10
+    got = {}
+    for batch in best.found():
+        for q, i, s in zip(*(batch.column(c).to_pylist() for c in ("query_id", "id", "score")), strict=True):
+            got.setdefault(q, []).append((i, s))
+    for q in range(asked):
+        full = (dense[:, rows[q][0]] @ weights[rows[q][0]]).round(6)
+        order = np.lexsort((ids, -full))[:k]
+        assert [i for i, _ in got[q]] == ids[order].tolist() and np.allclose([s for _, s in got[q]], full[order], atol=2e-6)
