@@ -146,3 +146,12 @@ def test_postings_of_no_rows(spark, tmp_path):
     I.write_postings(spark.createDataFrame([], TEXTS), str(tmp_path))
     got, work = I.postings_topk(spark.createDataFrame([(1, "a")], "query_id long, text string"), str(tmp_path), 3)
     assert got.count() == 0 and work.count() == 0
+
+
+def test_postings_for_queries_of_many_terms(spark, tmp_path):
+    rows = spark.createDataFrame(worded(4, 500, 600, 300), TEXTS).repartition(3)
+    queries = rows.filter("id % 25 = 0").withColumnRenamed("id", "query_id")
+    I.write_postings(rows, str(tmp_path), 9000)
+    for block in (300, 1 << 20):
+        got, work = I.postings_topk(queries, str(tmp_path), 9, block=block)
+        assert scored(got) == scored(R.bm25_topk(queries, rows, 9)) and all(0 < r.read <= r.total for r in work.collect())
