@@ -10,11 +10,14 @@ from .numbering import numbered
 
 
 def pearson(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Pearson's r of population sums for each group; null for fewer than two pairs or no variance."""
+    """Pearson's r of population sums for each group; null for fewer than two pairs or no variance.
+
+    Values that are all the same are told by the least and the greatest: merged deviations of theirs may come out over 0.
+    """
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    sums = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.covar_pop(x, y).alias("c"), F.stddev_pop(x).alias("sx"), F.stddev_pop(y).alias("sy"))
+    sums = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.covar_pop(x, y).alias("c"), F.stddev_pop(x).alias("sx"), F.stddev_pop(y).alias("sy"), ((F.min(x) < F.max(x)) & (F.min(y) < F.max(y))).alias("vary"))
     spread = F.col("sx") * F.col("sy")
-    return sums.select(*by, "n", F.when((F.col("n") >= 2) & (spread > 0), F.try_divide(F.col("c"), spread)).alias("pearson_r"))
+    return sums.select(*by, "n", F.when((F.col("n") >= 2) & F.col("vary") & (spread > 0), F.try_divide(F.col("c"), spread)).alias("pearson_r"))
 
 
 def latency_summary(df: DataFrame, by: str, value: str) -> DataFrame:

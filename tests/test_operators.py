@@ -246,3 +246,9 @@ def test_queries_of_many_terms_are_scored_by_products(spark):
         full = (dense[:, rows[q][0]] @ weights[rows[q][0]]).round(6)
         order = np.lexsort((ids, -full))[:k]
         assert [i for i, _ in got[q]] == ids[order].tolist() and np.allclose([s for _, s in got[q]], full[order], atol=2e-6)
+
+
+def test_pearson_of_a_constant_in_many_partitions_is_null(spark):
+    # 1 / 49 * 49 isn't 1: partitions of 49 and of 8 rows differ in their means.
+    df = spark.range(0, 49, 1, 1).union(spark.range(100, 108, 1, 1)).selectExpr("1 AS g", "id * 1e-2 AS x", "1e0 AS y")
+    assert [tuple(r) for r in evaluation.pearson(df, "x", "y", ["g"]).collect()] == [(1, 57, None)]
