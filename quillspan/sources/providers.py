@@ -74,17 +74,20 @@ def retried(provider: Provider, attempts: int = 3, waits: tuple[float, ...] = (1
 def provided(df: DataFrame, column: str, to: str, kind: str, factory: Callable[[], Provider], batch: int = 16, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """df with what a provider makes of a column, and the error where it failed (null: none)."""
     kept = [c for c in df.columns if c not in (to, f"{to}_error")]
+    step = batch * max(1, 256 // batch)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = retried(factory(), sleep=sleep)
-        for f in frames:
-            values, errors = [], []
-            inputs = f[column].tolist()
-            for i in range(0, len(inputs), batch):
-                out, error = call(inputs[i : i + batch])
-                values += out
-                errors += [error] * len(out)
-            yield f[kept].assign(**{to: values, f"{to}_error": errors})
+        for frame in frames:
+            for at in range(0, len(frame), step):
+                # Outputs may be many times as large as inputs: a piece goes out before the next is asked for.
+                f, values, errors = frame.iloc[at : at + step], [], []
+                inputs = f[column].tolist()
+                for i in range(0, len(inputs), batch):
+                    out, error = call(inputs[i : i + batch])
+                    values += out
+                    errors += [error] * len(out)
+                yield f[kept].assign(**{to: values, f"{to}_error": errors})
 
     fields = [f"`{x.name}` {x.dataType.simpleString()}" for x in df.select(*kept).schema]
     return df.mapInPandas(work, ", ".join([*fields, f"`{to}` {kind}", f"`{to}_error` string"]))

@@ -31,7 +31,15 @@ CASE = {
 }
 
 
+#: Rows that a Python task is given at a time, and so holds with what it makes of them; a session may ask for fewer.
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; the session's batches for Python are bounded from then on."""
+    if not 0 < int(spark.conf.get(_ROWS)) <= BATCH_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

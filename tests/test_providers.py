@@ -1,5 +1,6 @@
 """Providers and sinks."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillspan.plans.more import greedy_matches, repaired
@@ -132,3 +133,14 @@ def test_languages_are_told_by_a_model_of_labelled_texts(spark):
     out = spark.createDataFrame([("the cat sat",), ("die Katze lag",), ("12 - 34",), ("",), (None,)], "t string").select(L.detected(F.col("t"), model).alias("d")).collect()
     assert [r.d.language for r in out] == ["en", "de", None, None, None] and out[0].d.margin > 0
     assert L.learn(rows.limit(0), "t", "l").languages == []
+
+
+def test_python_tasks_hold_few_rows_and_outputs(spark, tmp_path):
+    from quillspan.sources import tables as S
+
+    spark.range(5000).coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches)
+    most = S.read(spark, str(tmp_path), "t").coalesce(1).mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+    assert most <= S.BATCH_ROWS
+    made = providers.provided(spark.range(5000).coalesce(1), "id", "x", "long", lambda: lambda ids: [i + 1 for i in ids], batch=7)
+    assert made.filter("x = id + 1 AND x_error IS NULL").count() == 5000
