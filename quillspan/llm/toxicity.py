@@ -127,9 +127,18 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Mode
     known = labels.select("doc_id", "toxic").filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows)
     rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")  # bounded by max_rows
-    got = rows.select("text", "toxic").toArrow().to_pydict()
-    order = sorted(zip(got["text"], (int(x > 0) for x in got["toxic"]), strict=True))[: 2 * max_rows]
-    return fit([t for t, _ in order], [x for _, x in order])
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = [x for batch in batches for x in zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True)]
+        order = sorted((t, int(x > 0)) for t, x in seen)[: 2 * max_rows]
+        model = fit([t for t, _ in order], [x for _, x in order])
+        kinds = (pa.string(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(([*model.weights, None], [*model.weights.values(), model.bias]), kinds, strict=True)], names=["feature", "weight"])
+
+    # The texts are bounded by max_rows, but features and pairs take many times their room: a task has it, not the driver.
+    told = rows.select("text", "toxic").repartition(1).mapInArrow(fitted, "feature string, weight double").toArrow().to_pydict()
+    weights = dict(zip(told["feature"], told["weight"], strict=True))
+    return Model({f: w for f, w in weights.items() if f is not None}, weights[None]) if weights else fit([], [])
 
 
 def score_texts(docs: DataFrame, model: Model, text: str = "text", to: str = "score", keep: list[str] | None = None) -> DataFrame:

@@ -47,3 +47,11 @@ def test_edge_rows(spark):
     assert T.score_texts(df.limit(0), model).count() == 0
     none = T.learn(df.select("doc_id", "text").limit(0), spark.createDataFrame([], "doc_id long, toxic int"))
     assert 0 < 1 / (1 + np.exp(-none.logit([]))) < 1
+
+
+def test_the_driver_does_not_fit(spark, monkeypatch):
+    import os
+
+    monkeypatch.setattr(T, "fit", lambda texts, labels: T.Model({}, float(os.getpid())))
+    docs, labels = spark.createDataFrame([(i, "a") for i in range(20)], "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    assert T.learn(docs, labels).bias not in (0.0, float(os.getpid()))
