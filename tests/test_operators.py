@@ -248,6 +248,38 @@ def test_queries_of_many_terms_are_scored_by_products(spark):
         assert [i for i, _ in got[q]] == ids[order].tolist() and np.allclose([s for _, s in got[q]], full[order], atol=2e-6)
 
 
+def test_scans_hold_a_bounded_number_of_rows_and_score_in_double_precision(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from quillspan.operators import scoring
+
+    r = np.random.default_rng(11)
+    n, k = 40_000, 5
+    lengths = r.integers(1, 4, n)
+    terms = [np.sort(r.choice(50, x, replace=False)) - 25 for x in lengths]
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in (np.concatenate(terms).astype(np.int64), np.ones(ends[-1], np.int32))]
+    whole = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(lengths.astype(np.int32)), *lists], names=["id", "length", "terms", "counts"])
+    known = np.arange(-25, 15)
+    query, term = np.repeat(np.arange(40), 8), np.concatenate([r.choice(40, 8, replace=False) for _ in range(40)])
+    weight = r.normal(1.0, 1.0, len(term)) * 1000
+    sizes, take = [], scoring.Product.shard
+    monkeypatch.setattr(scoring.Product, "shard", lambda self, ids, *rest: (sizes.append(len(ids)), take(self, ids, *rest)))
+    scan = scoring.Scan(scoring.Search(np.arange(40), query, term, weight, 2.0, k), known, 1.5, 0.75)
+    got = [x for batch in scan(whole.slice(at, 1000) for at in range(0, n, 1000)) for x in zip(*(batch.column(c).to_pylist() for c in ("query_id", "id", "score")), strict=True)]
+    assert sum(sizes) == n and max(sizes) <= scoring.SHARD_ROWS + 256
+    dense = np.zeros((n, 50))
+    dense[np.repeat(np.arange(n), lengths), np.concatenate(terms) + 25] = np.repeat(scoring.gain(np.ones(n), lengths, 2.0), lengths)
+    for q in range(40):
+        own = term[query == q]
+        full = (dense[:, own] @ weight[query == q]).round(6)
+        has = np.flatnonzero((dense[:, own] > 0).any(axis=1))
+        best = has[np.lexsort((has, -full[has]))[:k]]
+        mine = [x for x in got if x[0] == q]
+        assert [x[1] for x in mine] == best.tolist() and np.allclose([x[2] for x in mine], full[best], atol=2e-6)
+
+
 def test_pearson_of_a_constant_in_many_partitions_is_null(spark):
     # Groups by 20 have one remainder by 5 each, in partitions of many sizes: their merged deviations needn't be 0.
     df = spark.range(0, 51282, 1, 11).selectExpr("id % 20 AS g", "(id % 101) * 1e-2 AS x", "1e0 + id % 5 AS y")
