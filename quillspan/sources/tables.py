@@ -31,15 +31,18 @@ CASE = {
 }
 
 
-#: Rows that a Python task is given at a time, and so holds with what it makes of them; a session may ask for fewer.
-BATCH_ROWS = 1000
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows, and bytes of them but for one row that has more, that a Python task is given at a time, and so holds with what it
+#: makes of them; a session may ask for fewer.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+_BOUNDS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; the session's batches for Python are bounded from then on."""
-    if not 0 < int(spark.conf.get(_ROWS)) <= BATCH_ROWS:
-        spark.conf.set(_ROWS, str(BATCH_ROWS))
+    for key, most in _BOUNDS.items():
+        asked = spark.conf.get(key, None) or "0"
+        if not (asked.isdigit() and 0 < int(asked) <= most):
+            spark.conf.set(key, str(most))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

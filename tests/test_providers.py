@@ -144,3 +144,11 @@ def test_python_tasks_hold_few_rows_and_outputs(spark, tmp_path):
     assert most <= S.BATCH_ROWS
     made = providers.provided(spark.range(5000).coalesce(1), "id", "x", "long", lambda: lambda ids: [i + 1 for i in ids], batch=7)
     assert made.filter("x = id + 1 AND x_error IS NULL").count() == 5000
+
+
+def test_python_tasks_hold_few_bytes_of_long_rows(spark, tmp_path):
+    from quillspan.sources import tables as S
+
+    spark.range(600).select(F.repeat(F.lit("x"), 100_000).alias("t")).coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
+    weights = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
+    assert S.read(spark, str(tmp_path), "t").coalesce(1).mapInArrow(weights, "n long").agg(F.max("n")).first()[0] <= S.BATCH_BYTES + 200_000
