@@ -198,23 +198,24 @@ i AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, id
 m AS (SELECT query_id, sum(CASE WHEN rank <= 5 THEN (2 ** grade - 1) / log2(rank + 1) ELSE 0 END) AS dcg, sum((rank <= 5 AND grade >= 2)::INT) / 5 AS precision_at_k, sum((rank <= 10 AND grade >= 1)::INT) AS hits, min(rank) FILTER (WHERE grade >= 2) AS first FROM g GROUP BY query_id)"""
 
 
-def metrics(spark: SparkSession, d: str) -> DataFrame:
-    return E.ranking_metrics(lexical_ranks(spark, d, 200).select("query_id", "id", "rank"), judged(spark, d))
+def metrics(spark: SparkSession, d: str, deepest: int) -> DataFrame:
+    """Metrics of lexical runs, of which those that are asked for read no rank beyond the deepest."""
+    return E.ranking_metrics(lexical_ranks(spark, d, deepest).select("query_id", "id", "rank"), judged(spark, d))
 
 
 @P.query("ndcg_at_5", f"{_METRICS} SELECT query_id, round(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END, 9) AS ndcg FROM m LEFT JOIN ideal USING (query_id)")
 def ndcg_at_5(spark: SparkSession, d: str) -> DataFrame:
-    return metrics(spark, d).select("query_id", "ndcg")
+    return metrics(spark, d, 5).select("query_id", "ndcg")
 
 
 @P.query("precision_at_5", f"{_METRICS} SELECT query_id, precision_at_k FROM m")
 def precision_at_5(spark: SparkSession, d: str) -> DataFrame:
-    return metrics(spark, d).select("query_id", "precision_at_k")
+    return metrics(spark, d, 5).select("query_id", "precision_at_k")
 
 
 @P.query("stage_metrics", f"{_METRICS} SELECT query_id, round(CASE WHEN relevant > 0 THEN hits / relevant ELSE 0 END, 9) AS pooled_recall, hits / 10 AS pooled_precision, round(coalesce(1.0 / first, 0), 9) AS mrr FROM m LEFT JOIN ideal USING (query_id)")
 def stage_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return metrics(spark, d).select("query_id", "pooled_recall", "pooled_precision", "mrr")
+    return metrics(spark, d, 200).select("query_id", "pooled_recall", "pooled_precision", "mrr")
 
 
 _HITS = "len(list_filter({0}, lambda v: contains(lower(said), lower(v))))"

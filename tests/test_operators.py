@@ -284,3 +284,32 @@ def test_pearson_of_a_constant_in_many_partitions_is_null(spark):
     # Groups by 20 have one remainder by 5 each, in partitions of many sizes: their merged deviations needn't be 0.
     df = spark.range(0, 51282, 1, 11).selectExpr("id % 20 AS g", "(id % 101) * 1e-2 AS x", "1e0 + id % 5 AS y")
     assert [r["pearson_r"] for r in evaluation.pearson(df, "x", "y", ["g"]).collect()] == [None] * 20
+
+
+def test_terms_are_counted_by_the_tokens_of_texts(spark):
+    from quillspan.functions.text import tokens
+
+    texts = [None, "", " \t\n", "a", " a  b\x0ba\x0c\r\nc ", "x\x1cy z \x85", "é É é é", "a" * 70000 + " b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    want = {r["id"]: r["t"] or [] for r in rows.select("id", tokens(rows["text"]).alias("t")).collect()}
+    got = {r["id"]: r for r in retrieval.term_counts(rows).collect()}
+    assert sorted(got) == sorted(want)
+    for i, t in want.items():
+        assert got[i]["length"] == len(t) and len(got[i]["terms"]) == len(set(got[i]["terms"])) == len(set(t))
+        assert sorted(got[i]["counts"]) == sorted(t.count(x) for x in set(t))
+    assert set(got[3]["terms"]) < set(got[4]["terms"])  # a word is the same term in every row
+
+
+def test_metrics_ask_for_no_more_ranks_than_they_read(spark, monkeypatch):
+    from quillspan.plans import analytics
+
+    asked, ranks = [], analytics.lexical_ranks
+    monkeypatch.setattr(analytics, "lexical_ranks", lambda spark, d, k: (asked.append(k), ranks(spark, d, k))[1])
+    d = "/root/testdata/sf0.001"
+    few = {tuple(r) for r in analytics.precision_at_5(spark, d).collect()}
+    gain = {tuple(r) for r in analytics.ndcg_at_5(spark, d).collect()}
+    analytics.stage_metrics(spark, d)
+    assert asked == [5, 5, 200]
+    all_ranks = analytics.metrics(spark, d, 200)
+    assert few == {tuple(r) for r in all_ranks.select("query_id", "precision_at_k").collect()}
+    assert gain == {tuple(r) for r in all_ranks.select("query_id", "ndcg").collect()}
