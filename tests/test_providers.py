@@ -135,6 +135,23 @@ def test_languages_are_told_by_a_model_of_labelled_texts(spark):
     assert L.learn(rows.limit(0), "t", "l").languages == []
 
 
+def test_every_language_can_be_told_however_many_there_are(spark, tmp_path):
+    from quillspan.operators import language as L
+    from quillspan.plans.documents import page_language
+
+    # A language of a letter of its own each; the last ones have fewer texts than the others.
+    rows = [(100 * n + i, chr(0x4E00 + n) * 40, f"l{n:03d}") for n in range(80) for i in range(12 if n < 70 else 6)] + [(9999, "12 - 34", "l000")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    told = {r.doc_id: r.language for r in page_language(spark, str(tmp_path)).collect()}
+    assert told == {i: lang if i != 9999 else None for i, _, lang in rows}
+    some = spark.createDataFrame([("the cat", "en"), ("die Katze", "de"), ("der Hund", "de"), ("il gatto", "it"), ("12", "aa"), ("il gatto", "ja")], "t string, l string")
+    counts = L.run_counts(some, "t", "l")
+    asked = spark.createDataFrame([(1, "the cat sat"), (1, "il gatto"), (2, "12"), (3, None), (4, "xyz")], "k long, t string")
+    one, several = (sorted(map(tuple, L.told(asked, "k", "t", counts, block).collect()), key=str) for block in (64, 2))
+    assert one == several and ("it" in {x[1] for x in one}) and [x[1:] for x in one if x[0] in (2, 3)] == [(None, None)] * 2
+    assert L.told(asked, "k", "t", counts.limit(0)).filter("language IS NULL").count() == 5
+
+
 def test_python_tasks_hold_few_rows_and_outputs(spark, tmp_path):
     from quillspan.sources import tables as S
 
