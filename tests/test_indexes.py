@@ -155,6 +155,17 @@ def test_rows_and_queries_that_are_alike_are_looked_at_once(spark, monkeypatch):
     assert R.same_queries(stored(R.term_weights(queries, first)[0], "weights")).select("first").distinct().count() == len({tuple(sorted(t)) for _, t in asked})
 
 
+def test_an_index_holds_rows_that_are_alike_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1000 * c + i, t) for c in range(7) for i, t in worded(12, 50, 40, 25) if i % (c + 1) == 0], TEXTS).repartition(5)
+    I.write_postings(rows, str(tmp_path), 300)
+    kinds = rows.filter("text <> ''").select("text").distinct().count()
+    assert spark.read.parquet(f"{tmp_path}/postings").filter("term IS NULL").agg(F.sum("n")).first()[0] == kinds < rows.count()
+    queries = rows.filter("id % 3 = 0").withColumnRenamed("id", "query_id")
+    for k in (3, 60):
+        got, work = I.postings_topk(queries, str(tmp_path), k, block=100)
+        assert scored(got) == scored(R.bm25_topk(queries, rows, k)) and work.count() == queries.filter("text <> ''").count()
+
+
 def test_a_search_reads_less_than_the_lists_of_a_query(spark, tmp_path):
     rows = spark.createDataFrame(worded(8, 6000, 2000, 80), TEXTS).coalesce(1)
     I.write_postings(rows, str(tmp_path))
